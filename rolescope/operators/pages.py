@@ -380,8 +380,11 @@ def careers_postings(boards: DataFrame, details: DataFrame, rules: Rules) -> Dat
     A link whose page was not crawled keeps an empty description.
     """
     links = matching_links(posting_links(boards), rules).drop("html")
-    texts = parsed_pages(details.select(F.col("url").alias("link_url"), "html")).select(
-        "link_url", page_description(F.col("page")).alias("description"))
+    # A page crawled twice counts once; the copies are told apart on (url, page_id) alone.
+    once = details.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    crawled = details.select("url", "page_id", "html").join(once, ["url", "page_id"], "left_semi")
+    texts = parsed_pages(crawled).select(
+        F.col("url").alias("link_url"), page_description(F.col("page")).alias("description"))
     joined = links.join(texts, "link_url", "left").withColumn("description", or_empty(F.col("description")))
     return joined.select(
         job_id(F.col("link_url"), F.col("company"), F.col("title")).alias("id"),
