@@ -19,7 +19,7 @@ _INT = T.IntegerType()
 ELEMENT = T.StructType([
     T.StructField("no", _INT), T.StructField("parent", _INT), T.StructField("last", _INT),
     T.StructField("tag", T.StringType()), T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("path", T.ArrayType(_INT)),
+    T.StructField("classes", T.ArrayType(T.StringType())), T.StructField("path", T.ArrayType(_INT)),
     T.StructField("first_text", _INT), T.StructField("next_text", _INT),
 ])
 PARSED = T.StructType([
@@ -40,6 +40,7 @@ class _Flattener(HTMLParser):
             "attrs": {name: value or "" for name, value in attrs}, "path": path,
             "first_text": at, "next_text": at,
         }
+        element["classes"] = element["attrs"].get("class", "").split()
         self.elements.append(element)
         if tag not in VOID:
             self.open.append(element)
@@ -72,26 +73,34 @@ def parse_html(html: pd.Series) -> pd.DataFrame:
 
 
 def inner_text(element: Column, texts: Column, separator: str = "") -> Column:
-    """The element's texts, each stripped, joined by the separator."""
-    size = element["next_text"] - element["first_text"]
-    return F.when(size > 0, F.array_join(F.slice(texts, element["first_text"] + 1, size), separator)).otherwise("")
+    """The element's texts, each stripped, joined by the separator; null for no element."""
+    return F.array_join(element_texts(element, texts), separator)
+
+
+def element_texts(element: Column, texts: Column) -> Column:
+    return F.slice(texts, element["first_text"] + 1, element["next_text"] - element["first_text"])
 
 
 def attr(element: Column, name: str) -> Column:
     return F.coalesce(element["attrs"][name], F.lit(""))
 
 
-def has_class(element: Column, name: str) -> Column:
-    return F.array_contains(F.split(attr(element, "class"), r"\s+"), name)
+def has_class(element: Column, name: str | Column) -> Column:
+    return F.array_contains(element["classes"], name)
 
 
-def class_contains(element: Column, part: str) -> Column:
+def class_contains(element: Column, part: str | Column) -> Column:
     return attr(element, "class").contains(part)
 
 
-def inside(element: Column, container: Column) -> Column:
-    """The element lies below the container."""
-    return (element["no"] > container["no"]) & (element["no"] <= container["last"])
+def below(element: Column, elements: Column) -> Column:
+    """The element's descendants: a run of the element array, which is in document order."""
+    return F.slice(elements, element["no"] + 2, element["last"] - element["no"])
+
+
+def next_sibling(element: Column, elements: Column) -> Column:
+    after = F.get(elements, element["last"] + 1)
+    return F.when(after["parent"] == element["parent"], after)
 
 
 def has_ancestor(element: Column, elements: Column, test) -> Column:

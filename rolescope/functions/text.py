@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolescope.functions.words import contains_any, or_empty, strip
+from rolescope.functions.words import contains_any, let, or_empty, strip
 
 # Headings that open the relevant part of a description.
 RELEVANT_HEADINGS = (
@@ -120,9 +120,10 @@ def description_chunks(text: Column) -> Column:
 
 def run_together_parts(chunk: Column) -> Column:
     """Bullets glued into one line, cut before each action verb; null where the line is no such list."""
-    parts = F.split(chunk, rf"(?<=[a-zA-Z)])(?=(?:{'|'.join(ACTION_VERBS)}) )")
-    parts = F.transform(parts, strip)
-    return F.when((F.size(parts) > 2) & F.forall(parts, lambda part: F.length(part) > 15), parts)
+    # The capital is tested first, so the verbs are tried at few places.
+    parts = F.split(chunk, rf"(?<=[a-zA-Z)])(?=[A-Z])(?=(?:{'|'.join(ACTION_VERBS)}) )")
+    return let(F.transform(parts, strip), lambda found: F.when(
+        (F.size(found) > 2) & F.forall(found, lambda part: F.length(part) > 15), found))
 
 
 def typed_lines(df: DataFrame, key: str, text: str, split_run_together: bool = True) -> DataFrame:

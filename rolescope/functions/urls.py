@@ -11,28 +11,38 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def url_base(url: Column) -> Column:
+    """What relative links of a page need: scheme, origin, folder, and the URL without query and fragment.
+
+    Taken once per page, so that each link costs a few short tests.
+    """
+    page = F.regexp_extract(url, r"^([^?#]*)", 1)
+    folder = F.regexp_extract(page, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*(/(?:[^/]*/)*)", 1)
+    return F.struct(
+        F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*:)", 1).alias("scheme"),
+        F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1).alias("origin"),
+        F.when(folder == "", "/").otherwise(folder).alias("folder"),
+        page.alias("page"),
+        F.regexp_extract(url, r"^([^#]*)", 1).alias("with_query"),
+    )
+
+
 def absolute_url(base: Column, link: Column) -> Column:
     """A link as seen from a page: absolute, scheme-relative, rooted, query, fragment or relative.
 
-    ``./`` and ``../`` at the start of a relative link are resolved; dots inside a path are kept.
+    Leading ``./`` and ``../`` steps of a relative link are resolved (two levels up at most); dots
+    inside a path are kept.
     """
-    scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*:)", 1)
-    origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
-    page = F.regexp_extract(base, r"^([^?#]*)", 1)
-    page_query = F.regexp_extract(base, r"^([^#]*)", 1)
-    folder = F.regexp_replace(F.substr(page, F.length(origin) + 1), "[^/]*$", "")
-    folder = F.when(folder == "", "/").otherwise(folder)
-    bare = F.regexp_replace(link, r"^(?:\./)+", "")
-    up_one = F.regexp_replace(folder, "[^/]+/$", "")
-    up_two = F.regexp_replace(up_one, "[^/]+/$", "")
+    parent = F.regexp_replace(base["folder"], "[^/]+/$", "")
+    grandparent = F.regexp_replace(base["folder"], "(?:[^/]+/){1,2}$", "")
     return (
-        F.when(link == "", page_query)
+        F.when(link.startswith("/") & ~link.startswith("//"), F.concat(base["origin"], link))
+        .when(link == "", base["with_query"])
+        .when(link.startswith("//"), F.concat(base["scheme"], link))
         .when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), link)
-        .when(link.startswith("//"), F.concat(scheme, link))
-        .when(link.startswith("/"), F.concat(origin, link))
-        .when(link.startswith("?"), F.concat(page, link))
-        .when(link.startswith("#"), F.concat(page_query, link))
-        .when(bare.startswith("../../"), F.concat(origin, up_two, F.regexp_replace(bare, r"^(?:\.\./)+", "")))
-        .when(bare.startswith("../"), F.concat(origin, up_one, F.regexp_replace(bare, r"^\.\./", "")))
-        .otherwise(F.concat(origin, folder, bare))
+        .when(link.startswith("?"), F.concat(base["page"], link))
+        .when(link.startswith("#"), F.concat(base["with_query"], link))
+        .when(link.startswith("../../"), F.concat(base["origin"], grandparent, F.regexp_replace(link, r"^(?:\.\./)+", "")))
+        .when(link.startswith("../"), F.concat(base["origin"], parent, F.substr(link, F.lit(4))))
+        .otherwise(F.concat(base["origin"], base["folder"], F.regexp_replace(link, r"^(?:\./)+", "")))
     )

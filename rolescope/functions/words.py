@@ -53,3 +53,12 @@ def or_empty(text: Column) -> Column:
 
 def blank_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    Lambda bodies are evaluated per element and share nothing, so an array that a lambda refers to has to
+    be bound first.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolescope.functions.normalize import applicant_count, external_id
-from rolescope.functions.words import contains_any, found, or_empty, strip
+from rolescope.functions.words import contains_any, found, let, or_empty, strip
 from rolescope.rules import Rules
 
 # Applicant counts from here on are not refreshed any more.
@@ -72,8 +72,7 @@ def id_in(column: Column, ids: Iterable[str]) -> Column:
 
 def keep_all_when_none(items: Column, test) -> Column:
     """The array's items that pass, or all of them when none does."""
-    kept = F.filter(items, test)
-    return F.when(F.size(kept) > 0, kept).otherwise(items)
+    return let(F.filter(items, test), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(items))
 
 
 def rescrape_candidates(jobs: DataFrame) -> DataFrame:

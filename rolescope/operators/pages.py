@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolescope.functions.html import (
-    attr, class_contains, first_or_null, has_ancestor, has_class, inner_text, inside, parse_html,
+    attr, below, class_contains, element_texts, first_or_null, has_ancestor, has_class, inner_text,
+    next_sibling, parse_html,
 )
 from rolescope.functions.normalize import job_id
-from rolescope.functions.urls import absolute_url, host
-from rolescope.functions.words import any_of, blank_to_null, contains_any, or_empty, strip
+from rolescope.functions.urls import absolute_url, host, url_base
+from rolescope.functions.words import any_of, blank_to_null, contains_any, let, or_empty, strip
 from rolescope.operators.filters import keep_all_when_none, title_passes
 from rolescope.rules import Rules
 
@@ -100,12 +101,11 @@ def unescaped(text: Column) -> Column:
 def visible_text(parsed: Column) -> Column:
     """Page text without script, style, nav and footer, one text per line."""
     hidden = F.filter(parsed["elements"], lambda element: element["tag"].isin("nav", "footer"))
-    kept = F.filter(
+    return let(hidden, lambda ranges: F.array_join(F.filter(
         parsed["texts"],
-        lambda text, at: ~F.exists(hidden, lambda element: (element["first_text"] <= at)
+        lambda text, at: ~F.exists(ranges, lambda element: (element["first_text"] <= at)
                                    & (at < element["next_text"])),
-    )
-    return F.array_join(kept, "\n")
+    ), "\n"))
 
 
 def visible_text_native(html: Column) -> Column:
@@ -116,9 +116,11 @@ def visible_text_native(html: Column) -> Column:
     return strip(unescaped(F.regexp_replace(html, r"\s*(?:<[^>]*>\s*)+", "\n")))
 
 
-def parsed_pages(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Replace the HTML by its parsed form; the raw text goes no further."""
-    return pages.withColumn("page", parse_html(F.col(html))).drop(html)
+def parsed_pages(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    """Replace the HTML by its parsed form ``page``, with ``base`` for its links; the raw text goes no
+    further."""
+    parsed = pages.withColumn("page", parse_html(F.col(html))).drop(html)
+    return parsed.withColumn("base", url_base(F.col(url))) if url in parsed.columns else parsed
 
 
 def _container(kind: str, name: str):
@@ -144,50 +146,54 @@ def _link(title: Column, url: Column, location: Column) -> Column:
 
 def _near_text(link: Column, page: Column, pattern: str) -> Column:
     """The first text inside the link's parent that matches."""
-    parent = F.get(page["elements"], link["parent"])
-    texts = F.slice(page["texts"], parent["first_text"] + 1, parent["next_text"] - parent["first_text"])
+    texts = element_texts(F.get(page["elements"], link["parent"]), page["texts"])
     return first_or_null(F.filter(texts, lambda text: text.rlike(pattern)))
 
 
 def board_links(page: Column, base: Column) -> Column:
     """Layout with one link per posting and its place in a span beside it or in the next element."""
-    def one(link: Column) -> Column:
-        parent = F.get(page["elements"], link["parent"])
-        span = first_or_null(F.filter(page["elements"], lambda element: (element["tag"] == "span")
-                                      & inside(element, parent)
+    elements, texts = page["elements"], page["texts"]
+
+    def place(parent: Column) -> Column:
+        span = first_or_null(F.filter(below(parent, elements), lambda element: (element["tag"] == "span")
                                       & F.lower(attr(element, "class")).contains("location")))
-        sibling = first_or_null(F.filter(page["elements"], lambda element: (element["parent"] == parent["parent"])
-                                         & (element["no"] > parent["last"])))
-        place = F.coalesce(span, sibling)
-        return _link(inner_text(link, page["texts"]), absolute_url(base, attr(link, "href")),
-                     F.when(place.isNotNull(), inner_text(place, page["texts"])))
-    links = F.transform(_anchors(page["elements"], "/jobs/"), one)
+        return let(F.coalesce(span, next_sibling(parent, elements)), lambda found: inner_text(found, texts))
+
+    def one(link: Column) -> Column:
+        return _link(inner_text(link, texts), absolute_url(base, attr(link, "href")),
+                     let(F.get(elements, link["parent"]), place))
+    links = F.transform(_anchors(elements, "/jobs/"), one)
     return F.filter(links, lambda link: (F.length(link["title"]) > 3) & link["url"].contains("/jobs/"))
 
 
 def block_links(page: Column, base: Column) -> Column:
     """Layout with one block per posting: title, link and place are looked up inside the block."""
-    def one(block: Column) -> Column:
-        below = F.filter(page["elements"], lambda element: inside(element, block))
-        title = first_or_null(F.filter(below, lambda element: (
-            (element["tag"] == "h5") & has_ancestor(element, page["elements"], lambda up: has_class(up, "posting-title"))
-        ) | ((element["tag"] == "a") & has_class(element, "posting-title"))))
-        link = F.coalesce(
-            first_or_null(F.filter(below, lambda element: (element["tag"] == "a")
-                                   & (has_class(element, "posting-title") | attr(element, "href").contains("/jobs/")))),
-            first_or_null(F.filter(below, lambda element: element["tag"] == "a")),
-        )
-        place = first_or_null(F.filter(below, lambda element: (
-            has_class(element, "location")
-            & has_ancestor(element, page["elements"], lambda up: has_class(up, "posting-categories"))
-        ) | has_class(element, "workplaceTypes")))
+    elements, texts = page["elements"], page["texts"]
+
+    def is_title(element: Column) -> Column:
+        heading = (element["tag"] == "h5") & has_ancestor(element, elements, lambda up: has_class(up, "posting-title"))
+        return heading | ((element["tag"] == "a") & has_class(element, "posting-title"))
+
+    def is_link(element: Column) -> Column:
+        return (element["tag"] == "a") & (
+            has_class(element, "posting-title") | attr(element, "href").contains("/jobs/"))
+
+    def is_place(element: Column) -> Column:
+        listed = has_class(element, "location") & has_ancestor(
+            element, elements, lambda up: has_class(up, "posting-categories"))
+        return listed | has_class(element, "workplaceTypes")
+
+    def one(inner: Column) -> Column:
+        link = F.coalesce(first_or_null(F.filter(inner, is_link)),
+                          first_or_null(F.filter(inner, lambda element: element["tag"] == "a")))
         return _link(
-            F.when(title.isNotNull(), inner_text(title, page["texts"])).otherwise(""),
-            F.when(link.isNotNull(), absolute_url(base, attr(link, "href"))).otherwise(""),
-            F.when(place.isNotNull(), inner_text(place, page["texts"])),
+            or_empty(let(first_or_null(F.filter(inner, is_title)), lambda title: inner_text(title, texts))),
+            let(link, lambda found: F.when(found.isNotNull(), absolute_url(base, attr(found, "href"))).otherwise("")),
+            let(first_or_null(F.filter(inner, is_place)), lambda place: inner_text(place, texts)),
         )
-    blocks = F.filter(page["elements"], lambda element: has_class(element, "posting"))
-    return F.filter(F.transform(blocks, one), lambda link: (link["title"] != "") & (link["url"] != ""))
+    blocks = F.filter(elements, lambda element: has_class(element, "posting"))
+    links = F.transform(blocks, lambda block: let(below(block, elements), one))
+    return F.filter(links, lambda link: (link["title"] != "") & (link["url"] != ""))
 
 
 def workplace_links(page: Column, base: Column) -> Column:
@@ -200,10 +206,16 @@ def workplace_links(page: Column, base: Column) -> Column:
     return F.filter(links, lambda link: F.length(link["title"]) > 3)
 
 
-def _first_per_url(links: Column) -> Column:
-    """First link per URL inside one page, order kept."""
-    urls = F.transform(links, lambda link: link["url"])
-    return F.filter(links, lambda link, at: F.array_position(urls, link["url"]) == at + 1)
+def _first_per(links: Column, key) -> Column:
+    """First link per key inside one page, order kept."""
+    def pick(found: Column) -> Column:
+        return let(F.transform(found, key), lambda keys: F.transform(
+            F.array_distinct(keys), lambda wanted: F.get(found, F.array_position(keys, wanted).cast("int") - 1)))
+    return let(links, pick)
+
+
+def first_per_url(links: Column) -> Column:
+    return _first_per(links, lambda link: link["url"])
 
 
 def _usable_title(title: Column, skip: tuple[str, ...]) -> Column:
@@ -212,18 +224,25 @@ def _usable_title(title: Column, skip: tuple[str, ...]) -> Column:
 
 def listed_links(page: Column, base: Column) -> Column:
     """Links inside repeated containers. A container kind counts from three links on."""
-    anchors = _anchors(page["elements"])
-    groups = []
-    for kind, name in LISTED_ORDER:
-        test = _container(kind, name)
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name")) for kind, name in LISTED_ORDER])
+
+    def in_container(anchors: Column, wanted: Column) -> Column:
+        def test(element: Column) -> Column:
+            return (
+                F.when(wanted["kind"] == "tag", element["tag"] == wanted["name"])
+                .when(wanted["kind"] == "class", has_class(element, wanted["name"]))
+                .otherwise(class_contains(element, wanted["name"]))
+            )
         hits = F.filter(anchors, lambda link: has_ancestor(link, page["elements"], test))
-        groups.append(F.when(F.size(hits) >= MIN_LISTED, hits).otherwise(F.slice(anchors, 1, 0)))
+        return let(hits, lambda found: F.when(F.size(found) >= MIN_LISTED, found).otherwise(F.slice(found, 1, 0)))
+    listed = let(_anchors(page["elements"]), lambda anchors: F.flatten(
+        F.transform(kinds, lambda wanted: in_container(anchors, wanted))))
     links = F.transform(
-        F.flatten(F.array(*groups)),
+        listed,
         lambda link: _link(inner_text(link, page["texts"]), absolute_url(base, attr(link, "href")),
                            F.substring(_near_text(link, page, PLACE), 1, 100)),
     )
-    return _first_per_url(F.filter(links, lambda link: _usable_title(link["title"], SKIP_WORDS_LISTED)))
+    return first_per_url(F.filter(links, lambda link: _usable_title(link["title"], SKIP_WORDS_LISTED)))
 
 
 def path_links(page: Column, base: Column) -> Column:
@@ -232,7 +251,7 @@ def path_links(page: Column, base: Column) -> Column:
         _anchors(page["elements"]),
         lambda link: _link(inner_text(link, page["texts"]), absolute_url(base, attr(link, "href")), F.lit("")),
     )
-    return _first_per_url(F.filter(
+    return first_per_url(F.filter(
         links, lambda link: link["url"].rlike(JOB_PATH) & _usable_title(link["title"], SKIP_WORDS)))
 
 
@@ -262,58 +281,62 @@ def card_links(page: Column, base: Column) -> Column:
             | F.coalesce(listed, F.lit(False))
         )
 
+    def is_title(element: Column) -> Column:
+        return (element["tag"].isin("h3", "h4", "a") | _class_any(element, CARD_TITLE_PARTS)
+                | (attr(element, "data-test-id") == "position-title"))
+
     def is_link(element: Column) -> Column:
         return (element["tag"] == "a") & any_of(attr(element, "href").contains(part) for part in CARD_LINKS)
 
     def is_place(element: Column) -> Column:
         return _class_any(element, CARD_PLACE_PARTS) | (attr(element, "data-test-id") == "position-location")
 
-    def from_card(card: Column) -> Column:
-        below = F.filter(elements, lambda element: inside(element, card))
-        title = first_or_null(F.filter(below, lambda element: element["tag"].isin("h3", "h4", "a")
-                                       | _class_any(element, CARD_TITLE_PARTS)
-                                       | (attr(element, "data-test-id") == "position-title")))
-        around = F.filter(elements, lambda element: (element["tag"] == "a")
-                          & (F.array_contains(card["path"], element["no"]) | (element["no"] == card["no"])))
-        link = F.coalesce(first_or_null(F.filter(below, is_link)), F.try_element_at(around, F.lit(-1)))
-        place = first_or_null(F.filter(below, is_place))
+    def place(inner: Column) -> Column:
+        return let(first_or_null(F.filter(inner, is_place)), lambda found: inner_text(found, texts, " "))
+
+    def from_card(card: Column, inner: Column) -> Column:
+        # The card itself or the nearest link around it, when it has no posting link inside.
+        around = F.filter(F.transform(F.array_append(card["path"], card["no"]), lambda number: F.get(elements, number)),
+                          lambda element: element["tag"] == "a")
+        link = F.coalesce(first_or_null(F.filter(inner, is_link)), F.try_element_at(around, F.lit(-1)))
         return _link(
-            F.when(title.isNotNull(), inner_text(title, texts, " ")).otherwise(""),
-            F.when(link.isNotNull(), absolute_url(base, attr(link, "href"))).otherwise(""),
-            F.when(place.isNotNull(), inner_text(place, texts, " ")),
+            or_empty(let(first_or_null(F.filter(inner, is_title)), lambda found: inner_text(found, texts, " "))),
+            let(link, lambda found: F.when(found.isNotNull(), absolute_url(base, attr(found, "href"))).otherwise("")),
+            place(inner),
         )
 
     def from_link(link: Column) -> Column:
-        boxes = F.filter(link["path"], lambda number: F.get(elements, number)["tag"].isin("div", "li", "article", "tr"))
-        box = F.get(elements, F.try_element_at(boxes, F.lit(-1)))
-        place = first_or_null(F.filter(elements, lambda element: inside(element, box)
-                                       & _class_any(element, CARD_PLACE_PARTS)))
-        return _link(inner_text(link, texts, " "), absolute_url(base, attr(link, "href")),
-                     F.when(place.isNotNull(), inner_text(place, texts, " ")))
+        boxes = F.filter(F.transform(link["path"], lambda number: F.get(elements, number)),
+                         lambda element: element["tag"].isin("div", "li", "article", "tr"))
+        inner = let(F.try_element_at(boxes, F.lit(-1)), lambda box: below(box, elements))
+        return _link(inner_text(link, texts, " "), absolute_url(base, attr(link, "href")), let(inner, place))
 
-    def first_per_title_and_url(links: Column) -> Column:
-        keys = F.transform(links, lambda link: F.concat(link["title"], link["url"]))
-        return F.filter(links, lambda link, at: F.array_position(keys, F.concat(link["title"], link["url"])) == at + 1)
+    def unique(links: Column) -> Column:
+        return _first_per(links, lambda link: F.concat(link["title"], link["url"]))
 
-    cards = first_per_title_and_url(F.filter(
-        F.transform(F.filter(elements, is_card), from_card), lambda link: link["title"] != ""))
-    plain = first_per_title_and_url(F.filter(
-        F.transform(F.filter(elements, is_link), from_link),
-        lambda link: F.length(link["title"]).between(6, 199)))
-    return F.when(F.size(cards) > 0, cards).otherwise(plain)
+    cards = unique(F.filter(
+        F.transform(F.filter(elements, is_card), lambda card: let(
+            below(card, elements), lambda inner: from_card(card, inner))),
+        lambda link: link["title"] != ""))
+    plain = unique(F.filter(F.transform(F.filter(elements, is_link), from_link),
+                            lambda link: F.length(link["title"]).between(6, 199)))
+    return let(cards, lambda found: F.when(F.size(found) > 0, found).otherwise(plain))
 
 
 def generic_links(page: Column, base: Column) -> Column:
     """Listed links; when they are fewer than three, also links with a posting path."""
-    listed = listed_links(page, base)
-    known = F.transform(listed, lambda link: link["url"])
-    more = F.filter(path_links(page, base), lambda link: ~F.array_contains(known, link["url"]))
-    return F.when(F.size(listed) < MIN_LINKS, F.concat(listed, more)).otherwise(listed)
+    def complete(listed: Column) -> Column:
+        def more(known: Column) -> Column:
+            return F.concat(listed, F.filter(
+                path_links(page, base), lambda link: ~F.array_contains(known, link["url"])))
+        few = let(F.transform(listed, lambda link: link["url"]), more)
+        return F.when(F.size(listed) < MIN_LINKS, few).otherwise(listed)
+    return let(listed_links(page, base), complete)
 
 
 def posting_links(pages: DataFrame) -> DataFrame:
     """Pages with ``platform``, ``company`` and ``links`` (first per URL); expects url and html."""
-    page, base, board = F.col("page"), F.col("url"), F.col("platform")
+    page, base, board = F.col("page"), F.col("base"), F.col("platform")
     links = (
         F.when(board == "greenhouse", board_links(page, base).cast(_LINK))
         .when(board == "lever", block_links(page, base).cast(_LINK))
@@ -324,7 +347,7 @@ def posting_links(pages: DataFrame) -> DataFrame:
         "platform": platform(F.col("url"), F.col("html")),
         "company": company_name(F.col("url"), F.col("html")),
     })
-    return parsed_pages(named).withColumn("links", _first_per_url(links)).drop("page")
+    return parsed_pages(named).withColumn("links", first_per_url(links)).drop("page", "base")
 
 
 def matching_links(pages: DataFrame, rules: Rules, keep_all: bool = True) -> DataFrame:
@@ -360,18 +383,19 @@ def _place_test(kind: str, name: str):
 def page_description(page: Column) -> Column:
     """Text of the first place with more than 100 characters, else of the last place tried if the page
     has it, else the start of the body."""
-    def at(place) -> Column:
-        return first_or_null(F.filter(page["elements"], _place_test(*place)))
-    candidates = F.array(*[at(place) for place in DESCRIPTION_PLACES])
-    long_enough = F.filter(
-        candidates,
-        lambda element: F.coalesce(F.length(inner_text(element, page["texts"])) > MIN_DESCRIPTION, F.lit(False)),
+    elements, texts = page["elements"], page["texts"]
+    candidates = F.array(*[first_or_null(F.filter(elements, _place_test(*place))) for place in DESCRIPTION_PLACES])
+
+    def choose(found: Column) -> Column:
+        long_enough = F.filter(found, lambda element: F.coalesce(
+            F.length(inner_text(element, texts)) > MIN_DESCRIPTION, F.lit(False)))
+        return F.coalesce(first_or_null(long_enough), F.element_at(found, len(DESCRIPTION_PLACES)))
+    body = first_or_null(F.filter(elements, lambda element: element["tag"] == "body"))
+    return F.coalesce(
+        let(let(candidates, choose), lambda chosen: inner_text(chosen, texts, " ")),
+        let(body, lambda found: F.substring(inner_text(found, texts, " "), 1, MAX_DESCRIPTION)),
+        F.lit(""),
     )
-    chosen = F.coalesce(first_or_null(long_enough), F.element_at(candidates, len(DESCRIPTION_PLACES)))
-    body = first_or_null(F.filter(page["elements"], lambda element: element["tag"] == "body"))
-    return F.when(chosen.isNotNull(), inner_text(chosen, page["texts"], " ")).when(
-        body.isNotNull(), F.substring(inner_text(body, page["texts"], " "), 1, MAX_DESCRIPTION)
-    ).otherwise("")
 
 
 def careers_postings(boards: DataFrame, details: DataFrame, rules: Rules) -> DataFrame:

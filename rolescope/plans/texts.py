@@ -163,7 +163,7 @@ WITH {_ITEMS.format(source="pages")}, {_LISTED}
 SELECT page_id, link_url AS url, title, location FROM listed""")
 def page_links(spark, sf):
     rows = pg.parsed_pages(fx.table(spark, sf, "pages")).select(
-        "page_id", F.explode(pg.listed_links(F.col("page"), F.col("url"))).alias("link"))
+        "page_id", F.explode(pg.listed_links(F.col("page"), F.col("base"))).alias("link"))
     return rows.select("page_id", "link.url", "link.title", "link.location")
 
 
@@ -176,7 +176,7 @@ def page_keep_all(spark, sf):
     from rolescope.rules import Rules
     rules = Rules(target_role="tion|ing", exclude_titles=("er",))
     rows = pg.parsed_pages(fx.table(spark, sf, "pages"))
-    rows = rows.select("page_id", pg.listed_links(F.col("page"), F.col("url")).alias("links"))
+    rows = rows.select("page_id", pg.listed_links(F.col("page"), F.col("base")).alias("links"))
     return pg.matching_links(rows, rules).select("page_id", F.col("link_url").alias("url"), "title")
 
 
@@ -246,7 +246,7 @@ def workplace_links(spark, sf):
     rows = fx.table(spark, sf, "pages").selectExpr(
         "page_id", "url", "replace(html, '<li><a href=\"/', '<li><b>Hybrid ' || page_id || '</b><a href=\"/posting/') AS html")
     links = pg.parsed_pages(rows)
-    found = pg._first_per_url(pg.workplace_links(F.col("page"), F.col("url")))
+    found = pg.first_per_url(pg.workplace_links(F.col("page"), F.col("base")))
     return links.select("page_id", F.explode(found).alias("link")).select("page_id", "link.url", "link.title", "link.location")
 
 
@@ -256,7 +256,7 @@ def block_links(spark, sf):
         "page_id", "url", "replace(replace(html, '<li>', '<li class=\"posting\"><div class=\"posting-categories\">"
         "<i class=\"location\">Oslo</i></div>'), '<a href', '<a class=\"posting-title\" href') AS html")
     links = pg.parsed_pages(rows)
-    return links.select("page_id", F.explode(pg.block_links(F.col("page"), F.col("url"))).alias("link")).select(
+    return links.select("page_id", F.explode(pg.block_links(F.col("page"), F.col("base"))).alias("link")).select(
         "page_id", "link.url", "link.title", "link.location")
 
 
@@ -266,7 +266,7 @@ def card_links(spark, sf):
         "page_id", "url", "replace(replace(html, '<li>', '<li role=\"listitem\"><span class=\"card-location\">Oslo</span>'), "
         "'<a href=\"/', '<a href=\"/careers/') AS html")
     links = pg.parsed_pages(rows)
-    return links.select("page_id", F.explode(pg.card_links(F.col("page"), F.col("url"))).alias("link")).select(
+    return links.select("page_id", F.explode(pg.card_links(F.col("page"), F.col("base"))).alias("link")).select(
         "page_id", "link.url", "link.title", "link.location")
 
 
@@ -284,7 +284,7 @@ def path_links(spark, sf):
     rows = fx.table(spark, sf, "pages").selectExpr(
         "page_id", "url", "replace(replace(replace(html, '<li>', '<em>'), '</li>', '</em>'), '<a href=\"/', '<a href=\"/role/') AS html")
     links = pg.parsed_pages(rows)
-    return links.select("page_id", F.explode(pg.generic_links(F.col("page"), F.col("url"))).alias("link")).select(
+    return links.select("page_id", F.explode(pg.generic_links(F.col("page"), F.col("base"))).alias("link")).select(
         "page_id", "link.url", "link.title")
 
 
