@@ -1 +1,259 @@
-"""Queries."""
+"""Queries: bullet choice, tailored documents, artifact paths, model-written bullets."""
+
+from __future__ import annotations
+
+import datetime
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from rolescope.functions.normalize import context_block, directory_name, job_id
+from rolescope.operators import model_documents as md
+from rolescope.operators import tailoring as tl
+from rolescope.plans import fixtures as fx
+from rolescope.plans.fixtures import RULES
+from rolescope.plans.registry import query
+from rolescope.rules import CompanyPool, Rules
+from rolescope.session import work_folder
+from rolescope.sources.writers import write_artifacts
+
+_RULE = "-" * tl.RULE_WIDTH
+_PAIR_SQL = (
+    (rf"{fx._START}the{fx._END}", "the "), ("tion", "tion"), ("ing", "ing"), ("est|ent", "est"), ("ble", "ble"),
+    ("wh", "wh"), (rf"er{fx._END}", "er "), ("and", "and"), ("password", "of"),
+)
+_RELEVANCE = " + ".join(
+    [f"CASE WHEN p{n} AND instr(low, '{word}') > 0 THEN 1 ELSE 0 END" for n, (_, word) in enumerate(_PAIR_SQL)]
+    + ["CASE WHEN full_stack AND regexp_matches(low, 'heon|onhe|than') THEN 2 ELSE 0 END",
+       "CASE WHEN backend AND regexp_matches(low, 'edon|and ') THEN 1 ELSE 0 END"])
+_FLAGS = ", ".join(
+    [f"regexp_matches(lower(description), '{pattern}') AS p{n}" for n, (pattern, _) in enumerate(_PAIR_SQL)]
+    + ["regexp_matches(lower(description), 'heon|onhe') AS full_stack",
+       "regexp_matches(lower(title), 'widget|gear') AS backend"])
+
+
+def _picked_sql(pool: str = "pool") -> str:
+    return f"""flags AS (SELECT row_no, {_FLAGS} FROM postings),
+bullets AS (SELECT *, lower(text) AS low FROM {pool}),
+ranked AS (SELECT row_no, company_ord, company AS employer, cap, text,
+    row_number() OVER (PARTITION BY row_no, company_ord ORDER BY {_RELEVANCE} DESC, ord) AS rank FROM flags, bullets),
+picked AS (SELECT * FROM ranked WHERE rank <= cap)"""
+
+
+@query("bullet_pick", f"""
+WITH {fx.POSTINGS}, {fx.POOL}, {_picked_sql()}
+SELECT row_no, employer, rank, md5(text) AS text_md5 FROM picked""")
+def bullet_pick(spark, sf):
+    rows = fx.postings(spark, sf).select("row_no", "title", "description")
+    picked = tl.pick_bullets(rows, fx.pool(spark, sf), RULES)
+    return (
+        picked.select("row_no", F.explode("sections").alias("section"))
+        .select("row_no", F.col("section.company").alias("employer"), F.posexplode("section.bullets").alias("rank", "text"))
+        .select("row_no", "employer", (F.col("rank") + 1).alias("rank"), F.md5("text").alias("text_md5"))
+    )
+
+
+_LOW = "lower(p.description)"
+_HEAD_SQL = f"""'Position: ' || p.company || ' - ' || p.title || chr(10) || repeat('=', 66) || chr(10) || chr(10)
+  || 'SKILLS' || chr(10) || '{_RULE}' || chr(10)
+  || 'Programming Languages:  ' || CASE WHEN {_LOW} LIKE '%go %' OR {_LOW} LIKE '%golang%' OR {_LOW} NOT LIKE '%java%'
+    THEN 'Go, Java, Python, SQL' ELSE 'Java, Go, Python, SQL' END || chr(10)
+  || 'Frameworks:             ' || CASE WHEN {_LOW} LIKE '%grpc%' OR {_LOW} LIKE '%protobuf%'
+    THEN 'Spring Boot, gRPC, React, Flask' ELSE 'Spring Boot, React, Flask' END || chr(10)
+  || 'Miscellaneous:          ' || CASE WHEN {_LOW} LIKE '%kafka%' THEN 'Git, Docker, Kafka' ELSE 'Git, Docker' END
+  || chr(10)"""
+
+
+def _tailored_sql(pool: str = "pool", rows: str = "postings", keep: str = "") -> str:
+    extra = f", {keep}" if keep else ""
+    return f"""{_picked_sql(pool)},
+parts AS (SELECT row_no, company_ord, chr(10) || employer || chr(10) || '{_RULE}'
+    || string_agg(chr(10) || '* ' || text || chr(10), '' ORDER BY rank) AS part
+  FROM picked GROUP BY row_no, company_ord, employer),
+bodies AS (SELECT row_no, string_agg(part, '' ORDER BY company_ord) AS body FROM parts GROUP BY row_no),
+tailored AS (SELECT p.row_no, {_HEAD_SQL} || coalesce(b.body, '') AS resume_text{extra}
+  FROM {rows} p LEFT JOIN bodies b ON b.row_no = p.row_no)"""
+
+
+@query("tailored_text", f"""
+WITH {fx.POSTINGS}, {fx.POOL}, {_tailored_sql()}
+SELECT row_no, length(resume_text) AS size, md5(resume_text) AS text_md5 FROM tailored""")
+def tailored_text(spark, sf):
+    rows = fx.postings(spark, sf).select("row_no", "company", "title", "description")
+    done = tl.tailored(rows, fx.pool(spark, sf), RULES)
+    return done.select("row_no", F.length("resume_text").alias("size"), F.md5("resume_text").alias("text_md5"))
+
+
+# The rules before a change had one bullet rule less.
+_OLD_RULES = replace(RULES, pairs=RULES.pairs[:-1])
+
+
+@query("regen_diff", f"""
+WITH {fx.POSTINGS}, {fx.POOL}, {_tailored_sql()},
+old_ranked AS (SELECT row_no, company_ord, company AS employer, cap, text,
+    row_number() OVER (PARTITION BY row_no, company_ord
+      ORDER BY {_RELEVANCE.replace("CASE WHEN p8 AND instr(low, 'of') > 0 THEN 1 ELSE 0 END", "0")} DESC, ord) AS rank
+  FROM flags, bullets),
+old_parts AS (SELECT row_no, company_ord, chr(10) || employer || chr(10) || '{_RULE}'
+    || string_agg(chr(10) || '* ' || text || chr(10), '' ORDER BY rank) AS part
+  FROM old_ranked WHERE rank <= cap GROUP BY row_no, company_ord, employer),
+old_bodies AS (SELECT row_no, string_agg(part, '' ORDER BY company_ord) AS body FROM old_parts GROUP BY row_no),
+old AS (SELECT row_no, {_HEAD_SQL} || coalesce(b.body, '') AS text FROM postings p LEFT JOIN old_bodies b USING (row_no)),
+outcomes AS (SELECT CASE WHEN o.text = t.resume_text THEN 'skipped' ELSE 'updated' END AS outcome
+  FROM tailored t JOIN old o USING (row_no))
+SELECT outcome, count(*) AS jobs FROM outcomes GROUP BY outcome""")
+def regen_diff(spark, sf):
+    pool = fx.pool(spark, sf)
+    rows = fx.postings(spark, sf).select("row_no", "company", "title", "description")
+    stored = tl.tailored(rows, pool, _OLD_RULES).drop("sections")
+    return tl.regenerated(stored, pool, RULES).groupBy("outcome").agg(F.count("*").alias("jobs"))
+
+
+@query("artifact_paths", rf"""
+WITH {fx.SCORED},
+d AS (SELECT row_no, id,
+    trim(regexp_replace(regexp_replace(company, '[^\p{{L}}\p{{M}}\p{{N}}_\s\-]', '', 'g'), '\s+', '_', 'g'), '_') AS company_dir,
+    trim(regexp_replace(regexp_replace(title, '[^\p{{L}}\p{{M}}\p{{N}}_\s\-]', '', 'g'), '\s+', '_', 'g'), '_') AS title_dir
+  FROM jobs),
+b AS (SELECT *, company_dir || '/' || title_dir AS base, lower(company_dir) LIKE '%brand7%' AS was_taken FROM d)
+SELECT row_no, company_dir, title_dir, CASE WHEN NOT was_taken
+    AND row_number() OVER (PARTITION BY base ORDER BY row_no) = 1 THEN base ELSE base || '_' || id END AS path FROM b""")
+def artifact_paths(spark, sf):
+    rows = fx.postings(spark, sf, keep_text=False)
+    rows = rows.withColumn("id", job_id(F.col("job_link"), F.col("company"), F.col("title")))
+    # Every path of one company exists from earlier runs.
+    taken = rows.filter(F.lower("company") == "brand#7").select(
+        F.concat_ws("/", directory_name(F.col("company")), directory_name(F.col("title"))).alias("path")).distinct()
+    return tl.artifact_paths(rows, taken).select("row_no", "company_dir", "title_dir", "path")
+
+
+_INFO_SQL = """'Job Title: ' || title || chr(10) || 'Company: ' || company || chr(10) || 'Salary Range: ' || salary || chr(10)
+  || 'Match Tier: ' || tier || chr(10) || 'Match Score: ' || CAST(score AS VARCHAR) || chr(10)
+  || 'Apply Link: ' || apply_link || CASE WHEN job_link <> '' THEN chr(10) || 'Job Link: ' || job_link ELSE '' END"""
+
+
+@query("info_text", f"WITH {fx.SCORED} SELECT row_no, {_INFO_SQL} AS info FROM jobs")
+def info_text(spark, sf):
+    return fx.jobs(spark, sf).select("row_no", tl.info_text().alias("info"))
+
+
+@query("artifact_files", f"""
+WITH {fx.SCORED}, {fx.POOL}, {_tailored_sql(rows="jobs", keep=f"{_INFO_SQL} AS info, company, title, id")}
+SELECT row_no, 'resume.txt' AS file, md5(resume_text) AS text_md5 FROM tailored
+UNION ALL SELECT row_no, 'info.txt', md5(info) FROM tailored""")
+def artifact_files(spark, sf):
+    # Written by company folder and read back; the id carries the row number through the path.
+    folder = work_folder(spark, "artifacts")
+    rows = fx.jobs(spark, sf, keep_text=True).withColumn("id", F.col("row_no").cast("string"))
+    done = tl.tailored(rows, fx.pool(spark, sf), RULES).drop("sections")
+    taken = rows.select(F.concat_ws("/", directory_name(F.col("company")), directory_name(F.col("title"))).alias("path"))
+    write_artifacts(done, folder, taken.distinct())
+    back = spark.read.parquet(folder)
+    return back.select(
+        F.regexp_extract("path", r"_(\d+)/[a-z]+\.txt$", 1).cast("long").alias("row_no"),
+        F.substring_index("path", "/", -1).alias("file"), F.md5("content").alias("text_md5"))
+
+
+@query("context_block", f"""
+WITH {fx.SCORED}
+SELECT row_no, md5('Company: ' || company || chr(10) || 'Title: ' || title || chr(10) || 'Location: ' || location || chr(10)
+  || 'Work Type: ' || work_type || chr(10) || 'Salary: ' || salary || chr(10)
+  || 'Score: ' || CAST(score AS VARCHAR) || ' | Tier: ' || tier || chr(10) || chr(10) || 'JOB DESCRIPTION:' || chr(10)
+  || description) AS text_md5 FROM jobs""")
+def context(spark, sf):
+    return fx.jobs(spark, sf, keep_text=True).select("row_no", F.md5(context_block()).alias("text_md5"))
+
+
+@query("pool_text", f"""
+WITH {fx.POOL}
+SELECT company_ord, company, 0 AS number, chr(10) || company || ':' AS line FROM pool GROUP BY ALL
+UNION ALL SELECT company_ord, company, n, '  ' || CAST(n AS VARCHAR) || '. ' || text
+FROM (SELECT *, row_number() OVER (PARTITION BY company_ord ORDER BY ord) AS n FROM pool)""")
+def pool_text(spark, sf):
+    return tl.pool_lines(fx.pool(spark, sf))
+
+
+# Line budgets and texts of the bullet check.
+_CHECK_RULES = Rules(pool=(
+    CompanyPool("Company A", 5, ("a",), 9, 14), CompanyPool("Company B", 5, ("b",), 1, 9),
+    CompanyPool("Company C", 5, ("c",)),
+))
+
+
+def _model_answers(spark, sf):
+    """One answer per benchmark item: its text cut into bullets, with the flaws real answers have."""
+    text, item = F.col("text"), F.col("item_id")
+    words = F.filter(F.split(text, r"\. "), lambda part: F.length(part) > 3)
+    bullets = F.create_map(
+        F.lit("Company A"), words,
+        F.when(item % 7 == 1, F.lit("Company X")).otherwise(F.lit("Company B")), F.slice(words, 1, 2),
+        F.lit("Company C"), F.when(item % 7 == 2, F.array().cast("array<string>")).otherwise(F.slice(words, 2, 3)))
+    body = F.to_json(F.struct(bullets.alias("bullets"), F.struct(F.lit(" focus ").alias("job_focus")).alias("analysis")))
+    flawed = (
+        F.when(item % 7 == 3, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+        .when(item % 7 == 4, F.lit("no object here"))
+        .when(item % 7 == 5, F.lit('{"bullets": {"Company A": ["x", 3], "Company B": "y"}}'))
+        .when(item % 7 == 6, F.lit('{"bullets": [1]}'))
+        .otherwise(body)
+    )
+    return fx.table(spark, sf, "benchmark").select("item_id", flawed.alias("body"))
+
+
+@query("bullet_rules")
+def bullet_rules(spark, sf):
+    checked = md.checked_bullets(_model_answers(spark, sf), _CHECK_RULES)
+    return checked.select("item_id", "ok", F.array_join("errors", "; ").alias("errors"),
+                          F.col("analysis.job_focus").alias("job_focus"))
+
+
+_STATUS_SQL = ("CASE WHEN p_type = 'SMALL' THEN 'failed' WHEN p_type = 'LARGE' THEN 'ready' "
+               "WHEN p_type = 'PROMO' THEN 'pending' END")
+_EVENT_SQL = "CASE event_type WHEN 'view' THEN 'submitted' WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'edited' END"
+
+
+@query("tailoring_states", f"""
+WITH jobs AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS resume_text, {_STATUS_SQL} AS status,
+    CASE WHEN {_STATUS_SQL} = 'failed' THEN 'raw' END AS raw, CASE WHEN {_STATUS_SQL} = 'failed' THEN 'e1' END AS errors,
+    CASE WHEN {_STATUS_SQL} = 'ready' THEN 'why' END AS reasoning FROM part),
+ev AS (SELECT CAST(user_id AS VARCHAR) AS id, {_EVENT_SQL} AS event, props FROM events
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
+j AS (SELECT jobs.*, event, props, coalesce(event = 'succeeded' OR (event = 'edited' AND status = 'failed'), FALSE) AS cleared
+  FROM jobs LEFT JOIN ev USING (id))
+SELECT id, CASE WHEN event IN ('succeeded', 'edited') THEN props ELSE resume_text END AS resume_text,
+  CASE WHEN event = 'submitted' THEN 'pending' WHEN event = 'failed' THEN 'failed' WHEN cleared THEN 'ready' ELSE status END
+    AS ai_resume_status,
+  CASE WHEN cleared THEN '2026-04-01' END AS generated,
+  CASE WHEN cleared THEN NULL WHEN event = 'failed' THEN props ELSE raw END AS ai_resume_last_raw,
+  CASE WHEN cleared THEN NULL WHEN event = 'failed' THEN 'Batch attempt:,bad,Retry attempt:,worse' ELSE errors END AS errors,
+  CASE WHEN event = 'succeeded' THEN 'because' WHEN event = 'edited' THEN NULL ELSE reasoning END AS ai_resume_reasoning
+FROM j""")
+def tailoring_states(spark, sf):
+    status = F.expr(_STATUS_SQL)
+    jobs = fx.table(spark, sf, "part").select(
+        F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("resume_text"),
+        status.alias("ai_resume_status"), F.lit(None).cast("timestamp_ntz").alias("ai_resume_generated_at"),
+        F.when(status == "failed", "raw").alias("ai_resume_last_raw"),
+        F.when(status == "failed", F.array(F.lit("e1"))).alias("ai_resume_last_errors"),
+        F.when(status == "ready", "why").alias("ai_resume_reasoning"))
+    record = md.failure_record(F.array(F.lit("bad")), F.array(F.lit("worse")), F.lit("first"), F.col("text"))
+    events = fx.table(spark, sf, "events").groupBy("user_id").agg(F.max_by(
+        F.struct(F.expr(_EVENT_SQL).alias("event"), "props"), F.struct("ts", "event_id")).alias("e")
+    ).select(F.col("user_id").cast("string").alias("id"), "e.event", F.col("e.props").alias("text"))
+    events = events.withColumns({**record, "reasoning": F.lit("because")})
+    at = F.lit(datetime.datetime(2026, 4, 1)).cast("timestamp_ntz")
+    done = md.apply_document_events(jobs, events, at)
+    return done.select("id", "resume_text", "ai_resume_status",
+                       F.date_format("ai_resume_generated_at", "yyyy-MM-dd").alias("generated"), "ai_resume_last_raw",
+                       F.array_join("ai_resume_last_errors", ",").alias("errors"), "ai_resume_reasoning")
+
+
+@query("batch_outcomes", """
+WITH r AS (SELECT user_id AS id, bool_or(event_type = 'purchase') AS ok FROM events GROUP BY user_id),
+o AS (SELECT CASE WHEN p.p_partkey IS NULL THEN 'unknown' WHEN r.id IS NULL THEN 'missed' WHEN r.ok THEN 'succeeded' ELSE 'failed' END AS outcome
+  FROM (SELECT * FROM part WHERE p_type <> 'SMALL') p FULL JOIN r ON r.id = p.p_partkey)
+SELECT outcome, count(*) AS n FROM o GROUP BY outcome""")
+def batch_outcomes(spark, sf):
+    pending = fx.table(spark, sf, "part").filter("p_type <> 'SMALL'").select(F.col("p_partkey").alias("id"))
+    results = fx.table(spark, sf, "events").groupBy(F.col("user_id").alias("id")).agg(
+        F.bool_or(F.col("event_type") == "purchase").alias("ok"))
+    return md.batch_outcomes(pending, results).groupBy("outcome").agg(F.count("*").alias("n"))
