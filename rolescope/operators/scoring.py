@@ -8,7 +8,7 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolescope.functions.words import contains_any, found, or_empty, unicode_regex
+from rolescope.functions.words import contains_any, found, let, or_empty, unicode_regex
 from rolescope.operators.filters import excluded_description
 from rolescope.rules import Rules
 
@@ -89,13 +89,13 @@ def rule_table_score(df: DataFrame, rule_table: DataFrame, text: str = "descript
         F.concat(F.when(F.col("pattern").rlike(r"\\[bBwWsSdD]"), "(?U)").otherwise(""), "pattern").alias("pattern"),
         "points",
     )).alias("rules"))
-    ready = df.withColumns({"_low": F.lower(or_empty(F.col(text))), "_rules": packed.scalar()})
-    score = F.aggregate(
-        "_rules", F.lit(0),
-        lambda total, rule: total + F.when(F.regexp_like(F.col("_low"), rule["pattern"]),
-                                           rule["points"].cast("int")).otherwise(0),
-    )
-    return ready.withColumn("rule_score", score).drop("_low", "_rules")
+    def total(low: Column) -> Column:
+        return F.aggregate(
+            "_rules", F.lit(0),
+            lambda sum_, rule: sum_ + F.when(F.regexp_like(low, rule["pattern"]), rule["points"].cast("int")).otherwise(0),
+        )
+    ready = df.withColumn("_rules", packed.scalar())
+    return ready.withColumn("rule_score", let(F.lower(or_empty(F.col(text))), total)).drop("_rules")
 
 
 def model_scale(fit: Column) -> Column:

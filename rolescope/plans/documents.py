@@ -46,11 +46,10 @@ SELECT row_no, employer, rank, md5(text) AS text_md5 FROM picked""")
 def bullet_pick(spark, sf):
     rows = fx.postings(spark, sf).select("row_no", "title", "description")
     picked = tl.pick_bullets(rows, fx.pool(spark, sf), RULES)
-    return (
-        picked.select("row_no", F.explode("sections").alias("section"))
-        .select("row_no", F.col("section.company").alias("employer"), F.posexplode("section.bullets").alias("rank", "text"))
-        .select("row_no", "employer", (F.col("rank") + 1).alias("rank"), F.md5("text").alias("text_md5"))
-    )
+    lines = F.flatten(F.transform("sections", lambda section: F.transform(
+        section["bullets"], lambda text, at: F.struct(
+            section["company"].alias("employer"), (at + 1).alias("rank"), F.md5(text).alias("text_md5")))))
+    return picked.select("row_no", F.inline(lines))
 
 
 _LOW = "lower(p.description)"

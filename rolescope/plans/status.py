@@ -188,8 +188,8 @@ def stream_import_query(spark, sf):
     # One export dropped twice: the second file brings nothing new.
     drop, catalog, marks = (work_folder(spark, name) for name in ("drop", "catalog", "marks"))
     rows = fx.postings(spark, sf).withColumn("search_location", F.lit("Metro")).withColumn("posted_date", F.lit(""))
-    write_postings(rows.repartition(1).sortWithinPartitions("row_no"), drop, CSV_HEADER)
-    for _ in range(2):
-        stream_import(spark, drop, CSV_HEADER, catalog, marks, RULES, F.lit(DAY).cast("date")).awaitTermination()
+    for part in ("first", "second"):
+        write_postings(rows.repartition(1).sortWithinPartitions("row_no"), f"{drop}/{part}", CSV_HEADER)
+        stream_import(spark, f"{drop}/*", CSV_HEADER, catalog, marks, RULES, F.lit(DAY).cast("date")).awaitTermination()
     return spark.read.parquet(catalog).select(
         "id", "company", "title", "score", "tier", "import_date", F.md5("description").alias("text_md5"))

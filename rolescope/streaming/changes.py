@@ -19,11 +19,11 @@ def stream_changes(events: DataFrame, key: str, order: list[str], signature: lis
     ``block``, which a keyed state would not do.
     """
     def step(rows: DataFrame, batch: int) -> None:
-        rows = rows.withColumn("_carried", F.lit(False))
+        rows = rows.withColumn("_from_state", F.lit(False))
         if batch > 0:
             last = rows.sparkSession.read.schema(rows.schema).parquet(f"{state}/batch={batch - 1}")
-            rows = rows.unionByName(last.withColumn("_carried", F.lit(True)))
-        changed = change_feed(rows, key, order, signature, block).filter(~F.col("_carried")).drop("_carried")
+            rows = rows.unionByName(last.withColumn("_from_state", F.lit(True)))
+        changed = change_feed(rows, key, order, signature, block).filter(~F.col("_from_state")).drop("_from_state")
         changed.write.mode("overwrite").parquet(f"{feed}/batch={batch}")
         newest = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("_row"))
         newest.select("_row.*").write.mode("overwrite").parquet(f"{state}/batch={batch}")
