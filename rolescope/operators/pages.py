@@ -91,10 +91,10 @@ def company_name(url: Column, html: Column, override: Column | None = None) -> C
 
 
 def unescaped(text: Column) -> Column:
-    """The five escapes every HTML writer uses, and the non-breaking blank."""
-    for escape, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                          ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(escape), F.lit(plain))
+    """The five escapes every HTML writer uses, and the non-breaking blank, with or without semicolon."""
+    for escape, plain in (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;?", "'"),
+                          ("&nbsp;?", "\u00a0"), ("&amp;?", "&")):
+        text = F.regexp_replace(text, escape, plain)
     return text
 
 

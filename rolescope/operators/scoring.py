@@ -103,7 +103,7 @@ def model_scale(fit: Column) -> Column:
     return (
         F.when(fit >= 8, 13 + F.bround((fit - 8) * F.lit(5.5)))
         .when(fit >= 5, 7 + F.bround((fit - 5) * F.lit(2.5)))
-        .otherwise(F.greatest(F.lit(0), (fit - 1) * 2))
+        .when(fit.isNotNull(), F.greatest(F.lit(0), (fit - 1) * 2))
         .cast("int")
     )
 

@@ -126,8 +126,8 @@ _TITLED = ("CASE page_id % 5 WHEN 0 THEN replace(html, '<title>', '<title>Jobs a
 
 
 def _unescape_sql(text: str) -> str:
-    for escape, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = f"replace({text}, '{escape}', '{plain}')"
+    for escape, plain in (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;?", "''"), ("&nbsp;?", "\u00a0"), ("&amp;?", "&")):
+        text = f"regexp_replace({text}, '{escape}', '{plain}', 'g')"
     return text
 
 
@@ -203,7 +203,7 @@ def page_text_native(spark, sf):
 
 @query("page_description", rf"""
 WITH t AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS article,
-    regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body>(.*)</body>', 1), '(?is)<script\b.*?</script>', '<>', 'g'),
+    regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body>(.*)$', 1), '(?is)<script\b.*?</script>', '<>', 'g'),
       '(?s)<!--.*?-->', '<>', 'g') AS body FROM pages),
 x AS (SELECT page_id, {_unescape_sql(r"regexp_replace(article, '\s*(?:<[^>]*>\s*)+', ' ', 'g')")} AS a,
     {_unescape_sql(r"regexp_replace(article, '\s*(?:<[^>]*>\s*)+', '', 'g')")} AS tight,
