@@ -80,24 +80,45 @@ _RELEVANT = f"(?id)({'|'.join(RELEVANT_HEADINGS)})"
 _BOILERPLATE = f"(?i)({'|'.join(BOILERPLATE_HEADINGS)})"
 
 
+def _may_have_heading(body: Column) -> Column:
+    """False only where no heading can match. Substring tests cost far less than the heading regex, which
+    would otherwise be tried at every position of a text without headings."""
+    words = [heading.replace("'?", mark) for heading in RELEVANT_HEADINGS if "{" not in heading
+             for mark in (("'", "") if "'?" in heading else ("",))]
+    def test(low: Column) -> Column:
+        return contains_any(low, words[:30]) | contains_any(low, words[30:]) | (
+            low.contains("as a ") & low.contains(" you will"))
+    return let(F.lower(body), test)
+
+
+def _from_heading(body: Column, heading: Column) -> Column:
+    """Text from the heading on, cut at the first boilerplate heading if that is not too near."""
+    def cut(text: Column) -> Column:
+        return let(F.regexp_instr(text, F.lit(_BOILERPLATE)) - 1, lambda at: F.when(
+            at > 100, F.substr(text, F.lit(1), at)).otherwise(text))
+    return let(F.substr(body, heading), cut)
+
+
+def _after_introduction(body: Column) -> Column:
+    """Without headings: skip at most a third of the text, on to a sentence end if one is near."""
+    def cut(start: Column) -> Column:
+        boundary = F.call_function("locate", F.lit(".  "), body, start + 1) - 1
+        return let(boundary, lambda at: F.substr(body, F.when(
+            (at > 0) & (at < start + 200), at + 4).otherwise(start + 1)))
+    return let(F.least(F.floor(F.length(body) / 3).cast("int"), F.lit(500)), cut)
+
+
 def excerpt(text: Column, limit: int) -> Column:
     """The relevant part of a description, cut at a blank near ``limit`` characters."""
-    body = or_empty(text)
-    heading = F.regexp_instr(body, F.lit(_RELEVANT))
-    from_heading = F.substr(body, heading)
-    boilerplate = F.regexp_instr(from_heading, F.lit(_BOILERPLATE)) - 1
-    headed = F.when(boilerplate > 100, F.substr(from_heading, F.lit(1), boilerplate)).otherwise(from_heading)
-
-    # No heading: skip an introduction of at most a third of the text, to a sentence end if one is near.
-    start = F.least(F.floor(F.length(body) / 3).cast("int"), F.lit(500))
-    boundary = F.call_function("locate", F.lit(".  "), body, start + 1) - 1
-    cut = F.when((boundary > 0) & (boundary < start + 200), boundary + 4).otherwise(start + 1)
-    unheaded = F.substr(body, cut)
+    def relevant(body: Column) -> Column:
+        heading = F.when(_may_have_heading(body), F.regexp_instr(body, F.lit(_RELEVANT))).otherwise(0)
+        return let(heading, lambda at: F.when(at > 0, _from_heading(body, at)).otherwise(_after_introduction(body)))
 
-    chosen = F.when(heading > 0, headed).otherwise(unheaded)
-    tidy = strip(F.regexp_replace(chosen, r"(?U)\s{2,}", "  "))
-    short = F.regexp_replace(F.substring(tidy, 1, limit), r" [^ ]*$", "")
-    return F.when(F.length(tidy) > limit, F.concat(short, F.lit("..."))).otherwise(tidy)
+    def shorten(tidy: Column) -> Column:
+        short = F.regexp_replace(F.substring(tidy, 1, limit), r" [^ ]*$", "")
+        return F.when(F.length(tidy) > limit, F.concat(short, F.lit("..."))).otherwise(tidy)
+    tidy = strip(F.regexp_replace(let(or_empty(text), relevant), r"(?U)\s{2,}", "  "))
+    return let(tidy, shorten)
 
 
 def is_title_case(text: Column) -> Column:
@@ -118,12 +139,19 @@ def description_chunks(text: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda part: part != "")
 
 
+# A character that no description carries marks the cuts.
+CUT = "\u0001"
+GLUED_VERB = rf"([a-zA-Z)])((?:{'|'.join(ACTION_VERBS)}) )"
+
+
 def run_together_parts(chunk: Column) -> Column:
     """Bullets glued into one line, cut before each action verb; null where the line is no such list."""
-    # The capital is tested first, so the verbs are tried at few places.
-    parts = F.split(chunk, rf"(?<=[a-zA-Z)])(?=[A-Z])(?=(?:{'|'.join(ACTION_VERBS)}) )")
-    return let(F.transform(parts, strip), lambda found: F.when(
-        (F.size(found) > 2) & F.forall(found, lambda part: F.length(part) > 15), found))
+    def parts_of(marked: Column) -> Column:
+        return let(F.transform(F.split(marked, CUT), strip), lambda parts: F.when(
+            (F.size(parts) > 2) & F.forall(parts, lambda part: F.length(part) > 15), parts))
+    marked = F.regexp_replace(chunk, GLUED_VERB, f"$1{CUT}$2")
+    # Most lines have no letter right before a capital, which is the cheaper test.
+    return F.when(chunk.rlike(r"[a-zA-Z)][A-Z][a-z]"), let(marked, parts_of))
 
 
 def typed_lines(df: DataFrame, key: str, text: str, split_run_together: bool = True) -> DataFrame:
@@ -163,9 +191,10 @@ def typed_lines(df: DataFrame, key: str, text: str, split_run_together: bool = T
 
 def industry_tags(text: Column) -> Column:
     """The first two industries the text names, in list order, joined by a comma."""
-    low = F.lower(or_empty(text))
-    tags = F.array(*[F.when(contains_any(low, words), F.lit(name)) for name, words in INDUSTRIES])
-    return F.array_join(F.slice(F.array_compact(tags), 1, 2), ", ")
+    def named(low: Column) -> Column:
+        return F.array(*[F.when(contains_any(low, words), F.lit(name)) for name, words in INDUSTRIES])
+    tags = F.array_compact(let(F.lower(or_empty(text)), named))
+    return F.array_join(F.slice(tags, 1, 2), ", ")
 
 
 def first_sentence(text: Column) -> Column:

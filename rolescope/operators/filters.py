@@ -34,7 +34,7 @@ def target_role(title: Column, rules: Rules) -> Column:
 
 
 def excluded_description(description: Column, rules: Rules) -> Column:
-    return contains_any(F.lower(or_empty(description)), rules.exclude_descriptions)
+    return let(F.lower(or_empty(description)), lambda low: contains_any(low, rules.exclude_descriptions))
 
 
 def title_passes(title: Column, rules: Rules) -> Column:

@@ -54,8 +54,29 @@ def segment_lines(spark, sf):
     return tx.typed_lines(rows, "doc_id", "body", split_run_together=False).drop("part_no")
 
 
-@query("run_together")
+@query("run_together", rf"""
+WITH b AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\*([^*]+)\*', '<i>\1</i>', 'g'), '\. (?:The|And|On) ', 'Build ', 'g'),
+    ' ' || chr(10)) AS body FROM documents),
+c AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(body, '  +|\n\n+|\n'), lambda x: trim(x)),
+    lambda x: x <> '') AS chunks FROM b),
+l AS (SELECT doc_id, unnest(chunks) AS chunk, generate_subscripts(chunks, 1) - 1 AS line_no FROM c),
+p AS (SELECT *, list_transform(string_split(regexp_replace(chunk, '{tx.GLUED_VERB}', '\1' || chr(1) || '\2', 'g'), chr(1)),
+    lambda x: trim(x)) AS parts FROM l)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, len(parts) AS parts, md5(array_to_string(parts, chr(10))) AS text_md5
+FROM p WHERE len(parts) > 2 AND len(list_filter(parts, lambda x: length(x) <= 15)) = 0
+  AND NOT regexp_matches(chunk, '^(?:[•\-\*]|\d+[.)]\s)\s*')""")
 def run_together(spark, sf):
+    glued = F.regexp_replace("text", r"\. (?:The|And|On) ", "Build ")
+    rows = fx.table(spark, sf, "documents").select("doc_id", glued.alias("body"))
+    lines = rows.select("doc_id", F.posexplode(tx.description_chunks(F.col("body"))).alias("line_no", "chunk"))
+    cut = lines.filter(~F.col("chunk").rlike(f"(?U){tx.LIST_MARK}")).select(
+        "doc_id", "line_no", tx.run_together_parts(F.col("chunk")).alias("parts"))
+    return cut.filter(F.col("parts").isNotNull()).select(
+        "doc_id", "line_no", F.size("parts").alias("parts"), F.md5(F.array_join("parts", "\n")).alias("text_md5"))
+
+
+@query("typed_lines")
+def typed_lines(spark, sf):
     glued = F.regexp_replace("text", r"\. (?:The|And|On) ", "Build ")
     rows = fx.table(spark, sf, "documents").select("doc_id", glued.alias("body"))
     return tx.typed_lines(rows, "doc_id", "body")
