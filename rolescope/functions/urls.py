@@ -23,7 +23,7 @@ def url_base(url: Column) -> Column:
         F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1).alias("origin"),
         F.when(folder == "", "/").otherwise(folder).alias("folder"),
         page.alias("page"),
-        F.regexp_extract(url, r"^([^#]*)", 1).alias("with_query"),
+        F.regexp_extract(url, r"^([^#]*)", 1).alias("with_query"), url.alias("url"),
     )
 
 
@@ -37,7 +37,7 @@ def absolute_url(base: Column, link: Column) -> Column:
     grandparent = F.regexp_replace(base["folder"], "(?:[^/]+/){1,2}$", "")
     return (
         F.when(link.startswith("/") & ~link.startswith("//"), F.concat(base["origin"], link))
-        .when(link == "", base["with_query"])
+        .when(link == "", base["url"])
         .when(link.startswith("//"), F.concat(base["scheme"], link))
         .when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), link)
         .when(link.startswith("?"), F.concat(base["page"], link))
