@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rolescope.functions.normalize import job_id
 from rolescope.operators.scoring import read_description, scored
 from rolescope.rules import Rules
+from rolescope.sources.readers import spread
 
 FIRST_DAY = datetime.date(2026, 1, 5)
 
@@ -60,17 +61,28 @@ def _per(value: Column, choices: dict[int, str]) -> Column:
     return result
 
 
-def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """The text side of a posting."""
+def texts(spark: SparkSession, sf: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    """A table whose rows are work: long texts or pages."""
+    return spread(table(spark, sf, name), key)
+
+
+def pages(spark: SparkSession, sf: str) -> DataFrame:
+    return texts(spark, sf, "pages", "page_id")
+
+
+def documents(spark: SparkSession, sf: str, keep_text: bool = True) -> DataFrame:
+    """The text side of a posting; without the text only short columns are read."""
     doc = F.col("doc_id")
     link = F.concat(F.lit("https://jobs.example/view/"), (F.floor(doc / 2) + 1000).cast("string"))
-    return table(spark, sf, "documents").select(
+    source = texts(spark, sf) if keep_text else table(spark, sf, "documents").withColumn("text", F.lit(None))
+    rows = source.select(
         doc.alias("row_no"),
         F.col("text").alias("description"), F.col("lang").alias("location"), F.col("source").alias("work_type"),
         F.when(doc % 10 == 0, "").otherwise(link).alias("job_link"),
         F.concat(F.lit("https://apply.example/"), "source").alias("apply_link"),
         F.date_format(F.date_add(F.lit(FIRST_DAY), (doc % 7).cast("int")), "yyyy-MM-dd").alias("import_date"),
     )
+    return rows if keep_text else rows.drop("description")
 
 
 def heads(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,12 +99,10 @@ def heads(spark: SparkSession, sf: str) -> DataFrame:
 def postings(spark: SparkSession, sf: str, read: Rules | None = None, keep_text: bool = True) -> DataFrame:
     """Raw postings. With ``read`` the rules read the text at the scan, and without ``keep_text`` the text
     then takes no part in the join."""
-    texts = documents(spark, sf)
+    rows = documents(spark, sf, keep_text or read is not None)
     if read is not None:
-        texts = read_description(texts, read, keep_text)
-    elif not keep_text:
-        texts = texts.drop("description")
-    return texts.join(heads(spark, sf), "row_no")
+        rows = read_description(rows, read, keep_text)
+    return rows.join(heads(spark, sf), "row_no")
 
 
 def jobs(spark: SparkSession, sf: str, keep_text: bool = False) -> DataFrame:

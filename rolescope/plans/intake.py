@@ -266,4 +266,4 @@ CSV_HEADER = ("Job Title", "Company", "Location", "Work Type", "Salary", "Posted
 WITH {fx.POSTINGS}
 SELECT row_no, nullif(regexp_extract(job_link, '/view/(\\d+)', 1), '') AS external_id FROM postings""")
 def external_ids(spark, sf):
-    return fx.documents(spark, sf).select("row_no", external_id(F.col("job_link")).alias("external_id"))
+    return fx.documents(spark, sf, keep_text=False).select("row_no", external_id(F.col("job_link")).alias("external_id"))

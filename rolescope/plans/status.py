@@ -38,7 +38,7 @@ _PAGE_SQL = f"""CASE WHEN length(body) < {_MIN_PAGE} THEN 'inconclusive'
 WITH p AS (SELECT page_id, url, {_BODY} AS body, {_CODE} AS code FROM pages)
 SELECT page_id, {_PAGE_SQL} AS page_status, {_code_sql("code")} AS code_status FROM p""")
 def live_status(spark, sf):
-    rows = fx.table(spark, sf, "pages").selectExpr("page_id", f"{_BODY} AS body", f"{_CODE} AS code")
+    rows = fx.pages(spark, sf).selectExpr("page_id", f"{_BODY} AS body", f"{_CODE} AS code")
     return rows.select("page_id", st.page_status(F.col("body"), _MIN_PAGE).alias("page_status"),
                        st.code_status(F.col("code")).alias("code_status"))
 
@@ -68,7 +68,7 @@ final AS (SELECT k.id, k.status, k.live_status, CASE
 
 
 def _checked(spark, sf):
-    pages = fx.table(spark, sf, "pages").selectExpr("page_id", f"{_BODY} AS body", f"{_CODE} AS code")
+    pages = fx.pages(spark, sf).selectExpr("page_id", f"{_BODY} AS body", f"{_CODE} AS code")
     tails = F.explode(F.array(F.lit(""), F.lit("/linkedin.com/")))
     probes = pages.select(
         "page_id", "code", st.page_status(F.col("body"), _MIN_PAGE).alias("page_status"), tails.alias("tail")

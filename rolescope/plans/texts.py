@@ -22,7 +22,7 @@ WITH {tidy_sql(_HEADED, "doc_id", "documents")}
 SELECT doc_id, CASE WHEN length(tidy) > 800 THEN regexp_replace(substr(tidy, 1, 800), ' [^ ]*$', '') || '...'
   ELSE tidy END AS excerpt FROM tidy""")
 def excerpt(spark, sf):
-    rows = fx.table(spark, sf, "documents").selectExpr("doc_id", f"{_HEADED} AS body")
+    rows = fx.texts(spark, sf).selectExpr("doc_id", f"{_HEADED} AS body")
     return rows.select("doc_id", tx.excerpt(F.col("body"), tx.SHORT_EXCERPT).alias("excerpt"))
 
 
@@ -50,7 +50,7 @@ SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, kind, CASE kind
     WHEN 'bullet' THEN regexp_replace(chunk, '^(?:[•\-\*]|\d+[.)]\s)\s*', '')
     WHEN 'header' THEN regexp_replace(chunk, ':+$', '') ELSE chunk END AS content FROM k""")
 def segment_lines(spark, sf):
-    rows = fx.table(spark, sf, "documents").selectExpr("doc_id", f"{_MARKED} AS body")
+    rows = fx.texts(spark, sf).selectExpr("doc_id", f"{_MARKED} AS body")
     return tx.typed_lines(rows, "doc_id", "body", split_run_together=False).drop("part_no")
 
 
@@ -67,7 +67,7 @@ FROM p WHERE len(parts) > 2 AND len(list_filter(parts, lambda x: length(x) <= 15
   AND NOT regexp_matches(chunk, '^(?:[•\-\*]|\d+[.)]\s)\s*')""")
 def run_together(spark, sf):
     glued = F.regexp_replace("text", r"\. (?:The|And|On) ", "Build ")
-    rows = fx.table(spark, sf, "documents").select("doc_id", glued.alias("body"))
+    rows = fx.texts(spark, sf).select("doc_id", glued.alias("body"))
     lines = rows.select("doc_id", F.posexplode(tx.description_chunks(F.col("body"))).alias("line_no", "chunk"))
     cut = lines.filter(~F.col("chunk").rlike(f"(?U){tx.LIST_MARK}")).select(
         "doc_id", "line_no", tx.run_together_parts(F.col("chunk")).alias("parts"))
@@ -78,7 +78,7 @@ def run_together(spark, sf):
 @query("typed_lines")
 def typed_lines(spark, sf):
     glued = F.regexp_replace("text", r"\. (?:The|And|On) ", "Build ")
-    rows = fx.table(spark, sf, "documents").select("doc_id", glued.alias("body"))
+    rows = fx.texts(spark, sf).select("doc_id", glued.alias("body"))
     return tx.typed_lines(rows, "doc_id", "body")
 
 
@@ -97,7 +97,7 @@ WITH t AS (SELECT doc_id, {_TAGGED} AS body, lower({_TAGGED}) AS low FROM docume
 SELECT doc_id, array_to_string({_tags_sql()}[1:2], ', ') AS industry,
   rtrim(split_part(body, '. ', 1), '.') || '.' AS known_for FROM t""")
 def industry_tags(spark, sf):
-    rows = fx.table(spark, sf, "documents").selectExpr("doc_id", f"{_TAGGED} AS body")
+    rows = fx.texts(spark, sf).selectExpr("doc_id", f"{_TAGGED} AS body")
     return rows.select("doc_id", tx.industry_tags(F.col("body")).alias("industry"),
                        tx.first_sentence(F.col("body")).alias("known_for"))
 
@@ -133,7 +133,7 @@ WITH p AS (SELECT page_id, {_URL} AS url, replace(html, 'margin', 'clever') AS h
 h AS (SELECT *, {_HOST} AS host FROM p)
 SELECT page_id, host, {_platform_sql()} AS platform FROM h""")
 def page_platform(spark, sf):
-    rows = fx.table(spark, sf, "pages").selectExpr(
+    rows = fx.pages(spark, sf).selectExpr(
         "page_id", f"{_URL} AS url", "replace(html, 'margin', 'clever') AS html")
     return rows.select("page_id", pg.host(F.col("url")).alias("host"),
                        pg.platform(F.col("url"), F.col("html")).alias("platform"))
@@ -161,7 +161,7 @@ SELECT page_id, coalesce(nullif(site, ''),
   {", ".join("nullif(trim(regexp_extract(title, '" + pattern + "', 1)), '')" for pattern in pg.TITLE_PATTERNS)},
   upper(substr(split_part(host, '.', 1), 1, 1)) || substr(split_part(host, '.', 1), 2)) AS company FROM t""")
 def page_company(spark, sf):
-    rows = fx.table(spark, sf, "pages").selectExpr("page_id", "url", f"{_TITLED} AS html")
+    rows = fx.pages(spark, sf).selectExpr("page_id", "url", f"{_TITLED} AS html")
     return rows.select("page_id", pg.company_name(F.col("url"), F.col("html")).alias("company"))
 
 
@@ -183,7 +183,7 @@ listed AS (SELECT page_id, link_url, t AS title, n,
 WITH {_ITEMS.format(source="pages")}, {_LISTED}
 SELECT page_id, link_url AS url, title, location FROM listed""")
 def page_links(spark, sf):
-    rows = pg.parsed_pages(fx.table(spark, sf, "pages")).select(
+    rows = pg.parsed_pages(fx.pages(spark, sf)).select(
         "page_id", F.explode(pg.listed_links(F.col("page"), F.col("base"))).alias("link"))
     return rows.select("page_id", "link.url", "link.title", "link.location")
 
@@ -196,7 +196,7 @@ QUALIFY ok OR NOT bool_or(ok) OVER (PARTITION BY page_id)""")
 def page_keep_all(spark, sf):
     from rolescope.rules import Rules
     rules = Rules(target_role="tion|ing", exclude_titles=("er",))
-    rows = pg.parsed_pages(fx.table(spark, sf, "pages"))
+    rows = pg.parsed_pages(fx.pages(spark, sf))
     rows = rows.select("page_id", pg.listed_links(F.col("page"), F.col("base")).alias("links"))
     return pg.matching_links(rows, rules).select("page_id", F.col("link_url").alias("url"), "title")
 
@@ -213,13 +213,13 @@ _VISIBLE = f"trim({_unescape_sql(_VISIBLE)}, ' ' || chr(10))"
 WITH t AS (SELECT page_id, {_VISIBLE} AS page_text FROM pages)
 SELECT page_id, substr(page_text, 1, 15000) AS page_text FROM t WHERE length(page_text) >= 100""")
 def page_text(spark, sf):
-    rows = pg.parsed_pages(fx.table(spark, sf, "pages")).select("page_id", pg.visible_text(F.col("page")).alias("page_text"))
+    rows = pg.parsed_pages(fx.pages(spark, sf)).select("page_id", pg.visible_text(F.col("page")).alias("page_text"))
     return filters.usable_page_text(rows)
 
 
 @query("page_text_native", f"SELECT page_id, {_VISIBLE} AS page_text FROM pages")
 def page_text_native(spark, sf):
-    return fx.table(spark, sf, "pages").select("page_id", pg.visible_text_native(F.col("html")).alias("page_text"))
+    return fx.pages(spark, sf).select("page_id", pg.visible_text_native(F.col("html")).alias("page_text"))
 
 
 @query("page_description", rf"""
@@ -232,7 +232,7 @@ x AS (SELECT page_id, {_unescape_sql(r"regexp_replace(article, '\s*(?:<[^>]*>\s*
 SELECT page_id, CASE WHEN length(trim(tight)) > 100 THEN trim(a)
   ELSE substr(trim(replace(replace(b, '&copy;', '©'), '&middot;', '·')), 1, 5000) END AS description FROM x""")
 def page_description(spark, sf):
-    rows = pg.parsed_pages(fx.table(spark, sf, "pages"))
+    rows = pg.parsed_pages(fx.pages(spark, sf))
     return rows.select("page_id", pg.page_description(F.col("page")).alias("description"))
 
 
@@ -250,7 +250,7 @@ kept AS (SELECT page_id, origin || href AS url, {_unescape_sql("trim(title)")} A
 SELECT page_id, 'greenhouse' AS platform, url, title, 'Remote ' || CAST(page_id AS VARCHAR) AS location
 FROM kept WHERE length(title) > 3 QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY n) = 1""")
 def board_links(spark, sf):
-    rows = fx.table(spark, sf, "pages").selectExpr("page_id", "url", f"{_BOARD.format(name='greenhouse')} AS html")
+    rows = fx.pages(spark, sf).selectExpr("page_id", "url", f"{_BOARD.format(name='greenhouse')} AS html")
     links = pg.posting_links(rows).select("page_id", "platform", F.explode("links").alias("link"))
     return links.select("page_id", "platform", "link.url", "link.title", "link.location")
 
@@ -264,7 +264,7 @@ kept AS (SELECT page_id, origin || '/posting' || href AS url, {_unescape_sql("tr
 SELECT page_id, url, title, 'Hybrid ' || CAST(page_id AS VARCHAR) AS location
 FROM kept WHERE length(title) > 3 QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY n) = 1""")
 def workplace_links(spark, sf):
-    rows = fx.table(spark, sf, "pages").selectExpr(
+    rows = fx.pages(spark, sf).selectExpr(
         "page_id", "url", "replace(html, '<li><a href=\"/', '<li><b>Hybrid ' || page_id || '</b><a href=\"/posting/') AS html")
     links = pg.parsed_pages(rows)
     found = pg.first_per_url(pg.workplace_links(F.col("page"), F.col("base")))
@@ -273,7 +273,7 @@ def workplace_links(spark, sf):
 
 @query("block_links")
 def block_links(spark, sf):
-    rows = fx.table(spark, sf, "pages").selectExpr(
+    rows = fx.pages(spark, sf).selectExpr(
         "page_id", "url", "replace(replace(html, '<li>', '<li class=\"posting\"><div class=\"posting-categories\">"
         "<i class=\"location\">Oslo</i></div>'), '<a href', '<a class=\"posting-title\" href') AS html")
     links = pg.parsed_pages(rows)
@@ -283,7 +283,7 @@ def block_links(spark, sf):
 
 @query("card_links")
 def card_links(spark, sf):
-    rows = fx.table(spark, sf, "pages").selectExpr(
+    rows = fx.pages(spark, sf).selectExpr(
         "page_id", "url", "replace(replace(html, '<li>', '<li role=\"listitem\"><span class=\"card-location\">Oslo</span>'), "
         "'<a href=\"/', '<a href=\"/careers/') AS html")
     links = pg.parsed_pages(rows)
@@ -302,7 +302,7 @@ WHERE length(title) BETWEEN 5 AND 200 AND NOT regexp_matches(lower(title), '{"|"
 QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY n) = 1""")
 def path_links(spark, sf):
     # Links outside of any list, so that only their path speaks for them.
-    rows = fx.table(spark, sf, "pages").selectExpr(
+    rows = fx.pages(spark, sf).selectExpr(
         "page_id", "url", "replace(replace(replace(html, '<li>', '<em>'), '</li>', '</em>'), '<a href=\"/', '<a href=\"/role/') AS html")
     links = pg.parsed_pages(rows)
     return links.select("page_id", F.explode(pg.generic_links(F.col("page"), F.col("base"))).alias("link")).select(
@@ -313,7 +313,7 @@ def path_links(spark, sf):
 def careers_import(spark, sf):
     # Every page is a board; its links lead to pages of the same crawl.
     from rolescope.rules import Rules
-    pages = fx.table(spark, sf, "pages")
+    pages = fx.pages(spark, sf)
     boards = pages.selectExpr("page_id", "url", f"{_BOARD.format(name='greenhouse')} AS html")
     details = pages.selectExpr("page_id", "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/jobs/the' AS url", "html")
     stored = spark.createDataFrame([], "id string, job_link string")
