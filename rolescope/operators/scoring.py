@@ -15,6 +15,9 @@ from rolescope.rules import Rules
 # Tier names, weakest first.
 WEAK, MATCH, STRONG = "Weak Match", "Match", "Strong Match"
 
+# A rule table longer than this is taken for a mistake.
+MAX_TABLE_RULES = 20_000
+
 
 def _total(parts) -> Column:
     return functools.reduce(operator.add, parts, F.lit(0))
@@ -83,9 +86,12 @@ def rule_table_score(df: DataFrame, rule_table: DataFrame, text: str = "descript
     """Keyword score with the rules in a table (pattern, points).
 
     The table is configuration: it enters the plan as one scalar array, so there is no join at all and
-    the text is read in place.
+    the text is read in place. A table too long to be configuration is refused.
     """
-    packed = rule_table.select(F.collect_list(F.struct(
+    size = rule_table.agg(F.count("*").alias("n")).scalar()
+    checked = rule_table.withColumn("_check", F.when(
+        size > MAX_TABLE_RULES, F.raise_error(F.lit(f"more than {MAX_TABLE_RULES} rules")))).filter("_check IS NULL")
+    packed = checked.select(F.collect_list(F.struct(
         F.concat(F.when(F.col("pattern").rlike(r"\\[bBwWsSdD]"), "(?U)").otherwise(""), "pattern").alias("pattern"),
         "points",
     )).alias("rules"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolescope.functions.text import SHORT_EXCERPT, excerpt
@@ -51,22 +51,31 @@ def plans_nested(plans: DataFrame, plan_jobs: DataFrame, jobs: DataFrame, per_ro
     """Plans with their jobs as an array, empty for a plan without jobs.
 
     A plan with more than ``per_row`` jobs is spread over several rows (``chunk`` of ``chunks``), so no
-    array grows with the data. Chunks are cut by a hash of the job id; every job is in exactly one.
+    array grows with the data; chunks are cut by a hash of the job id and every job is in exactly one.
+    Jobs meet their plan's size on (plan, id block) and the plan itself on (plan, chunk), so a plan with
+    most of the jobs is never one join key.
     """
-    sizes = plan_jobs.groupBy("plan_id").agg(F.count("*").alias("_size"))
-    ready = (
-        plans.join(sizes.withColumnRenamed("plan_id", "id"), "id", "left")
-        .withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.coalesce("_size", F.lit(0)) / per_row)).cast("int"))
-        .drop("_size")
-    )
-    flat = plan_jobs_view(ready, plan_jobs, jobs).withColumn(
-        "chunk", F.coalesce(F.pmod(F.xxhash64("job_id"), F.col("chunks")), F.lit(0)).cast("int"))
+    blocked = plan_jobs.withColumn("_block", id_block("job_id"))
+    sizes = blocked.groupBy("plan_id", "_block").agg(F.count("*").alias("_size"))
+    total = F.sum("_size").over(Window.partitionBy("plan_id"))
+    chunks = sizes.select("plan_id", "_block", F.ceil(total / per_row).cast("int").alias("chunks"))
+    details = jobs.select(F.col("id").alias("job_id"), "company", F.col("title").alias("job_title"))
     job = F.struct(
         F.col("job_id").alias("id"), or_empty(F.col("notes")).alias("notes"),
         or_empty(F.col("company")).alias("company"), or_empty(F.col("job_title")).alias("title"),
     )
-    return flat.groupBy(*ready.columns, "chunk").agg(
-        F.array_sort(F.collect_list(F.when(F.col("job_id").isNotNull(), job))).alias("jobs"))
+    nested = (
+        blocked.join(chunks, ["plan_id", "_block"]).join(details, "job_id", "left")
+        .withColumn("chunk", F.pmod(F.xxhash64("job_id"), F.col("chunks")).cast("int"))
+        .groupBy(F.col("plan_id").alias("id"), "chunk").agg(F.array_sort(F.collect_list(job)).alias("jobs"))
+    )
+    per_plan = chunks.groupBy(F.col("plan_id").alias("id")).agg(F.max("chunks").alias("chunks"))
+    rows = (
+        plans.join(per_plan, "id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    )
+    empty = F.array().cast(nested.schema["jobs"].dataType)
+    return rows.join(nested, ["id", "chunk"], "left").withColumn("jobs", F.coalesce("jobs", empty))
 
 
 def plan_report(plan_jobs: DataFrame, jobs: DataFrame) -> DataFrame:

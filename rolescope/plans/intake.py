@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rolescope.functions.normalize import applicant_count, applicant_phrase, external_id, job_id, to_uuid
 from rolescope.operators import filters, scoring
-from rolescope.operators.dedup import first_postings, new_by_key, new_by_link, ordered_fetch
+from rolescope.operators.dedup import first_postings, new_by_key, new_by_link, ordered_fetch, posting_key
 from rolescope.operators.intake import import_csv, import_postings
 from rolescope.operators.merge import update_counters
 from rolescope.operators.views import batch_stats, by_score, tier_summary, top_scores
@@ -248,10 +248,10 @@ SELECT {fx.JOB_ID} AS id, company, title, location, work_type, salary, job_link,
   '2026-03-27 — Metro' AS import_date, md5(description) AS text_md5, score, {fx.TIER} AS tier
 FROM kept QUALIFY row_number() OVER (PARTITION BY {fx.JOB_ID} ORDER BY row_no) = 1""")
 def csv_import(spark, sf):
-    # Written as one export in row order, then read back and imported.
+    # Written as exports in row order, repeats of a posting in one file, then read back and imported.
     folder = work_folder(spark, "exports")
     rows = fx.postings(spark, sf).withColumn("search_location", F.lit("Metro")).withColumn("posted_date", F.lit(""))
-    write_postings(rows.repartition(1).sortWithinPartitions("row_no"), folder, CSV_HEADER)
+    write_postings(rows.repartition(*posting_key()).sortWithinPartitions("row_no"), folder, CSV_HEADER)
     jobs = import_csv(read_postings(spark, folder), RULES, F.lit(DAY).cast("date"))
     return jobs.select("id", "company", "title", "location", "work_type", "salary", "job_link", "apply_link",
                        "import_date", F.md5("description").alias("text_md5"), "score", "tier")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rolescope.operators import status as st
+from rolescope.operators.dedup import posting_key
 from rolescope.operators.views import flow_edges as count_edges
 from rolescope.plans import fixtures as fx
 from rolescope.plans.fixtures import RULES
@@ -193,7 +194,7 @@ def stream_import_query(spark, sf):
     drop, catalog, marks = (work_folder(spark, name) for name in ("drop", "catalog", "marks"))
     rows = fx.postings(spark, sf).withColumn("search_location", F.lit("Metro")).withColumn("posted_date", F.lit(""))
     for part in ("first", "second"):
-        write_postings(rows.repartition(1).sortWithinPartitions("row_no"), f"{drop}/{part}", CSV_HEADER)
+        write_postings(rows.repartition(*posting_key()).sortWithinPartitions("row_no"), f"{drop}/{part}", CSV_HEADER)
         stream_import(spark, f"{drop}/*", CSV_HEADER, catalog, marks, RULES, F.lit(DAY).cast("date")).awaitTermination()
     return spark.read.parquet(catalog).select(
         "id", "company", "title", "score", "tier", "import_date", F.md5("description").alias("text_md5"))

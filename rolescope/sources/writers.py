@@ -36,8 +36,9 @@ def artifacts(jobs: DataFrame, taken: DataFrame | None = None) -> DataFrame:
 
 
 def write_artifacts(jobs: DataFrame, path: str, taken: DataFrame | None = None) -> None:
-    """Artifacts by company folder. Files per folder follow the task count, not the posting count."""
-    artifacts(jobs, taken).write.partitionBy("company_dir").parquet(path)
+    """Artifacts by company folder. Rebalancing gathers small companies and splits large ones, so files
+    follow the data's size and not tasks times companies."""
+    artifacts(jobs, taken).hint("rebalance", F.col("company_dir")).write.partitionBy("company_dir").parquet(path)
 
 
 def write_json_catalog(jobs: DataFrame, path: str) -> None:
