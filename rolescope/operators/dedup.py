@@ -20,10 +20,10 @@ def first_wins(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
-def posting_key() -> list[Column]:
+def posting_key(link_column: str = "job_link") -> list[Column]:
     """Link where there is one, else company and title. The first part keeps the two kinds apart, and
     rows without a link spread over (company, title) instead of meeting under the empty link."""
-    link = or_empty(F.col("job_link"))
+    link = or_empty(F.col(link_column))
     linked = link != ""
     return [linked, F.when(linked, link).otherwise(F.col("company")), F.when(~linked, F.col("title"))]
 
@@ -31,8 +31,9 @@ def posting_key() -> list[Column]:
 def first_postings(df: DataFrame, order: Sequence[str | Column] = ("row_no",),
                    within: Sequence[str] = ()) -> DataFrame:
     """First posting per key, optionally per file. Runs before any filter: an excluded first row still
-    hides the later ones."""
-    return first_wins(df, [*within, *posting_key()], order)
+    hides the later ones. A trimmed ``link_key`` takes the place of the link where there is one."""
+    link = "link_key" if "link_key" in df.columns else "job_link"
+    return first_wins(df, [*within, *posting_key(link)], order)
 
 
 def new_by_key(incoming: DataFrame, stored: DataFrame) -> DataFrame:

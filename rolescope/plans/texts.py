@@ -12,6 +12,7 @@ from rolescope.plans import fixtures as fx
 from rolescope.plans.fixtures import RULES
 from rolescope.plans.registry import query
 from rolescope.plans.scores import tidy_sql
+from rolescope.rules import Rules
 
 # Some plain words of the documents become section headings, so that every branch is met.
 _HEADED = "replace(replace(replace(text, ' that ', ' Responsibilities '), ' was ', '.  '), ' from ', ' Benefits ')"
@@ -33,11 +34,19 @@ _MARKED_SQL = _MARKED.replace("\\n", "' || chr(10) || '")
 _HEADER_SQL = tx.HEADER_LINE.replace("'", "''")
 
 
-@query("segment_lines", rf"""
-WITH b AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-    translate({_MARKED_SQL}, '‘’“”', '''''""'),
+def _plain_sql(text: str) -> str:
+    """A description before it is split: quotes straightened, heading and emphasis marks replaced."""
+    return rf"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    translate({text}, '‘’“”', '''''""'),
     '(?m)^#{{1,4}}\s+(.+)$', '\1', 'g'), '(?m)^\*{{1,2}}([^*\n]+)\*{{1,2}}\s*$', '\1', 'g'),
-    '\*\*([^*]+)\*\*', '<b>\1</b>', 'g'), '\*([^*]+)\*', '<i>\1</i>', 'g'), ' ' || chr(10)) AS body FROM documents),
+    '\*\*([^*]+)\*\*', '<b>\1</b>', 'g'), '\*([^*]+)\*', '<i>\1</i>', 'g'), ' ' || chr(10))"""
+
+
+_GLUED = r"regexp_replace(text, '\. (?:The|And|On) ', 'Build ', 'g')"
+
+
+@query("segment_lines", rf"""
+WITH b AS (SELECT doc_id, {_plain_sql(_MARKED_SQL)} AS body FROM documents),
 c AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(body, '  +|\n\n+|\n'), lambda x: trim(x)),
     lambda x: x <> '') AS chunks FROM b),
 l AS (SELECT doc_id, unnest(chunks) AS chunk, generate_subscripts(chunks, 1) - 1 AS line_no FROM c),
@@ -55,8 +64,7 @@ def segment_lines(spark, sf):
 
 
 @query("run_together", rf"""
-WITH b AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\*([^*]+)\*', '<i>\1</i>', 'g'), '\. (?:The|And|On) ', 'Build ', 'g'),
-    ' ' || chr(10)) AS body FROM documents),
+WITH b AS (SELECT doc_id, {_plain_sql(_GLUED)} AS body FROM documents),
 c AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(body, '  +|\n\n+|\n'), lambda x: trim(x)),
     lambda x: x <> '') AS chunks FROM b),
 l AS (SELECT doc_id, unnest(chunks) AS chunk, generate_subscripts(chunks, 1) - 1 AS line_no FROM c),
@@ -75,7 +83,24 @@ def run_together(spark, sf):
         "doc_id", "line_no", F.size("parts").alias("parts"), F.md5(F.array_join("parts", "\n")).alias("text_md5"))
 
 
-@query("typed_lines")
+@query("typed_lines", rf"""
+WITH b AS (SELECT doc_id, {_plain_sql(_GLUED)} AS body FROM documents),
+c AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(body, '  +|\n\n+|\n'), lambda x: trim(x)),
+    lambda x: x <> '') AS chunks FROM b),
+l AS (SELECT doc_id, unnest(chunks) AS chunk, generate_subscripts(chunks, 1) - 1 AS line_no FROM c),
+k AS (SELECT *, CASE WHEN regexp_matches(chunk, '^(?:[•\-\*]|\d+[.)]\s)\s*') THEN 'bullet'
+    WHEN regexp_matches(chunk, '{_HEADER_SQL}') OR (length(chunk) < 60 AND chunk LIKE '%:')
+      OR (length(chunk) < 50 AND chunk NOT LIKE '%.'
+        AND NOT regexp_matches(chunk, '(?:^|[^\p{{Lu}}\p{{Ll}}\p{{Lt}}])\p{{Ll}}')
+        AND NOT regexp_matches(chunk, '[\p{{Lu}}\p{{Ll}}\p{{Lt}}]\p{{Lu}}')) THEN 'header' ELSE 'text' END AS kind,
+    list_transform(string_split(regexp_replace(chunk, '{tx.GLUED_VERB}', '\1' || chr(1) || '\2', 'g'), chr(1)),
+      lambda x: trim(x)) AS parts FROM l),
+g AS (SELECT *, kind = 'text' AND len(parts) > 2 AND len(list_filter(parts, lambda x: length(x) <= 15)) = 0 AS glued FROM k),
+e AS (SELECT doc_id, line_no, CASE WHEN glued THEN 'bullet' ELSE kind END AS kind, CASE WHEN glued THEN parts ELSE [CASE kind
+    WHEN 'bullet' THEN regexp_replace(chunk, '^(?:[•\-\*]|\d+[.)]\s)\s*', '')
+    WHEN 'header' THEN regexp_replace(chunk, ':+$', '') ELSE chunk END] END AS parts FROM g)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS part_no, kind,
+  unnest(parts) AS content FROM e""")
 def typed_lines(spark, sf):
     glued = F.regexp_replace("text", r"\. (?:The|And|On) ", "Build ")
     rows = fx.texts(spark, sf).select("doc_id", glued.alias("body"))
@@ -152,14 +177,16 @@ def _unescape_sql(text: str) -> str:
     return text
 
 
-@query("page_company", rf"""
-WITH p AS (SELECT page_id, url, {_TITLED} AS html FROM pages),
+_PAGE_COMPANY_SQL = rf"""p AS (SELECT page_id, url, {{html}} AS html FROM pages),
 t AS (SELECT *, {_HOST} AS host, trim({_unescape_sql(r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}) AS title,
   trim(regexp_extract(regexp_extract(html, '(?i)(<meta\b[^>]*property=["'']og:site_name["''][^>]*>)', 1),
-    '(?i)content=["'']([^"'']*)["'']', 1)) AS site FROM p)
-SELECT page_id, coalesce(nullif(site, ''),
+    '(?i)content=["'']([^"'']*)["'']', 1)) AS site FROM p),
+companies AS (SELECT page_id, coalesce(nullif(site, ''),
   {", ".join("nullif(trim(regexp_extract(title, '" + pattern + "', 1)), '')" for pattern in pg.TITLE_PATTERNS)},
-  upper(substr(split_part(host, '.', 1), 1, 1)) || substr(split_part(host, '.', 1), 2)) AS company FROM t""")
+  upper(substr(split_part(host, '.', 1), 1, 1)) || substr(split_part(host, '.', 1), 2)) AS company FROM t)"""
+
+
+@query("page_company", f"WITH {_PAGE_COMPANY_SQL.format(html=_TITLED)} SELECT page_id, company FROM companies")
 def page_company(spark, sf):
     rows = fx.pages(spark, sf).selectExpr("page_id", "url", f"{_TITLED} AS html")
     return rows.select("page_id", pg.company_name(F.col("url"), F.col("html")).alias("company"))
@@ -194,7 +221,6 @@ flagged AS (SELECT *, regexp_matches(lower(title), 'tion|ing') AND lower(title)
 SELECT page_id, link_url AS url, title FROM flagged
 QUALIFY ok OR NOT bool_or(ok) OVER (PARTITION BY page_id)""")
 def page_keep_all(spark, sf):
-    from rolescope.rules import Rules
     rules = Rules(target_role="tion|ing", exclude_titles=("er",))
     rows = pg.parsed_pages(fx.pages(spark, sf))
     rows = rows.select("page_id", pg.listed_links(F.col("page"), F.col("base")).alias("links"))
@@ -222,15 +248,17 @@ def page_text_native(spark, sf):
     return fx.pages(spark, sf).select("page_id", pg.visible_text_native(F.col("html")).alias("page_text"))
 
 
-@query("page_description", rf"""
-WITH t AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS article,
+_PAGE_DESCRIPTION_SQL = rf"""WITH t AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS article,
     regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body>(.*)$', 1), '(?is)<script\b.*?</script>', '<>', 'g'),
       '(?s)<!--.*?-->', '<>', 'g') AS body FROM pages),
 x AS (SELECT page_id, {_unescape_sql(r"regexp_replace(article, '\s*(?:<[^>]*>\s*)+', ' ', 'g')")} AS a,
     {_unescape_sql(r"regexp_replace(article, '\s*(?:<[^>]*>\s*)+', '', 'g')")} AS tight,
     {_unescape_sql(r"regexp_replace(body, '\s*(?:<[^>]*>\s*)+', ' ', 'g')")} AS b FROM t)
 SELECT page_id, CASE WHEN length(trim(tight)) > 100 THEN trim(a)
-  ELSE substr(trim(replace(replace(b, '&copy;', '©'), '&middot;', '·')), 1, 5000) END AS description FROM x""")
+  ELSE substr(trim(replace(replace(b, '&copy;', '©'), '&middot;', '·')), 1, 5000) END AS description FROM x"""
+
+
+@query("page_description", _PAGE_DESCRIPTION_SQL)
 def page_description(spark, sf):
     rows = pg.parsed_pages(fx.pages(spark, sf))
     return rows.select("page_id", pg.page_description(F.col("page")).alias("description"))
@@ -271,7 +299,13 @@ def workplace_links(spark, sf):
     return links.select("page_id", F.explode(found).alias("link")).select("page_id", "link.url", "link.title", "link.location")
 
 
-@query("block_links")
+@query("block_links", rf"""
+WITH items AS (SELECT page_id, {_ORIGIN} AS origin,
+    regexp_extract_all(html, '<li><a href="([^"]*)">', 1) AS hrefs,
+    regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1) AS titles FROM pages),
+links AS (SELECT page_id, origin, unnest(hrefs) AS href, unnest(titles) AS title, generate_subscripts(hrefs, 1) AS n FROM items),
+kept AS (SELECT page_id, origin || href AS url, {_unescape_sql("trim(title)")} AS title FROM links)
+SELECT page_id, url, title, 'Oslo' AS location FROM kept WHERE title <> ''""")
 def block_links(spark, sf):
     rows = fx.pages(spark, sf).selectExpr(
         "page_id", "url", "replace(replace(html, '<li>', '<li class=\"posting\"><div class=\"posting-categories\">"
@@ -281,7 +315,14 @@ def block_links(spark, sf):
         "page_id", "link.url", "link.title", "link.location")
 
 
-@query("card_links")
+@query("card_links", rf"""
+WITH items AS (SELECT page_id, {_ORIGIN} AS origin,
+    regexp_extract_all(html, '<li><a href="([^"]*)">', 1) AS hrefs,
+    regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1) AS titles FROM pages),
+links AS (SELECT page_id, origin, unnest(hrefs) AS href, unnest(titles) AS title, generate_subscripts(hrefs, 1) AS n FROM items),
+kept AS (SELECT page_id, origin || '/careers' || href AS url, {_unescape_sql("trim(title)")} AS title, n FROM links)
+SELECT page_id, url, title, 'Oslo' AS location FROM kept WHERE title <> ''
+QUALIFY row_number() OVER (PARTITION BY page_id, title || url ORDER BY n) = 1""")
 def card_links(spark, sf):
     rows = fx.pages(spark, sf).selectExpr(
         "page_id", "url", "replace(replace(html, '<li>', '<li role=\"listitem\"><span class=\"card-location\">Oslo</span>'), "
@@ -309,15 +350,43 @@ def path_links(spark, sf):
         "page_id", "link.url", "link.title")
 
 
-@query("careers_import")
+_CAREERS = Rules(keywords=RULES.keywords, target_role="the|and|tion", exclude_titles=("ing",),
+                 exclude_companies=("spam",), strong=9, match=5)
+_CAREERS_SCORE = " + ".join([
+    fx.points(fx.hit("low", f"the{fx._END}"), 3), fx.points(fx.hit("low", f"tion{fx._END}"), 2),
+    fx.points(fx.hit("low", f"est{fx._END}"), 2), fx.points(fx.hit("low", f"{fx._START}er"), 1),
+    fx.points(fx.hit("low", "token|password"), 2), fx.points(fx.hit("low", "license|copyright"), 2),
+    fx.points("low LIKE '%rest%' AND low LIKE '%api%'", 2), fx.points(fx.hit("low", "backend|back-end"), 1),
+    fx.points(fx.hit("low", "full-stack|fullstack|full stack"), 1), fx.LEVEL,
+])
+
+
+@query("careers_import", rf"""
+WITH {_PAGE_COMPANY_SQL.format(html="html")},
+texts AS ({_PAGE_DESCRIPTION_SQL}),
+items AS (SELECT page_id, {_ORIGIN} AS origin,
+    regexp_extract_all(html, '<li><a href="([^"]*)">', 1) AS hrefs,
+    regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1) AS titles FROM pages),
+links AS (SELECT page_id, origin, unnest(hrefs) AS href, unnest(titles) AS title, generate_subscripts(hrefs, 1) AS n FROM items),
+named AS (SELECT page_id, origin || '/jobs' || href AS url, {_unescape_sql("trim(title)")} AS title, n FROM links),
+once AS (SELECT * FROM named WHERE length(title) > 3 QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY n) = 1),
+flagged AS (SELECT *, regexp_matches(lower(title), 'the|and|tion') AND lower(title) NOT LIKE '%ing%' AS ok FROM once),
+chosen AS (SELECT * FROM flagged QUALIFY ok OR NOT bool_or(ok) OVER (PARTITION BY page_id)),
+crawled AS (SELECT {_ORIGIN} || '/jobs/the' AS url, page_id FROM pages
+  QUALIFY row_number() OVER (PARTITION BY {_ORIGIN} ORDER BY page_id) = 1),
+found AS (SELECT c.page_id, c.n, c.url, c.title, k.company, lower(coalesce(t.description, '')) AS low
+  FROM chosen c JOIN companies k ON k.page_id = c.page_id
+  LEFT JOIN crawled w ON w.url = c.url LEFT JOIN texts t ON t.page_id = w.page_id
+  WHERE lower(k.company) NOT LIKE '%spam%'),
+scored AS (SELECT *, {_CAREERS_SCORE} AS score, substr(md5(url), 1, 12) AS id FROM found)
+SELECT id, company, title, url AS job_link, 'Remote ' || CAST(page_id AS VARCHAR) AS location, score,
+  CASE WHEN score >= 9 THEN 'Strong Match' WHEN score >= 5 THEN 'Match' ELSE 'Weak Match' END AS tier, '2026-03-27' AS import_date
+FROM scored QUALIFY row_number() OVER (PARTITION BY id ORDER BY page_id, n) = 1""")
 def careers_import(spark, sf):
     # Every page is a board; its links lead to pages of the same crawl.
-    from rolescope.rules import Rules
     pages = fx.pages(spark, sf)
     boards = pages.selectExpr("page_id", "url", f"{_BOARD.format(name='greenhouse')} AS html")
     details = pages.selectExpr("page_id", "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/jobs/the' AS url", "html")
     stored = spark.createDataFrame([], "id string, job_link string")
-    rules = Rules(keywords=RULES.keywords, target_role="the|and|tion", exclude_titles=("ing",),
-                  exclude_companies=("spam",), strong=9, match=5)
-    jobs = import_careers(boards, details, stored, rules, F.lit("2026-03-27").cast("date"))
+    jobs = import_careers(boards, details, stored, _CAREERS, F.lit("2026-03-27").cast("date"))
     return jobs.select("id", "company", "title", "job_link", "location", "score", "tier", "import_date")

@@ -41,6 +41,11 @@ def write_artifacts(jobs: DataFrame, path: str, taken: DataFrame | None = None)
     artifacts(jobs, taken).hint("rebalance", F.col("company_dir")).write.partitionBy("company_dir").parquet(path)
 
 
+def write_catalog(jobs: DataFrame, path: str) -> None:
+    """The catalog as a table with one folder per import label, so that reads by label prune."""
+    jobs.hint("rebalance", F.col("import_date")).write.partitionBy("import_date").parquet(path)
+
+
 def write_json_catalog(jobs: DataFrame, path: str) -> None:
     """The whole catalog, one JSON object per line."""
     json_row(jobs).write.text(path)
