@@ -198,7 +198,33 @@ def _model_answers(spark, sf):
     return fx.table(spark, sf, "benchmark").select("item_id", flawed.alias("body"))
 
 
-@query("bullet_rules")
+_LINES = "CASE WHEN length(x) <= 135 THEN 1 WHEN length(x) <= 265 THEN 2 ELSE 3 END"
+
+
+def _company_sql(name: str, bullets: str, low: int, high: int) -> str:
+    total = f"list_sum(list_transform({bullets}, lambda x: {_LINES}))"
+    return f"""CASE WHEN len({bullets}) = 0 THEN ['{name}: no bullets returned'] ELSE list_concat(
+      list_filter(list_transform({bullets}, lambda x, n: CASE WHEN length(x) > 265 THEN '{name} bullet #' || CAST(n AS VARCHAR)
+        || ': ' || CAST(length(x) AS VARCHAR) || ' chars exceeds 265 char maximum' END), lambda x: x IS NOT NULL),
+      CASE WHEN {total} NOT BETWEEN {low} AND {high} THEN ['{name}: ' || CAST(CAST({total} AS BIGINT) AS VARCHAR)
+        || ' lines outside budget [{low}, {high}]'] ELSE [] END) END"""
+
+
+@query("bullet_rules", f"""
+WITH w AS (SELECT item_id, item_id % 7 AS kind, list_transform(list_filter(string_split(text, '. '), lambda x: length(x) > 3),
+    lambda x: trim(x, ' ' || chr(10))) AS a FROM benchmark),
+b AS (SELECT item_id, kind, a, a[1:2] AS b, CASE WHEN kind = 2 THEN [] ELSE a[2:4] END AS c FROM w),
+t AS (SELECT *, CAST(coalesce(list_sum(list_transform(list_concat(a, list_concat(b, c)), lambda x: {_LINES})), 0) AS BIGINT) AS total FROM b),
+e AS (SELECT item_id, CASE kind
+    WHEN 4 THEN ['parse failed: no JSON object in response']
+    WHEN 5 THEN ['parse failed: ''Company A'' contains a non-string bullet']
+    WHEN 6 THEN ['parse failed: missing ''bullets'' object']
+    WHEN 1 THEN ['missing company key: ''Company B''', 'unexpected company keys: [''Company X'']']
+    ELSE list_concat(list_concat({_company_sql("Company A", "a", 9, 14)}, {_company_sql("Company B", "b", 1, 9)}),
+      list_concat({_company_sql("Company C", "c", 0, 999)}, CASE WHEN total NOT BETWEEN 27 AND 31
+        THEN ['total lines = ' || CAST(total AS VARCHAR) || ', must be in [27, 31]'] ELSE [] END)) END AS errors,
+    CASE WHEN kind NOT IN (4, 5, 6) THEN 'focus' END AS job_focus FROM t)
+SELECT item_id, len(errors) = 0 AS ok, array_to_string(errors, '; ') AS errors, job_focus FROM e""")
 def bullet_rules(spark, sf):
     checked = md.checked_bullets(_model_answers(spark, sf), _CHECK_RULES)
     return checked.select("item_id", "ok", F.array_join("errors", "; ").alias("errors"),

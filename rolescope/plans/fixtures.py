@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rolescope.functions.normalize import job_id
 from rolescope.operators.scoring import read_description, scored
 from rolescope.rules import Rules
-from rolescope.sources.readers import spread
+from rolescope.sources.readers import read_pages, spread
 
 FIRST_DAY = datetime.date(2026, 1, 5)
 
@@ -61,13 +61,13 @@ def _per(value: Column, choices: dict[int, str]) -> Column:
     return result
 
 
-def texts(spark: SparkSession, sf: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
-    """A table whose rows are work: long texts or pages."""
-    return spread(table(spark, sf, name), key)
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents for queries that work on the whole text."""
+    return spread(table(spark, sf, "documents"), "doc_id")
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return texts(spark, sf, "pages", "page_id")
+    return spread(read_pages(spark, f"{sf}/pages.parquet"), "page_id")
 
 
 def documents(spark: SparkSession, sf: str, keep_text: bool = True) -> DataFrame:

@@ -97,3 +97,49 @@ def test_artifacts_and_json(spark, tmp_path):
     assert got["Acme/Dev/info.txt"].splitlines()[-1] == "Apply Link: u"
     writers.write_json_catalog(jobs, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).first().company == "Acme"
+
+
+def test_catalog_reads_by_label_and_new_columns_are_null(spark, tmp_path):
+    from rolescope.schemas import JOBS
+    jobs = spark.createDataFrame([("a", "2026-01-01", 3), ("b", "2026-01-02", 4)], "id string, import_date string, score int")
+    writers.write_catalog(jobs, str(tmp_path / "catalog"))
+    back = readers.read_table(spark, str(tmp_path / "catalog"), JOBS).filter("import_date = '2026-01-02'")
+    assert [(row.id, row.score, row.ai_resume_status) for row in back.collect()] == [("b", 4, None)]
+    assert "PartitionFilters: [isnotnull(import_date" in back._jdf.queryExecution().executedPlan().toString()
+
+
+def test_request_file(spark, tmp_path):
+    from rolescope.operators.model_scoring import scoring_requests
+    jobs = spark.createDataFrame([("a", "Acme", "Dev", "Requirements: go")], "id string, company string, title string, description string")
+    writers.write_requests(scoring_requests(jobs, "Rate it.", "small"), str(tmp_path / "requests"))
+    lines = [json.loads(line) for file in (tmp_path / "requests").glob("*.txt") for line in file.read_text().splitlines()]
+    assert lines[0]["custom_id"] == "a" and lines[0]["params"]["max_tokens"] == 512
+    assert lines[0]["params"]["messages"][0]["content"].endswith("(relevant excerpt):\nRequirements: go")
+    assert lines[0]["params"]["system"][0]["cache_control"] == {"type": "ephemeral", "ttl": "1h"}
+
+
+def test_pages_without_status_codes(spark, tmp_path):
+    spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string").write.parquet(str(tmp_path / "p"))
+    assert readers.read_pages(spark, str(tmp_path / "p")).first().http_code is None
+
+
+def test_command_line_cleaning_keeps_the_link_text(spark):
+    from rolescope.functions.normalize import cleaned
+    from rolescope.operators.dedup import first_postings
+    rows = [(1, " A ", " T ", " x ", " S "), (2, "B", "U", "x", "")]
+    frame = spark.createDataFrame(rows, "row_no int, company string, title string, job_link string, salary string")
+    kept = cleaned(frame, trim_all=False)
+    assert [(row.company, row.job_link, row.link_key, row.salary) for row in kept.orderBy("row_no").collect()] == [
+        ("A", " x ", "x", " S "), ("B", "x", "x", "N/A")]
+    assert [row.row_no for row in first_postings(kept).collect()] == [1]
+
+
+def test_few_files_are_spread_and_many_are_left_alone(spark, tmp_path):
+    rows = spark.range(200)
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    rows.repartition(40).write.parquet(str(tmp_path / "many"))
+    one = readers.spread(spark.read.parquet(str(tmp_path / "one")), "id")
+    many = readers.spread(spark.read.parquet(str(tmp_path / "many")), "id")
+    assert "REPARTITION" in one._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in many._jdf.queryExecution().executedPlan().toString()
+    assert one.count() == many.count() == 200
