@@ -355,9 +355,10 @@ def matching_links(pages: DataFrame, rules: Rules, keep_all: bool = True) -> Dat
     def test(link: Column) -> Column:
         return title_passes(link["title"], rules)
     chosen = keep_all_when_none(F.col("links"), test) if keep_all else F.filter("links", test)
-    return pages.withColumn("links", chosen).select(
-        *[name for name in pages.columns if name != "links"], F.posexplode("links").alias("link_no", "link"),
-    ).select("*", "link.title", F.col("link.url").alias("link_url"), "link.location").drop("link")
+    rows = F.transform(chosen, lambda link, at: F.struct(
+        at.alias("link_no"), link["title"].alias("title"), link["url"].alias("link_url"), link["location"].alias("location")))
+    # inline, not explode: field access on an exploded link would compute the links once per field.
+    return pages.select(*[name for name in pages.columns if name != "links"], F.inline(rows))
 
 
 # Places of a description, best first: (attribute, value), a class part or a tag.

@@ -210,9 +210,8 @@ listed AS (SELECT page_id, link_url, t AS title, n,
 WITH {_ITEMS.format(source="pages")}, {_LISTED}
 SELECT page_id, link_url AS url, title, location FROM listed""")
 def page_links(spark, sf):
-    rows = pg.parsed_pages(fx.pages(spark, sf)).select(
-        "page_id", F.explode(pg.listed_links(F.col("page"), F.col("base"))).alias("link"))
-    return rows.select("page_id", "link.url", "link.title", "link.location")
+    return pg.parsed_pages(fx.pages(spark, sf)).select(
+        "page_id", F.inline(pg.listed_links(F.col("page"), F.col("base"))))
 
 
 @query("page_keep_all", rf"""
@@ -279,8 +278,7 @@ SELECT page_id, 'greenhouse' AS platform, url, title, 'Remote ' || CAST(page_id
 FROM kept WHERE length(title) > 3 QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY n) = 1""")
 def board_links(spark, sf):
     rows = fx.pages(spark, sf).selectExpr("page_id", "url", f"{_BOARD.format(name='greenhouse')} AS html")
-    links = pg.posting_links(rows).select("page_id", "platform", F.explode("links").alias("link"))
-    return links.select("page_id", "platform", "link.url", "link.title", "link.location")
+    return pg.posting_links(rows).select("page_id", "platform", F.inline("links"))
 
 
 @query("workplace_links", rf"""
@@ -296,7 +294,7 @@ def workplace_links(spark, sf):
         "page_id", "url", "replace(html, '<li><a href=\"/', '<li><b>Hybrid ' || page_id || '</b><a href=\"/posting/') AS html")
     links = pg.parsed_pages(rows)
     found = pg.first_per_url(pg.workplace_links(F.col("page"), F.col("base")))
-    return links.select("page_id", F.explode(found).alias("link")).select("page_id", "link.url", "link.title", "link.location")
+    return links.select("page_id", F.inline(found))
 
 
 @query("block_links", rf"""
@@ -311,8 +309,7 @@ def block_links(spark, sf):
         "page_id", "url", "replace(replace(html, '<li>', '<li class=\"posting\"><div class=\"posting-categories\">"
         "<i class=\"location\">Oslo</i></div>'), '<a href', '<a class=\"posting-title\" href') AS html")
     links = pg.parsed_pages(rows)
-    return links.select("page_id", F.explode(pg.block_links(F.col("page"), F.col("base"))).alias("link")).select(
-        "page_id", "link.url", "link.title", "link.location")
+    return links.select("page_id", F.inline(pg.block_links(F.col("page"), F.col("base"))))
 
 
 @query("card_links", rf"""
@@ -328,8 +325,7 @@ def card_links(spark, sf):
         "page_id", "url", "replace(replace(html, '<li>', '<li role=\"listitem\"><span class=\"card-location\">Oslo</span>'), "
         "'<a href=\"/', '<a href=\"/careers/') AS html")
     links = pg.parsed_pages(rows)
-    return links.select("page_id", F.explode(pg.card_links(F.col("page"), F.col("base"))).alias("link")).select(
-        "page_id", "link.url", "link.title", "link.location")
+    return links.select("page_id", F.inline(pg.card_links(F.col("page"), F.col("base"))))
 
 
 @query("path_links", rf"""
@@ -346,8 +342,7 @@ def path_links(spark, sf):
     rows = fx.pages(spark, sf).selectExpr(
         "page_id", "url", "replace(replace(replace(html, '<li>', '<em>'), '</li>', '</em>'), '<a href=\"/', '<a href=\"/role/') AS html")
     links = pg.parsed_pages(rows)
-    return links.select("page_id", F.explode(pg.generic_links(F.col("page"), F.col("base"))).alias("link")).select(
-        "page_id", "link.url", "link.title")
+    return links.select("page_id", F.inline(pg.generic_links(F.col("page"), F.col("base")))).drop("location")
 
 
 _CAREERS = Rules(keywords=RULES.keywords, target_role="the|and|tion", exclude_titles=("ing",),

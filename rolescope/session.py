@@ -19,6 +19,8 @@ def local_session(cpus: str | int = 8, app: str = "rolescope", **conf: str) -> S
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", "8g")
+        # Call sites for error messages cost most of the time it takes to build large expressions.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
