@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolescope.functions.words import contains_any, let, or_empty, strip
+from rolescope.functions.words import contains_any, let, or_empty, strip, unfold
 
 # Headings that open the relevant part of a description.
 RELEVANT_HEADINGS = (
@@ -154,6 +154,10 @@ def run_together_parts(chunk: Column) -> Column:
     return F.when(chunk.rlike(r"[a-zA-Z)][A-Z][a-z]"), let(marked, parts_of))
 
 
+def numbered(items: Column, number: str, item: str) -> Column:
+    return F.transform(items, lambda value, at: F.struct(at.alias(number), value.alias(item)))
+
+
 def typed_lines(df: DataFrame, key: str, text: str, split_run_together: bool = True) -> DataFrame:
     """Rows (key, line_no, part_no, kind, content); kind is bullet, header or text.
 
@@ -169,7 +173,7 @@ def typed_lines(df: DataFrame, key: str, text: str, split_run_together: bool = T
     )
     kind = F.when(is_bullet, "bullet").when(is_header, "header").otherwise("text")
     lines = (
-        df.select(key, F.posexplode(description_chunks(F.col(text))).alias("line_no", "chunk"))
+        unfold(df, [key], numbered(description_chunks(F.col(text)), "line_no", "chunk"), "line_no")
         .withColumn("kind", kind)
     )
     content = (
@@ -180,13 +184,13 @@ def typed_lines(df: DataFrame, key: str, text: str, split_run_together: bool = T
     if not split_run_together:
         return lines.select(key, "line_no", F.lit(0).alias("part_no"), "kind", content.alias("content"))
     parts = F.when(F.col("kind") == "text", run_together_parts(chunk))
-    return (
+    split = (
         lines.withColumn("parts", parts)
         .withColumn("kind", F.when(F.col("parts").isNotNull(), "bullet").otherwise(F.col("kind")))
-        .withColumn("parts", F.coalesce("parts", F.array(content)))
-        .select(key, "line_no", "kind", F.posexplode("parts").alias("part_no", "content"))
-        .select(key, "line_no", "part_no", "kind", "content")
     )
+    pieces = numbered(F.coalesce("parts", F.array(content)), "part_no", "content")
+    return unfold(split, [key, "line_no", "kind"], pieces, "part_no").select(
+        key, "line_no", "part_no", "kind", "content")
 
 
 def industry_tags(text: Column) -> Column:

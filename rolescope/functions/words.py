@@ -7,7 +7,7 @@ import operator
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _META = set("\\.^$*+?{}[]()")
@@ -62,3 +62,12 @@ def let(value: Column, body) -> Column:
     be bound first.
     """
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def unfold(df: DataFrame, columns: list[str], items: Column, always: str) -> DataFrame:
+    """One row per struct of the array, its fields as columns; ``always`` is a field that is never null.
+
+    A plain explode of a computed array is preceded by a size filter that computes the array again. The
+    outer form has no such filter, and rows of empty arrays are dropped afterwards.
+    """
+    return df.select(*columns, F.inline_outer(items)).filter(F.col(always).isNotNull())

@@ -15,7 +15,7 @@ from rolescope.functions.html import (
 )
 from rolescope.functions.normalize import job_id
 from rolescope.functions.urls import absolute_url, host, url_base
-from rolescope.functions.words import any_of, blank_to_null, contains_any, let, or_empty, strip
+from rolescope.functions.words import any_of, blank_to_null, contains_any, let, or_empty, strip, unfold
 from rolescope.operators.filters import keep_all_when_none, title_passes
 from rolescope.rules import Rules
 
@@ -357,8 +357,7 @@ def matching_links(pages: DataFrame, rules: Rules, keep_all: bool = True) -> Dat
     chosen = keep_all_when_none(F.col("links"), test) if keep_all else F.filter("links", test)
     rows = F.transform(chosen, lambda link, at: F.struct(
         at.alias("link_no"), link["title"].alias("title"), link["url"].alias("link_url"), link["location"].alias("location")))
-    # inline, not explode: field access on an exploded link would compute the links once per field.
-    return pages.select(*[name for name in pages.columns if name != "links"], F.inline(rows))
+    return unfold(pages, [name for name in pages.columns if name != "links"], rows, "link_no")
 
 
 # Places of a description, best first: (attribute, value), a class part or a tag.

@@ -8,6 +8,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from rolescope.functions.normalize import context_block, directory_name, job_id
+from rolescope.functions.words import unfold
 from rolescope.operators import model_documents as md
 from rolescope.operators import tailoring as tl
 from rolescope.plans import fixtures as fx
@@ -49,7 +50,7 @@ def bullet_pick(spark, sf):
     lines = F.flatten(F.transform("sections", lambda section: F.transform(
         section["bullets"], lambda text, at: F.struct(
             section["company"].alias("employer"), (at + 1).alias("rank"), F.md5(text).alias("text_md5")))))
-    return picked.select("row_no", F.inline(lines))
+    return unfold(picked, ["row_no"], lines, "rank")
 
 
 _LOW = "lower(p.description)"

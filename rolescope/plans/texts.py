@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rolescope.functions import text as tx
 from rolescope.functions.normalize import company_key, logo_url, website
+from rolescope.functions.words import unfold
 from rolescope.operators import filters, pages as pg
 from rolescope.operators.intake import import_careers
 from rolescope.plans import fixtures as fx
@@ -76,7 +77,7 @@ FROM p WHERE len(parts) > 2 AND len(list_filter(parts, lambda x: length(x) <= 15
 def run_together(spark, sf):
     glued = F.regexp_replace("text", r"\. (?:The|And|On) ", "Build ")
     rows = fx.texts(spark, sf).select("doc_id", glued.alias("body"))
-    lines = rows.select("doc_id", F.posexplode(tx.description_chunks(F.col("body"))).alias("line_no", "chunk"))
+    lines = unfold(rows, ["doc_id"], tx.numbered(tx.description_chunks(F.col("body")), "line_no", "chunk"), "line_no")
     cut = lines.filter(~F.col("chunk").rlike(f"(?U){tx.LIST_MARK}")).select(
         "doc_id", "line_no", tx.run_together_parts(F.col("chunk")).alias("parts"))
     return cut.filter(F.col("parts").isNotNull()).select(
@@ -210,8 +211,8 @@ listed AS (SELECT page_id, link_url, t AS title, n,
 WITH {_ITEMS.format(source="pages")}, {_LISTED}
 SELECT page_id, link_url AS url, title, location FROM listed""")
 def page_links(spark, sf):
-    return pg.parsed_pages(fx.pages(spark, sf)).select(
-        "page_id", F.inline(pg.listed_links(F.col("page"), F.col("base"))))
+    return unfold(pg.parsed_pages(fx.pages(spark, sf)), ["page_id"],
+                  pg.listed_links(F.col("page"), F.col("base")), "url")
 
 
 @query("page_keep_all", rf"""
@@ -278,7 +279,7 @@ SELECT page_id, 'greenhouse' AS platform, url, title, 'Remote ' || CAST(page_id
 FROM kept WHERE length(title) > 3 QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY n) = 1""")
 def board_links(spark, sf):
     rows = fx.pages(spark, sf).selectExpr("page_id", "url", f"{_BOARD.format(name='greenhouse')} AS html")
-    return pg.posting_links(rows).select("page_id", "platform", F.inline("links"))
+    return unfold(pg.posting_links(rows), ["page_id", "platform"], F.col("links"), "url")
 
 
 @query("workplace_links", rf"""
@@ -294,7 +295,7 @@ def workplace_links(spark, sf):
         "page_id", "url", "replace(html, '<li><a href=\"/', '<li><b>Hybrid ' || page_id || '</b><a href=\"/posting/') AS html")
     links = pg.parsed_pages(rows)
     found = pg.first_per_url(pg.workplace_links(F.col("page"), F.col("base")))
-    return links.select("page_id", F.inline(found))
+    return unfold(links, ["page_id"], found, "url")
 
 
 @query("block_links", rf"""
@@ -309,7 +310,7 @@ def block_links(spark, sf):
         "page_id", "url", "replace(replace(html, '<li>', '<li class=\"posting\"><div class=\"posting-categories\">"
         "<i class=\"location\">Oslo</i></div>'), '<a href', '<a class=\"posting-title\" href') AS html")
     links = pg.parsed_pages(rows)
-    return links.select("page_id", F.inline(pg.block_links(F.col("page"), F.col("base"))))
+    return unfold(links, ["page_id"], pg.block_links(F.col("page"), F.col("base")), "url")
 
 
 @query("card_links", rf"""
@@ -325,7 +326,7 @@ def card_links(spark, sf):
         "page_id", "url", "replace(replace(html, '<li>', '<li role=\"listitem\"><span class=\"card-location\">Oslo</span>'), "
         "'<a href=\"/', '<a href=\"/careers/') AS html")
     links = pg.parsed_pages(rows)
-    return links.select("page_id", F.inline(pg.card_links(F.col("page"), F.col("base"))))
+    return unfold(links, ["page_id"], pg.card_links(F.col("page"), F.col("base")), "url")
 
 
 @query("path_links", rf"""
@@ -342,7 +343,7 @@ def path_links(spark, sf):
     rows = fx.pages(spark, sf).selectExpr(
         "page_id", "url", "replace(replace(replace(html, '<li>', '<em>'), '</li>', '</em>'), '<a href=\"/', '<a href=\"/role/') AS html")
     links = pg.parsed_pages(rows)
-    return links.select("page_id", F.inline(pg.generic_links(F.col("page"), F.col("base")))).drop("location")
+    return unfold(links, ["page_id"], pg.generic_links(F.col("page"), F.col("base")), "url").drop("location")
 
 
 _CAREERS = Rules(keywords=RULES.keywords, target_role="the|and|tion", exclude_titles=("ing",),
