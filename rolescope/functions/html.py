@@ -68,10 +68,16 @@ class _Flattener(HTMLParser):
 
 
 @F.pandas_udf(PARSED)
-def parse_html(html: pd.Series) -> pd.DataFrame:
+def _parse(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_Flattener().flat(page) for page in html], columns=["elements", "texts"])
 
 
+def parse_html(html: Column) -> Column:
+    """Declared nondeterministic only so that filters on its result are not pushed below it, which would
+    parse every page once more per filter."""
+    return _parse.asNondeterministic()(html)
+
+
 def inner_text(element: Column, texts: Column, separator: str = "") -> Column:
     """The element's texts, each stripped, joined by the separator; null for no element."""
     return F.array_join(element_texts(element, texts), separator)
