@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str | int = 8, app: str = "rolescope", **conf: str) -> SparkSession:
@@ -30,12 +31,38 @@ def local_session(cpus: str | int = 8, app: str = "rolescope", **conf: str) -> S
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder for written tables and stream checkpoints.
 
-    On a cluster it lies under ``spark.checkpoint.dir``, which every executor can reach. Only a local
-    session without that setting falls back to a temporary folder.
+    It lies under ``spark.checkpoint.dir``, which every executor can reach. Only a local session where
+    that is unset, as in tests, gets a temporary folder of its own as the setting.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return os.path.join(tempfile.mkdtemp(prefix="rolescope-"), purpose)
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="rolescope-"))
+    return work_folder(spark, purpose)
+
+
+def settle(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows written once as a table in the work folder and read back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = work_folder(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context, so that Python workers can import it anywhere."""
+    context = spark.sparkContext
+    if getattr(context, "_rolescope_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="rolescope-"), "rolescope.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(root)))
+    context.addPyFile(path)
+    context._rolescope_shipped = True
