@@ -7,10 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The white space that ends a word: space, and tab to carriage return.
-BLANKS = " \t\n\x0b\x0c\r"
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once per row, however often the body names it."""
     return F.transform(F.array(value), body)[0]
@@ -18,7 +14,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words_of(text: Column) -> Column:
     """The runs of non-blank characters, in order; null has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda word: word != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+"), "")
+
+
+def lines_of(text: Column) -> Column:
+    """The lines that hold a word, in order."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: line.rlike(r"[^ \t\n\x0B\f\r]"))
 
 
 def fingerprint(*columns: Column) -> Column:

@@ -1,6 +1,6 @@
 """Quality rules: lines that many documents of a host share do not count for a document.
 
-Lines are normalised and hashed; per host and line hash the distinct documents are counted, exact copies once.
+Lines are normalised (case, digits, blanks at the ends) and hashed; per host and line hash the distinct documents are counted, exact copies once.
 Lines above the limit are removed from all documents of the host but their first holder, and documents that the
 removal depletes are rejected. DataFrame functions only; the text itself is never shuffled.
 
@@ -13,25 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolescope.llm.common import BLANKS, fingerprint, let, text_key, words_of
+from rolescope.llm.common import fingerprint, let, lines_of, text_key, words_of
 
-SYMBOLS = "#*$%&|<>"
-
-
-def char_counts(text: Column) -> dict[str, Column]:
-    """Code points within words, and symbol characters."""
-    text = F.coalesce(text, F.lit(""))
-    size = F.char_length(text)
-    return {
-        "word_chars": F.char_length(F.translate(text, BLANKS, "")).cast("long"),
-        "n_symbols": (size - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long"),
-    }
+SYMBOLS = r"[#*$%&|<>]"
 
 
 def duplicate_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: F.translate(line, BLANKS, "") != "")
-    return let(lines, lambda kept: F.size(kept) - F.size(F.array_distinct(kept))).cast("long")
+    return let(lines_of(text), lambda kept: F.size(kept) - F.size(F.array_distinct(kept))).cast("long")
 
 
 def repeated_words(words: Column, width: int = 3) -> Column:
@@ -53,34 +42,42 @@ def repeated_words(words: Column, width: int = 3) -> Column:
         return F.when(F.size(places) == 0, 0).otherwise(
             F.aggregate(F.sequence(F.lit(0), F.size(places) - 1), F.lit(0), gained))
 
+    def bit(key: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), key.bitwiseAND(F.lit(63)).cast("int"))
+
+    def sorted_twins(keys: Column, mask: Column) -> Column:
+        # the mask only spares the sort most windows that have no twin
+        places = F.transform(keys, lambda key, at: F.struct(key.alias("hash"), at.alias("at")))
+        return let(F.sort_array(F.filter(places, lambda place: mask.bitwiseAND(bit(place["hash"])) != 0)), marked)
+
+    def twin_mask(ordered: Column) -> Column:
+        twins = F.filter(ordered, lambda key, at: key == F.get(ordered, at + 1))
+        return F.aggregate(twins, F.lit(0).cast("long"), lambda mask, key: mask.bitwiseOR(bit(key)))
+
     def of(held: Column) -> Column:
         count = F.size(held) - (width - 1)
         starts = F.sequence(F.lit(0), count - 1)
         hashes = F.transform(starts, lambda at: F.xxhash64(*[F.get(held, at + step) for step in range(width)]))
-        return F.when(count < 2, F.lit(0)).otherwise(let(hashes, lambda keys: F.when(
-            F.size(F.array_distinct(keys)) == F.size(keys), F.lit(0),
-        ).otherwise(let(F.sort_array(F.transform(keys, lambda key, at: F.struct(
-            key.alias("hash"), at.alias("at")))), marked))))
+        return F.when(count < 2, F.lit(0)).otherwise(let(hashes, lambda keys: let(
+            let(F.sort_array(keys), twin_mask),
+            lambda mask: F.when(mask == 0, F.lit(0)).otherwise(sorted_twins(keys, mask)))))
 
     return let(words, of).cast("long")
 
 
-def normalised(line: Column) -> Column:
-    """Lower case, digits as 0, white space as one blank."""
-    plain = F.regexp_replace(F.lower(line), r"[ \t\n\x0B\f\r]+", " ")
-    return F.btrim(F.regexp_replace(plain, r"\d+", "0"))
+def normalised(text: Column) -> Column:
+    """Lower case, with every run of digits as 0; lines stay lines."""
+    return F.regexp_replace(F.lower(text), "[0-9]+", "0")
 
 
 def line_rows(documents: DataFrame, text: str, host: str) -> DataFrame:
     """A row per distinct (host, line, body): the words the line has. Exact copies of a body collapse here."""
-    host_key = fingerprint(F.col(host))
-    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"),
-                     lambda line: F.translate(line, BLANKS, "") != "")
     return (
-        documents.select(host_key.alias("host_key"), text_key(F.col(text)).alias("body"),
-                         F.explode(F.transform(lines, normalised)).alias("line"))
+        documents.select(fingerprint(F.col(host)).alias("host_key"), text_key(F.col(text)).alias("body"),
+                         F.explode(lines_of(normalised(F.col(text)))).alias("line"))
+        .select("host_key", "body", F.btrim("line", F.lit(" \t\r")).alias("line"))
         .select("host_key", "body", F.xxhash64("line").alias("line_key"),
-                F.size(F.split("line", " ")).alias("words"))
+                (F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1).alias("words"))
         .groupBy("host_key", "line_key", "body").agg(F.max("words").alias("words"))
     )
 
@@ -101,34 +98,27 @@ def line_quality(documents: DataFrame, *, text: str = "text", host: str = "sourc
         .agg(F.count("*").alias("bodies"), F.min("body").alias("owner"), F.max("words").alias("line_words"))
         .where(F.col("bodies") > line_limit)
     )
-    removed = (
-        lines.join(common.select("host_key", "line_key", "owner"), ["host_key", "line_key"])
-        .where(F.col("body") != F.col("owner"))
-        .groupBy("host_key", "body").agg(F.sum("words").alias("common_words"))
+    gone = F.col("owner").isNotNull() & (F.col("body") != F.col("owner"))
+    measured = (
+        lines.join(common.select("host_key", "line_key", "owner"), ["host_key", "line_key"], "left")
+        .groupBy(F.col("host_key").alias("__host"), F.col("body").alias("__body"))
+        .agg(F.sum("words").alias("line_words"), F.sum(F.when(gone, F.col("words")).otherwise(0)).alias("common_words"))
     )
-    words = words_of(F.col(text))
     base = documents.select(
         *[F.col(name) for name in keep],
         fingerprint(F.col(host)).alias("__host"), text_key(F.col(text)).alias("__body"),
-        let(words, lambda held: F.struct(
-            F.size(held).cast("long").alias("n_words"), repeated_words(held).alias("n_repeat_words"))).alias("__words"),
-        *[column.alias(name) for name, column in char_counts(F.col(text)).items()],
+        let(words_of(F.col(text)), lambda held: F.struct(
+            F.size(held).cast("long").alias("n_words"), F.char_length(F.array_join(held, "")).cast("long").alias("word_chars"),
+            repeated_words(held).alias("n_repeat_words"))).alias("__words"),
+        F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         duplicate_lines(F.col(text)).alias("n_dup_lines"),
-        distinct_line_words(F.col(text)).alias("line_words"),
     )
-    judged = base.join(removed.withColumnsRenamed({"host_key": "__host", "body": "__body"}), ["__host", "__body"], "left")
+    judged = base.join(measured, ["__host", "__body"], "left")
     n_words, repeats = F.col("__words.n_words"), F.col("__words.n_repeat_words")
     failed = (n_words < min_words) | (100 * repeats > round(100 * max_repeat) * n_words)
-    left = F.col("line_words") - F.coalesce("common_words", F.lit(0))
+    line_words, common_words = (F.coalesce(name, F.lit(0)) for name in ("line_words", "common_words"))
     return judged.select(
-        *keep, n_words.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"),
-        failed.alias("base_failed"), "line_words", F.coalesce("common_words", F.lit(0)).cast("long").alias("common_words"),
-        (~failed & (left >= min_share * F.col("line_words"))).alias("kept"),
+        *keep, n_words.alias("n_words"), F.col("__words.word_chars").alias("word_chars"), "n_symbols", "n_dup_lines",
+        repeats.alias("n_repeat_words"), failed.alias("base_failed"), line_words.alias("line_words"),
+        common_words.alias("common_words"), (~failed & (line_words - common_words >= min_share * line_words)).alias("kept"),
     )
-
-
-def distinct_line_words(text: Column) -> Column:
-    """Words of the document's distinct normalised lines."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: F.translate(line, BLANKS, "") != "")
-    distinct = F.array_distinct(F.transform(lines, normalised))
-    return F.aggregate(distinct, F.lit(0).cast("long"), lambda total, line: total + F.size(F.split(line, " ")))

@@ -36,8 +36,7 @@ grams AS (
 repeats AS (
   SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([p, p + 1, p + 2]) AS p FROM grams WHERE n > 1) GROUP BY r),
 lines AS (
-  SELECT DISTINCT source, text, trim(regexp_replace(regexp_replace(lower(line), '[ \t\n\x0B\f\r]+', ' ', 'g'),
-    '[0-9]+', '0', 'g')) AS line
+  SELECT DISTINCT source, text, trim(regexp_replace(lower(line), '[0-9]+', '0', 'g'), ' ' || chr(9) || chr(13)) AS line
   FROM (SELECT source, text, unnest(l) AS line FROM words)),
 sized AS (SELECT source, text, line, len(string_split(line, ' ')) AS n,
   ('0x' || substr(md5(text), 1, 15))::BIGINT AS body, count(*) OVER (PARTITION BY source, line) AS bodies FROM lines),
