@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolescope.llm.common import table
+from rolescope.llm.decontaminate import decontaminate, digests
 from rolescope.llm.line_quality import line_quality
+from rolescope.llm.mixing import mix
+from rolescope.llm.secrets import secret_spans
+from rolescope.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +59,77 @@ LEFT JOIN spent ON spent.source IS NOT DISTINCT FROM d.source AND spent.text = d
 """)
 def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(table(spark, sf_dir, "documents"))
+
+
+@query("op2_secret_ownership", r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+parts AS (
+  SELECT r, doc_id, source, 0 AS no, 'assign' AS kind, 6 AS least, string_split_regex(text, p) AS gaps,
+    regexp_extract_all(text, p, 0) AS hits, regexp_extract_all(text, p, 2) AS vals
+  FROM docs, (SELECT '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)' AS p)
+  UNION ALL SELECT r, doc_id, source, 1, 'access', 20, string_split_regex(text, p), regexp_extract_all(text, p), regexp_extract_all(text, p)
+  FROM docs, (SELECT 'AKIA[A-Z0-9]+' AS p)
+  UNION ALL SELECT r, doc_id, source, 2, 'hex', 24, string_split_regex(text, p), regexp_extract_all(text, p), regexp_extract_all(text, p)
+  FROM docs, (SELECT '[0-9a-f]+' AS p)
+  UNION ALL SELECT r, doc_id, source, 3, 'loose', 32, string_split_regex(text, p), regexp_extract_all(text, p), regexp_extract_all(text, p)
+  FROM docs, (SELECT '[A-Za-z0-9+/_-]+' AS p)),
+each AS (
+  SELECT r, doc_id, source, no, kind, least, unnest(range(len(hits))) AS i, unnest(gaps[:len(hits)]) AS gap,
+    unnest(hits) AS hit, unnest(vals) AS val FROM parts),
+placed AS (
+  SELECT *, (sum(length(gap) + length(hit)) OVER (PARTITION BY r, kind ORDER BY i))::BIGINT AS stop FROM each),
+good AS (
+  SELECT *, stop - length(hit) AS start FROM placed WHERE length(val) >= least AND (no < 3 OR (
+    regexp_matches(val, '[a-z]') AND regexp_matches(val, '[A-Z]') AND regexp_matches(val, '[0-9].*[0-9].*[0-9]')))),
+owned AS (SELECT val, count(DISTINCT coalesce(source, chr(0))) > 1 OR count(DISTINCT (doc_id, source)) > 10 AS copied
+  FROM good GROUP BY val),
+told AS (
+  SELECT r, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no) FILTER (no < 3) AS base,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no) FILTER (no < 3 OR NOT copied) AS spans,
+    count(*) FILTER (no < 3 AND NOT copied) AS n_live, count(*) FILTER (no < 3 AND copied) AS n_example
+  FROM good JOIN owned USING (val) GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
+  coalesce(n_example, 0) AS n_example
+FROM docs LEFT JOIN told USING (r)
+""")
+def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op3_quota_mix")
+def op3_quota_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return token_counts(table(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+@query("op5_benchmark_windows", r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item, k, array_to_string(w[p:p + k - 1], ' ') AS g
+  FROM (SELECT item, w, least(13, len(w)) AS k, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS p FROM items WHERE len(w) > 0)),
+grams AS (
+  SELECT r, k, p, array_to_string(w[p:p + k - 1], ' ') AS g
+  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM docs, (SELECT DISTINCT k FROM windows))),
+hits AS (SELECT r, grams.k, p, item FROM grams JOIN windows ON grams.k = windows.k AND grams.g = windows.g),
+covered AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + k)) AS q FROM hits) GROUP BY r),
+named AS (SELECT r, count(DISTINCT item) AS n, array_to_string(list_sort(list_distinct(list(item))), ',') AS names FROM hits GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(covered.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AND 20 * coalesce(covered.n, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+""")
+def op5_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
