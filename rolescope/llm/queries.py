@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolescope.llm.common import table
+from rolescope.llm.common import digest, table
 from rolescope.llm.decontaminate import decontaminate, digests
+from rolescope.llm.html_content import ContentModel, extract_main
+from rolescope.llm.labelled_pages import PAGES
 from rolescope.llm.line_quality import line_quality
+from rolescope.llm.log_templates import line_templates
 from rolescope.llm.mixing import mix
 from rolescope.llm.secrets import secret_spans
 from rolescope.llm.token_counts import token_counts
+from rolescope.llm.url_graph import url_verdicts, verdict_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +137,20 @@ FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 """)
 def op5_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query("op6_link_trust", verdict_sql())
+def op6_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"))
+
+
+@query("op9_line_templates")
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, dropped lines, and the hash of what is left of each document."""
+    return line_templates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", "n_words_dropped", digest(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
+
+
+@query("op8_main_text")
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main(table(spark, sf_dir, "pages"), ContentModel(PAGES))
