@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rolescope.llm.byte_repeats import byte_repeats
 from rolescope.llm.common import digest, table
 from rolescope.llm.decontaminate import decontaminate, digests
 from rolescope.llm.html_content import ContentModel, extract_main
@@ -154,3 +155,9 @@ def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_main_text")
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main(table(spark, sf_dir, "pages"), ContentModel(PAGES))
+
+
+@query("op10_byte_repeats")
+def op10_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
