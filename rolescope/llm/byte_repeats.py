@@ -67,7 +67,8 @@ def pack_rows(documents: DataFrame, keep: tuple[str, ...], text: str, pack_bytes
     chosen = documents.select(*[F.col(name).alias(f"k{at}") for at, name in enumerate(keep)],
                               F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body"))
     fields = [T.StructField(field.name, T.ArrayType(field.dataType)) for field in chosen.schema.fields]
-    schema = T.StructType([T.StructField("pack", T.LongType()), *fields, T.StructField("hashes", T.ArrayType(T.BinaryType()))])
+    schema = T.StructType([T.StructField("pack", T.LongType()), *fields, T.StructField("hashes", T.ArrayType(T.BinaryType())),
+                           T.StructField("sizes", T.ArrayType(T.IntegerType()))])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,7 +80,8 @@ def pack_rows(documents: DataFrame, keep: tuple[str, ...], text: str, pack_bytes
                 part = batch.slice(begin, end - begin)
                 hashes = pa.array([hashlib.md5(body.as_buffer()).digest() for body in part["body"]], pa.binary())
                 offsets = pa.array([0, part.num_rows], pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.concat_arrays([column])) for column in [*part.columns, hashes]]
+                lengths = pa.array([len(body.as_buffer()) for body in part["body"]], pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.concat_arrays([column])) for column in [*part.columns, hashes, lengths]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([uuid.uuid4().int >> 65], pa.int64()), *lists], [field.name for field in schema.fields])
                 begin = end
@@ -157,9 +159,8 @@ def byte_repeats(documents: DataFrame, *, text: str = "text", keep: tuple[str, .
     rows.write.bucketBy(parts, "pack").option("path", work_folder(spark, "byte-packs")).saveAsTable(name)
     packs = spark.table(name)
 
-    each = packs.select("pack", F.posexplode(F.transform("hashes", lambda held, at: F.struct(
-        held.alias("hash"), (F.octet_length(F.get("body", at)) >= length).alias("long")))).alias("at", "held"))
-    long = each.where("held.long").select("pack", "at", F.col("held.hash").alias("hash"))
+    each = packs.select("pack", F.posexplode(F.arrays_zip("hashes", "sizes")).alias("at", "held"))
+    long = each.where(F.col("held.sizes") >= length).select("pack", "at", F.col("held.hashes").alias("hash"))
     copied = long.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("pack", "at")).alias("first")).where("n > 1")
     copies = long.join(copied.select("hash", "first"), "hash").groupBy("pack").agg(F.collect_list(F.struct(
         "at", (F.struct("pack", "at") == F.col("first")).alias("first"))).alias("copies"))
@@ -168,7 +169,7 @@ def byte_repeats(documents: DataFrame, *, text: str = "text", keep: tuple[str, .
     def beside(left: DataFrame, right: DataFrame) -> DataFrame:
         return left.join(right.hint("shuffle_hash"), "pack", "left")
 
-    size = packs.agg(F.sum(F.aggregate("body", F.lit(0).cast("long"), lambda total, body: total + F.octet_length(body)))).first()[0] or 0
+    size = packs.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda total, held: total + held))).first()[0] or 0
     bits = max(8, int(size * len(COVER) // PERIOD // bucket_names).bit_length())
     ranks, ties = Buckets(bits, 5), Buckets(bits, 6)
 
@@ -206,4 +207,4 @@ def byte_repeats(documents: DataFrame, *, text: str = "text", keep: tuple[str, .
     ranked = answer(first.select(narrow).mapInArrow(send_ranks, SENT), ranks).withColumnRenamed("replies", "ranks")
     second = beside(first, ranked)
     tied = answer(second.select(*narrow, "ranks").mapInArrow(send_ties, SENT), ties).withColumnRenamed("replies", "ties")
-    return beside(second, tied).drop("hashes").mapInArrow(clean, result)
+    return beside(second, tied).drop("hashes", "sizes").mapInArrow(clean, result)

@@ -13,24 +13,59 @@ brings the dropped places back to the texts.
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolescope.llm.common import let, text_key, words_of
-from rolescope.session import settle
+from rolescope.llm.common import let, text_key
+from rolescope.session import settle, ship_package
 
-FIELD = "<*>"
+FIELD = b"<*>"
+DIGIT = re.compile(rb"[0-9]")
+WITH_DIGIT = re.compile(rb"[^ ]*[0-9][^ ]*")
+FOUND = "body long, at int, leaf long, line long, words int, tokens binary"
 
 
 def leaves(documents: DataFrame, text: str, depth: int, least_tokens: int) -> DataFrame:
-    """body, line number, leaf key, line key of every line that is long enough; the tokens are kept aside."""
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    rows = documents.select(text_key(F.col(text)).alias("body"), F.posexplode(lines).alias("at", "line"))
-    tokens = F.transform(words_of(F.col("line")), lambda token: F.when(token.rlike("[0-9]"), FIELD).otherwise(token))
-    found = rows.select("body", "at", tokens.alias("tokens")).where(F.size("tokens") >= least_tokens)
-    return found.select(
-        "body", "at", "tokens", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"),
-        F.xxhash64("tokens").alias("line"))
+    """body, line number, leaf, line key, token count and tokens of every line that is long enough."""
+    ship_package(documents.sparkSession)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 1000):
+                yield table(batch["body"][begin:begin + 1000])
+
+    def table(bodies: pa.Array) -> pa.RecordBatch:
+        keys, at, leaf, line, words, held = [], [], [], [], [], []
+        for body in bodies:
+            whole = body.as_py()
+            key = int(hashlib.md5(whole).hexdigest()[:15], 16)
+            for place, one in enumerate(whole.split(b"\n")):
+                tokens = one.split()
+                if len(tokens) < least_tokens:
+                    continue
+                joined = b" ".join(tokens)
+                if DIGIT.search(joined):
+                    joined = WITH_DIGIT.sub(FIELD, joined)
+                    tokens = joined.split(b" ")
+                keys.append(key)
+                at.append(place)
+                leaf.append(xxhash.xxh3_64_intdigest(b"%d %s" % (len(tokens), b" ".join(tokens[:depth]))))
+                line.append(xxhash.xxh3_64_intdigest(joined))
+                words.append(len(tokens))
+                held.append(joined)
+        return pa.RecordBatch.from_arrays([
+            pa.array(keys, pa.int64()), pa.array(at, pa.int32()), pa.array(np.array(leaf, np.uint64).view(np.int64)),
+            pa.array(np.array(line, np.uint64).view(np.int64)), pa.array(words, pa.int32()), pa.array(held, pa.binary()),
+        ], ["body", "at", "leaf", "line", "words", "tokens"])
+
+    return documents.select(F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body")).mapInArrow(walk, FOUND)
 
 
 def recurring(lines: DataFrame, tokens: DataFrame, least_documents: int, constant: float, agree: float) -> DataFrame:
@@ -45,7 +80,7 @@ def recurring(lines: DataFrame, tokens: DataFrame, least_documents: int, constan
         .where((F.col("bodies") >= least_documents) & (F.col("lines") > 1)).select("leaf", "lines")
     )
     held = settle(tokens.join(crowded, "leaf").groupBy("leaf", "line").agg(
-        F.first("tokens").alias("tokens"), F.first("lines").alias("lines")), "template-lines")
+        F.split(F.first("tokens").cast("string"), " ").alias("tokens"), F.first("lines").alias("lines")), "template-lines")
     common = (
         held.select("leaf", "lines", F.posexplode("tokens").alias("place", "token"))
         .groupBy("leaf", "lines", "place", "token").agg(F.count("*").alias("n"))
@@ -71,12 +106,11 @@ def line_templates(documents: DataFrame, *, text: str = "text", depth: int = 2,
     least_documents: distinct texts a template must occur in. constant: the part of a template's tokens that must be
     constant. agree: the part of a leaf's lines that must share a token for its place to be constant.
     """
-    found = leaves(documents, text, depth, least_tokens)
-    lines = settle(found.groupBy("leaf", "line", "body").agg(F.count("*").alias("n")), "line-keys")
+    found = settle(leaves(documents, text, depth, least_tokens), "lines")
+    lines = found.groupBy("leaf", "line", "body").agg(F.count("*").alias("n"))
     drop = settle(recurring(lines, found.select("leaf", "line", "tokens"), least_documents, constant, agree), "templates")
     places = (
-        found.select("leaf", "line", "body", "at", F.size("tokens").alias("words"))
-        .join(drop, ["leaf", "line"]).where(F.col("body") != F.col("owner"))
+        found.join(drop, ["leaf", "line"]).where(F.col("body") != F.col("owner"))
         .groupBy("body", "at").agg(F.max("words").alias("words"))
         .groupBy(F.col("body").alias("__body")).agg(
             F.array_sort(F.collect_list("at")).alias("__dropped"), F.sum("words").alias("__words"))

@@ -11,6 +11,7 @@ from rolescope.llm.byte_repeats import byte_repeats
 from rolescope.llm.common import digest, table
 from rolescope.llm.decontaminate import decontaminate, digests
 from rolescope.llm.html_content import ContentModel, extract_main
+from rolescope.llm.jaccard_join import jaccard_components
 from rolescope.llm.labelled_pages import PAGES
 from rolescope.llm.line_quality import line_quality
 from rolescope.llm.log_templates import line_templates
@@ -161,3 +162,8 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_jaccard_components")
+def op7_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
