@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rolescope.session import settle
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once per row, however often the body names it."""
     return F.transform(F.array(value), body)[0]
@@ -32,6 +34,24 @@ def text_key(text: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+#: A side may be broadcast up to this many rows; beyond, the engine joins by shuffle or by its own estimate.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows settled, and marked for broadcast if they are few enough: keeps the texts on the other side in place."""
+    held = settle(df, purpose)
+    return F.broadcast(held) if held.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else held
+
+
+def without(documents: DataFrame, rejected: DataFrame, purpose: str, **keys: Column) -> DataFrame:
+    """The documents whose keys, named as in ``rejected`` and matched null-safe, are not rejected."""
+    keyed = documents.withColumns({f"__{name}": key for name, key in keys.items()})
+    held = small(rejected.select(*keys).distinct(), purpose)
+    same = [keyed[f"__{name}"].eqNullSafe(held[name]) for name in keys]
+    return keyed.join(held, same, "left_anti").select(*documents.columns)
+
+
 def digest(text: Column) -> Column:
     return F.sha2(text, 256)
 

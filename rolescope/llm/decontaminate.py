@@ -102,25 +102,25 @@ def merged(runs: list[list[int]]) -> list[list[int]]:
     return out
 
 
-FOUND = "n_words long, hits array<array<int>>, items array<string>"
+FOUND = "__n_words long, __hits array<array<int>>, __items array<string>"
 
 
 def search_block(rows: DataFrame, items: list[tuple[str, bytes]], width: int, last: bool) -> DataFrame:
     """Adds one block's hits and items to those of the rows; the last pass drops the text."""
     searcher = rows.sparkSession.sparkContext.broadcast(Searcher(items, width))
-    carried = [field for field in rows.schema.fields if field.name not in ("n_words", "hits", "items") and not (
+    carried = [field for field in rows.schema.fields if field.name not in ("__n_words", "__hits", "__items") and not (
         last and field.name == "__text")]
     schema = T.StructType(carried + T.StructType.fromDDL(FOUND).fields)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = {"n_words": [], "hits": [], "items": []}
-            for text, hits, names in zip(batch["__text"], batch["hits"].to_pylist(), batch["items"].to_pylist(), strict=True):
+            new = {"__n_words": [], "__hits": [], "__items": []}
+            for text, hits, names in zip(batch["__text"], batch["__hits"].to_pylist(), batch["__items"].to_pylist(), strict=True):
                 held = words(text.as_py())
                 runs, found = searcher.value.search(held)
-                new["n_words"].append(len(held))
-                new["hits"].append(merged(hits + runs) if hits else runs)
-                new["items"].append(sorted(found.union(names)))
+                new["__n_words"].append(len(held))
+                new["__hits"].append(merged(hits + runs) if hits else runs)
+                new["__items"].append(sorted(found.union(names)))
             kinds = (pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()))
             columns = [batch[field.name] for field in carried]
             columns += [pa.array(values, kind) for values, kind in zip(new.values(), kinds, strict=True)]
@@ -129,29 +129,34 @@ def search_block(rows: DataFrame, items: list[tuple[str, bytes]], width: int, la
     return rows.mapInArrow(search, schema)
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
-                  item: str = "item_id", item_text: str = "text", width: int = 13, share: float = 0.05,
-                  block_bytes: int = 2_000_000) -> DataFrame:
-    """``keep``, ``n_words``, ``n_hit``, ``items`` (names, sorted) and ``contaminated`` (hit words reach the share).
-
-    block_bytes bounds what is sent to executors at once; a benchmark beyond it is searched in several passes.
-    """
+def searched(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
+             item: str = "item_id", item_text: str = "text", width: int = 13, share: float = 0.05,
+             block_bytes: int = 2_000_000) -> DataFrame:
+    """``keep`` and, under names of their own, ``__n_words``, ``__n_hit``, ``__items`` and ``__contaminated``."""
     ship_package(documents.sparkSession)
     queries = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("name"),
                                F.col(item_text).cast("binary").alias("body")).where(F.col("body").isNotNull())
     size = queries.agg(F.sum(F.octet_length("body") + 64)).first()[0] or 0
     blocks = 1 + 2 * size // block_bytes if size > block_bytes else 1
-    rows = documents.select(*keep, F.col(text).cast("binary").alias("__text"), F.lit(0).cast("long").alias("n_words"),
-                            F.array().cast("array<array<int>>").alias("hits"), F.array().cast("array<string>").alias("items"))
+    rows = documents.select(*keep, F.col(text).cast("binary").alias("__text"), F.lit(0).cast("long").alias("__n_words"),
+                            F.array().cast("array<array<int>>").alias("__hits"), F.array().cast("array<string>").alias("__items"))
     for at in range(blocks):
         block = queries.where(F.pmod(F.xxhash64("name", "body"), F.lit(blocks)) == at).collect()
         last = at == blocks - 1
         rows = search_block(rows, [(row["name"], bytes(row["body"])) for row in block], width, last)
         rows = rows if last else settle(rows, "decontaminate")
-    n_hit = F.aggregate("hits", F.lit(0), lambda total, run: total + run[1] - run[0]).cast("long")
-    return rows.withColumn("n_hit", n_hit).select(
-        *keep, "n_words", "n_hit", "items",
-        ((F.col("n_hit") > 0) & (F.col("n_hit") >= share * F.col("n_words"))).alias("contaminated"))
+    n_hit = F.aggregate("__hits", F.lit(0), lambda total, run: total + run[1] - run[0]).cast("long")
+    return rows.withColumn("__n_hit", n_hit).withColumn(
+        "__contaminated", (F.col("__n_hit") > 0) & (F.col("__n_hit") >= share * F.col("__n_words"))).drop("__hits")
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
+    """``keep``, ``n_words``, ``n_hit``, ``items`` (names, sorted) and ``contaminated`` (hit words reach the share).
+
+    block_bytes bounds what is sent to executors at once; a benchmark beyond it is searched in several passes.
+    """
+    found = searched(documents, benchmark, keep=keep, **options)
+    return found.select(*keep, *[F.col(f"__{name}").alias(name) for name in ("n_words", "n_hit", "items", "contaminated")])
 
 
 def digests(found: DataFrame) -> DataFrame:

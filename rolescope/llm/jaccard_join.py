@@ -192,7 +192,9 @@ def may_link(a: str, b: str, part: tuple[int, int], sketched: bool) -> Column:
 
 def jaccard_components(documents: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), width: int = 3,
                        part: tuple[int, int] = (90, 100), cells: int = 18) -> DataFrame:
-    """``keep``, ``n_shingles`` and ``component_id``: the smallest ``keep[0]`` reachable by links.
+    """``keep``, ``n_shingles``, ``component_id`` (the smallest ``keep[0]`` reachable by links), ``component_key``.
+
+    component_key is a number of the component even where keys repeat; null without shingles.
 
     part: the similarity as a fraction. cells: 2**cells counters order the shingles and mark wanted sets; they bound what
     is broadcast (2 MB at 18). More of them tell rare from frequent in a larger corpus; links do not depend on them.
@@ -245,8 +247,10 @@ def jaccard_components(documents: DataFrame, *, text: str = "text", keep: tuple[
     final = components(edges.unionByName(more).distinct())
 
     named = final.join(classes.select(F.col("sid").alias("u"), "least"), "u").groupBy("component").agg(F.min("least").alias("name"))
-    names = final.join(named, "component").select(F.col("u").alias("sid"), "name")
-    own = classes.select("sid", "least").join(names, "sid", "left").select("sid", F.coalesce("name", "least").alias("name"))
+    names = final.join(named, "component").select(F.col("u").alias("sid"), "component", "name")
+    own = classes.select("sid", "least").join(names, "sid", "left").select(
+        "sid", F.coalesce("name", "least").alias("name"), F.coalesce("component", "sid").alias("component"))
     return rows.select(*[f"k{at}" for at in range(len(keep))], "sid", "n").join(own, "sid", "left").select(
         *[F.col(f"k{at}").alias(name) for at, name in enumerate(keep)], F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("k0")).alias("component_id"))
+        F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("k0")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("component")).alias("component_key"))

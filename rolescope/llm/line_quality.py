@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolescope.llm.common import fingerprint, let, lines_of, text_key, words_of
+from rolescope.llm.common import fingerprint, let, lines_of, text_key, without, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -82,16 +82,8 @@ def line_rows(documents: DataFrame, text: str, host: str) -> DataFrame:
     )
 
 
-def line_quality(documents: DataFrame, *, text: str = "text", host: str = "source", keep: tuple[str, ...] = ("doc_id",),
-                 line_limit: int = 20, min_share: float = 0.2, min_words: int = 50,
-                 max_repeat: float = 0.5) -> DataFrame:
-    """Judge every document; returns ``keep``, the base counts, ``base_failed``, ``line_words``, ``common_words``, ``kept``.
-
-    line_limit: bodies of one host that may hold a line; beyond it the line is removed from all but the one with the
-    smallest text key, so that a large group of near copies keeps a member. min_share: a document is depleted when
-    less of the words of its distinct lines is left. The limit is a count, not a share of the host, so a verdict does not
-    weaken as a host grows.
-    """
+def measured(documents: DataFrame, text: str, host: str, line_limit: int) -> DataFrame:
+    """Per (host, body): the words of its distinct lines, and of those lines that are removed."""
     lines = line_rows(documents, text, host)
     common = (
         lines.groupBy("host_key", "line_key")
@@ -99,11 +91,37 @@ def line_quality(documents: DataFrame, *, text: str = "text", host: str = "sourc
         .where(F.col("bodies") > line_limit)
     )
     gone = F.col("owner").isNotNull() & (F.col("body") != F.col("owner"))
-    measured = (
+    return (
         lines.join(common.select("host_key", "line_key", "owner"), ["host_key", "line_key"], "left")
         .groupBy(F.col("host_key").alias("__host"), F.col("body").alias("__body"))
         .agg(F.sum("words").alias("line_words"), F.sum(F.when(gone, F.col("words")).otherwise(0)).alias("common_words"))
     )
+
+
+def base_failed(n_words: Column, repeats: Column, min_words: int, max_repeat: float) -> Column:
+    return (n_words < min_words) | (100 * repeats > round(100 * max_repeat) * n_words)
+
+
+def quality_documents(documents: DataFrame, *, text: str = "text", host: str = "source", line_limit: int = 20,
+                      min_share: float = 0.2, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
+    """The documents that pass, whole and as they are: see ``line_quality`` for the rules."""
+    failed = let(words_of(F.col(text)), lambda held: F.when(F.size(held) < min_words, True).otherwise(
+        base_failed(F.size(held), repeated_words(held), min_words, max_repeat)))
+    depleted = measured(documents, text, host, line_limit).where(
+        F.col("line_words") - F.col("common_words") < min_share * F.col("line_words"))
+    return without(documents.where(~failed), depleted, "depleted", __host=fingerprint(F.col(host)), __body=text_key(F.col(text)))
+
+
+def line_quality(documents: DataFrame, *, text: str = "text", host: str = "source", keep: tuple[str, ...] = ("doc_id",),
+                 line_limit: int = 20, min_share: float = 0.2, min_words: int = 50,
+                 max_repeat: float = 0.5) -> DataFrame:
+    """Judge every document; returns ``keep``, the base counts, ``base_failed``, ``line_words``, ``common_words``, ``kept``.
+
+    line_limit: bodies of one host that may hold a line; beyond it the line is removed from all but the one with the
+    smallest text key, so that a large group of near copies keeps a member. min_share: a document is depleted when
+    less of the words of its distinct lines is left. The limit is a count, not a share of the host, so a verdict does not
+    weaken as a host grows.
+    """
     base = documents.select(
         *[F.col(name) for name in keep],
         fingerprint(F.col(host)).alias("__host"), text_key(F.col(text)).alias("__body"),
@@ -113,9 +131,9 @@ def line_quality(documents: DataFrame, *, text: str = "text", host: str = "sourc
         F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         duplicate_lines(F.col(text)).alias("n_dup_lines"),
     )
-    judged = base.join(measured, ["__host", "__body"], "left")
+    judged = base.join(measured(documents, text, host, line_limit), ["__host", "__body"], "left")
     n_words, repeats = F.col("__words.n_words"), F.col("__words.n_repeat_words")
-    failed = (n_words < min_words) | (100 * repeats > round(100 * max_repeat) * n_words)
+    failed = base_failed(n_words, repeats, min_words, max_repeat)
     line_words, common_words = (F.coalesce(name, F.lit(0)) for name in ("line_words", "common_words"))
     return judged.select(
         *keep, n_words.alias("n_words"), F.col("__words.word_chars").alias("word_chars"), "n_symbols", "n_dup_lines",

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolescope.llm.common import let, text_key
+from rolescope.llm.common import let, small, text_key
 from rolescope.session import settle, ship_package
 
 FIELD = b"<*>"
@@ -100,8 +100,9 @@ def recurring(lines: DataFrame, tokens: DataFrame, least_documents: int, constan
 
 
 def line_templates(documents: DataFrame, *, text: str = "text", depth: int = 2, least_tokens: int = 4,
-                   least_documents: int = 10, constant: float = 0.6, agree: float = 0.75) -> DataFrame:
-    """The documents with recurring lines dropped from ``text``, and ``n_lines``, ``n_dropped``, ``n_words_dropped``.
+                   least_documents: int = 10, constant: float = 0.6, agree: float = 0.75,
+                   report: tuple[str, str, str] = ("n_lines", "n_dropped", "n_words_dropped")) -> DataFrame:
+    """The documents with recurring lines dropped from ``text``, and the counts that ``report`` names.
 
     least_documents: distinct texts a template must occur in. constant: the part of a template's tokens that must be
     constant. agree: the part of a leaf's lines that must share a token for its place to be constant.
@@ -119,9 +120,9 @@ def line_templates(documents: DataFrame, *, text: str = "text", depth: int = 2,
     gone = F.coalesce("__dropped", F.array().cast("array<int>"))
     left = let(whole, lambda held: let(gone, lambda out: F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(held) - 1), out), lambda at: F.get(held, at)), "\n")))
-    joined = documents.withColumn("__body", text_key(F.col(text))).join(places, "__body", "left")
+    joined = documents.withColumn("__body", text_key(F.col(text))).join(small(places, "dropped-lines"), "__body", "left")
     return joined.select(
         *[F.when(F.size(gone) > 0, left).otherwise(F.col(text)).alias(name) if name == text else joined[name]
           for name in documents.columns],
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(whole)).cast("long").alias("n_lines"),
-        F.size(gone).cast("long").alias("n_dropped"), F.coalesce("__words", F.lit(0)).cast("long").alias("n_words_dropped"))
+        F.when(F.col(text).isNull(), 0).otherwise(F.size(whole)).cast("long").alias(report[0]),
+        F.size(gone).cast("long").alias(report[1]), F.coalesce("__words", F.lit(0)).cast("long").alias(report[2]))

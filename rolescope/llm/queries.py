@@ -166,4 +166,4 @@ def op10_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_jaccard_components")
 def op7_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("component_key")
