@@ -30,7 +30,7 @@ from rolescope.llm.components import components
 from rolescope.session import settle, ship_package
 
 FACTORS = np.random.default_rng(7).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Words of a bit sketch: each shingle flips one of 64 bits in each word's share of the hash range.
+#: Words of the short bit sketch, which the join itself looks at.
 SKETCH = 4
 
 
@@ -68,9 +68,15 @@ def class_key(held: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(held.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def sketch(held: np.ndarray) -> list[int]:
-    odd = np.bincount((held & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+def sketch(held: np.ndarray, words: int) -> np.ndarray:
+    """One bit per slice of the hash range: whether the set has an odd number of shingles there."""
+    odd = np.bincount((held & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def wide_words(size: int) -> int:
+    """Words of the sketch that is as long as the set is large: a power of two, half a bit to one bit a shingle."""
+    return max(SKETCH, 1 << max(0, size.bit_length() - 7))
 
 
 def cell_counts(texts: DataFrame, width: int, cells: int) -> np.ndarray:
@@ -99,7 +105,7 @@ def described(documents: DataFrame, keep: tuple[str, ...], text: str, width: int
     chosen = documents.select(*[F.col(name).alias(f"k{at}") for at, name in enumerate(keep)],
                               F.col(text).cast("binary").alias("body"))
     schema = T.StructType(chosen.schema.fields[:-1] + T.StructType.fromDDL(
-        "sid long, n int, prefix array<long>, bits array<long>").fields)
+        "sid long, n int, prefix array<long>, bits array<long>, wide array<long>").fields)
     order = documents.sparkSession.sparkContext.broadcast(counts)
     shift = np.uint64(64 - cells)
     over, under = part
@@ -110,7 +116,7 @@ def described(documents: DataFrame, keep: tuple[str, ...], text: str, width: int
                 yield rows(batch.slice(begin, 2000))
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sids, sizes, prefixes, bits = [], [], [], []
+        sids, sizes, prefixes, bits, wide = [], [], [], [], []
         for body in batch["body"]:
             held = shingles(body.as_py(), width)
             size = len(held)
@@ -119,10 +125,12 @@ def described(documents: DataFrame, keep: tuple[str, ...], text: str, width: int
             sids.append(class_key(held))
             sizes.append(size)
             prefixes.append(held[rank].view(np.int64))
-            bits.append(sketch(held))
+            bits.append(sketch(held, SKETCH))
+            wide.append(sketch(held, wide_words(size)))
         return pa.RecordBatch.from_arrays(
             [*batch.columns[:-1], pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()),
-             pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], schema.fieldNames())
+             pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())),
+             pa.array(wide, pa.list_(pa.int64()))], schema.fieldNames())
 
     return chosen.mapInArrow(describe, schema)
 
@@ -204,19 +212,25 @@ def jaccard_components(documents: DataFrame, *, text: str = "text", keep: tuple[
     counts = cell_counts(texts, width, cells)
     rows = settle(described(documents, keep, text, width, part, counts, cells), "shingle-rows")
     classes = settle(rows.where("n > 0").groupBy("sid").agg(
-        F.min("k0").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "classes")
+        F.min("k0").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"),
+        F.first("wide").alias("wide")), "classes")
     placed = classes.select("sid", "n", F.posexplode("prefix").alias("at", "shingle"))
     leaders = placed.groupBy("shingle").agg(F.count("*").alias("members"), F.min(F.struct("n", "sid", "at")).alias("lead")).where("members > 1")
     shared = settle(placed.join(leaders.select("shingle", "lead"), "shingle"), "shared-shingles")
 
     def narrowed(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs that pass the sketches too."""
-        described_u = classes.select(F.col("sid").alias("u"), F.struct("n", F.lit(0).alias("at"), "bits").alias("a"))
-        described_v = classes.select(F.col("sid").alias("v"), F.struct("n", F.lit(0).alias("at"), "bits").alias("b"))
+        """Distinct pairs that pass the suffix filter with their wide sketches, folded to the shorter one."""
+        sides = [classes.select(F.col("sid").alias(key), F.struct("n", "wide").alias(name)) for key, name in (("u", "a"), ("v", "b"))]
+        words = F.least(F.size("a.wide"), F.size("b.wide"))
+
+        def folded(side: str, at: Column) -> Column:
+            return F.get(f"{side}.wide", at).bitwiseXOR(F.coalesce(F.get(f"{side}.wide", at + words), F.lit(0)))
+
+        differ = F.aggregate(F.sequence(F.lit(0), words - 1), F.lit(0), lambda total, at: (
+            total + F.bit_count(folded("a", at).bitwiseXOR(folded("b", at)))))
         over, under = part
-        differ = sum((F.bit_count(F.col("a.bits")[at].bitwiseXOR(F.col("b.bits")[at])) for at in range(SKETCH)), F.lit(0))
         near = (over + under) * differ <= (under - over) * (F.col("a.n") + F.col("b.n"))
-        return pairs.distinct().join(described_u, "u").join(described_v, "v").where(near).select("u", "v")
+        return pairs.distinct().join(sides[0], "u").join(sides[1], "v").where(near).select("u", "v")
 
     def links(pairs: DataFrame) -> DataFrame:
         pairs = settle(pairs, "pairs")
@@ -242,8 +256,8 @@ def jaccard_components(documents: DataFrame, *, text: str = "text", keep: tuple[
     across = (
         (F.col("a.sid") < F.col("b.sid")) & (F.col("a.component") != F.col("b.component"))
         & (F.col("a.sid") != F.col("a.lead")) & (F.col("b.sid") != F.col("a.lead")) & may_link("a", "b", part, True))
-    pairs = open_rows.join(other, (open_rows["shingle"] == other["shingle"]) & across).select(*ordered("a.sid", "b.sid")).distinct()
-    more = links(pairs)
+    pairs = open_rows.join(other, (open_rows["shingle"] == other["shingle"]) & across).select(*ordered("a.sid", "b.sid"))
+    more = links(narrowed(pairs))
     final = components(edges.unionByName(more).distinct())
 
     named = final.join(classes.select(F.col("sid").alias("u"), "least"), "u").groupBy("component").agg(F.min("least").alias("name"))
