@@ -48,7 +48,17 @@ def settle(df: DataFrame, purpose: str) -> DataFrame:
     spark = df.sparkSession
     path = work_folder(spark, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held._settled_path = path
+    return held
+
+
+def discard(*settled: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more, so that steps do not add up on disk."""
+    for df in settled:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._settled_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship_package(spark: SparkSession) -> None:
