@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rolescope.llm.components import components
-from rolescope.session import settle, ship_package
+from rolescope.session import discard, settle, ship_package
 
 FACTORS = np.random.default_rng(7).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Words of the short bit sketch, which the join itself looks at.
@@ -135,15 +135,48 @@ def described(documents: DataFrame, keep: tuple[str, ...], text: str, width: int
     return chosen.mapInArrow(describe, schema)
 
 
-def needed_sets(texts: DataFrame, width: int, wanted: DataFrame, cells: int) -> DataFrame:
-    """(sid, shingles) of the wanted classes. A bit map of fixed size spares most others the way; the join decides."""
+def bit_map(rows: DataFrame, column: str, cells: int) -> np.ndarray:
+    """One bit per cell of the hash range, 2**cells in all, set where the column has a value."""
     shift = 64 - cells
-    marks = wanted.select(F.shiftrightunsigned("sid", shift + 6).alias("word"), F.shiftrightunsigned("sid", shift).alias("bit"))
+    marks = rows.select(F.shiftrightunsigned(column, shift + 6).alias("word"), F.shiftrightunsigned(column, shift).alias("bit"))
     marks = marks.groupBy("word").agg(F.bit_or(F.call_function(
         "shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toPandas()
-    words = np.zeros(1 << max(cells - 6, 0), np.int64)
+    words = np.zeros(1 << (cells - 6), np.int64)
     words[marks["word"].to_numpy(np.int64)] = marks["bits"].to_numpy(np.int64)
-    sent = texts.sparkSession.sparkContext.broadcast(words.view(np.uint64))
+    return words.view(np.uint64)
+
+
+def marked(words: np.ndarray, hashes: np.ndarray, cells: int) -> np.ndarray:
+    at = hashes >> np.uint64(64 - cells)
+    return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def shared_places(classes: DataFrame, cells: int) -> DataFrame:
+    """(sid, n, at, shingle) of the prefix shingles that more than one class may have.
+
+    Only shingles are shuffled to find those that recur; a bit map of fixed size then spares the rest of the rows the way.
+    """
+    twice = classes.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    sent = classes.sparkSession.sparkContext.broadcast(bit_map(twice, "shingle", cells))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["prefix"]
+            counts = lists.value_lengths().to_numpy().astype(np.int64)
+            held = lists.flatten().to_numpy().view(np.uint64)
+            at = np.arange(len(held)) - np.repeat(np.cumsum(counts) - counts, counts)
+            good = marked(sent.value, held, cells)
+            rows = np.repeat(np.arange(batch.num_rows), counts)[good]
+            yield pa.RecordBatch.from_arrays(
+                [batch["sid"].take(pa.array(rows)), batch["n"].take(pa.array(rows)), pa.array(at[good].astype(np.int32)),
+                 pa.array(held[good].view(np.int64))], ["sid", "n", "at", "shingle"])
+
+    return classes.select("sid", "n", "prefix").mapInArrow(place, "sid long, n int, at int, shingle long")
+
+
+def needed_sets(texts: DataFrame, width: int, wanted: DataFrame, cells: int) -> DataFrame:
+    """(sid, shingles) of the wanted classes. A bit map of fixed size spares most others the way; the join decides."""
+    sent = texts.sparkSession.sparkContext.broadcast(bit_map(wanted, "sid", cells))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,8 +185,7 @@ def needed_sets(texts: DataFrame, width: int, wanted: DataFrame, cells: int) ->
                 for body in batch["body"][begin:begin + 500]:
                     held = shingles(body.as_py(), width)
                     sid = class_key(held)
-                    at = (sid & (2**64 - 1)) >> shift
-                    if int(sent.value[at >> 6]) >> (at & 63) & 1:
+                    if marked(sent.value, np.array([sid], np.int64).view(np.uint64), cells)[0]:
                         sids.append(sid)
                         sets.append(held.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sets, pa.binary())], ["sid", "held"])
@@ -182,8 +214,19 @@ def verified(pairs: DataFrame, sets: DataFrame, part: tuple[int, int]) -> DataFr
     return both.select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
 
 
+def differing(a: str, b: str) -> Column:
+    """Bits in which the sides' wide sketches differ, the longer one folded to the shorter."""
+    words = F.least(F.size(f"{a}.wide"), F.size(f"{b}.wide"))
+
+    def folded(side: str, at: Column) -> Column:
+        return F.get(f"{side}.wide", at).bitwiseXOR(F.coalesce(F.get(f"{side}.wide", at + words), F.lit(0)))
+
+    return F.aggregate(F.sequence(F.lit(0), words - 1), F.lit(0), lambda total, at: (
+        total + F.bit_count(folded(a, at).bitwiseXOR(folded(b, at)))))
+
+
 def may_link(a: str, b: str, part: tuple[int, int], sketched: bool) -> Column:
-    """Length, positional and suffix filters for the sides' n, at (place in the prefix) and bits.
+    """Length, positional and suffix filters for the sides' n, at (place in the prefix), bits and wide.
 
     With a common shingle at places i and j, at most min(i, j) + 1 + the shorter rest can be common. The sketches'
     differing bits are at most the sets' differing shingles, before and after those places.
@@ -193,8 +236,9 @@ def may_link(a: str, b: str, part: tuple[int, int], sketched: bool) -> Column:
     most = F.least(i, j) + 1 + F.least(n - i, m - j) - 1
     fits = (under * F.least(n, m) >= over * F.greatest(n, m)) & ((over + under) * most >= over * (n + m))
     if sketched:
+        few = (under - over) * (n + m)
         differ = sum((F.bit_count(F.col(f"{a}.bits")[at].bitwiseXOR(F.col(f"{b}.bits")[at])) for at in range(SKETCH)), F.lit(0))
-        fits = fits & ((over + under) * differ <= (under - over) * (n + m))
+        fits = fits & ((over + under) * differ <= few) & ((over + under) * differing(a, b) <= few)
     return fits
 
 
@@ -214,35 +258,31 @@ def jaccard_components(documents: DataFrame, *, text: str = "text", keep: tuple[
     classes = settle(rows.where("n > 0").groupBy("sid").agg(
         F.min("k0").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"),
         F.first("wide").alias("wide")), "classes")
-    placed = classes.select("sid", "n", F.posexplode("prefix").alias("at", "shingle"))
+    placed = shared_places(classes, cells + 8)
     leaders = placed.groupBy("shingle").agg(F.count("*").alias("members"), F.min(F.struct("n", "sid", "at")).alias("lead")).where("members > 1")
-    shared = settle(placed.join(leaders.select("shingle", "lead"), "shingle"), "shared-shingles")
+    shared = settle(placed.join(leaders.select("shingle", "lead"), "shingle"), "shared-shingles")  # exact again
 
     def narrowed(pairs: DataFrame) -> DataFrame:
         """Distinct pairs that pass the suffix filter with their wide sketches, folded to the shorter one."""
         sides = [classes.select(F.col("sid").alias(key), F.struct("n", "wide").alias(name)) for key, name in (("u", "a"), ("v", "b"))]
-        words = F.least(F.size("a.wide"), F.size("b.wide"))
-
-        def folded(side: str, at: Column) -> Column:
-            return F.get(f"{side}.wide", at).bitwiseXOR(F.coalesce(F.get(f"{side}.wide", at + words), F.lit(0)))
-
-        differ = F.aggregate(F.sequence(F.lit(0), words - 1), F.lit(0), lambda total, at: (
-            total + F.bit_count(folded("a", at).bitwiseXOR(folded("b", at)))))
         over, under = part
-        near = (over + under) * differ <= (under - over) * (F.col("a.n") + F.col("b.n"))
+        near = (over + under) * differing("a", "b") <= (under - over) * (F.col("a.n") + F.col("b.n"))
         return pairs.distinct().join(sides[0], "u").join(sides[1], "v").where(near).select("u", "v")
 
     def links(pairs: DataFrame) -> DataFrame:
         pairs = settle(pairs, "pairs")
         wanted = pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid"))).distinct()
-        return verified(pairs, settle(needed_sets(texts, width, wanted, max(cells, 24)), "sets"), part)
+        sets = settle(needed_sets(texts, width, wanted, cells + 6), "sets")
+        found = settle(verified(pairs, sets, part), "links")
+        discard(pairs, sets)
+        return found
 
     def ordered(a: str, b: str) -> list[Column]:
         return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
 
     member = shared.select(F.struct("sid", "n", "at").alias("a"), F.col("lead").alias("b"))
     stars = member.where((F.col("a.sid") != F.col("b.sid")) & may_link("a", "b", part, False)).select(*ordered("a.sid", "b.sid"))
-    edges = settle(links(narrowed(stars)), "links")
+    edges = links(narrowed(stars))
     joined = components(edges)
 
     labelled = shared.join(joined.withColumnRenamed("u", "sid"), "sid", "left").withColumn(
@@ -250,8 +290,8 @@ def jaccard_components(documents: DataFrame, *, text: str = "text", keep: tuple[
     split = labelled.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     open_rows = settle(
         labelled.join(split.select("shingle"), "shingle", "left_semi")
-        .join(classes.select("sid", "bits"), "sid").select("shingle", F.struct(
-            "sid", "n", "at", "component", "bits", F.col("lead.sid").alias("lead")).alias("a")), "open-shingles")
+        .join(classes.select("sid", "bits", "wide"), "sid").select("shingle", F.struct(
+            "sid", "n", "at", "component", "bits", "wide", F.col("lead.sid").alias("lead")).alias("a")), "open-shingles")
     other = open_rows.select("shingle", F.col("a").alias("b"))
     across = (
         (F.col("a.sid") < F.col("b.sid")) & (F.col("a.component") != F.col("b.component"))
@@ -259,6 +299,7 @@ def jaccard_components(documents: DataFrame, *, text: str = "text", keep: tuple[
     pairs = open_rows.join(other, (open_rows["shingle"] == other["shingle"]) & across).select(*ordered("a.sid", "b.sid"))
     more = links(narrowed(pairs))
     final = components(edges.unionByName(more).distinct())
+    discard(shared, open_rows)
 
     named = final.join(classes.select(F.col("sid").alias("u"), "least"), "u").groupBy("component").agg(F.min("least").alias("name"))
     names = final.join(named, "component").select(F.col("u").alias("sid"), "component", "name")

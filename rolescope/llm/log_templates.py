@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolescope.llm.common import let, small, text_key
-from rolescope.session import settle, ship_package
+from rolescope.session import discard, settle, ship_package
 
 FIELD = b"<*>"
 DIGIT = re.compile(rb"[0-9]")
@@ -69,7 +69,7 @@ def leaves(documents: DataFrame, text: str, depth: int, least_tokens: int) -> Da
 
 
 def recurring(lines: DataFrame, tokens: DataFrame, least_documents: int, constant: float, agree: float) -> DataFrame:
-    """(leaf, line, owner) of all lines to drop. lines: one row per (leaf, line, body). tokens: leaf, line, tokens."""
+    """(leaf, line, owner) of all lines to drop, settled. lines: a row per (leaf, line, body). tokens: leaf, line, tokens."""
     exact = (
         lines.groupBy("leaf", "line").agg(F.count("*").alias("bodies"), F.min("body").alias("owner"))
         .where(F.col("bodies") >= least_documents).select("leaf", "line", "owner")
@@ -79,6 +79,7 @@ def recurring(lines: DataFrame, tokens: DataFrame, least_documents: int, constan
         .groupBy("leaf").agg(F.sum("bodies").alias("bodies"), F.count("*").alias("lines"))
         .where((F.col("bodies") >= least_documents) & (F.col("lines") > 1)).select("leaf", "lines")
     )
+    crowded = small(crowded, "crowded-leaves")
     held = settle(tokens.join(crowded, "leaf").groupBy("leaf", "line").agg(
         F.split(F.first("tokens").cast("string"), " ").alias("tokens"), F.first("lines").alias("lines")), "template-lines")
     common = (
@@ -96,7 +97,9 @@ def recurring(lines: DataFrame, tokens: DataFrame, least_documents: int, constan
         .where(F.col("bodies") >= least_documents)
     )
     general = members.join(owners.select("leaf", "owner"), "leaf")
-    return exact.unionByName(general).groupBy("leaf", "line").agg(F.min("owner").alias("owner"))
+    drop = settle(exact.unionByName(general).groupBy("leaf", "line").agg(F.min("owner").alias("owner")), "templates")
+    discard(held)
+    return drop
 
 
 def line_templates(documents: DataFrame, *, text: str = "text", depth: int = 2, least_tokens: int = 4,
@@ -109,18 +112,20 @@ def line_templates(documents: DataFrame, *, text: str = "text", depth: int = 2,
     """
     found = settle(leaves(documents, text, depth, least_tokens), "lines")
     lines = found.groupBy("leaf", "line", "body").agg(F.count("*").alias("n"))
-    drop = settle(recurring(lines, found.select("leaf", "line", "tokens"), least_documents, constant, agree), "templates")
+    drop = recurring(lines, found.select("leaf", "line", "tokens"), least_documents, constant, agree)
     places = (
         found.join(drop, ["leaf", "line"]).where(F.col("body") != F.col("owner"))
         .groupBy("body", "at").agg(F.max("words").alias("words"))
         .groupBy(F.col("body").alias("__body")).agg(
             F.array_sort(F.collect_list("at")).alias("__dropped"), F.sum("words").alias("__words"))
     )
+    places = small(places, "dropped-lines")
+    discard(found, drop)
     whole = F.split(F.col(text), "\n")
     gone = F.coalesce("__dropped", F.array().cast("array<int>"))
     left = let(whole, lambda held: let(gone, lambda out: F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(held) - 1), out), lambda at: F.get(held, at)), "\n")))
-    joined = documents.withColumn("__body", text_key(F.col(text))).join(small(places, "dropped-lines"), "__body", "left")
+    joined = documents.withColumn("__body", text_key(F.col(text))).join(places, "__body", "left")
     return joined.select(
         *[F.when(F.size(gone) > 0, left).otherwise(F.col(text)).alias(name) if name == text else joined[name]
           for name in documents.columns],
