@@ -32,7 +32,7 @@ def run(query, spark, folder):
 def main():
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cpus, "rolescope-bench")
+    spark = local_session(cpus, "rolescope-bench", **{"rolescope.partitions": str(cpus)})
     spark.sparkContext.setLogLevel("ERROR")
     names = sys.argv[1:] or HEADLINE
     times = {}

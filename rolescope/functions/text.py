@@ -86,15 +86,21 @@ def _may_have_heading(body: Column) -> Column:
     words = [heading.replace("'?", mark) for heading in RELEVANT_HEADINGS if "{" not in heading
              for mark in (("'", "") if "'?" in heading else ("",))]
     def test(low: Column) -> Column:
-        return contains_any(low, words[:30]) | contains_any(low, words[30:]) | (
+        return contains_any(low, words) | (
             low.contains("as a ") & low.contains(" you will"))
     return let(F.lower(body), test)
 
 
+def _place(body: Column, pattern: str) -> Column:
+    """The first match's place, from 1 and in characters (regexp_instr counts UTF-16 units); 0 without one."""
+    return let(F.split(body, pattern, 2), lambda parts: F.when(
+        F.size(parts) > 1, F.length(parts[0]) + 1).otherwise(0))
+
+
 def _from_heading(body: Column, heading: Column) -> Column:
     """Text from the heading on, cut at the first boilerplate heading if that is not too near."""
     def cut(text: Column) -> Column:
-        return let(F.regexp_instr(text, F.lit(_BOILERPLATE)) - 1, lambda at: F.when(
+        return let(_place(text, _BOILERPLATE) - 1, lambda at: F.when(
             at > 100, F.substr(text, F.lit(1), at)).otherwise(text))
     return let(F.substr(body, heading), cut)
 
@@ -111,7 +117,7 @@ def _after_introduction(body: Column) -> Column:
 def excerpt(text: Column, limit: int) -> Column:
     """The relevant part of a description, cut at a blank near ``limit`` characters."""
     def relevant(body: Column) -> Column:
-        heading = F.when(_may_have_heading(body), F.regexp_instr(body, F.lit(_RELEVANT))).otherwise(0)
+        heading = F.when(_may_have_heading(body), _place(body, _RELEVANT)).otherwise(0)
         return let(heading, lambda at: F.when(at > 0, _from_heading(body, at)).otherwise(_after_introduction(body)))
 
     def shorten(tidy: Column) -> Column:

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rolescope.functions.normalize import to_uuid
 from rolescope.functions.words import or_empty
@@ -23,24 +24,35 @@ NEW_STATUS = "New"
 ACTIVE = ("queued", "running")
 
 
-def insert_absent(table: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
-    """Keep stored rows; add those whose key is new."""
-    added = rows.join(table.select(key), key, "left_anti")
+def one_per_key(rows: DataFrame, key: str, order: Column | None = None) -> DataFrame:
+    """One row per key: the first by ``order`` (descending for the last), or any where rows of a key are alike."""
+    if order is None:
+        return rows.dropDuplicates([key])
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return rows.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+
+
+def insert_absent(table: DataFrame, rows: DataFrame, key: str = "id", order: Column | None = None) -> DataFrame:
+    """Keep stored rows; add those whose key is new, the first by ``order`` where a key repeats."""
+    added = one_per_key(rows, key, order).join(table.select(key), key, "left_anti")
     return table.unionByName(added, allowMissingColumns=True)
 
 
-def _both(old: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, Column, Column]:
+def _both(old: DataFrame, new: DataFrame, key: str, order: Column | None = None) -> tuple[DataFrame, Column, Column]:
+    """Stored rows beside their changes, then changes of new keys: no full outer join, so that the engine may
+    broadcast a small batch of changes and leave the stored table where it is."""
     left = old.select(key, F.struct(*old.columns).alias("_old"))
-    right = new.select(key, F.struct(*new.columns).alias("_new"))
-    joined = left.join(right, key, "full_outer")
+    right = one_per_key(new, key, order).select(key, F.struct(*new.columns).alias("_new"))
+    added = right.join(old.select(key), key, "left_anti").withColumn("_old", F.lit(None).cast(left.schema["_old"].dataType))
+    joined = left.join(right, key, "left").unionByName(added)
     return joined, F.col("_old").isNotNull(), F.col("_new").isNotNull()
 
 
-def upgrade_scores(table: DataFrame, rows: DataFrame) -> DataFrame:
+def upgrade_scores(table: DataFrame, rows: DataFrame, order: Column | None = None) -> DataFrame:
     """Insert new jobs. A stored job only takes over the four scoring columns, and only while it has no
     model reasoning and the incoming row has one."""
     scoring = ("score", "tier", "ai_reasoning", "regex_score")
-    joined, stored, _ = _both(table, rows, "id")
+    joined, stored, _ = _both(table, rows, "id", order)
     upgrade = F.col("_old.ai_reasoning").isNull() & F.col("_new.ai_reasoning").isNotNull()
 
     def pick(name: str) -> Column:
@@ -51,13 +63,13 @@ def upgrade_scores(table: DataFrame, rows: DataFrame) -> DataFrame:
     return joined.select("id", *[pick(name).alias(name) for name in table.columns if name != "id"])
 
 
-def upsert_state(table: DataFrame, rows: DataFrame, at: Column) -> DataFrame:
+def upsert_state(table: DataFrame, rows: DataFrame, at: Column, order: Column | None = None) -> DataFrame:
     """Overwrite every state field with the new row's, except that a missing pdf_path keeps the old one.
 
     Rows without a status get ``New``, rows without timestamps an empty map. Without a ``pdf_path``
     column in ``rows`` this is the bulk variant.
     """
-    joined, _, changed = _both(table, rows, "job_id")
+    joined, _, changed = _both(table, rows, "job_id", order)
 
     def incoming(name: str) -> Column:
         if name not in rows.columns:
@@ -91,9 +103,9 @@ def default_states(table: DataFrame, jobs: DataFrame, at: Column) -> DataFrame:
                                                 if name in table.columns}))
 
 
-def upsert_cache(table: DataFrame, rows: DataFrame, at: Column) -> DataFrame:
+def upsert_cache(table: DataFrame, rows: DataFrame, at: Column, order: Column | None = None) -> DataFrame:
     """Company cache: new rows replace stored ones of the same key and refresh ``cached_at``."""
-    joined, _, changed = _both(table, rows.withColumn("cached_at", at), "company_name")
+    joined, _, changed = _both(table, rows.withColumn("cached_at", at), "company_name", order)
     return joined.select("company_name", *[
         F.when(changed, F.col(f"_new.{name}")).otherwise(F.col(f"_old.{name}")).alias(name)
         for name in table.columns if name != "company_name"
@@ -156,6 +168,11 @@ def delete_imports(tables: dict[str, DataFrame], batch_ids: DataFrame, force: bo
     return result
 
 
+def typed(text: Column, kind: T.DataType) -> Column:
+    """Patch text as the column's type; maps, arrays and structs are JSON."""
+    return F.from_json(text, kind) if isinstance(kind, (T.MapType, T.ArrayType, T.StructType)) else text.cast(kind)
+
+
 def patch(table: DataFrame, patches: DataFrame, key: str = "id",
           allowed: Sequence[str] = IMPORT_PATCH_COLUMNS, at: Column | None = None) -> DataFrame:
     """Set allowed columns from patch rows (key, fields: map of column to text).
@@ -173,14 +190,14 @@ def patch(table: DataFrame, patches: DataFrame, key: str = "id",
             return F.when(F.size("_fields") > 0, at).otherwise(F.col(name)).alias(name)
         if name == key or name not in allowed:
             return F.col(name)
-        return F.when(F.map_contains_key("_fields", name), F.col("_fields")[name].cast(field.dataType)).otherwise(
+        return F.when(F.map_contains_key("_fields", name), typed(F.col("_fields")[name], field.dataType)).otherwise(
             F.col(name)).alias(name)
     return joined.select(*[pick(field) for field in table.schema.fields])
 
 
-def update_applicants(state: DataFrame, updates: DataFrame, at: Column) -> DataFrame:
+def update_applicants(state: DataFrame, updates: DataFrame, at: Column, order: Column | None = None) -> DataFrame:
     """Set applicant texts by job id and keep all other state fields; unknown jobs get a new row."""
-    joined, _, changed = _both(state, updates.filter(F.col("applicants").isNotNull()), "job_id")
+    joined, _, changed = _both(state, updates.filter(F.col("applicants").isNotNull()), "job_id", order)
     stored = F.col("_old").isNotNull()
 
     def pick(field) -> Column:

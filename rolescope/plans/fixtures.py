@@ -61,13 +61,19 @@ def _per(value: Column, choices: dict[int, str]) -> Column:
     return result
 
 
+def _partitions(spark: SparkSession) -> int | None:
+    """Tasks for the texts and pages of a single file, where the session sets them, as the bench does."""
+    asked = spark.conf.get("rolescope.partitions", None)
+    return int(asked) if asked else None
+
+
 def texts(spark: SparkSession, sf: str) -> DataFrame:
     """Documents for queries that work on the whole text."""
-    return spread(table(spark, sf, "documents"), "doc_id")
+    return spread(table(spark, sf, "documents"), "doc_id", _partitions(spark))
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(read_pages(spark, f"{sf}/pages.parquet"), "page_id")
+    return spread(read_pages(spark, f"{sf}/pages.parquet"), "page_id", _partitions(spark))
 
 
 def documents(spark: SparkSession, sf: str, keep_text: bool = True) -> DataFrame:

@@ -19,18 +19,9 @@ JOB = ("id string, company string, title string, location string, work_type stri
 PLAN = "id string, title string, date string, jobs array<struct<id:string,notes:string>>"
 
 
-# Inputs of fewer files than this may be spread over more tasks; larger ones never are.
-FEW_FILES = 32
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a small input on all cores, for work that is heavy per row.
-
-    A file with one row group, like a multi-line CSV, is a single task. Inputs of many files have
-    enough tasks of their own and are left as they are, so large tables see no shuffle here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < min(cores, FEW_FILES) else df
+def spread(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """The rows over that many tasks, where the caller asks for it: a single small file is else one task."""
+    return df.repartition(partitions, key) if partitions else df
 
 
 def named_postings(raw: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,19 +20,25 @@ def _stored(spark: SparkSession, path: str, batch: int, schema) -> DataFrame:
         F.col("batch") != batch)
 
 
+def stored_anything(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
 def stream_import(spark: SparkSession, drop_folder: str, headers: tuple[str, ...], catalog: str,
                   checkpoint: str, rules: Rules, day: Column, location: str | None = None) -> StreamingQuery:
     """Import files as they arrive; the catalog is a table partitioned by micro-batch.
 
-    A micro-batch replaces only its own partition, so a repeat after a failure writes the same rows
-    again. Postings that earlier batches brought are dropped against the catalog's keys alone.
+    A micro-batch replaces only its own partition, which its checkpoint and number name, so a repeat after a
+    failure writes the same rows again and another stream into the same catalog replaces nothing. Postings that earlier batches brought are dropped against the catalog's keys alone.
     """
     def merge(rows: DataFrame, batch: int) -> None:
         jobs = import_csv(named_postings(rows), rules, day, location).drop("source_file", "row_no")
-        if batch > 0:
+        part = (zlib.crc32(checkpoint.encode()) << 31) + batch
+        if stored_anything(rows.sparkSession, catalog):
             schema = jobs.select("id", "job_link").schema.add("batch", "long")
-            jobs = new_by_key(jobs, _stored(rows.sparkSession, catalog, batch, schema))
-        jobs.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option(
+            jobs = new_by_key(jobs, _stored(rows.sparkSession, catalog, part, schema))
+        jobs.withColumn("batch", F.lit(part).cast("long")).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(catalog)
 
     return (

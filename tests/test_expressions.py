@@ -166,3 +166,17 @@ def test_rules_load_and_unique_pool():
     assert [company.name for company in rules.pool] == ["Bee", "A"] and rules.keywords == (("go", 3),)
     with pytest.raises(ValueError):
         Rules(pool=(CompanyPool("a", 1, ("t",)), CompanyPool("b", 1, ("t",))))
+
+
+@pytest.mark.parametrize("base", ["https://h.example/a/b/c.html", "https://h.example/", "https://h.example/a/b/c/d/e"])
+def test_absolute_url_resolves_all_steps(spark, base):
+    from urllib.parse import urljoin
+    links = ["../../../x", "./../x", "a/../b", "/p/../q", " x", "..", "a/.", "../../../../../../y?z=../w", "/../k#f"]
+    got = values(spark, links, lambda x: absolute_url(url_base(F.lit(base)), x))
+    assert got == [urljoin(base, link) for link in links]
+
+
+def test_excerpt_starts_at_the_heading_after_emoji(spark):
+    from rolescope.functions.text import excerpt
+    text = "\U0001f600\U0001f600\U0001f600 Responsibilities: build things and keep them running"
+    assert values(spark, [text], lambda x: excerpt(x, 800))[0].startswith("Responsibilities")

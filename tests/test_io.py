@@ -134,12 +134,9 @@ def test_command_line_cleaning_keeps_the_link_text(spark):
     assert [row.row_no for row in first_postings(kept).collect()] == [1]
 
 
-def test_few_files_are_spread_and_many_are_left_alone(spark, tmp_path):
-    rows = spark.range(200)
-    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
-    rows.repartition(40).write.parquet(str(tmp_path / "many"))
-    one = readers.spread(spark.read.parquet(str(tmp_path / "one")), "id")
-    many = readers.spread(spark.read.parquet(str(tmp_path / "many")), "id")
-    assert "REPARTITION" in one._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in many._jdf.queryExecution().executedPlan().toString()
-    assert one.count() == many.count() == 200
+def test_rows_are_spread_only_where_asked(spark):
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+    rows = spark.range(100)
+    assert "Exchange" not in plan(readers.spread(rows, "id"))
+    assert readers.spread(rows, "id", 3).rdd.getNumPartitions() == 3

@@ -260,3 +260,25 @@ def test_each_file_is_its_own_import(spark):
     raw = spark.createDataFrame([row("f1", 0, "agency", "Oslo"), row("f1", 1, "go", None), row("f2", 5, "go!", " "), row("f3", 6, "go?", "Rome")], columns)
     got = import_csv(raw, rules, F.lit("2026-01-02").cast("date")).collect()
     assert [(r.source_file, r.import_date, r.score, r.salary, r.title) for r in got] == [("f2", "2026-01-02", 9, "N/A", "Dev")]
+
+
+def test_repeated_incoming_keys_give_one_row(spark):
+    from rolescope.operators.merge import insert_absent, upsert_cache
+    table = spark.createDataFrame([("a", "old")], "id string, title string")
+    rows = spark.createDataFrame([("b", "x", 2), ("b", "y", 1), ("a", "z", 3)], "id string, title string, at int")
+    found = insert_absent(table, rows, order=F.col("at")).select("id", "title").collect()
+    assert sorted(map(tuple, found)) == [("a", "old"), ("b", "y")]
+    cache = spark.createDataFrame([("k", "s", None)], "company_name string, summary string, cached_at timestamp")
+    new = spark.createDataFrame([("k", "1", 1), ("k", "2", 2)], "company_name string, summary string, at int")
+    found = upsert_cache(cache, new, F.current_timestamp(), F.col("at").desc())
+    assert [row["summary"] for row in found.collect()] == ["2"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" not in plan
+
+
+def test_patch_of_structured_columns(spark):
+    from rolescope.operators.merge import patch
+    table = spark.createDataFrame([("1", {"a": 1}, ["x"])], "id string, request_counts map<string,int>, pending_jobs array<string>")
+    patches = spark.createDataFrame([("1", {"request_counts": '{"b": 2}', "pending_jobs": '["y", "z"]'})], "id string, fields map<string,string>")
+    row = patch(table, patches, allowed=("request_counts", "pending_jobs")).first()
+    assert row["request_counts"] == {"b": 2} and row["pending_jobs"] == ["y", "z"]

@@ -18,6 +18,5 @@ def test_matches_sql(spark, connection, name):
     assert compare(spark, connection, SF, QUERIES[name], ORACLES[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_gives_rows(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
+def test_every_query_has_a_twin():
+    assert set(QUERIES) == set(ORACLES)
