@@ -5,19 +5,20 @@ first by counts over all documents, kept in a table of fixed size (a shingle's c
 documents; any order gives the same links). If two sets are similar enough, their prefixes in that order share a shingle,
 so prefixes are what is joined.
 
-Large groups of near copies do not pair with each other: first every class is verified against the smallest one that
-shares a prefix shingle, linear in the group. Only classes still in different components are then paired within
-a shingle. Every pair within a component is linked already, and every pair across has been tested: no link is lost.
+Large groups of near copies do not pair with each other: every class is verified against one leader that shares a
+prefix shingle, linear in the group; first the smallest class, then one of the last and one of the first component still
+apart in the shingle. Only classes still in different components after that are paired within a shingle. Every pair
+within a component is linked already, and every pair across has been tested, once: no link is lost.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing, not even each other; texts shorter
 than a shingle are one shingle; repeated rows are copies; a null key counts for nothing in a component's name; other
-columns are ignored. Shingles and classes are 64-bit hashes.
+columns are ignored. Shingles, classes and whole texts are 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -101,11 +102,11 @@ def cell_counts(texts: DataFrame, width: int, cells: int) -> np.ndarray:
 
 def described(documents: DataFrame, keep: tuple[str, ...], text: str, width: int, part: tuple[int, int],
               counts: np.ndarray, cells: int) -> DataFrame:
-    """Per document: kept columns as k0.., class, set size, prefix in rare-first order, bit sketch."""
+    """Per document: kept columns as k0.., class, name of the text, set size, prefix in rare-first order, bit sketches."""
     chosen = documents.select(*[F.col(name).alias(f"k{at}") for at, name in enumerate(keep)],
                               F.col(text).cast("binary").alias("body"))
     schema = T.StructType(chosen.schema.fields[:-1] + T.StructType.fromDDL(
-        "sid long, n int, prefix array<long>, bits array<long>, wide array<long>").fields)
+        "sid long, body_id long, n int, prefix array<long>, bits array<long>, wide array<long>").fields)
     order = documents.sparkSession.sparkContext.broadcast(counts)
     shift = np.uint64(64 - cells)
     over, under = part
@@ -116,20 +117,21 @@ def described(documents: DataFrame, keep: tuple[str, ...], text: str, width: int
                 yield rows(batch.slice(begin, 2000))
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sids, sizes, prefixes, bits, wide = [], [], [], [], []
-        for body in batch["body"]:
-            held = shingles(body.as_py(), width)
+        sids, bodies, sizes, prefixes, bits, wide = [], [], [], [], [], []
+        for body in batch["body"].to_pylist():
+            held = shingles(body, width)
             size = len(held)
             first = size - -(-over * size // under) + 1 if size else 0
             rank = np.lexsort((held, order.value[(held >> shift).astype(np.int64)]))[:first]
             sids.append(class_key(held))
+            bodies.append(xxhash.xxh3_64_intdigest(body or b""))
             sizes.append(size)
             prefixes.append(held[rank].view(np.int64))
             bits.append(sketch(held, SKETCH))
             wide.append(sketch(held, wide_words(size)))
         return pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()),
-             pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())),
+            [*batch.columns[:-1], pa.array(sids, pa.int64()), pa.array(np.array(bodies, np.uint64).view(np.int64)),
+             pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())),
              pa.array(wide, pa.list_(pa.int64()))], schema.fieldNames())
 
     return chosen.mapInArrow(describe, schema)
@@ -175,18 +177,24 @@ def shared_places(classes: DataFrame, cells: int) -> DataFrame:
 
 
 def needed_sets(texts: DataFrame, width: int, wanted: DataFrame, cells: int) -> DataFrame:
-    """(sid, shingles) of the wanted classes. A bit map of fixed size spares most others the way; the join decides."""
-    sent = texts.sparkSession.sparkContext.broadcast(bit_map(wanted, "sid", cells))
+    """(sid, held) of the wanted (sid, body_id): a class by the name of one of its texts.
+
+    A bit map of fixed size, looked up by the text's name, spares most texts the cutting; the join decides.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(bit_map(wanted, "body_id", cells))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
+                bodies = batch["body"][begin:begin + 500].to_pylist()
+                names = np.array([xxhash.xxh3_64_intdigest(body or b"") for body in bodies], np.uint64)
                 sids, sets = [], []
-                for body in batch["body"][begin:begin + 500]:
-                    held = shingles(body.as_py(), width)
-                    sid = class_key(held)
-                    if marked(sent.value, np.array([sid], np.int64).view(np.uint64), cells)[0]:
-                        sids.append(sid)
+                for at in np.flatnonzero(marked(sent.value, names, cells)):
+                    if names[at] not in seen:  # a copy in the same task
+                        seen.add(names[at])
+                        held = shingles(bodies[at], width)
+                        sids.append(class_key(held))
                         sets.append(held.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sets, pa.binary())], ["sid", "held"])
 
@@ -256,11 +264,12 @@ def jaccard_components(documents: DataFrame, *, text: str = "text", keep: tuple[
     counts = cell_counts(texts, width, cells)
     rows = settle(described(documents, keep, text, width, part, counts, cells), "shingle-rows")
     classes = settle(rows.where("n > 0").groupBy("sid").agg(
-        F.min("k0").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"),
+        F.min("k0").alias("least"), F.min("body_id").alias("body_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"),
         F.first("wide").alias("wide")), "classes")
     placed = shared_places(classes, cells + 8)
     leaders = placed.groupBy("shingle").agg(F.count("*").alias("members"), F.min(F.struct("n", "sid", "at")).alias("lead")).where("members > 1")
-    shared = settle(placed.join(leaders.select("shingle", "lead"), "shingle"), "shared-shingles")  # exact again
+    shared = settle(placed.withColumn("component", F.col("sid")).join(leaders.select("shingle", F.struct(
+        F.col("lead.sid").alias("component"), "lead.sid", "lead.n", "lead.at").alias("lead")), "shingle"), "shared-shingles")  # exact again
 
     def narrowed(pairs: DataFrame) -> DataFrame:
         """Distinct pairs that pass the suffix filter with their wide sketches, folded to the shorter one."""
@@ -269,37 +278,54 @@ def jaccard_components(documents: DataFrame, *, text: str = "text", keep: tuple[
         near = (over + under) * differing("a", "b") <= (under - over) * (F.col("a.n") + F.col("b.n"))
         return pairs.distinct().join(sides[0], "u").join(sides[1], "v").where(near).select("u", "v")
 
+    tested = []
+
     def links(pairs: DataFrame) -> DataFrame:
+        """The links among the pairs that no call has verified before."""
+        for earlier in tested:
+            pairs = pairs.join(earlier, ["u", "v"], "left_anti")
         pairs = settle(pairs, "pairs")
-        wanted = pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid"))).distinct()
+        tested.append(pairs)
+        sids = pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid"))).distinct()
+        wanted = settle(sids.join(classes.select("sid", "body_id"), "sid"), "wanted")
         sets = settle(needed_sets(texts, width, wanted, cells + 6), "sets")
         found = settle(verified(pairs, sets, part), "links")
-        discard(pairs, sets)
+        discard(wanted, sets)
         return found
 
     def ordered(a: str, b: str) -> list[Column]:
         return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
 
-    member = shared.select(F.struct("sid", "n", "at").alias("a"), F.col("lead").alias("b"))
-    stars = member.where((F.col("a.sid") != F.col("b.sid")) & may_link("a", "b", part, False)).select(*ordered("a.sid", "b.sid"))
-    edges = links(narrowed(stars))
-    joined = components(edges)
-
-    labelled = shared.join(joined.withColumnRenamed("u", "sid"), "sid", "left").withColumn(
-        "component", F.coalesce("component", "sid"))
-    split = labelled.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    open_rows = settle(
-        labelled.join(split.select("shingle"), "shingle", "left_semi")
-        .join(classes.select("sid", "bits", "wide"), "sid").select("shingle", F.struct(
-            "sid", "n", "at", "component", "bits", "wide", F.col("lead.sid").alias("lead")).alias("a")), "open-shingles")
+    def starred(held: DataFrame) -> DataFrame:
+        member = held.select(F.struct("sid", "n", "at", "component").alias("a"), F.col("lead").alias("b"))
+        return narrowed(member.where((F.col("a.component") != F.col("b.component")) & may_link("a", "b", part, False)).select(
+            *ordered("a.sid", "b.sid")))
+
+    def apart(held: DataFrame, joined: DataFrame, pick: Callable[[Column], Column]) -> DataFrame:
+        """The rows of the shingles that still hold several components, each with a leader out of one of them."""
+        labelled = held.drop("component", "lead").join(joined.withColumnRenamed("u", "sid"), "sid", "left").withColumn(
+            "component", F.coalesce("component", "sid"))
+        split = labelled.groupBy("shingle").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"),
+            pick(F.struct("component", "sid", "n", "at")).alias("lead")).where("low < high")
+        return settle(labelled.join(split.select("shingle", "lead"), "shingle"), "open-shingles")
+
+    edges, held = links(starred(shared)), shared
+    for pick in (F.max, F.min):
+        still = apart(held, components(edges), pick)
+        discard(held)
+        held = still
+        edges = edges.unionByName(links(starred(held)))
+
+    still = apart(held, components(edges), F.max)
+    open_rows = settle(still.join(classes.select("sid", "bits", "wide"), "sid").select("shingle", F.struct(
+        "sid", "n", "at", "component", "bits", "wide").alias("a")), "open-sketches")
+    discard(held, still)
     other = open_rows.select("shingle", F.col("a").alias("b"))
-    across = (
-        (F.col("a.sid") < F.col("b.sid")) & (F.col("a.component") != F.col("b.component"))
-        & (F.col("a.sid") != F.col("a.lead")) & (F.col("b.sid") != F.col("a.lead")) & may_link("a", "b", part, True))
+    across = (F.col("a.sid") < F.col("b.sid")) & (F.col("a.component") != F.col("b.component")) & may_link("a", "b", part, True)
     pairs = open_rows.join(other, (open_rows["shingle"] == other["shingle"]) & across).select(*ordered("a.sid", "b.sid"))
-    more = links(narrowed(pairs))
-    final = components(edges.unionByName(more).distinct())
-    discard(shared, open_rows)
+    final = components(edges.unionByName(links(narrowed(pairs))))
+    discard(open_rows, *tested)
 
     named = final.join(classes.select(F.col("sid").alias("u"), "least"), "u").groupBy("component").agg(F.min("least").alias("name"))
     names = final.join(named, "component").select(F.col("u").alias("sid"), "component", "name")
