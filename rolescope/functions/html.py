@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import html as entities
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rolescope.session import ship_package
+
 # Elements that never have content, and those whose text is not page text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset(("script", "style", "template"))
@@ -78,9 +81,21 @@ def _parse(html: pd.Series) -> pd.DataFrame:
 def parse_html(html: Column) -> Column:
     """Declared nondeterministic only so that filters on its result are not pushed below it, which would
     parse every page once more per filter."""
+    ship_package(SparkSession.getActiveSession())
     return _parse.asNondeterministic()(html)
 
 
+@F.pandas_udf(T.StringType())
+def _decode(text: pd.Series) -> pd.Series:
+    return text.map(entities.unescape, na_action="ignore")
+
+
+def decoded(text: Column) -> Column:
+    """The text with every character reference replaced; meant for short texts such as titles."""
+    ship_package(SparkSession.getActiveSession())
+    return _decode(text)
+
+
 def inner_text(element: Column, texts: Column, separator: str = "") -> Column:
     """The element's texts, each stripped, joined by the separator; null for no element."""
     return F.array_join(element_texts(element, texts), separator)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolescope.functions.html import (
-    attr, below, class_contains, element_texts, first_or_null, has_ancestor, has_class, inner_text,
+    attr, below, class_contains, decoded, element_texts, first_or_null, has_ancestor, has_class, inner_text,
     next_sibling, parse_html,
 )
 from rolescope.functions.normalize import job_id
@@ -76,15 +76,21 @@ def page_title(html: Column) -> Column:
 
 def site_name(html: Column) -> Column:
     tag = F.regexp_extract(html, r"""(?i)(<meta\b[^>]*property=["']og:site_name["'][^>]*>)""", 1)
-    return strip(F.regexp_extract(tag, r"""(?i)content=["']([^"']*)["']""", 1))
+    return F.concat(*[F.regexp_extract(tag, rf"(?i)content={quote}([^{quote}]*){quote}", 1) for quote in ('"', "'")])
+
+
+def capitalised(label: Column) -> Column:
+    """Every run of letters with a capital, the rest of it small: 3m-paints gives 3M-Paints."""
+    runs = F.regexp_extract_all(label, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(0))
+    return F.array_join(F.transform(runs, F.initcap), "")
 
 
 def company_name(url: Column, html: Column, override: Column | None = None) -> Column:
-    """Given name, site-name meta, title patterns, else the host's first label with a capital."""
-    title = strip(unescaped(page_title(html)))
-    choices = [blank_to_null(site_name(html))]
+    """Given name, site-name meta, title patterns, else the host's first label with capitals."""
+    title = strip(decoded(page_title(html)))
+    choices = [blank_to_null(strip(decoded(site_name(html))))]
     choices += [blank_to_null(strip(F.regexp_extract(title, pattern, 1))) for pattern in TITLE_PATTERNS]
-    choices.append(F.initcap(F.element_at(F.split(host(url), r"\."), 1)))
+    choices.append(capitalised(F.element_at(F.split(host(url), r"\."), 1)))
     if override is not None:
         choices.insert(0, blank_to_null(override))
     return F.coalesce(*choices)

@@ -165,10 +165,12 @@ def page_platform(spark, sf):
                        pg.platform(F.col("url"), F.col("html")).alias("platform"))
 
 
-_TITLED = ("CASE page_id % 5 WHEN 0 THEN replace(html, '<title>', '<title>Jobs at ') "
+_TITLED = ("CASE page_id % 7 WHEN 0 THEN replace(html, '<title>', '<title>Jobs at ') "
            "WHEN 1 THEN replace(html, '</title>', ' Careers | home</title>') "
            "WHEN 2 THEN replace(html, '</title>', ' - home</title>') "
            "WHEN 3 THEN replace(html, '</head>', '<meta property=\"og:site_name\" content=\" Site ' || url || '\"></head>') "
+           "WHEN 4 THEN replace(html, '</head>', '<meta property=\"og:site_name\" content=\"Lowe''s &amp; Caf&eacute;&#233;\"></head>') "
+           "WHEN 5 THEN replace(html, '<title>', '<title>AT&amp;T &ndash; M&uuml;ller&rsquo;s Jobs ') "
            "ELSE html END")
 
 
@@ -178,13 +180,22 @@ def _unescape_sql(text: str) -> str:
     return text
 
 
+def _named_sql(text: str) -> str:
+    for escape, plain in (("&eacute;", "é"), ("&#233;", "é"), ("&ndash;", "–"), ("&uuml;", "ü"), ("&rsquo;", "’")):
+        text = f"replace({text}, '{escape}', '{plain}')"
+    return _unescape_sql(text)
+
+
+_SITE_TAG = r"""regexp_extract(html, '(?i)(<meta\b[^>]*property=["'']og:site_name["''][^>]*>)', 1)"""
+_SITE = f"""CASE WHEN regexp_matches({_SITE_TAG}, '(?i)content="') THEN regexp_extract({_SITE_TAG}, '(?i)content="([^"]*)"', 1)
+    ELSE regexp_extract({_SITE_TAG}, '(?i)content=''([^'']*)''', 1) END"""
 _PAGE_COMPANY_SQL = rf"""p AS (SELECT page_id, url, {{html}} AS html FROM pages),
-t AS (SELECT *, {_HOST} AS host, trim({_unescape_sql(r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}) AS title,
-  trim(regexp_extract(regexp_extract(html, '(?i)(<meta\b[^>]*property=["'']og:site_name["''][^>]*>)', 1),
-    '(?i)content=["'']([^"'']*)["'']', 1)) AS site FROM p),
+t AS (SELECT *, {_HOST} AS host, trim({_named_sql(r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}) AS title,
+  trim({_named_sql(_SITE)}) AS site FROM p),
 companies AS (SELECT page_id, coalesce(nullif(site, ''),
   {", ".join("nullif(trim(regexp_extract(title, '" + pattern + "', 1)), '')" for pattern in pg.TITLE_PATTERNS)},
-  upper(substr(split_part(host, '.', 1), 1, 1)) || substr(split_part(host, '.', 1), 2)) AS company FROM t)"""
+  array_to_string(list_transform(regexp_extract_all(split_part(host, '.', 1), '[a-z]+|[^a-z]+'),
+    lambda run: upper(run[1]) || run[2:]), '')) AS company FROM t)"""
 
 
 @query("page_company", f"WITH {_PAGE_COMPANY_SQL.format(html=_TITLED)} SELECT page_id, company FROM companies")

@@ -75,11 +75,16 @@ def test_platform_and_company(spark):
     rows = [("https://boards.greenhouse.io/x", "<title>Jobs at Acme Co - home</title>"),
             ("https://jobs.lever.co/x", "<title>Acme Careers</title>"),
             ("https://acme.wd5.myworkdayjobs.com", '<meta property="og:site_name" content=" Acme "><title>x</title>'),
-            ("https://www.x.org", "<p>powered by Clever</p>"), ("https://acme.org/jobs", "<p></p>")]
+            ("https://www.x.org", "<p>powered by Clever</p>"), ("https://acme.org/jobs", "<p></p>"),
+            ("https://a.org", """<meta property="og:site_name" content="Lowe's">"""),
+            ("https://a.org", "<title>AT&amp;T &ndash; M&#252;ller&rsquo;s Jobs</title>"),
+            ("https://acme-corp.com", ""), ("https://3m.com", "<p></p>")]
     frame = spark.createDataFrame(rows, "url string, html string")
     got = frame.select(pg.platform(F.col("url"), F.col("html")), pg.company_name(F.col("url"), F.col("html"))).collect()
     assert [tuple(row) for row in got] == [("greenhouse", "Acme Co"), ("lever", "Acme"), ("workday", "Acme"),
-                                           ("lever", "Www"), ("generic", "Acme")]
+                                           ("lever", "Www"), ("generic", "Acme"),
+                                           ("generic", "Lowe's"), ("generic", "AT&T – Müller’s"),
+                                           ("generic", "Acme-Corp"), ("generic", "3M")]
 
 
 def test_careers_import(spark):
