@@ -213,10 +213,12 @@ def workplace_links(page: Column, base: Column) -> Column:
 
 
 def _first_per(links: Column, key) -> Column:
-    """First link per key inside one page, order kept."""
+    """First link per key inside one page, order kept: sorted by key and place, so that equal keys are neighbours."""
     def pick(found: Column) -> Column:
-        return let(F.transform(found, key), lambda keys: F.transform(
-            F.array_distinct(keys), lambda wanted: F.get(found, F.array_position(keys, wanted).cast("int") - 1)))
+        places = F.array_sort(F.transform(found, lambda link, at: F.struct(key(link).alias("key"), at.alias("at"))))
+        return let(places, lambda ordered: F.transform(F.array_sort(F.transform(
+            F.filter(ordered, lambda place, at: (at == 0) | ~place["key"].eqNullSafe(F.get(ordered, at - 1)["key"])),
+            lambda place: place["at"])), lambda at: F.get(found, at)))
     return let(links, pick)
 
 
