@@ -6,9 +6,10 @@ documents; any order gives the same links). If two sets are similar enough, thei
 so prefixes are what is joined.
 
 Large groups of near copies do not pair with each other: every class is verified against one leader that shares a
-prefix shingle, linear in the group; first the smallest class, then one of the last and one of the first component still
-apart in the shingle. Only classes still in different components after that are paired within a shingle. Every pair
-within a component is linked already, and every pair across has been tested, once: no link is lost.
+prefix shingle, linear in the group; first the smallest class, then one of the last component still apart in the
+shingle. Only classes still in different components after that are paired within a shingle, and not where both have the
+same open shingle before it: they meet there too. So a pair with a run of common shingles meets once, at its start.
+Every pair within a component is linked already, and every pair across has been tested, once: no link is lost.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing, not even each other; texts shorter
 than a shingle are one shingle; repeated rows are copies; a null key counts for nothing in a component's name; other
@@ -23,7 +24,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -310,19 +311,19 @@ def jaccard_components(documents: DataFrame, *, text: str = "text", keep: tuple[
             pick(F.struct("component", "sid", "n", "at")).alias("lead")).where("low < high")
         return settle(labelled.join(split.select("shingle", "lead"), "shingle"), "open-shingles")
 
-    edges, held = links(starred(shared)), shared
-    for pick in (F.max, F.min):
-        still = apart(held, components(edges), pick)
-        discard(held)
-        held = still
-        edges = edges.unionByName(links(starred(held)))
+    edges = links(starred(shared))
+    held = apart(shared, components(edges), F.max)
+    discard(shared)
+    edges = edges.unionByName(links(starred(held)))
 
     still = apart(held, components(edges), F.max)
-    open_rows = settle(still.join(classes.select("sid", "bits", "wide"), "sid").select("shingle", F.struct(
-        "sid", "n", "at", "component", "bits", "wide").alias("a")), "open-sketches")
+    before = F.lag("shingle").over(Window.partitionBy("sid").orderBy("at"))
+    open_rows = settle(still.join(classes.select("sid", "bits", "wide"), "sid").withColumn("before", before).select(
+        "shingle", F.struct("sid", "n", "at", "component", "bits", "wide", "before").alias("a")), "open-sketches")
     discard(held, still)
     other = open_rows.select("shingle", F.col("a").alias("b"))
-    across = (F.col("a.sid") < F.col("b.sid")) & (F.col("a.component") != F.col("b.component")) & may_link("a", "b", part, True)
+    met = F.coalesce(F.col("a.before") == F.col("b.before"), F.lit(False))
+    across = (F.col("a.sid") < F.col("b.sid")) & (F.col("a.component") != F.col("b.component")) & ~met & may_link("a", "b", part, True)
     pairs = open_rows.join(other, (open_rows["shingle"] == other["shingle"]) & across).select(*ordered("a.sid", "b.sid"))
     final = components(edges.unionByName(links(narrowed(pairs))))
     discard(open_rows, *tested)
