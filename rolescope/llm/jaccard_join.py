@@ -36,26 +36,46 @@ FACTORS = np.random.default_rng(7).integers(1, 2**62, 64, dtype=np.uint64) * np.
 SKETCH = 4
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+#: Word hashing: bytes taken at a time, the longest word hashed by powers, a value per byte, and powers of an odd number
+#: with those of its inverse modulo 2**64.
+BLOCK, LONGEST = 1 << 20, 1 << 16
+BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+VALUES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
+BASE = 0x9E3779B97F4A7C1B
+POWERS, INVERSES = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(BLOCK + LONGEST, step, np.uint64))])
+                    for step in (BASE, pow(BASE, -1, 1 << 64)))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
 
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash per word, in order: the word's bytes as digits of a number, then mixed.
 
-HASHES = WordHashes()
+    Sums over a block of the text give the words in it by differences, wherever they stand. Words too long for a block
+    are hashed one by one, so memory beyond the text's own places is bounded by the block.
+    """
+    held = np.frombuffer(text, np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], BLANK[held], [True]]).view(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    out = np.zeros(len(starts), np.uint64)
+    cuts = np.unique(np.searchsorted(starts, np.arange(0, len(held) + BLOCK, BLOCK)))
+    for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+        low = int(starts[first])
+        at, to = starts[first:last] - low, ends[first:last] - low
+        part = held[low:low + min(int(to[-1]), BLOCK + LONGEST)]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(VALUES[part] * POWERS[:len(part)])])
+        out[first:last] = (sums[np.minimum(to, len(part))] - sums[at]) * INVERSES[at]
+    for place in np.flatnonzero(ends - starts > LONGEST):
+        out[place] = xxhash.xxh3_64_intdigest(text[starts[place]:ends[place]])
+    out ^= out >> np.uint64(32)
+    out = out * np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(32))
 
 
 def shingles(text: bytes | None, width: int) -> np.ndarray:
     """The sorted distinct hashes of the text's word shingles; a shorter text is one shingle."""
-    held = text.lower().split() if text else []
-    if not held:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(HASHES.__getitem__, held), np.uint64, len(held))
-    size = min(width, len(held))
+    hashes = word_hashes(text.lower()) if text else np.zeros(0, np.uint64)
+    if not len(hashes):
+        return hashes
+    size = min(width, len(hashes))
     out = hashes[:len(hashes) - size + 1] * FACTORS[0]
     for step in range(1, size):
         out = out + hashes[step:len(hashes) - size + 1 + step] * FACTORS[step]
@@ -63,7 +83,8 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
     out ^= out >> np.uint64(31)
     out = out * np.uint64(0x94D049BB133111EB)
     out ^= out >> np.uint64(29)
-    return np.unique(out)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def class_key(held: np.ndarray) -> int:

@@ -6,7 +6,7 @@ import re
 import pytest
 
 from rolescope.llm import queries
-from rolescope.llm.jaccard_join import jaccard_components
+from rolescope.llm.jaccard_join import BLOCK, LONGEST, jaccard_components, word_hashes
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,3 +64,16 @@ def test_groups_of_near_copies(spark, width, part):
     frame = spark.createDataFrame(list(zip(keys, texts, strict=True)), "doc_id long, text string").repartition(3)
     wanted = brute(keys, texts, width, *part)
     assert sorted(map(tuple, jaccard_components(frame, width=width, part=part).drop("component_key").collect())) == sorted(wanted)
+
+
+def test_word_hashes_tell_words_apart_wherever_they_stand():
+    long = [b"x" * n for n in (LONGEST - 1, LONGEST, LONGEST + 1, BLOCK - 3, BLOCK, BLOCK + LONGEST + 5)]
+    texts = [b"", b" ", b"a", b" a\t\x0bb\r\n", b"\x00 \x00\x00 \xff", "é ü x".encode(), b"ab ba aab aba baa " * 3,
+             b" ".join(long), b"  ".join(long[::-1]) + b" z", b" " * (BLOCK + 7) + b"z ab", b"w%d " * 9 % tuple(range(9)) * 60_000]
+    names, words = {}, {}
+    for text in texts:
+        held, hashes = text.split(), word_hashes(text).tolist()
+        assert len(held) == len(hashes)
+        for word, name in zip(held, hashes, strict=True):
+            assert names.setdefault(word, name) == name
+            assert words.setdefault(name, word) == word
