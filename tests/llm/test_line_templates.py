@@ -28,3 +28,26 @@ def test_lines_that_recur_as_they_are(spark):
     for line, copies, goes in CASES:
         assert sum(line in lines for lines in found) == (copies - 1 if goes else 0), line
     assert sum(map(len, found)) == sum(copies - 1 for _, copies, goes in CASES if goes)
+
+
+def test_templates_beside_other_lines_of_their_leaf(spark):
+    """Two templates of one leaf, and four times as many other lines of the same length and first tokens."""
+    rng = random.Random(5)
+    other = [" ".join(["Posted", "by", *("".join(rng.choices("abcdefghij", k=6)) for _ in range(6))]) for _ in range(240)]
+    first = [f"Posted by {name} in our weekly news section" for name in NAMES[:30]]
+    second = [f"Posted by the staff of {name} with many thanks"[:60] for name in NAMES[:30]]
+    second = [" ".join(line.split()[:8]) for line in second]
+    found = dropped(spark, [f"{at}x\n{line}" for at, line in enumerate([*first, *second, *other])])
+    assert sum(map(len, found[:30])) == 29 and sum(map(len, found[30:60])) == 29
+    assert not any(found[60:])
+
+
+def test_a_template_whose_field_holds_frequent_words(spark):
+    """Values of the field that other lines of the leaf hold more often than the template's own words."""
+    values = NAMES[:12]
+    rng = random.Random(6)
+    other = [" ".join(["Posted", "by", value, *("".join(rng.choices("abcdefghij", k=6)) for _ in range(5))])
+             for value in values for _ in range(20)]
+    lines = [f"Posted by {value} in our weekly news section"[:80] for value in values]
+    found = dropped(spark, [f"{at}x\n{line}" for at, line in enumerate([*lines, *other])])
+    assert sum(map(len, found[:12])) == 11 and not any(found[12:])
