@@ -47,27 +47,47 @@ def plan_jobs_view(plans: DataFrame, plan_jobs: DataFrame, jobs: DataFrame) -> D
     return plans.join(members, "id", "left")
 
 
-def plans_nested(plans: DataFrame, plan_jobs: DataFrame, jobs: DataFrame, per_row: int = 5000) -> DataFrame:
-    """Plans with their jobs as an array, empty for a plan without jobs.
+def plans_listed(plans: DataFrame, plan_jobs: DataFrame, jobs: DataFrame) -> DataFrame:
+    """One row per plan job, as ``plans_nested`` holds it, with its ``number`` in the plan by job id from 1 on.
 
-    A plan with more than ``per_row`` jobs is spread over several rows (``chunk`` of ``chunks``), so no
-    array grows with the data; chunks are cut by a hash of the job id and every job is in exactly one.
-    Jobs meet their plan's size on (plan, id block) and the plan itself on (plan, chunk), so a plan with
-    most of the jobs is never one join key.
+    The form for plans of any size: no row grows. A plan without jobs keeps one row, whose number and job are null.
     """
-    blocked = plan_jobs.withColumn("_block", id_block("job_id"))
-    sizes = blocked.groupBy("plan_id", "_block").agg(F.count("*").alias("_size"))
-    total = F.sum("_size").over(Window.partitionBy("plan_id"))
-    chunks = sizes.select("plan_id", "_block", F.ceil(total / per_row).cast("int").alias("chunks"))
     details = jobs.select(F.col("id").alias("job_id"), "company", F.col("title").alias("job_title"))
-    job = F.struct(
+    numbered = numbered_within(plan_jobs, ["plan_id"], "job_id", id_block("job_id")).join(details, "job_id", "left")
+    return plans.join(numbered.select(F.col("plan_id").alias("id"), "number", nested_job().alias("job")), "id", "left")
+
+
+def nested_job() -> Column:
+    return F.struct(
         F.col("job_id").alias("id"), or_empty(F.col("notes")).alias("notes"),
         or_empty(F.col("company")).alias("company"), or_empty(F.col("job_title")).alias("title"),
     )
+
+
+def plans_nested(plans: DataFrame, plan_jobs: DataFrame, jobs: DataFrame, per_row: int | None = None) -> DataFrame:
+    """Plans with their jobs as an array, empty for a plan without jobs: one row per plan, whatever its size.
+
+    The array is as long as the plan; ``plans_listed`` has a row per job. Only a caller that names ``per_row`` gets
+    larger plans spread over several rows (``chunk`` of ``chunks``), cut by a hash of the job id.
+    """
+    details = jobs.select(F.col("id").alias("job_id"), "company", F.col("title").alias("job_title"))
+    if per_row is None:
+        nested = (
+            plan_jobs.join(details, "job_id", "left").groupBy(F.col("plan_id").alias("id"))
+            .agg(F.array_sort(F.collect_list(nested_job())).alias("jobs"))
+        )
+        empty = F.array().cast(nested.schema["jobs"].dataType)
+        return plans.join(nested, "id", "left").select(
+            "id", F.lit(0).alias("chunk"), *[plans[name] for name in plans.columns if name != "id"],
+            F.lit(1).alias("chunks"), F.coalesce("jobs", empty).alias("jobs"))
+    blocked = plan_jobs.withColumn("_block", id_block("job_id"))
+    sizes = blocked.groupBy("plan_id", "_block").agg(F.count("*").alias("_size"))
+    total = F.sum("_size").over(Window.partitionBy("plan_id"))
+    chunks = sizes.select("plan_id", "_block", F.ceil(total / per_row).cast("int").alias("chunks"))
     nested = (
         blocked.join(chunks, ["plan_id", "_block"]).join(details, "job_id", "left")
         .withColumn("chunk", F.pmod(F.xxhash64("job_id"), F.col("chunks")).cast("int"))
-        .groupBy(F.col("plan_id").alias("id"), "chunk").agg(F.array_sort(F.collect_list(job)).alias("jobs"))
+        .groupBy(F.col("plan_id").alias("id"), "chunk").agg(F.array_sort(F.collect_list(nested_job())).alias("jobs"))
     )
     per_plan = chunks.groupBy(F.col("plan_id").alias("id")).agg(F.max("chunks").alias("chunks"))
     rows = (

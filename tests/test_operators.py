@@ -191,6 +191,22 @@ def test_plans_nested_splits_a_large_plan(spark):
     assert [(row.chunks, row.jobs) for row in rows if row.id == "q"] == [(1, [])]
 
 
+def test_plans_nested_keeps_one_row_at_every_size(spark):
+    plans = spark.createDataFrame([("p", "t", "d"), ("q", "t", "d"), ("r", "t", "d")], "id string, title string, date string")
+    members = spark.range(5001).selectExpr("'p' AS plan_id", "concat('j', id) AS job_id", "'n' AS notes").union(
+        spark.range(5000).selectExpr("'r'", "concat('j', id)", "'n'"))
+    jobs = spark.createDataFrame([("j1", "C", "T")], "id string, company string, title string")
+    rows = {row.id: row for row in views.plans_nested(plans, members, jobs).collect()}
+    assert {plan: (row.chunk, row.chunks, len(row.jobs)) for plan, row in rows.items()} == {
+        "p": (0, 1, 5001), "q": (0, 1, 0), "r": (0, 1, 5000)}
+    order = sorted(f"j{n}" for n in range(5001))
+    assert [job.id for job in rows["p"].jobs] == order
+    listed = views.plans_listed(plans, members, jobs).collect()
+    assert len(listed) == 5001 + 1 + 5000
+    large = sorted((row.number, row.job) for row in listed if row.id == "p")
+    assert [number for number, _ in large] == list(range(1, 5002)) and [job for _, job in large] == rows["p"].jobs
+
+
 def test_batch_stats_cover_all_rows(spark):
     frame = spark.createDataFrame([("d", "Match"), ("d", "odd"), (None, None), ("e", "Strong Match")], "import_date string, tier string")
     rows = views.batch_stats(frame).collect()
