@@ -25,11 +25,11 @@ from rolescope.llm.dom import Page, named
 from rolescope.session import ship_package
 
 KINDS = {tag: kind for kind, tags in {
-    "main": "article main", "side": "nav footer aside form menu dialog button label fieldset address figure details",
-    "top": "header", "head": "head title", "raw": "script style template noscript textarea iframe svg math object select",
-    "text": "p blockquote pre figcaption", "heading": "h1 h2 h3 h4 h5 h6 hgroup", "list": "ul ol dl", "item": "li dt dd",
+    "main": "article main", "side": "nav footer aside form menu dialog button fieldset select template",
+    "top": "header", "head": "head title", "raw": "script style noscript textarea iframe",
+    "text": "p blockquote pre figcaption summary address", "heading": "h1 h2 h3 h4 h5 h6 hgroup", "list": "ul ol dl", "item": "li dt dd",
     "table": "table thead tbody tfoot tr td th caption", "link": "a",
-    "inline": "abbr b big cite code del em font i ins kbd mark q s small span strong sub sup time u",
+    "inline": "abbr b big cite code del em font i ins kbd label mark math q s small span strong sub sup svg time u",
 }.items() for tag in tags.split()}
 #: Words of class, id and role values that name a part of a page.
 ASIDE = frozenset(

@@ -14,6 +14,7 @@ NOTICE = f'<div class="cookie-notice"><p>{LINE}</p><button>Accept</button></div>
 COMMENTS = f'<div class="comments" data-content="0"><h3>Comments</h3><div class="comment"><p>{LONG}</p></div><div class="comment"><p>{LINE}</p></div></div>'
 ADVERT = f'<div class="ad" data-content="0">{LINE}</div>'
 FORM = '<form action="/s" data-content="0"><label>Your mail</label><input name="q"><button>Send</button></form>'
+PARTS = f'<figure><pre>code of some length here</pre><figcaption>{LINE}</figcaption></figure><details><summary>short point</summary><p>{LINE}</p></details><address>{LINE}</address>'
 
 PAGES = [
     f'<html>{HEAD}<body><nav>{MENU}</nav>{ADVERT}<article data-content="1">{BODY}</article><footer>&copy; the site, some words of it.</footer></body></html>',
@@ -24,6 +25,6 @@ PAGES = [
     f'<html>{HEAD}<body><div data-content="1"><h1>A headline</h1><p>{LONG}</p><p>{LONG}</p><p>{LINE}</p></div><div>{MENU}</div></body></html>',
     f'<html>{HEAD}<body><section class="banner"><p>{LINE}</p></section><section data-content="1">{BODY}<table><tr><td>one</td><td>two</td></tr></table></section><section class="newsletter"><p>{LINE}</p>{FORM}</section></body></html>',
     f'<html>{HEAD}<body><h1 data-content="1">A headline</h1><p data-content="1">{LONG}</p><p data-content="1">{LINE}</p><p data-content="1">{LONG}</p><footer>{LINE}</footer></body></html>',
-    f'<html>{HEAD}<body><div class="page"><header class="masthead"><p>{LINE}</p>{MENU}</header><article data-content="1" class="post">{BODY}<figure data-content="0"><p>{LINE}</p></figure><div class="notice" data-content="0"><p>{LONG}</p></div></article>{COMMENTS}<aside class="sidebar"><p>{LONG}</p></aside></div></body></html>',
+    f'<html>{HEAD}<body><div class="page"><header class="masthead"><p>{LINE}</p>{MENU}</header><article data-content="1" class="post">{BODY}{PARTS}<div class="notice" data-content="0"><p>{LONG}</p></div></article>{COMMENTS}<aside class="sidebar"><p>{LONG}</p></aside></div></body></html>',
     f'<html>{HEAD}<body><div class="alert" role="dialog"><p>{LONG}</p></div><nav class="breadcrumb">{MENU}</nav><main><div class="entry-content" data-content="1"><p>{LONG}</p><div><p>{LINE}</p></div><pre>code of some length here</pre></div><section id="comments"><h2>Replies</h2><article data-content="0"><p>{LONG}</p></article></section></main></body></html>',
 ]
