@@ -14,7 +14,16 @@ TAG = re.compile(
     re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript textarea iframe svg math object select".split())
+#: Text up to the end tag, or to the end of the page: what browsers read so when scripts run.
+RAW = frozenset("script style noscript textarea iframe".split())
+#: Elements with an inside that stand within a line.
+WITHIN = frozenset("svg math object select template".split())
+#: Without an end tag to come these are not opened, as all that follows would be inside.
+CLOSED = frozenset("svg math select template".split())
+#: HTML elements that end an open svg, math or select.
+BREAKOUT = frozenset(
+    "address article aside blockquote body center details div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 "
+    "h5 h6 header hr li main nav ol p pre section summary table ul".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span "
     "strike strong sub sup time tt u var wbr td th".split())
@@ -32,6 +41,7 @@ class Page:
         self.pieces: list[tuple[int, int, str]] = []
         self.block = 0
         self.stack = [0]
+        self.html, self.ends = html, {}
         self.depths: dict[str, list[int]] = defaultdict(list)
         at, size = 0, len(html)
         while at < size:
@@ -49,13 +59,26 @@ class Page:
             name = name.lower()
             if ends:
                 self.end(name)
-            else:
+            elif name not in CLOSED or (attributes or "").endswith("/") or self.closes(name, at):
                 self.start(name, attributes or "")
+                if (attributes or "").endswith("/") and (self.depths["svg"] or self.depths["math"]):
+                    self.end(name)
                 if name in RAW and not (attributes or "").endswith("/"):
                     close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
                     at = close.end() if close else size
                     self.end(name)
 
+    def closes(self, name: str, at: int) -> bool:
+        """Whether an end tag of the name follows; the page is searched once over all calls."""
+        if self.ends.get(name, -1) < at:
+            found = re.compile(rf"</{name}\b", re.I).search(self.html, at)
+            self.ends[name] = found.start() if found else len(self.html) + 1
+        return self.ends[name] <= len(self.html)
+
+    def inline(self, name: str) -> bool:
+        foreign = (self.depths["svg"] or self.depths["math"]) and name not in BREAKOUT
+        return bool(name in INLINE or name in WITHIN or foreign)
+
     def text(self, text: str) -> None:
         if text and not text.isspace():
             self.pieces.append((self.stack[-1], self.block, text))
@@ -67,7 +90,10 @@ class Page:
             self.depths[self.tags[self.stack.pop()]].pop()
 
     def start(self, name: str, attributes: str) -> None:
-        block = name not in INLINE
+        block = not self.inline(name)
+        for outer in ("svg", "math", "select"):
+            if name in BREAKOUT and self.depths[outer]:
+                self.pop_to(self.depths[outer][0])
         if block and self.depths["p"] and name not in RAW and name not in VOID:
             self.pop_to(self.depths["p"][-1])
         scope = max((self.depths[outer][-1] for outer in SCOPES.get(name, ()) if self.depths[outer]), default=-1)
@@ -87,7 +113,7 @@ class Page:
         self.stack.append(len(self.tags) - 1)
 
     def end(self, name: str) -> None:
-        if name not in INLINE:
+        if not self.inline(name):
             self.block += 1
         if not self.depths[name]:
             return

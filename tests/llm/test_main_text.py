@@ -17,8 +17,21 @@ def extracted(inside):
     "<figure><img src='x'><figcaption>The held words.</figcaption></figure>",
     "<figure><table><tr><td>The held words.</td></tr></table></figure>", "<figure><pre>The held words.</pre></figure>",
     "<details><summary>More</summary><p>The held words.</p></details>", "<details><summary>The held words.</summary></details>",
-    "<address>The held words.</address>", "<p><label>The held words.</label></p>"])
+    "<address>The held words.</address>", "<p>So <math><mi>The</mi> <mo>held</mo> <mi>words.</mi></math> it is.</p>",
+    "<object data='x'><p>The held words.</p></object>", "<p><label>The held words.</label></p>",
+    "<p><svg><path d='x'/></svg>The held words.</p>"])
 def test_all_that_an_article_holds_stays(inside):
     text = extracted(inside)
     assert "The held words." in text and "Last." in text
     assert not any(out in text for out in ("Foot.", "Your mail", "One\n", "Home"))
+
+
+@pytest.mark.parametrize("tag", ["svg", "math", "object", "select", "template"])
+def test_an_element_without_an_end_tag_cuts_nothing(tag):
+    text = extracted(f"<{tag}><p>The held words.</p>").replace("</select>", "")
+    assert "The held words." in text and "Last." in text
+
+
+def test_raw_text_and_hidden_parts_stay_out():
+    text = extracted("<script>one()</script><template><p>two</p></template><select><option>three</option></select>")
+    assert text == extracted("")
