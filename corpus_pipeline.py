@@ -18,7 +18,7 @@ from rolescope.llm.log_templates import line_templates
 from rolescope.llm.mixing import mix
 from rolescope.session import settle
 
-#: No SQL: line templates and connected components have none. Tested against brute force instead.
+#: No SQL: line templates and connected components have none. Tested by cases with known answers instead.
 ORACLE_SQL = None
 
 
