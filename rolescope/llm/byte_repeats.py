@@ -5,7 +5,7 @@ Two equal strings of ``length`` bytes need not be compared at every start: with
 both. So ranks are worked out for the cover sample alone, a ninth of all starts: equal strings of length - period + 1 bytes
 get the same rank, and only whether a rank recurs is kept. Starts within a period before a recurring sample are
 the only suffixes that can tie for ``length`` bytes; they alone are sorted, one suffix bucket after the other.
-Ranks and suffixes are compared by 64-bit fingerprints of the whole strings.
+Samples and strings are compared by the leading bits of 64-bit fingerprints (``Buckets.short``); hits are not confirmed.
 
 Documents lie in packs, written once and bucketed by pack, so the texts are never shuffled: only names move, as a few
 bytes each, and come back as bits. Copies of a whole text count through their text's hash; one copy stands for all.
