@@ -11,6 +11,7 @@ from rolescope.llm.byte_repeats import byte_repeats
 from rolescope.llm.common import digest, table
 from rolescope.llm.decontaminate import decontaminate, digests
 from rolescope.llm.html_content import ContentModel, extract_main
+from rolescope.llm.infill import infill, restored
 from rolescope.llm.jaccard_join import jaccard_components
 from rolescope.llm.labelled_pages import PAGES
 from rolescope.llm.line_quality import line_quality
@@ -167,3 +168,26 @@ def op10_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_jaccard_components")
 def op7_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).drop("component_key")
+
+
+@query("op13_infill", r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+drawn AS (
+  SELECT doc_id, text, length(text) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+    ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM docs),
+formed AS (
+  SELECT *, CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90
+    THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+    least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM drawn),
+cut AS (
+  SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM formed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM cut
+""")
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill(table(spark, sf_dir, "documents")).withColumns({
+        "output_sha256": digest(F.col("output")), "restored_sha256": digest(restored(F.col("output"), F.col("form"))),
+    }).drop("output")
