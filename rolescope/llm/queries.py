@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rolescope.llm.byte_repeats import byte_repeats
 from rolescope.llm.common import digest, table
 from rolescope.llm.decontaminate import decontaminate, digests
+from rolescope.llm.fourier_quality import quality_scores
 from rolescope.llm.html_content import ContentModel, extract_main
 from rolescope.llm.infill import infill, restored
 from rolescope.llm.jaccard_join import jaccard_components
@@ -191,3 +192,8 @@ def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill(table(spark, sf_dir, "documents")).withColumns({
         "output_sha256": digest(F.col("output")), "restored_sha256": digest(restored(F.col("output"), F.col("form"))),
     }).drop("output")
+
+
+@query("op11_fourier_quality")
+def op11_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
