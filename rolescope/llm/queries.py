@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rolescope.llm.byte_repeats import byte_repeats
 from rolescope.llm.common import digest, table
 from rolescope.llm.decontaminate import decontaminate, digests
+from rolescope.llm.dual_tree import ranked
 from rolescope.llm.fourier_quality import quality_scores
 from rolescope.llm.html_content import ContentModel, extract_main
 from rolescope.llm.infill import infill, restored
@@ -197,3 +198,28 @@ def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_fourier_quality")
 def op11_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_dual_tree", r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark WHERE text IS NOT NULL),
+totals AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM docs WHERE len(w) > 0),
+counts AS (
+  SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM docs),
+held AS (SELECT r, doc_id, n, term, count(*) AS tf FROM counts WHERE term IN (SELECT term FROM items) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM held, totals GROUP BY term, n_docs),
+scored AS (
+  SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM held JOIN weights USING (term) JOIN items USING (term), totals GROUP BY ALL),
+ranks AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranks WHERE rank <= 50
+""")
+def op12_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
