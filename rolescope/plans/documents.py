@@ -15,7 +15,7 @@ from rolescope.plans import fixtures as fx
 from rolescope.plans.fixtures import RULES
 from rolescope.plans.registry import query
 from rolescope.rules import CompanyPool, Rules
-from rolescope.session import work_folder
+from rolescope.session import settle, work_folder
 from rolescope.sources.writers import write_artifacts
 
 _RULE = "-" * tl.RULE_WIDTH
@@ -45,14 +45,56 @@ picked AS (SELECT * FROM ranked WHERE rank <= cap)"""
 WITH {fx.POSTINGS}, {fx.POOL}, {_picked_sql()}
 SELECT row_no, employer, rank, md5(text) AS text_md5 FROM picked""")
 def bullet_pick(spark, sf):
-    rows = fx.postings(spark, sf).select("row_no", "title", "description")
-    picked = tl.pick_bullets(rows, fx.pool(spark, sf), RULES)
+    return _bullet_rows(tl.pick_bullets(_read(spark, sf, "row_no", "title"), fx.pool(spark, sf), RULES))
+
+
+def _read(spark, sf, *columns):
+    """Postings with what tailoring wants from their texts, read once and settled."""
+    rows = fx.postings(spark, sf).select("title", "description", *[name for name in columns if name != "title"])
+    return settle(tl.read_triggers(rows, RULES).select(*columns, "triggers", "skills"), "triggers")
+
+
+def _bullet_rows(picked):
     lines = F.flatten(F.transform("sections", lambda section: F.transform(
         section["bullets"], lambda text, at: F.struct(
             section["company"].alias("employer"), (at + 1).alias("rank"), F.md5(text).alias("text_md5")))))
     return unfold(picked, ["row_no"], lines, "rank")
 
 
+# Every third bullet is in two companies, so that companies compete for it.
+_SHARED_POOL = f"""{fx.POOL},
+shared_pool AS (SELECT * FROM pool UNION ALL SELECT 'Company ' || substr('ABCD', (company_ord + 1) % 4 + 1, 1),
+  (company_ord + 1) % 4, (company_ord + 1) % 4 + 2, ord, text FROM pool WHERE ord % 3 = 0)"""
+
+
+def shared_pool(spark, sf):
+    pool = fx.pool(spark, sf)
+    other = (F.col("company_ord") + 1) % 4
+    return pool.unionByName(pool.filter("ord % 3 = 0").withColumns({
+        "company": F.concat(F.lit("Company "), F.substring(F.lit("ABCD"), other + 1, F.lit(1))),
+        "company_ord": other, "cap": other + 2}))
+
+
+@query("bullet_conflicts", f"""
+WITH RECURSIVE {fx.POSTINGS}, {_SHARED_POOL},
+flags AS (SELECT row_no, {_FLAGS} FROM postings),
+bullets AS (SELECT *, lower(text) AS low FROM shared_pool),
+ranked AS (SELECT row_no, company_ord AS c, company AS employer, cap, md5(text) AS text_md5,
+    row_number() OVER (PARTITION BY row_no ORDER BY {_RELEVANCE} DESC, company_ord, ord) AS pos FROM flags, bullets),
+steps AS (
+  SELECT row_no, 0::BIGINT AS pos, []::STRUCT(c INTEGER, e VARCHAR, t VARCHAR)[] AS taken FROM flags
+  UNION ALL
+  SELECT s.row_no, r.pos, CASE WHEN len(list_filter(taken, lambda x: x.t = r.text_md5)) = 0
+      AND len(list_filter(taken, lambda x: x.c = r.c)) < r.cap
+    THEN list_append(taken, {{'c': r.c, 'e': r.employer, 't': r.text_md5}}) ELSE taken END
+  FROM steps s JOIN ranked r ON r.row_no = s.row_no AND r.pos = s.pos + 1),
+ends AS (SELECT row_no, unnest(taken) AS x, unnest(range(len(taken))) AS n FROM steps
+  QUALIFY row_number() OVER (PARTITION BY row_no ORDER BY pos DESC) = 1)
+SELECT row_no, x.e AS employer, row_number() OVER (PARTITION BY row_no, x.c ORDER BY n) AS rank, x.t AS text_md5 FROM ends""")
+def bullet_conflicts(spark, sf):
+    return _bullet_rows(tl.pick_bullets(_read(spark, sf, "row_no", "title"), shared_pool(spark, sf), RULES))
+
+
 _LOW = "lower(p.description)"
 _HEAD_SQL = f"""'Position: ' || p.company || ' - ' || p.title || chr(10) || repeat('=', 66) || chr(10) || chr(10)
   || 'SKILLS' || chr(10) || '{_RULE}' || chr(10)
@@ -79,8 +121,7 @@ tailored AS (SELECT p.row_no, {_HEAD_SQL} || coalesce(b.body, '') AS resume_text
 WITH {fx.POSTINGS}, {fx.POOL}, {_tailored_sql()}
 SELECT row_no, length(resume_text) AS size, md5(resume_text) AS text_md5 FROM tailored""")
 def tailored_text(spark, sf):
-    rows = fx.postings(spark, sf).select("row_no", "company", "title", "description")
-    done = tl.tailored(rows, fx.pool(spark, sf), RULES)
+    done = tl.tailored(_read(spark, sf, "row_no", "company", "title"), fx.pool(spark, sf), RULES)
     return done.select("row_no", F.length("resume_text").alias("size"), F.md5("resume_text").alias("text_md5"))
 
 
@@ -109,6 +150,30 @@ def regen_diff(spark, sf):
     return tl.regenerated(stored, pool, RULES).groupBy("outcome").agg(F.count("*").alias("jobs"))
 
 
+# Stored texts come from the rules before a change of the first pair; every fifth posting has lost its description.
+_FIRST_RULES = replace(RULES, pairs=RULES.pairs[1:])
+
+
+@query("regen_rows", f"""
+WITH {fx.POSTINGS}, {fx.POOL}, {_tailored_sql()},
+old_ranked AS (SELECT row_no, company_ord, company AS employer, cap, text, row_number() OVER (PARTITION BY row_no, company_ord
+    ORDER BY {_RELEVANCE.replace("CASE WHEN p0 AND instr(low, 'the ') > 0 THEN 1 ELSE 0 END", "0")} DESC, ord) AS rank
+  FROM flags, bullets),
+old_parts AS (SELECT row_no, company_ord, chr(10) || employer || chr(10) || '{_RULE}'
+    || string_agg(chr(10) || '* ' || text || chr(10), '' ORDER BY rank) AS part
+  FROM old_ranked WHERE rank <= cap GROUP BY row_no, company_ord, employer),
+old_bodies AS (SELECT row_no, string_agg(part, '' ORDER BY company_ord) AS body FROM old_parts GROUP BY row_no),
+old AS (SELECT row_no, {_HEAD_SQL} || coalesce(b.body, '') AS text FROM postings p LEFT JOIN old_bodies b USING (row_no))
+SELECT row_no, CASE WHEN row_no % 5 = 0 OR o.text = t.resume_text THEN 'skipped' ELSE 'updated' END AS outcome,
+  md5(o.text) AS old_md5 FROM tailored t JOIN old o USING (row_no)""")
+def regen_rows(spark, sf):
+    pool = fx.pool(spark, sf)
+    rows = fx.postings(spark, sf).select("row_no", "company", "title", "description")
+    stored = settle(tl.tailored(rows, pool, _FIRST_RULES).drop("sections").withColumn(
+        "description", F.when(F.col("row_no") % 5 == 0, "").otherwise(F.col("description"))), "stored")
+    return tl.regenerated(stored, pool, RULES).select("row_no", "outcome", F.md5("old_text").alias("old_md5"))
+
+
 @query("artifact_paths", rf"""
 WITH {fx.SCORED},
 d AS (SELECT row_no, id,

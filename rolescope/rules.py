@@ -34,6 +34,31 @@ class CompanyPool:
     max_lines: int = 999
 
 
+@dataclass(frozen=True)
+class SkillRule:
+    """A change to a skill line, made where the description has one of ``words`` and none of ``unless``.
+
+    The skill goes to ``place`` (the end without one), if all skills of ``beside`` are on the line and the
+    skill itself is there already (``moves``) or is not (else).
+    """
+
+    line: str
+    words: tuple[str, ...]
+    skill: str
+    place: int | None = None
+    unless: tuple[str, ...] = ()
+    beside: tuple[str, ...] = ()
+    moves: bool = False
+
+
+# The skill rules every rule set starts from.
+SKILL_RULES = (
+    SkillRule("languages", ("java",), "Java", 0, unless=("go ", "golang"), beside=("Go",), moves=True),
+    SkillRule("frameworks", ("grpc", "protobuf"), "gRPC", 1),
+    SkillRule("misc", ("kafka",), "Kafka"),
+)
+
+
 @dataclass(frozen=True)
 class Rules:
     keywords: tuple[tuple[str, int], ...] = ()
@@ -60,14 +85,9 @@ class Rules:
     full_stack_bullet: tuple[str, ...] = FULL_STACK_BULLET
     backend_title: tuple[str, ...] = BACKEND_TITLE
     backend_bullet: tuple[str, ...] = BACKEND_BULLET
+    skills: tuple[SkillRule, ...] = SKILL_RULES
     extra: Mapping[str, object] = field(default_factory=dict)
 
-    def __post_init__(self):
-        # Greedy picking equals a per-company top-k only while no text occurs twice in the pool.
-        texts = [text for company in self.pool for text in company.bullets]
-        if len(texts) != len(set(texts)):
-            raise ValueError("bullet texts must be unique across the pool")
-
 
 def rules_from_config(config: Mapping) -> Rules:
     """Typed rules from the JSON configuration layout (object order is kept)."""
@@ -95,6 +115,10 @@ def rules_from_config(config: Mapping) -> Rules:
         languages=skills.get("languages", ""),
         frameworks=skills.get("frameworks", ""),
         misc=skills.get("misc", ""),
+        skills=tuple(
+            SkillRule(**{key: tuple(value) if isinstance(value, list) else value for key, value in rule.items()})
+            for rule in config["skill_rules"]
+        ) if "skill_rules" in config else SKILL_RULES,
     )
 
 

@@ -91,10 +91,11 @@ def greedy(description, title, pool, rules):
             scored.append((score, company, bullet))
     scored.sort(key=lambda item: -item[0])
     chosen = {company: [] for company, _, _ in pool}
-    caps = {company: cap for company, cap, _ in pool}
+    caps, used = {company: cap for company, cap, _ in pool}, set()
     for _, company, bullet in scored:
-        if len(chosen[company]) < caps[company]:
+        if bullet not in used and len(chosen[company]) < caps[company]:
             chosen[company].append(bullet)
+            used.add(bullet)
     return chosen
 
 
@@ -123,22 +124,55 @@ def test_more_pairs_than_one_mask_holds(spark):
     assert [row.sections[0].bullets for row in picked] == [["has w140 w149"], ["has w001"], ["has w001"]]
 
 
-def test_repeated_text_in_two_companies_is_an_error(spark):
-    pool = spark.createDataFrame([("A", 0, 1, 0, "t"), ("B", 1, 1, 1, "t")], "company string, company_ord int, cap int, ord long, text string")
-    with pytest.raises(Exception, match="unique"):
-        tl.compact_pool(pool, POOL_RULES).collect()
+@pytest.mark.parametrize("seed", range(4))
+def test_shared_texts_go_to_the_first_company_with_room(spark, seed):
+    draw = random.Random(seed)
+    words = ["go ", "react", "sql", "api", "frontend", "team", "service"]
+    texts = [f"{number} " + " ".join(draw.sample(words, 2)) for number in range(12)]
+    pool = [(name, draw.randint(0, 4), draw.choices(texts, k=draw.randint(1, 14))) for name in ("One", "Two", "Three", "Four")]
+    rules = Rules(pairs=POOL_RULES.pairs, pool=tuple(CompanyPool(name, cap, tuple(bullets)) for name, cap, bullets in pool))
+    jobs = [(number, " ".join(draw.sample(["go", "react", "sql", "full-stack", "plain"], 2)), draw.choice(["Backend dev", "Dev"]))
+            for number in range(25)]
+    frame = spark.createDataFrame([*jobs, (99, None, None)], "row_no int, description string, title string")
+    picked = tl.pick_bullets(frame, tl.pool_table(spark, rules), rules).collect()
+    assert len(picked) == len(jobs) + 1
+    for row in picked:
+        greedily = greedy(row.description or "", row.title or "", pool, rules)
+        expected = {company: bullets for company, bullets in greedily.items() if bullets}
+        assert {section.company: list(section.bullets) for section in row.sections} == expected
+        assert [section.company for section in row.sections] == list(expected)
+
+
+def test_no_bullets_at_all(spark):
+    frame = spark.createDataFrame([(1, "go", "Dev")], "row_no int, description string, title string")
+    rules = Rules(pairs=POOL_RULES.pairs)
+    assert tl.pick_bullets(frame, tl.pool_table(spark, rules), rules).first().sections == []
+
+
+def test_a_million_bullets(spark):
+    """Every company shares a tenth of its texts with the next; what any posting can be given stays small."""
+    number = F.col("id")
+    words = F.array(*[F.when((number / 3 ** at).cast("long") % 3 == 0, F.lit(word)) for at, (_, word) in enumerate(POOL_RULES.pairs)])
+    text = F.concat_ws(" ", F.when(number % 10 == 0, (number / 20).cast("long")).otherwise(number).cast("string"), words)
+    pool = spark.range(1_000_000).select(
+        F.concat(F.lit("C"), number % 2).alias("company"), (number % 2).cast("int").alias("company_ord"),
+        F.lit(3).alias("cap"), number.alias("ord"), text.alias("text"))
+    frame = spark.createDataFrame([(1, "go and react", "Dev"), (2, "", "")], "row_no int, description string, title string")
+    assert tl.compact_pool(pool, POOL_RULES).count() < 2000
+    picked = tl.pick_bullets(frame, pool, POOL_RULES).collect()
+    assert {row.row_no: [len(section.bullets) for section in row.sections] for row in picked} == {1: [3, 3], 2: [3, 3]}
 
 
 def test_skills_and_document(spark):
     rules = Rules(languages="Go, Java, SQL", frameworks="Spring, React", misc="Git")
     texts = [(1, "golang and java"), (2, "javascript, grpc and kafka"), (3, "")]
-    frame = spark.createDataFrame(texts, "n int, d string").withColumns(tl.skill_lines(F.col("d"), rules))
+    frame = spark.createDataFrame(texts, "n int, d string").select("n", tl.skill_lines(F.col("d"), rules).alias("s")).select("n", "s.*")
     got = [(row.languages, row.frameworks, row.misc) for row in frame.orderBy("n").collect()]
     assert got == [("Go, Java, SQL", "Spring, React", "Git"), ("Java, Go, SQL", "Spring, gRPC, React", "Git, Kafka"),
                    ("Go, Java, SQL", "Spring, React", "Git")]
     sections = F.expr("array(named_struct('company', 'Acme', 'bullets', array('did x')), "
                       "named_struct('company', 'None', 'bullets', cast(array() as array<string>)))")
-    skills = {name: F.lit(name) for name in ("languages", "frameworks", "misc")}
+    skills = F.struct(*[F.lit(name).alias(name) for name in ("languages", "frameworks", "misc")])
     text = spark.range(1).select(tl.document_text(F.lit("C"), F.lit("T"), skills, sections)).first()[0]
     line = "-" * 66
     assert text == "\n".join([
