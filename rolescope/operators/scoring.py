@@ -15,7 +15,7 @@ from rolescope.rules import Rules
 # Tier names, weakest first.
 WEAK, MATCH, STRONG = "Weak Match", "Match", "Strong Match"
 
-# A rule table longer than this is taken for a mistake.
+
 def _total(parts) -> Column:
     return functools.reduce(operator.add, parts, F.lit(0))
 
@@ -79,25 +79,6 @@ def text_passes(df: DataFrame, rules: Rules) -> Column:
     return ~excluded_description(F.col("description"), rules)
 
 
-def rule_table_score(df: DataFrame, rule_table: DataFrame, text: str = "description") -> DataFrame:
-    """Keyword score with the rules in a table (pattern, points).
-
-    The table is configuration: it enters the plan as one scalar array, so there is no join at all and
-    the text is read in place.
-    """
-    packed = rule_table.select(F.collect_list(F.struct(
-        F.concat(F.when(F.col("pattern").rlike(r"\\[bBwWsSdD]"), "(?U)").otherwise(""), "pattern").alias("pattern"),
-        "points",
-    )).alias("rules"))
-    def total(low: Column) -> Column:
-        return F.aggregate(
-            "_rules", F.lit(0),
-            lambda sum_, rule: sum_ + F.when(F.regexp_like(low, rule["pattern"]), rule["points"].cast("int")).otherwise(0),
-        )
-    ready = df.withColumn("_rules", packed.scalar())
-    return ready.withColumn("rule_score", let(F.lower(or_empty(F.col(text))), total)).drop("_rules")
-
-
 def model_scale(fit: Column) -> Column:
     """Model fit 1-10 on the rule scale: 0, 2, 4, 6, 7, 9, 12, 13, 19, 24. Halves round to even."""
     return (

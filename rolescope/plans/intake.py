@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolescope.functions.normalize import applicant_count, applicant_phrase, external_id, job_id, to_uuid
-from rolescope.operators import filters, scoring
+from rolescope.operators import filters, rule_table, scoring
 from rolescope.operators.dedup import first_postings, new_by_key, new_by_link, ordered_fetch, posting_key
 from rolescope.operators.intake import import_csv, import_postings
 from rolescope.operators.merge import update_counters
@@ -87,7 +87,24 @@ SELECT doc_id AS row_no, {" + ".join([
 def rule_table_score(spark, sf):
     rules = spark.createDataFrame(list(RULES.keywords), "pattern string, points int")
     texts = fx.documents(spark, sf).select("row_no", "description")
-    return scoring.rule_table_score(texts, rules).select("row_no", "rule_score")
+    return rule_table.rule_table_score(texts, rules).select("row_no", "rule_score")
+
+
+# Every word of four letters or more in the benchmark is a rule; words of even length must end there.
+@query("rule_table_words", r"""
+WITH words AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS w FROM benchmark),
+rules AS (SELECT w, length(w) % 3 + 1 AS points, length(w) % 2 = 0 AS ends FROM words WHERE length(w) >= 4),
+texts AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents)
+SELECT doc_id AS row_no, CAST(coalesce(sum(points) FILTER (CASE WHEN ends
+    THEN contains(low, w || ' ') OR contains(low, w || ',') OR contains(low, w || '.') ELSE contains(low, w) END), 0) AS INTEGER) AS rule_score
+FROM texts CROSS JOIN rules GROUP BY doc_id""")
+def rule_table_words(spark, sf):
+    words = fx.table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).distinct()
+    size = F.length("w")
+    rules = words.where(size >= 4).select(
+        F.concat("w", F.when(size % 2 == 0, "[ ,.]").otherwise("")).alias("pattern"), (size % 3 + 1).alias("points"))
+    texts = fx.documents(spark, sf).select("row_no", "description")
+    return rule_table.rule_table_score(texts, rules).select("row_no", "rule_score")
 
 
 @query("new_vs_catalog", f"""
