@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,52 +24,81 @@ NEW_STATUS = "New"
 ACTIVE = ("queued", "running")
 
 
-def one_per_key(rows: DataFrame, key: str, order: Column | None = None) -> DataFrame:
-    """One row per key: the first by ``order`` (descending for the last), or any where rows of a key are alike."""
-    if order is None:
-        return rows.dropDuplicates([key])
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return rows.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+def folded(rows: DataFrame, key: str, **picks: tuple[Column, Column]) -> DataFrame:
+    """One row per key with the picks {name: (value, order)}: the value at the least order, nulls in order left out.
 
+    This is a map-side aggregate, so a key with very many changes is cut down before it is shuffled.
+    """
+    return rows.groupBy(key).agg(*[F.min_by(value, order).alias(name) for name, (value, order) in picks.items()])
+
+
+def _whole(rows: DataFrame) -> Column:
+    return F.struct(*rows.columns)
+
+
+def _first(order: Sequence[str], where: Column | None = None) -> Column:
+    place = F.struct(*order)
+    return place if where is None else F.when(where, place)
+
+
+def _last(rows: DataFrame, key: str, order: Sequence[str], **where: Column) -> DataFrame:
+    """Per key the last row as ``_new``, and for each ``name=condition`` the last row that meets it as ``name``."""
+    place = F.struct(*order)
+    last = [F.max_by(_whole(rows), place).alias("_new")]
+    last += [F.max_by(_whole(rows), F.when(condition, place)).alias(name) for name, condition in where.items()]
+    return rows.groupBy(key).agg(*last)
 
-def insert_absent(table: DataFrame, rows: DataFrame, key: str = "id", order: Column | None = None) -> DataFrame:
-    """Keep stored rows; add those whose key is new, the first by ``order`` where a key repeats."""
-    added = one_per_key(rows, key, order).join(table.select(key), key, "left_anti")
+
+def insert_absent(table: DataFrame, rows: DataFrame, order: Sequence[str], key: str = "id") -> DataFrame:
+    """Keep stored rows; add those whose key is new, the first by ``order`` where a key repeats.
+
+    Rows alike in ``order`` must be alike. Columns that only order are not added to the table.
+    """
+    first = folded(rows, key, _new=(_whole(rows), _first(order))).join(table.select(key), key, "left_anti")
+    added = first.select("_new.*").drop(*[name for name in order if name not in table.columns])
     return table.unionByName(added, allowMissingColumns=True)
 
 
-def _both(old: DataFrame, new: DataFrame, key: str, order: Column | None = None) -> tuple[DataFrame, Column, Column]:
-    """Stored rows beside their changes, then changes of new keys: no full outer join, so that the engine may
-    broadcast a small batch of changes and leave the stored table where it is."""
+def _both(old: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, Column, Column]:
+    """Stored rows beside their changes (one row per key), then changes of new keys: no full outer join, so that
+    the engine may broadcast a small batch of changes and leave the stored table where it is."""
     left = old.select(key, F.struct(*old.columns).alias("_old"))
-    right = one_per_key(new, key, order).select(key, F.struct(*new.columns).alias("_new"))
-    added = right.join(old.select(key), key, "left_anti").withColumn("_old", F.lit(None).cast(left.schema["_old"].dataType))
-    joined = left.join(right, key, "left").unionByName(added)
+    added = new.join(old.select(key), key, "left_anti").withColumn("_old", F.lit(None).cast(left.schema["_old"].dataType))
+    joined = left.join(new, key, "left").unionByName(added)
     return joined, F.col("_old").isNotNull(), F.col("_new").isNotNull()
 
 
-def upgrade_scores(table: DataFrame, rows: DataFrame, order: Column | None = None) -> DataFrame:
+def upgrade_scores(table: DataFrame, rows: DataFrame, order: Sequence[str]) -> DataFrame:
     """Insert new jobs. A stored job only takes over the four scoring columns, and only while it has no
-    model reasoning and the incoming row has one."""
+    model reasoning and the incoming row has one.
+
+    Where an id repeats, the rows count in ``order``, as if they came one after the other: the first inserts,
+    the first with reasoning upgrades.
+    """
     scoring = ("score", "tier", "ai_reasoning", "regex_score")
-    joined, stored, _ = _both(table, rows, "id", order)
-    upgrade = F.col("_old.ai_reasoning").isNull() & F.col("_new.ai_reasoning").isNotNull()
+    reasoned = F.col("ai_reasoning").isNotNull()
+    changes = folded(rows, "id", _new=(_whole(rows), _first(order)), _up=(_whole(rows), _first(order, reasoned)))
+    joined, stored, _ = _both(table, changes, "id")
+    base = {name: F.when(stored, F.col(f"_old.{name}")).otherwise(F.col(f"_new.{name}") if name in rows.columns else F.lit(None))
+            for name in table.columns}
+    upgrade = base["ai_reasoning"].isNull() & F.col("_up").isNotNull()
 
     def pick(name: str) -> Column:
-        new = F.col(f"_new.{name}") if name in rows.columns else F.lit(None)
         if name in scoring:
-            return F.when(stored & ~upgrade, F.col(f"_old.{name}")).otherwise(new)
-        return F.when(stored, F.col(f"_old.{name}")).otherwise(new)
+            return F.when(upgrade, F.col(f"_up.{name}") if name in rows.columns else F.lit(None)).otherwise(base[name])
+        return base[name]
     return joined.select("id", *[pick(name).alias(name) for name in table.columns if name != "id"])
 
 
-def upsert_state(table: DataFrame, rows: DataFrame, at: Column, order: Column | None = None) -> DataFrame:
+def upsert_state(table: DataFrame, rows: DataFrame, at: Column, order: Sequence[str]) -> DataFrame:
     """Overwrite every state field with the new row's, except that a missing pdf_path keeps the old one.
 
     Rows without a status get ``New``, rows without timestamps an empty map. Without a ``pdf_path``
-    column in ``rows`` this is the bulk variant.
+    column in ``rows`` this is the bulk variant. Where an id repeats, its last row by ``order`` counts, and
+    its last pdf_path.
     """
-    joined, _, changed = _both(table, rows, "job_id", order)
+    filed = {"_filed": F.col("pdf_path").isNotNull()} if "pdf_path" in rows.columns else {}
+    joined, _, changed = _both(table, _last(rows, "job_id", order, **filed), "job_id")
 
     def incoming(name: str) -> Column:
         if name not in rows.columns:
@@ -83,7 +112,7 @@ def upsert_state(table: DataFrame, rows: DataFrame, at: Column, order: Column |
         elif name == "timestamps":
             new = F.coalesce(new, F.create_map().cast(table.schema[name].dataType))
         elif name == "pdf_path":
-            new = F.coalesce(new, F.col("_old.pdf_path"))
+            new = F.coalesce(F.col("_filed.pdf_path") if filed else new, F.col("_old.pdf_path"))
         elif name == "updated_at":
             new = at
         return F.when(changed, new).otherwise(F.col(f"_old.{name}")).alias(name)
@@ -91,8 +120,8 @@ def upsert_state(table: DataFrame, rows: DataFrame, at: Column, order: Column |
 
 
 def default_states(table: DataFrame, jobs: DataFrame, at: Column) -> DataFrame:
-    """Add a default state row for every job that has none."""
-    fresh = jobs.select(F.col("id").alias("job_id")).join(table.select("job_id"), "job_id", "left_anti")
+    """Add a default state row for every job that has none, one however often the job is listed."""
+    fresh = jobs.select(F.col("id").alias("job_id")).distinct().join(table.select("job_id"), "job_id", "left_anti")
     defaults = {"status": F.lit(NEW_STATUS), "updated_at": at}
     for field in table.schema.fields:
         if field.name == "timestamps":
@@ -103,11 +132,15 @@ def default_states(table: DataFrame, jobs: DataFrame, at: Column) -> DataFrame:
                                                 if name in table.columns}))
 
 
-def upsert_cache(table: DataFrame, rows: DataFrame, at: Column, order: Column | None = None) -> DataFrame:
-    """Company cache: new rows replace stored ones of the same key and refresh ``cached_at``."""
-    joined, _, changed = _both(table, rows.withColumn("cached_at", at), "company_name", order)
+def upsert_cache(table: DataFrame, rows: DataFrame, at: Column, order: Sequence[str]) -> DataFrame:
+    """Company cache: new rows replace stored ones of the same key, the last by ``order``, and refresh ``cached_at``."""
+    changes = _last(rows, "company_name", order)
+    joined, _, changed = _both(table, changes, "company_name")
+
+    def new(name: str) -> Column:
+        return at if name == "cached_at" else F.col(f"_new.{name}") if name in rows.columns else F.lit(None)
     return joined.select("company_name", *[
-        F.when(changed, F.col(f"_new.{name}")).otherwise(F.col(f"_old.{name}")).alias(name)
+        F.when(changed, new(name)).otherwise(F.col(f"_old.{name}")).alias(name)
         for name in table.columns if name != "company_name"
     ])
 
@@ -173,32 +206,37 @@ def typed(text: Column, kind: T.DataType) -> Column:
     return F.from_json(text, kind) if isinstance(kind, (T.MapType, T.ArrayType, T.StructType)) else text.cast(kind)
 
 
-def patch(table: DataFrame, patches: DataFrame, key: str = "id",
+def patch(table: DataFrame, patches: DataFrame, order: Sequence[str], key: str = "id",
           allowed: Sequence[str] = IMPORT_PATCH_COLUMNS, at: Column | None = None) -> DataFrame:
     """Set allowed columns from patch rows (key, fields: map of column to text).
 
     A key in the map sets the column, to null as well; columns not allowed are ignored. ``updated_at``
-    moves only where something allowed was set.
+    moves only where something allowed was set. Where an id has several patches, each column takes its last
+    setting by ``order``.
     """
-    fields = F.map_filter(F.col("_fields"), lambda name, _: name.isin(*[n for n in allowed if n in table.columns]))
-    joined = table.join(patches.select(key, F.col("fields").alias("_fields")), key, "left").withColumn(
-        "_fields", fields)
+    settable = [name for name in allowed if name in table.columns and name != key]
+    fields = F.map_filter(F.col("fields"), lambda name, _: name.isin(*settable))
+    settings = patches.select(key, F.struct(*order).alias("_place"), F.explode(fields).alias("_name", "_value"))
+    last = settings.groupBy(key, "_name").agg(F.max_by(F.struct("_value"), "_place").alias("_set"))
+    # at most one entry per column of the table
+    changes = last.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_name", "_set._value"))).alias("_fields"))
+    joined = table.join(changes, key, "left")
 
     def pick(field) -> Column:
         name = field.name
-        if name == "updated_at" and at is not None:
+        if name == "updated_at" and at is not None and name not in settable:
             return F.when(F.size("_fields") > 0, at).otherwise(F.col(name)).alias(name)
-        if name == key or name not in allowed:
+        if name not in settable:
             return F.col(name)
         return F.when(F.map_contains_key("_fields", name), typed(F.col("_fields")[name], field.dataType)).otherwise(
             F.col(name)).alias(name)
     return joined.select(*[pick(field) for field in table.schema.fields])
 
 
-def update_applicants(state: DataFrame, updates: DataFrame, at: Column, order: Column | None = None) -> DataFrame:
-    """Set applicant texts by job id and keep all other state fields; unknown jobs get a new row."""
-    joined, _, changed = _both(state, updates.filter(F.col("applicants").isNotNull()), "job_id", order)
-    stored = F.col("_old").isNotNull()
+def update_applicants(state: DataFrame, updates: DataFrame, at: Column, order: Sequence[str]) -> DataFrame:
+    """Set applicant texts by job id, the last by ``order``, and keep all other state fields; unknown jobs get a new row."""
+    changes = _last(updates.filter(F.col("applicants").isNotNull()), "job_id", order)
+    joined, stored, changed = _both(state, changes, "job_id")
 
     def pick(field) -> Column:
         name, old = field.name, F.col(f"_old.{field.name}")
@@ -257,7 +295,7 @@ def migrate_jobs(jobs: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFra
     inserted = flagged.agg(F.count_if(F.col("_stored").isNull()).alias("inserted"))
     read = usable.agg(F.count("*").alias("read"))
     counts = read.withColumn("inserted", inserted.scalar()).withColumn("skipped", F.col("read") - F.col("inserted"))
-    return insert_absent(stored, once.drop("pos")), counts
+    return insert_absent(stored, once, ["pos"]), counts
 
 
 def migrate_states(jobs: DataFrame, states: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ SELECT n.id, coalesce(o.company, n.company) AS company, coalesce(o.title, n.titl
 FROM (SELECT n.*, o.ai_reasoning IS NULL AND n.ai_reasoning IS NOT NULL AS up FROM incoming n LEFT JOIN stored o USING (id)) n
 LEFT JOIN stored o USING (id)""")
 def upgrade_upsert(spark, sf):
-    return merge.upgrade_scores(_stored(spark, sf), _incoming(spark, sf))
+    return merge.upgrade_scores(_stored(spark, sf), _incoming(spark, sf), ["id"])
 
 
 @query("insert_absent", f"""
@@ -65,7 +65,7 @@ SELECT id, company, score FROM stored
 UNION ALL SELECT id, company, score FROM incoming WHERE id NOT IN (SELECT id FROM stored)""")
 def insert_absent(spark, sf):
     columns = ("id", "company", "score")
-    return merge.insert_absent(_stored(spark, sf).select(*columns), _incoming(spark, sf).select(*columns))
+    return merge.insert_absent(_stored(spark, sf).select(*columns), _incoming(spark, sf).select(*columns), ["id"])
 
 
 @query("catalog_merge", f"""
@@ -134,7 +134,7 @@ FROM old o FULL JOIN new n ON o.job_id = n.job_id""")
 def state_upsert(spark, sf):
     kind = F.when(F.col("e.event_type") == "click", "new")
     fresh = _states(spark, sf, ("purchase", "click"), kind)
-    return _state_text(merge.upsert_state(_stored_states(spark, sf), fresh, _at()))
+    return _state_text(merge.upsert_state(_stored_states(spark, sf), fresh, _at(), ["job_id"]))
 
 
 @query("state_defaults", f"""
@@ -211,7 +211,7 @@ def patch_update(spark, sf):
         F.lit("message"), "s_name", F.lit("progress"), F.col("s_nationkey").cast("string"), F.lit("owner"), F.lit("x"),
     )).otherwise(F.create_map(F.lit("message"), "s_name", F.lit("owner"), F.lit("x")))
     patches = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), fields.alias("fields"))
-    patched = merge.patch(table, patches, at=_at())
+    patched = merge.patch(table, patches, ["id"], at=_at())
     return patched.withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -224,7 +224,118 @@ FROM old o FULL JOIN u ON o.job_id = u.job_id""")
 def applicant_update(spark, sf):
     updates = fx.table(spark, sf, "customer").select(
         F.col("c_custkey").cast("string").alias("job_id"), F.col("c_name").alias("applicants"))
-    return _state_text(merge.update_applicants(_stored_states(spark, sf), updates, _at()))
+    return _state_text(merge.update_applicants(_stored_states(spark, sf), updates, _at(), ["applicants"]))
+
+
+# Changes that repeat their keys: every line item is one change to its part, every event one to its user.
+_LINE_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
+_LINE_SQL = f"""changes AS (SELECT substr(md5(CAST(l_partkey AS VARCHAR)), 1, 12) AS id, CAST(l_quantity AS INTEGER) AS score,
+    'Match' AS tier, CASE WHEN l_returnflag = 'R' THEN 'line ' || CAST(l_suppkey AS VARCHAR) END AS ai_reasoning,
+    CAST(l_suppkey AS INTEGER) AS regex_score, 'co ' || CAST(l_suppkey AS VARCHAR) AS company, l_returnflag AS title,
+    l_returnflag AS import_date, '' AS job_link,
+    row_number() OVER (PARTITION BY l_partkey ORDER BY {", ".join(_LINE_ORDER)}) AS n FROM lineitem)"""
+
+
+def _line_changes(spark, sf):
+    return fx.table(spark, sf, "lineitem").select(
+        fx.part_id(F.col("l_partkey")).alias("id"), F.col("l_quantity").cast("int").alias("score"), F.lit("Match").alias("tier"),
+        F.when(F.col("l_returnflag") == "R", F.concat(F.lit("line "), F.col("l_suppkey").cast("string"))).alias("ai_reasoning"),
+        F.col("l_suppkey").cast("int").alias("regex_score"),
+        F.concat(F.lit("co "), F.col("l_suppkey").cast("string")).alias("company"), F.col("l_returnflag").alias("title"),
+        F.col("l_returnflag").alias("import_date"), F.lit("").alias("job_link"), *_LINE_ORDER)
+
+
+@query("insert_repeated", f"""
+WITH {fx.PART_JOBS}, stored AS (SELECT * FROM part_jobs WHERE {_STORED}), {_LINE_SQL}
+SELECT id, company, score FROM stored
+UNION ALL SELECT id, company, score FROM changes WHERE n = 1 AND id NOT IN (SELECT id FROM stored)""")
+def insert_repeated(spark, sf):
+    changes = _line_changes(spark, sf).select("id", "company", "score", *_LINE_ORDER)
+    return merge.insert_absent(_stored(spark, sf).select("id", "company", "score"), changes, _LINE_ORDER)
+
+
+@query("upgrade_repeated", f"""
+WITH {fx.PART_JOBS}, stored AS (SELECT * FROM part_jobs WHERE {_STORED}), {_LINE_SQL},
+base AS (SELECT * FROM stored UNION ALL BY NAME
+  SELECT * EXCLUDE (n) FROM changes WHERE n = 1 AND id NOT IN (SELECT id FROM stored)),
+up AS (SELECT * FROM changes WHERE ai_reasoning IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY n) = 1)
+SELECT b.id, b.company, b.title, b.import_date, b.job_link,
+  CASE WHEN b.ai_reasoning IS NULL AND u.id IS NOT NULL THEN u.score ELSE b.score END AS score,
+  CASE WHEN b.ai_reasoning IS NULL AND u.id IS NOT NULL THEN u.tier ELSE b.tier END AS tier,
+  coalesce(b.ai_reasoning, u.ai_reasoning) AS ai_reasoning,
+  CASE WHEN b.ai_reasoning IS NULL AND u.id IS NOT NULL THEN u.regex_score ELSE b.regex_score END AS regex_score
+FROM base b LEFT JOIN up u ON u.id = b.id""")
+def upgrade_repeated(spark, sf):
+    return merge.upgrade_scores(_stored(spark, sf), _line_changes(spark, sf), _LINE_ORDER)
+
+
+_EVENT_STATE_SQL = """CAST(user_id AS VARCHAR) AS job_id, CASE WHEN event_type <> 'click' THEN event_type END AS status, props AS notes,
+    CASE WHEN event_type IN ('view', 'error') THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) END AS applicants,
+    CASE WHEN event_type = 'purchase' THEN CAST(event_id AS VARCHAR) END AS pdf_path, ts, event_id"""
+
+
+def _event_states(spark, sf):
+    kind = F.col("event_type")
+    return fx.table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("job_id"), F.when(kind != "click", kind).alias("status"), F.col("props").alias("notes"),
+        F.when(kind.isin("view", "error"), F.floor("value").cast("string")).alias("applicants"),
+        F.when(kind == "purchase", F.col("event_id").cast("string")).alias("pdf_path"), "ts", "event_id")
+
+
+@query("state_repeated", f"""
+WITH {_OLD}, e AS (SELECT {_EVENT_STATE_SQL} FROM events),
+last AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) = 1),
+filed AS (SELECT * FROM e WHERE pdf_path IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT coalesce(n.job_id, o.job_id) AS job_id,
+  CASE WHEN n.job_id IS NOT NULL THEN coalesce(n.status, 'New') ELSE o.status END AS status,
+  CASE WHEN n.job_id IS NOT NULL THEN n.notes ELSE o.notes END AS notes,
+  CASE WHEN n.job_id IS NOT NULL THEN n.applicants ELSE o.applicants END AS applicants,
+  CASE WHEN n.job_id IS NOT NULL THEN '' ELSE o.timestamps END AS timestamps, coalesce(f.pdf_path, o.pdf_path) AS pdf_path,
+  CASE WHEN n.job_id IS NOT NULL THEN '2026-04-01 12:00:00' ELSE '2026-03-31 12:00:00' END AS updated_at
+FROM old o FULL JOIN last n ON n.job_id = o.job_id LEFT JOIN filed f ON f.job_id = n.job_id""")
+def state_repeated(spark, sf):
+    return _state_text(merge.upsert_state(_stored_states(spark, sf), _event_states(spark, sf), _at(), ["ts", "event_id"]))
+
+
+@query("applicant_repeated", f"""
+WITH {_OLD}, e AS (SELECT {_EVENT_STATE_SQL} FROM events),
+u AS (SELECT * FROM e WHERE applicants IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT coalesce(o.job_id, u.job_id) AS job_id, coalesce(u.applicants, o.applicants) AS applicants,
+  CASE WHEN o.job_id IS NULL THEN 'New' ELSE o.status END AS status, o.notes
+FROM old o FULL JOIN u ON o.job_id = u.job_id""")
+def applicant_repeated(spark, sf):
+    updates = _event_states(spark, sf).select("job_id", "applicants", "ts", "event_id")
+    merged = merge.update_applicants(_stored_states(spark, sf), updates, _at(), ["ts", "event_id"])
+    return merged.select("job_id", "applicants", "status", "notes")
+
+
+@query("patch_repeated", """
+WITH e AS (SELECT *, floor(value) AS v FROM events),
+m AS (SELECT user_id, props AS message FROM e WHERE event_type IN ('view', 'click')
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
+p AS (SELECT user_id, CASE WHEN event_type = 'click' THEN CAST(v AS BIGINT) END AS progress FROM e
+  WHERE event_type IN ('click', 'error') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN m.user_id IS NOT NULL THEN m.message ELSE c_mktsegment END AS message,
+  CASE WHEN p.user_id IS NOT NULL THEN p.progress ELSE c_nationkey END AS progress,
+  CASE WHEN m.user_id IS NOT NULL OR p.user_id IS NOT NULL THEN '2026-04-01 12:00:00' ELSE '2026-03-31 12:00:00' END AS updated_at
+FROM customer LEFT JOIN m ON m.user_id = c_custkey LEFT JOIN p ON p.user_id = c_custkey""")
+def patch_repeated(spark, sf):
+    # Views and clicks set the message, clicks set the progress too, errors set it to nothing.
+    table = fx.table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("message"),
+        F.col("c_nationkey").cast("long").alias("progress"),
+        F.lit(NOW - datetime.timedelta(days=1)).cast("timestamp_ntz").alias("updated_at"))
+    kind, value = F.col("event_type"), F.floor("value").cast("string")
+    fields = (
+        F.when(kind == "view", F.create_map(F.lit("message"), "props"))
+        .when(kind == "click", F.create_map(F.lit("message"), F.col("props"), F.lit("progress"), value))
+        .when(kind == "error", F.create_map(F.lit("progress"), F.lit(None).cast("string")))
+        .otherwise(F.create_map(F.lit("owner"), F.lit("x"))))
+    patches = fx.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("id"), fields.alias("fields"), "ts", "event_id")
+    patched = merge.patch(table, patches, ["ts", "event_id"], at=_at())
+    return patched.withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("cache_upsert", """
@@ -246,7 +357,7 @@ def cache_upsert(spark, sf):
     new = suppliers.join(nations, F.col("n_nationkey") == F.col("s_nationkey")).select(
         company_key(F.col("s_name")).alias("company_name"), F.concat(F.lit("from "), "n_name").alias("summary"),
         logo_url(F.col("s_name")).alias("logo_url"), nothing.alias("industry"))
-    merged = merge.upsert_cache(old, new, _at())
+    merged = merge.upsert_cache(old, new, _at(), ["summary"])
     return merged.withColumn("cached_at", F.date_format("cached_at", "yyyy-MM-dd HH:mm:ss"))
 
 

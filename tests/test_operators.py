@@ -198,17 +198,17 @@ def test_score_upgrade_is_idempotent_and_keeps_null_pairs(spark):
     old = jobs_frame(spark, [("1", "A", 5, "w", None, 5), ("2", "B", 6, "w", "old", 6), ("3", "C", 7, "w", None, 7)])
     new = jobs_frame(spark, [("1", "X", 20, "s", "why", 4), ("2", "X", 20, "s", "why", 4), ("3", "X", 20, "s", None, 4),
                              ("4", "D", 9, "m", None, 9)])
-    once = merge.upgrade_scores(old, new)
+    once = merge.upgrade_scores(old, new, ["score"])
     expected = [("1", "A", 20, "s", "why", 4), ("2", "B", 6, "w", "old", 6), ("3", "C", 7, "w", None, 7), ("4", "D", 9, "m", None, 9)]
     assert sorted(tuple(row) for row in once.collect()) == expected
-    assert sorted(tuple(row) for row in merge.upgrade_scores(once, new).collect()) == expected
+    assert sorted(tuple(row) for row in merge.upgrade_scores(once, new, ["score"]).collect()) == expected
 
 
 def test_state_upsert(spark):
     at = F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
     old = spark.createDataFrame([("1", "Applied", "n", "9", None, None, {"a": "b"}, "p1", None)], JOB_STATE)
     new = spark.createDataFrame([("1", None, None, None, None, None, None, None, None)], JOB_STATE)
-    row = merge.upsert_state(old, new, at).first()
+    row = merge.upsert_state(old, new, at, ["notes"]).first()
     assert (row.status, row.notes, row.timestamps, row.pdf_path) == ("New", None, {}, "p1")
     jobs = spark.createDataFrame([("1",), ("2",)], "id string")
     assert sorted(r.job_id for r in merge.default_states(old, jobs, at).collect()) == ["1", "2"]
@@ -316,11 +316,11 @@ def test_repeated_incoming_keys_give_one_row(spark):
     from rolescope.operators.merge import insert_absent, upsert_cache
     table = spark.createDataFrame([("a", "old")], "id string, title string")
     rows = spark.createDataFrame([("b", "x", 2), ("b", "y", 1), ("a", "z", 3)], "id string, title string, at int")
-    found = insert_absent(table, rows, order=F.col("at")).select("id", "title").collect()
+    found = insert_absent(table, rows, ["at"]).collect()
     assert sorted(map(tuple, found)) == [("a", "old"), ("b", "y")]
     cache = spark.createDataFrame([("k", "s", None)], "company_name string, summary string, cached_at timestamp")
     new = spark.createDataFrame([("k", "1", 1), ("k", "2", 2)], "company_name string, summary string, at int")
-    found = upsert_cache(cache, new, F.current_timestamp(), F.col("at").desc())
+    found = upsert_cache(cache, new, F.current_timestamp(), ["at"])
     assert [row["summary"] for row in found.collect()] == ["2"]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "FullOuter" not in plan
@@ -330,5 +330,31 @@ def test_patch_of_structured_columns(spark):
     from rolescope.operators.merge import patch
     table = spark.createDataFrame([("1", {"a": 1}, ["x"])], "id string, request_counts map<string,int>, pending_jobs array<string>")
     patches = spark.createDataFrame([("1", {"request_counts": '{"b": 2}', "pending_jobs": '["y", "z"]'})], "id string, fields map<string,string>")
-    row = patch(table, patches, allowed=("request_counts", "pending_jobs")).first()
+    row = patch(table, patches, ["id"], allowed=("request_counts", "pending_jobs")).first()
     assert row["request_counts"] == {"b": 2} and row["pending_jobs"] == ["y", "z"]
+
+
+def test_changes_of_one_key_count_in_order(spark):
+    at = F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
+    table = spark.createDataFrame([("1", "m", 1), ("2", "m", 2)], "id string, message string, progress int")
+    patches = spark.createDataFrame(
+        [("1", {"message": "b"}, 2), ("1", {"message": "a", "progress": "5"}, 1), ("1", {"progress": None}, 3), ("9", {"message": "x"}, 1)],
+        "id string, fields map<string,string>, n int").repartition(3)
+    got = sorted(map(tuple, merge.patch(table, patches, ["n"], allowed=("message", "progress")).collect()))
+    assert got == [("1", "b", None), ("2", "m", 2)]
+    old = jobs_frame(spark, [("1", "A", 5, "w", None, 5)])
+    rows = spark.createDataFrame([("1", "X", 1, "t", None, 1, 1), ("1", "Y", 2, "t", "first", 2, 2), ("1", "Z", 3, "t", "second", 3, 3),
+                                  ("2", "P", 4, "t", None, 4, 1), ("2", "Q", 5, "u", "why", 5, 2)],
+                                 "id string, company string, score int, tier string, ai_reasoning string, regex_score int, n int")
+    got = sorted(map(tuple, merge.upgrade_scores(old, rows, ["n"]).collect()))
+    assert got == [("1", "A", 2, "t", "first", 2), ("2", "P", 5, "u", "why", 5)]
+    state = spark.createDataFrame([("1", "Applied", "n", "9", None, None, {"a": "b"}, "p1", None)], JOB_STATE)
+    filed = [("1", "A", None, None, None, None, None, "p3", None), ("1", "B", None, None, None, None, None, None, None)]
+    new = spark.createDataFrame(filed, JOB_STATE).withColumn("n", F.when(F.col("status") == "A", 1).otherwise(2))
+    row = merge.upsert_state(state, new, at, ["n"]).first()
+    assert (row.status, row.pdf_path) == ("B", "p3")
+    jobs = spark.createDataFrame([("2",), ("2",), ("1",)], "id string")
+    assert sorted(r.job_id for r in merge.default_states(state, jobs, at).collect()) == ["1", "2"]
+    counts = spark.createDataFrame([("1", "7", 1), ("1", None, 3), ("1", "8", 2), ("5", "1", 1)], "job_id string, applicants string, n int")
+    got = {r.job_id: (r.applicants, r.status) for r in merge.update_applicants(state, counts, at, ["n"]).collect()}
+    assert got == {"1": ("8", "Applied"), "5": ("1", "New")}
