@@ -152,20 +152,44 @@ def change_feed(spark, sf):
     return feed.drop("ts")
 
 
-@query("stream_changes", _FEED_SQL)
-def stream_changes_query(spark, sf):
-    # The event table arrives in three time ranges; the stream stops and resumes after each.
-    source, feed, state, marks = (work_folder(spark, name) for name in ("events", "feed", "state", "marks"))
+def _streamed(spark, sf, ranges):
+    """The feed after the event table has arrived in parts; the stream stops and resumes after each."""
+    source, feed, marks = (work_folder(spark, name) for name in ("events", "feed", "marks"))
     rows = _feed_rows(spark, sf)
-    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
-    cuts = [first + (last - first) * part / 3 for part in (1, 2)]
-    ranges = (F.col("ts") < cuts[0], F.col("ts").between(cuts[0], cuts[1]), F.col("ts") > cuts[1])
     for number, wanted in enumerate(ranges):
         rows.filter(wanted).write.parquet(f"{source}/{number}")
         events = spark.readStream.schema(rows.schema).parquet(f"{source}/*")
         stream_changes(events, "user_id", ["ts", "event_id"], ["status", "progress", "message"],
-                       F.date_trunc("day", "ts"), feed, state, marks).awaitTermination()
-    return spark.read.parquet(feed).drop("ts", "batch")
+                       F.date_format("ts", "yyyy-MM-dd"), feed, marks).awaitTermination()
+    return spark.read.parquet(feed).drop("ts")
+
+
+@query("stream_changes", _FEED_SQL)
+def stream_changes_query(spark, sf):
+    # The event table arrives in three time ranges.
+    first, last = _feed_rows(spark, sf).agg(F.min("ts"), F.max("ts")).first()
+    cuts = [first + (last - first) * part / 3 for part in (1, 2)]
+    return _streamed(spark, sf, (F.col("ts") < cuts[0], F.col("ts").between(cuts[0], cuts[1]), F.col("ts") > cuts[1]))
+
+
+_STAGE_SQL = """
+s@N AS (SELECT *, lag({status: status, progress: progress, message: coalesce(message, '~')}) OVER w AS before,
+    row_number() OVER w AS n, bool_or(part < @N) OVER (PARTITION BY user_id) AS seen
+  FROM e WHERE part <= @N WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+t@N AS (SELECT event_id, user_id, status, progress, message, @N AS stage,
+    CASE WHEN n = 1 AND NOT coalesce(seen, FALSE) THEN 'snapshot' ELSE 'update' END AS kind
+  FROM s@N WHERE n = 1 OR before <> {status: status, progress: progress, message: coalesce(message, '~')})"""
+
+
+@query("stream_changes_late", f"""
+WITH e AS (SELECT event_id, user_id, ts, {_SIGNATURE}, (event_id * 7) % 3 AS part FROM events),
+{",".join(_STAGE_SQL.replace("@N", str(stage)) for stage in range(3))},
+told AS (SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2)
+SELECT event_id, user_id, status, progress, message, kind FROM told
+QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY stage) = 1""")
+def stream_changes_late(spark, sf):
+    # Every third event arrives first, so two thirds of the events are late.
+    return _streamed(spark, sf, [(F.col("event_id") * 7) % 3 == part for part in range(3)])
 
 
 @query("flow_edges", """

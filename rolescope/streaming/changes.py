@@ -1,34 +1,132 @@
-"""Change feed over a stream of batch rows."""
+"""Change feed over a stream of batch rows, late rows included."""
 
 from __future__ import annotations
 
+import bisect
+import json
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from rolescope.session import ship_package
 
-from rolescope.operators.status import change_feed
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_changes(events: DataFrame, key: str, order: list[str], signature: list[str], block: Column,
-                   feed: str, state: str, checkpoint: str) -> StreamingQuery:
-    """Write to ``feed`` every event that differs from the key's event before it.
+class Changes(StatefulProcessor):
+    """The events of one key, in blocks; a micro-batch reads and writes only the blocks that its events fall into,
+    and the neighbouring block where an event lies at a block's edge.
 
-    Each micro-batch is compared like a batch table, with the last event per key of the batches before
-    it put in front. The last events are kept as one written table per micro-batch; a repeated batch
-    reads the table before it and writes the same rows again. Keys with very many events are split by
-    ``block``, which a keyed state would not do.
+    An event is held as its JSON text behind a sortable place; blocks are listed in one small value per key.
     """
-    def step(rows: DataFrame, batch: int) -> None:
-        rows = rows.withColumn("_from_state", F.lit(False))
-        if batch > 0:
-            last = rows.sparkSession.read.schema(rows.schema).parquet(f"{state}/batch={batch - 1}")
-            rows = rows.unionByName(last.withColumn("_from_state", F.lit(True)))
-        changed = change_feed(rows, key, order, signature, block).filter(~F.col("_from_state")).drop("_from_state")
-        changed.write.mode("overwrite").parquet(f"{feed}/batch={batch}")
-        newest = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("_row"))
-        newest.select("_row.*").write.mode("overwrite").parquet(f"{state}/batch={batch}")
-
-    return (
-        events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+
+    def __init__(self, signature: Sequence[str]):
+        self.signature = list(signature)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.blocks = handle.getValueState("blocks", "blocks array<string>")
+        self.events = handle.getMapState("events", "block string", "events array<struct<place:string,row:string,told:boolean>>")
+
+    def _held(self, block: str) -> list[list]:
+        if not self.events.containsKey((block,)):
+            return []
+        return [list(event) for event in self.events.getValue((block,))[0]]
+
+    def _signed(self, row: str) -> list:
+        held = json.loads(row)
+        return [held.get(name) for name in self.signature]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        blocks = list(self.blocks.get()[0]) if self.blocks.exists() else []
+        seen = bool(blocks)
+        fresh: dict[str, list[list]] = {}
+        arrived: set[str] = set()
+        for part in rows:
+            for block, place, row in zip(part["block"], part["place"], part["row"], strict=True):
+                fresh.setdefault(block, []).append([place, row, None])
+                arrived.add(place)
+        # Per block the stored and the new events; new ones are not marked yet as told or not.
+        merged = {block: sorted(self._held(block) + events, key=lambda event: event[0]) for block, events in fresh.items()}
+        listed = sorted({*blocks, *merged})
+        out: list[tuple[str, str]] = []
+
+        def edge(block: str, step: int) -> tuple[str, list] | None:
+            """The nearest event in the block before or after, and its block."""
+            at = bisect.bisect_left(listed, block) + step
+            if not 0 <= at < len(listed):
+                return None
+            if listed[at] not in merged:
+                merged[listed[at]] = self._held(listed[at])
+            return listed[at], merged[listed[at]][-1 if step < 0 else 0]
+
+        def tell(event: list, before: list | None) -> None:
+            event[2] = before is None or self._signed(before[1]) != self._signed(event[1])
+            if event[2]:
+                out.append((event[1], "update" if seen or before is not None else "snapshot"))
+
+        changed = set(fresh)
+        for block in sorted(fresh):
+            events = merged[block]
+            earlier = edge(block, -1)
+            before = earlier[1] if earlier else None
+            for event in events:
+                # a stored event is told late only where a new one has come before it
+                if event[2] is None or (not event[2] and before is not None and before[0] in arrived):
+                    tell(event, before)
+                before = event
+            later = edge(block, 1)
+            if later and later[0] not in fresh and not later[1][2] and before[0] in arrived:
+                tell(later[1], before)
+                changed.add(later[0])
+        for block in changed:
+            self.events.updateValue((block,), ([tuple(event) for event in merged[block]],))
+        if listed != blocks:
+            self.blocks.update((listed,))
+        if out:
+            yield pd.DataFrame(out, columns=["row", "kind"], dtype=object)
+
+
+def stream_changes(events: DataFrame, key: str, order: Sequence[str], signature: Sequence[str], block: Column,
+                   feed: str, checkpoint: str) -> StreamingQuery:
+    """Write to ``feed`` every event that differs from the key's event before it, in ``order``, as ``kind`` says.
+
+    A key's first event is its snapshot, once; all others are updates. A late event takes its place among
+    the stored ones: it is told if it differs from the one before it, and the one after it is told if only
+    now it differs. What was told stays. So the feed holds every event that differs from its predecessor
+    after any micro-batch.
+
+    State is kept per key in blocks, so ``block`` must be a text that grows with ``order``; a micro-batch
+    touches only blocks that its events fall into or border on. The columns of ``order`` are cast to text
+    that sorts alike: whole numbers and times are padded. Repeated rows are equal neighbours and told once.
+    """
+    spark = events.sparkSession
+    ship_package(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    names = [field.name for field in events.schema.fields]
+    rows = events.select(
+        F.col(key).cast("string").alias("key"), block.cast("string").alias("block"),
+        F.concat_ws("|", *[sortable(events, name) for name in order]).alias("place"),
+        F.to_json(F.struct(*names)).alias("row"))
+    told = rows.groupBy("key").transformWithStateInPandas(
+        Changes(signature), "row string, kind string", outputMode="Append", timeMode="None")
+    out = told.select(F.from_json("row", events.schema).alias("_row"), "kind").select("_row.*", "kind")
+    return out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).start(feed)
+
+
+def sortable(rows: DataFrame, name: str) -> Column:
+    """A column as text that sorts like it, nulls first."""
+    kind, value = rows.schema[name].dataType, F.col(name)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        text = F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    elif isinstance(kind, T.IntegralType):
+        # shifted past the least long, so that all are positive
+        text = F.lpad((value.cast("decimal(38,0)") + F.lit(str(1 << 63)).cast("decimal(38,0)")).cast("string"), 20, "0")
+    else:
+        text = value.cast("string")
+    return F.coalesce(F.concat(F.lit("+"), text), F.lit("!"))

@@ -71,22 +71,39 @@ def test_stream_import_merges_files_once(spark, tmp_path):
     assert run() == [("Dev 1", "l1", 9), ("Dev 5", "l5", 0)]
 
 
-def test_stream_changes_remembers_the_last_row(spark, tmp_path):
+def stream_parts(spark, tmp_path, parts):
+    """What the change feed holds after the parts have arrived one after the other."""
     schema = "id string, ts int, status string"
-    source = tmp_path / "in"
-
-    def run(rows, number):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(source / str(number)))
-        events = spark.readStream.schema(schema).parquet(str(source / "*"))
-        stream_changes(events, "id", ["ts"], ["status"], F.floor(F.col("ts") / 2), str(tmp_path / "feed"),
-                       str(tmp_path / "state"), str(tmp_path / "marks")).awaitTermination()
-    run([("a", 1, "x"), ("a", 2, "x"), ("b", 1, "y")], 0)
-    run([("a", 3, "x"), ("a", 4, "z"), ("c", 3, "x")], 1)
-    run([("b", 9, "y"), ("a", 9, "x")], 2)
-    got = sorted((row.id, row.ts, row.kind) for row in spark.read.parquet(str(tmp_path / "feed")).collect())
+    for number, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(number)))
+        events = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
+        stream_changes(events, "id", ["ts"], ["status"], F.lpad(F.floor(F.col("ts") / 3).cast("string"), 5, "0"),
+                       str(tmp_path / "feed"), str(tmp_path / "marks")).awaitTermination()
+    return sorted((row.id, row.ts, row.kind) for row in spark.read.parquet(str(tmp_path / "feed")).collect())
+
+
+def test_stream_changes_remembers_the_last_row(spark, tmp_path):
+    got = stream_parts(spark, tmp_path, [
+        [("a", 1, "x"), ("a", 2, "x"), ("b", 1, "y")], [("a", 3, "x"), ("a", 4, "z"), ("c", 3, "x")], [("b", 9, "y"), ("a", 9, "x")]])
     assert got == [("a", 1, "snapshot"), ("a", 4, "update"), ("a", 9, "update"), ("b", 1, "snapshot"), ("c", 3, "snapshot")]
 
 
+def test_late_events_take_their_place(spark, tmp_path):
+    got = stream_parts(spark, tmp_path, [
+        [("a", 5, "x"), ("a", 6, "x"), ("a", 12, "x"), ("b", 5, "x"), ("c", 5, "x"), ("c", 9, "x")],
+        # before all stored ones; between equal ones of one block and of two; equal to its neighbour; null status
+        [("a", 2, "y"), ("a", 8, "y"), ("b", 1, "x"), ("c", 7, None)]])
+    assert got == [("a", 2, "update"), ("a", 5, "snapshot"), ("a", 8, "update"), ("a", 12, "update"), ("b", 1, "update"),
+                   ("b", 5, "snapshot"), ("c", 5, "snapshot"), ("c", 7, "update"), ("c", 9, "update")]
+
+
+def test_places_sort_as_their_values(spark):
+    from rolescope.streaming.changes import sortable
+    rows = spark.createDataFrame([(value,) for value in (None, -5, 10, 9, 0, -(1 << 63), (1 << 63) - 1)], "n long")
+    found = [row.n for row in rows.orderBy(sortable(rows, "n")).collect()]
+    assert found == [None, -(1 << 63), -5, 0, 9, 10, (1 << 63) - 1]
+
+
 def test_artifacts_and_json(spark, tmp_path):
     rows = [(1, "a", "Acme", "Dev", "doc", "N/A", "Match", 8, "u", "")]
     jobs = spark.createDataFrame(rows, "row_no long, id string, company string, title string, resume_text string, salary string, "
