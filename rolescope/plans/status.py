@@ -14,7 +14,7 @@ from rolescope.plans.registry import query
 from rolescope.session import work_folder
 from rolescope.sources.writers import write_postings
 from rolescope.streaming.changes import stream_changes
-from rolescope.streaming.imports import stream_import
+from rolescope.streaming.imports import read_catalog, stream_import
 
 # Page bodies with the words of open and closed postings, and a size limit that fits the test pages.
 _BODY = ("CASE WHEN html LIKE '%edon%' THEN replace(html, ' and ', ' this job is No Longer available ') "
@@ -216,9 +216,52 @@ FROM kept QUALIFY row_number() OVER (PARTITION BY {fx.JOB_ID} ORDER BY row_no) =
 def stream_import_query(spark, sf):
     # One export dropped twice: the second file brings nothing new.
     drop, catalog, marks = (work_folder(spark, name) for name in ("drop", "catalog", "marks"))
-    rows = fx.postings(spark, sf).withColumn("search_location", F.lit("Metro")).withColumn("posted_date", F.lit(""))
     for part in ("first", "second"):
-        write_postings(rows.repartition(*posting_key()).sortWithinPartitions("row_no"), f"{drop}/{part}", CSV_HEADER)
+        _dropped(spark, sf, f"{drop}/{part}")
         stream_import(spark, f"{drop}/*", CSV_HEADER, catalog, marks, RULES, F.lit(DAY).cast("date")).awaitTermination()
-    return spark.read.parquet(catalog).select(
-        "id", "company", "title", "score", "tier", "import_date", F.md5("description").alias("text_md5"))
+    return read_catalog(spark, catalog).select(*_CATALOG_COLUMNS, F.md5("description").alias("text_md5"))
+
+
+_CATALOG_COLUMNS = ("id", "company", "title", "score", "tier", "import_date")
+
+
+def _dropped(spark, sf, folder):
+    rows = fx.postings(spark, sf).withColumn("search_location", F.lit("Metro")).withColumn("posted_date", F.lit(""))
+    write_postings(rows.repartition(*posting_key()).sortWithinPartitions("row_no"), folder, CSV_HEADER)
+
+
+def _model_scored(jobs):
+    """Stands in for a model: most jobs get a reason and a higher score."""
+    fits = F.col("score") % 3 != 0
+    return jobs.withColumns({
+        "regex_score": F.col("score"), "ai_reasoning": F.when(fits, F.concat(F.lit("fits "), "title")),
+        "score": F.when(fits, F.col("score") + 10).otherwise(F.col("score")),
+        "tier": F.when(fits, "Strong Match").otherwise(F.col("tier"))})
+
+
+@query("stream_upgrade", f"""
+WITH {fx.POSTINGS},
+fields AS (SELECT row_no, company, title, regexp_replace(description, '\\n', ' ', 'g') AS description, job_link FROM postings),
+once AS (SELECT * FROM fields QUALIFY row_number() OVER (PARTITION BY {fx._KEY} ORDER BY row_no) = 1),
+kept AS (SELECT *, {fx.TEXT_SCORE} + {fx.LEVEL} + {fx.COMPANY} AS score FROM once WHERE {fx.PASSES}),
+brought AS (SELECT {fx.JOB_ID} AS id, company, title, score, {fx.TIER} AS tier, score % 3 <> 0 AS fits
+  FROM kept QUALIFY row_number() OVER (PARTITION BY {fx.JOB_ID} ORDER BY row_no) = 1),
+known AS (SELECT *, id < '8' AS base, id < '8' AND substr(id, 2, 1) < '4' AS reasoned FROM brought)
+SELECT id, company, title, CASE WHEN fits AND NOT reasoned THEN score + 10 ELSE score END AS score,
+  CASE WHEN fits AND NOT reasoned THEN 'Strong Match' ELSE tier END AS tier, '{DAY} — Metro' AS import_date,
+  CASE WHEN reasoned THEN 'old' WHEN fits THEN 'fits ' || title END AS ai_reasoning,
+  CASE WHEN NOT base OR (fits AND NOT reasoned) THEN score END AS regex_score
+FROM known""")
+def stream_upgrade_query(spark, sf):
+    # Half of the catalog was written by a batch job, partly with reasons; the whole export then arrives with model scores.
+    drop, first, catalog = (work_folder(spark, name) for name in ("drop", "first", "catalog"))
+    _dropped(spark, sf, f"{drop}/all")
+    stream_import(spark, f"{drop}/*", CSV_HEADER, first, work_folder(spark, "marks"), RULES, F.lit(DAY).cast("date")).awaitTermination()
+    base = read_catalog(spark, first).filter("id < '8'").withColumns({
+        "ai_reasoning": F.when(F.substring("id", 2, 1) < "4", "old"), "regex_score": F.lit(None).cast("int")})
+    base.write.parquet(catalog)
+    marks = work_folder(spark, "marks")
+    for _ in range(2):  # the second run finds no new file
+        stream_import(spark, f"{drop}/*", CSV_HEADER, catalog, marks, RULES, F.lit(DAY).cast("date"),
+                      rescored=_model_scored).awaitTermination()
+    return read_catalog(spark, catalog).select(*_CATALOG_COLUMNS, "ai_reasoning", "regex_score")

@@ -9,7 +9,7 @@ from rolescope.rules import Rules
 from rolescope.schemas import SCRAPED_HEADER
 from rolescope.sources import readers, writers
 from rolescope.streaming.changes import stream_changes
-from rolescope.streaming.imports import stream_import
+from rolescope.streaming.imports import compact, merge_batch, read_catalog, stream_import
 
 HEADER = "Job Title,Company,Location,Work Type,Salary,Posted Date,Applicants,Description,Application Link,Job Link,Search Location"
 
@@ -63,7 +63,7 @@ def test_stream_import_merges_files_once(spark, tmp_path):
 
     def run():
         stream_import(spark, str(drop), header, catalog, marks, rules, F.lit("2026-01-02").cast("date")).awaitTermination()
-        return sorted((row.title, row.job_link, row.score) for row in spark.read.parquet(catalog).collect())
+        return sorted((row.title, row.job_link, row.score) for row in read_catalog(spark, catalog).collect())
     write_drop(drop, "a.csv", [("Dev 1", "go", "l1"), ("Dev 1b", "x", "l1"), ("Cook", "go", "l2")])
     assert run() == [("Dev 1", "l1", 9)]
     write_drop(drop, "b.csv", [("Dev 9", "x", "l1"), ("Dev 5", "x", "l5")])
@@ -71,6 +71,41 @@ def test_stream_import_merges_files_once(spark, tmp_path):
     assert run() == [("Dev 1", "l1", 9), ("Dev 5", "l5", 0)]
 
 
+JOBS_SCHEMA = "id string, job_link string, score int, tier string, ai_reasoning string, regex_score int"
+
+
+def test_catalog_merges_by_bucket_and_compacts(spark, tmp_path):
+    catalog = str(tmp_path / "catalog")
+
+    def held():
+        rows = read_catalog(spark, catalog, spark.createDataFrame([], JOBS_SCHEMA).schema).collect()
+        return sorted((row.id, row.score, row.ai_reasoning) for row in rows)
+
+    def merge(rows, writer, upgrade=True):
+        jobs = spark.createDataFrame([(name, f"l{name}", score, "t", reason, 1) for name, score, reason in rows], JOBS_SCHEMA)
+        merge_batch(spark, catalog, jobs, writer, upgrade, buckets=4)
+    # a batch job's catalog has no model columns and is honoured
+    spark.createDataFrame([("a", "la", 1, "t"), ("b", "lb", 2, "t")], "id string, job_link string, score int, tier string").write.parquet(catalog)
+    merge([("a", 9, None), ("c", 3, None)], "s-0", upgrade=False)
+    assert held() == [("a", 1, None), ("b", 2, None), ("c", 3, None)]
+    merge([("a", 9, "why"), ("b", 9, None), ("c", 8, "so"), ("d", 4, None)], "s-1")
+    expected = [("a", 9, "why"), ("b", 2, None), ("c", 8, "so"), ("d", 4, None)]
+    assert held() == expected
+    merge([("a", 9, "why"), ("b", 9, None), ("c", 8, "so"), ("d", 4, None)], "s-1")  # the same micro-batch again
+    assert held() == expected
+    merge([("a", 5, "later"), ("d", 6, "now")], "other-0")
+    expected = [("a", 9, "why"), ("b", 2, None), ("c", 8, "so"), ("d", 6, "now")]
+    assert held() == expected
+    for number in range(3):
+        merge([(f"n{number}{at}", at, None) for at in range(8)], f"s-{number + 2}")
+    expected = sorted(expected + [(f"n{number}{at}", at, None) for number in range(3) for at in range(8)])
+    assert compact(spark, catalog, buckets=4, most=2)
+    assert held() == expected
+    assert compact(spark, catalog, buckets=4, most=2) == []
+    merge([("b", 7, "at last"), ("n00", 7, "too")], "s-9")
+    assert [row for row in held() if row[0] in ("b", "n00")] == [("b", 7, "at last"), ("n00", 7, "too")]
+
+
 def stream_parts(spark, tmp_path, parts):
     """What the change feed holds after the parts have arrived one after the other."""
     schema = "id string, ts int, status string"
