@@ -1,9 +1,9 @@
 """N-gram Jaccard join: rare-first prefixes, length, positional and suffix filters, and one verification per pair.
 
 A document is its set of distinct word shingles. Equal sets are one class and are never paired. Shingles are ordered rare
-first by counts over all documents, kept in a table of fixed size (a shingle's cell counts at least its own
-documents; any order gives the same links). If two sets are similar enough, their prefixes in that order share a shingle,
-so prefixes are what is joined.
+first by how often their words occur in all documents: the product of the words' shares estimates a shingle's, and unlike
+counts of shingles it tells rare from frequent in a table of fixed size however large the corpus is (any order gives the
+same links). If two sets are similar enough, their prefixes in that order share a shingle, so prefixes are what is joined.
 
 Large groups of near copies do not pair with each other: every class is verified against one leader that shares a
 prefix shingle, linear in the group; first the smallest class, then one of the last component still apart in the
@@ -72,9 +72,15 @@ def word_hashes(text: bytes) -> np.ndarray:
 
 def shingles(text: bytes | None, width: int) -> np.ndarray:
     """The sorted distinct hashes of the text's word shingles; a shorter text is one shingle."""
-    hashes = word_hashes(text.lower()) if text else np.zeros(0, np.uint64)
+    out, _ = windows(word_hashes(text.lower()) if text else np.zeros(0, np.uint64), width)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])] if len(out) else out
+
+
+def windows(hashes: np.ndarray, width: int) -> tuple[np.ndarray, int]:
+    """The hash of every window of words, in order, and the words a window has."""
     if not len(hashes):
-        return hashes
+        return hashes, width
     size = min(width, len(hashes))
     out = hashes[:len(hashes) - size + 1] * FACTORS[0]
     for step in range(1, size):
@@ -82,9 +88,16 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
     out = out + np.uint64(size)
     out ^= out >> np.uint64(31)
     out = out * np.uint64(0x94D049BB133111EB)
-    out ^= out >> np.uint64(29)
-    out.sort()
-    return out[np.concatenate([[True], out[1:] != out[:-1]])]
+    return out ^ (out >> np.uint64(29)), size
+
+
+def weighed_shingles(text: bytes | None, width: int, weights: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingles, and the sum of their words' weights: the same wherever a shingle occurs."""
+    hashes = word_hashes(text.lower()) if text else np.zeros(0, np.uint64)
+    out, size = windows(hashes, width)
+    each = np.concatenate([np.zeros(1, np.int64), np.cumsum(weights[(hashes >> np.uint64(64 - cells)).astype(np.int64)])])
+    held, first = np.unique(out, return_index=True)
+    return held, (each[size:] - each[:-size])[first] if len(out) else np.zeros(0, np.int64)
 
 
 def class_key(held: np.ndarray) -> int:
@@ -102,15 +115,17 @@ def wide_words(size: int) -> int:
     return max(SKETCH, 1 << max(0, size.bit_length() - 7))
 
 
-def cell_counts(texts: DataFrame, width: int, cells: int) -> np.ndarray:
-    """How many documents hold shingles of each cell of the hash range: 2**cells numbers, whatever the corpus."""
+def word_weights(texts: DataFrame, cells: int) -> np.ndarray:
+    """How frequent the words of each cell of the hash range are: 2**cells logarithms as whole numbers, whatever the corpus."""
     shift = np.uint64(64 - cells)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << cells, np.int64)
         for batch in batches:
             for body in batch["body"]:
-                np.add.at(total, (shingles(body.as_py(), width) >> shift).astype(np.int64), 1)
+                text = body.as_py()
+                if text:
+                    total += np.bincount((word_hashes(text.lower()) >> shift).astype(np.int64), minlength=1 << cells)
         used = np.flatnonzero(total)
         for begin in range(0, len(used), 50_000):
             part = used[begin:begin + 50_000]
@@ -119,18 +134,17 @@ def cell_counts(texts: DataFrame, width: int, cells: int) -> np.ndarray:
     out = np.zeros(1 << cells, np.int64)
     summed = texts.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     out[summed["cell"].to_numpy(np.int64)] = summed["n"].to_numpy(np.int64)
-    return out
+    return np.rint(1024 * np.log2(out + 1)).astype(np.int64)
 
 
 def described(documents: DataFrame, keep: tuple[str, ...], text: str, width: int, part: tuple[int, int],
-              counts: np.ndarray, cells: int) -> DataFrame:
+              weights: np.ndarray, cells: int) -> DataFrame:
     """Per document: kept columns as k0.., class, name of the text, set size, prefix in rare-first order, bit sketches."""
     chosen = documents.select(*[F.col(name).alias(f"k{at}") for at, name in enumerate(keep)],
                               F.col(text).cast("binary").alias("body"))
     schema = T.StructType(chosen.schema.fields[:-1] + T.StructType.fromDDL(
         "sid long, body_id long, n int, prefix array<long>, bits array<long>, wide array<long>").fields)
-    order = documents.sparkSession.sparkContext.broadcast(counts)
-    shift = np.uint64(64 - cells)
+    order = documents.sparkSession.sparkContext.broadcast(weights)
     over, under = part
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,10 +155,10 @@ def described(documents: DataFrame, keep: tuple[str, ...], text: str, width: int
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         sids, bodies, sizes, prefixes, bits, wide = [], [], [], [], [], []
         for body in batch["body"].to_pylist():
-            held = shingles(body, width)
+            held, weight = weighed_shingles(body, width, order.value, cells)
             size = len(held)
             first = size - -(-over * size // under) + 1 if size else 0
-            rank = np.lexsort((held, order.value[(held >> shift).astype(np.int64)]))[:first]
+            rank = np.lexsort((held, weight))[:first]
             sids.append(class_key(held))
             bodies.append(xxhash.xxh3_64_intdigest(body or b""))
             sizes.append(size)
@@ -278,13 +292,13 @@ def jaccard_components(documents: DataFrame, *, text: str = "text", keep: tuple[
 
     component_key is a number of the component even where keys repeat; null without shingles.
 
-    part: the similarity as a fraction. cells: 2**cells counters order the shingles and mark wanted sets; they bound what
-    is broadcast (2 MB at 18). More of them tell rare from frequent in a larger corpus; links do not depend on them.
+    part: the similarity as a fraction. cells: 2**cells counters of words order the shingles, and bit maps of that order of
+    size mark wanted sets; they bound what is broadcast (2 MB at 18). Links do not depend on them.
     """
     ship_package(documents.sparkSession)
     texts = documents.select(F.col(text).cast("binary").alias("body"))
-    counts = cell_counts(texts, width, cells)
-    rows = settle(described(documents, keep, text, width, part, counts, cells), "shingle-rows")
+    weights = word_weights(texts, cells)
+    rows = settle(described(documents, keep, text, width, part, weights, cells), "shingle-rows")
     classes = settle(rows.where("n > 0").groupBy("sid").agg(
         F.min("k0").alias("least"), F.min("body_id").alias("body_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"),
         F.first("wide").alias("wide")), "classes")
