@@ -41,30 +41,85 @@ ASIDE = frozenset(
     "widgets".split())
 MAIN = frozenset("article blog body content entry main page post story text".split())
 WORD = re.compile(r"[A-Za-z][a-z]*")
-
-
-def hint(attributes: str) -> str:
+#: First words that say a part is near, or absent, and last words that say nothing of what a part is.
+NEAR = frozenset("has have with without no not non hide show".split())
+PLAIN = frozenset(
+    "area bar block body bottom box col column container content group holder inner item items left list main outer panel row right "
+    "section slot top unit wrap wrapper".split())
+READERS = frozenset("comment comments discussion disqus replies reply respond".split())
+#: A heading that opens the readers' part of a page.
+READERS_TITLE = re.compile(r"(\d+ )?((reader|user|visitor)s?'? )?(comments?|repl(y|ies)|responses?|discussion)( \(?\d+\)?)?:?"
+                           r"|leave a (comment|reply)", re.IGNORECASE)
+
+
+def heads(value: str) -> set[str]:
+    """Per name in a class or id value the word that says what the part is: the last one that says anything.
+
+    Names of parts that are near or absent, as in ``has-sidebar`` or ``no-ads``, say nothing of the part itself.
+    """
+    found = set()
+    for name in value.split():
+        words = [word.lower() for word in WORD.findall(name)]
+        if words and words[0] not in NEAR:
+            while len(words) > 1 and words[-1] in PLAIN:
+                words.pop()
+            found.add(words[-1])
+    return found
+
+
+def hint(attributes: str, kind: str) -> tuple[str, set[str]]:
+    """Whether names call an element an aside part, a main part or both, and the aside words."""
     held = named(attributes) if attributes else {}
-    found = {word.lower() for key in ("class", "id", "role", "aria-label") for word in WORD.findall(held.get(key, ""))}
-    return ("aside" if found & ASIDE else "") + ("main" if found & MAIN else "")
+    # the id of a heading or paragraph is a place to link to
+    keys = ("class", "role") if kind in ("heading", "text", "list", "item", "inline", "table") else ("class", "id", "role")
+    aside = {word for key in keys for word in heads(held.get(key, ""))} & ASIDE
+    label = held.get("aria-label", "").strip().lower()
+    aside |= {label} & ASIDE
+    main = {word.lower() for key in keys for word in WORD.findall(held.get(key, ""))} & MAIN
+    return ("aside" if aside else "") + ("main" if main else ""), aside
 
 
 def observed(page: Page) -> list[tuple[str, tuple[str, ...]]]:
     """Per element its kind and its observations; text and link lengths are summed from the leaves up."""
     count = len(page.tags)
     size, linked = [0] * count, [0] * count
+    readers = set()
     for element, _, text in page.pieces:
         size[element] += len(text)
+        if KINDS.get(page.tags[element]) == "heading" and READERS_TITLE.fullmatch(" ".join(text.split())):
+            readers.add(element)
+    # a part that a readers' heading opens: nothing else with text stands before the heading in it
+    begun: set[int] = set()
+    for element, _, text in page.pieces:
+        if not text.strip():
+            continue
+        outer = page.parents[element] if element else 0
+        if element in readers and outer not in begun and KINDS.get(page.tags[outer], "box") == "box" and page.tags[outer] not in (
+                "#page", "html", "body"):
+            readers.add(outer)
+        while element not in begun:
+            begun.add(element)
+            if not element:
+                break
+            element = page.parents[element]
     for at in range(count - 1, 0, -1):
         if page.tags[at] == "a":
             linked[at] = size[at]
         size[page.parents[at]] += size[at]
         linked[page.parents[at]] += linked[at]
+    plain = size[0] - linked[0] if count else 0
     out = []
     within: list[str] = []
     for at, tag in enumerate(page.tags):
         kind = KINDS.get(tag, "box")
-        own = "" if tag in ("#page", "html", "body") else hint(page.attributes[at])
+        own, words = ("", set()) if tag in ("#page", "html", "body") else hint(page.attributes[at], kind)
+        # names yield to the text: what holds most of the page's text is no aside part, unless readers wrote it,
+        # and a list is one only where it is mostly links
+        most = 2 * (size[at] - linked[at]) > plain and not words & READERS
+        if own.startswith("aside") and (most or (kind == "list" and 2 * linked[at] < size[at])):
+            own = own.removeprefix("aside")
+        if at in readers and kind == "box":
+            own = "aside"
         outer = within[page.parents[at]] if at else ""
         apart = own == "aside" or kind == "side" or (kind == "top" and outer != "main")
         within.append("aside" if outer == "aside" or apart else "main" if kind == "main" or "main" in own else outer)

@@ -132,8 +132,8 @@ def word_weights(texts: DataFrame, cells: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["cell", "n"])
 
     out = np.zeros(1 << cells, np.int64)
-    summed = texts.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out[summed["cell"].to_numpy(np.int64)] = summed["n"].to_numpy(np.int64)
+    summed = texts.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out[summed["cell"].to_numpy()] = summed["n"].to_numpy()
     return np.rint(1024 * np.log2(out + 1)).astype(np.int64)
 
 
@@ -178,9 +178,9 @@ def bit_map(rows: DataFrame, column: str, cells: int) -> np.ndarray:
     shift = 64 - cells
     marks = rows.select(F.shiftrightunsigned(column, shift + 6).alias("word"), F.shiftrightunsigned(column, shift).alias("bit"))
     marks = marks.groupBy("word").agg(F.bit_or(F.call_function(
-        "shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toPandas()
+        "shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()
     words = np.zeros(1 << (cells - 6), np.int64)
-    words[marks["word"].to_numpy(np.int64)] = marks["bits"].to_numpy(np.int64)
+    words[marks["word"].to_numpy()] = marks["bits"].to_numpy()
     return words.view(np.uint64)
 
 

@@ -27,4 +27,6 @@ PAGES = [
     f'<html>{HEAD}<body><h1 data-content="1">A headline</h1><p data-content="1">{LONG}</p><p data-content="1">{LINE}</p><p data-content="1">{LONG}</p><footer>{LINE}</footer></body></html>',
     f'<html>{HEAD}<body><div class="page"><header class="masthead"><p>{LINE}</p>{MENU}</header><article data-content="1" class="post">{BODY}{PARTS}<div class="notice" data-content="0"><p>{LONG}</p></div></article>{COMMENTS}<aside class="sidebar"><p>{LONG}</p></aside></div></body></html>',
     f'<html>{HEAD}<body><div class="alert" role="dialog"><p>{LONG}</p></div><nav class="breadcrumb">{MENU}</nav><main><div class="entry-content" data-content="1"><p>{LONG}</p><div><p>{LINE}</p></div><pre>code of some length here</pre></div><section id="comments"><h2>Replies</h2><article data-content="0"><p>{LONG}</p></article></section></main></body></html>',
+    f'<html>{HEAD}<body><div class="page" data-content="1"><nav data-content="0">{MENU}</nav><h1>A headline</h1><p>{LONG}</p><p>{LINE}</p><p>{LONG}</p></div><footer><p>{LINE}</p></footer></body></html>',
+    f'<html>{HEAD}<body><nav>{MENU}</nav><div data-content="1"><h1>A headline</h1><p>{LONG}</p><ul data-content="0"><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul><h2>A part</h2><p>{LINE}</p></div></body></html>',
 ]

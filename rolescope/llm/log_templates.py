@@ -115,7 +115,7 @@ def grouped(held: DataFrame, depth: int, documents: int, constant: float) -> Dat
     spots = held.select("line", "words", "bodies", F.slice(spot, depth + 1, F.col("words") - depth).alias("spots"))
     every = F.aggregate("spots", F.lit(0).cast("long"), lambda left, right: left.bitwiseXOR(right))
     but_one = spots.withColumn("every", every).select("line", "bodies", F.explode(F.transform(
-        "spots", lambda spot: F.xxhash64(F.lit(1), F.col("every").bitwiseXOR(spot), F.array_position("spots", spot)))).alias("sign"))
+        "spots", lambda spot, at: F.xxhash64(F.lit(1), F.col("every").bitwiseXOR(spot), at))).alias("sign"))
     places = spots.select("line", "words", "bodies", F.explode("spots").alias("spot"))
     frequent = places.groupBy("spot").agg(F.sum("bodies").alias("n")).where(F.col("n") >= documents)
     need = (F.ceil(constant * F.col("words")) - depth).cast("int")
@@ -167,7 +167,7 @@ def general(found: DataFrame, read: DataFrame, depth: int, least_tokens: int, do
 
 def line_templates(documents: DataFrame, *, text: str = "text", depth: int = 2, least_tokens: int = 4, least_chars: int = 20,
                    least_documents: int = 2, template_documents: int = 10, constant: float = 0.6,
-                   report: tuple[str, str, str] = ("n_lines", "n_dropped", "n_words_dropped")) -> DataFrame:
+                   report: tuple[str, str, str] = ("__n_lines", "__n_dropped", "__n_words_dropped")) -> DataFrame:
     """The documents with recurring lines dropped from ``text``, and the counts that ``report`` names.
 
     least_documents: distinct texts that must hold a line as it is. template_documents: distinct texts that a short line or

@@ -153,7 +153,7 @@ def op6_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, dropped lines, and the hash of what is left of each document."""
     return line_templates(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_lines", "n_dropped", "n_words_dropped", digest(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
+        "doc_id", *[F.col(f"__{name}").alias(name) for name in ("n_lines", "n_dropped", "n_words_dropped")], digest(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
 
 
 @query("op8_main_text")
