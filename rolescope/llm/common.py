@@ -34,14 +34,21 @@ def text_key(text: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-#: A side may be broadcast up to this many rows; beyond, the engine joins by shuffle or by its own estimate.
-BROADCAST_ROWS = 200_000
+#: A settled side may be broadcast up to this many bytes of its files; beyond, both sides are joined by shuffle. The
+#: files are compressed, so in memory it is some times as much.
+BROADCAST_BYTES = 16 << 20
 
 
 def small(df: DataFrame, purpose: str) -> DataFrame:
-    """The rows settled, and marked for broadcast if they are few enough: keeps the texts on the other side in place."""
+    """The rows settled, and marked for broadcast if their files are small: keeps the texts on the other side in place."""
     held = settle(df, purpose)
-    return F.broadcast(held) if held.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else held
+    return F.broadcast(held) if settled_bytes(held) <= BROADCAST_BYTES else held
+
+
+def settled_bytes(held: DataFrame) -> int:
+    context = held.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(held._settled_path)
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
 
 def without(documents: DataFrame, rejected: DataFrame, purpose: str, **keys: Column) -> DataFrame:

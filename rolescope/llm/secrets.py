@@ -25,18 +25,22 @@ BASE = (
 )
 #: Long runs of mixed characters: candidates that the corpus confirms or drops.
 LOOSE = ("loose", r"[A-Za-z0-9+/_-]{32,}", 0, 32)
+#: Matches of a block whose places are summed one after the other.
+HITS = 256
 MIXED = (r"[a-z]", r"[A-Z]", r"[0-9].*[0-9].*[0-9]")
 
 
 def found(text: Column, order: int, kind: str, pattern: str, group: int, least: int) -> Column:
     """Spans (start, order, kind, stop, value key) of the pattern's leftmost non-overlapping matches, in code points.
 
-    The pieces between matches and the matches themselves alternate, so running sums of their lengths are places.
+    The pieces between matches and the matches themselves alternate, so running sums of their lengths are places. Sums run
+    within blocks of matches that start at the sum of the blocks before, so no list grows by one match at a time beyond
+    a block, and a text with very many matches stays cheap.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
-    def placed(parts: Column) -> Column:
+    def placed(parts: Column, begin: Column) -> Column:
         def step(state: Column, part: Column) -> Column:
             start = state["at"] + F.char_length(part["gap"])
             stop = start + F.char_length(part["hit"])
@@ -44,11 +48,19 @@ def found(text: Column, order: int, kind: str, pattern: str, group: int, least:
                             stop.alias("stop"), part["value"].alias("value"))
             return F.struct(stop.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
         none = F.array().cast("array<struct<start:int,order:int,kind:string,stop:int,value:string>>")
-        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)["spans"]
+        return F.aggregate(parts, F.struct(begin.alias("at"), none.alias("spans")), step)["spans"]
+
+    def blockwise(parts: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / HITS).cast("int")),
+                             lambda block: F.slice(parts, block * HITS + 1, HITS))
+        sizes = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda total, part: (
+            total + F.char_length(part["gap"]) + F.char_length(part["hit"]))))
+        return F.flatten(let(sizes, lambda held: F.transform(blocks, lambda block, at: placed(block, F.aggregate(
+            F.slice(held, F.lit(1), at), F.lit(0), lambda total, size: total + size)))))
 
     parts = F.arrays_zip(hits.alias("hit"), values.alias("value"), F.split(text, pattern, -1).alias("gap"))
-    good = F.filter(placed(F.filter(parts, lambda part: part["hit"].isNotNull())),
-                    lambda span: F.char_length(span["value"]) >= least)
+    spans = let(F.filter(parts, lambda part: part["hit"].isNotNull()), lambda held: F.when(F.size(held) > 0, blockwise(held)))
+    good = F.filter(spans, lambda span: F.char_length(span["value"]) >= least)
     if kind == LOOSE[0]:
         good = F.filter(good, lambda span: F.array_min(F.array(*[span["value"].rlike(need) for need in MIXED])))
     keyed = F.transform(good, lambda span: F.struct(
