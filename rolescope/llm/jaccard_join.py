@@ -1,14 +1,16 @@
 """N-gram Jaccard join: rare-first prefixes, length, positional and suffix filters, and one verification per pair.
 
 A document is its set of distinct word shingles. Equal sets are one class and are never paired. Shingles are ordered rare
-first by how often their words occur in all documents: the product of the words' shares estimates a shingle's, and unlike
-counts of shingles it tells rare from frequent in a table of fixed size however large the corpus is (any order gives the
-same links). If two sets are similar enough, their prefixes in that order share a shingle, so prefixes are what is joined.
-
-Large groups of near copies do not pair with each other: every class is verified against one leader that shares a
-prefix shingle, linear in the group; first the smallest class, then one of the last component still apart in the
-shingle. Only classes still in different components after that are paired within a shingle, and not where both have the
-same open shingle before it: they meet there too. So a pair with a run of common shingles meets once, at its start.
+first by two tables of fixed size, counted over all documents: how often a shingle's words occur, since the product of
+their shares estimates its own however large the corpus is, and, before that, by how far the documents counted in a
+shingle's cell exceed what chance puts in a cell, which shows the shingles of large groups of near copies. Any order
+gives the same links. If two sets are similar enough, their prefixes in that order share a shingle, so prefixes are joined.
+
+Large groups of near copies do not pair with each other: every shingle has a leader, its smallest class. A class is
+verified against the leader that it meets in most shingles, one pair a class; then, where a shingle still holds several
+components, against one of the last component in it. Only classes still in different components after that are paired
+within a shingle, and not where both have the same open shingle before it: they meet there too. So a pair with a run of
+common shingles meets once, at its start.
 Every pair within a component is linked already, and every pair across has been tested, once: no link is lost.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing, not even each other; texts shorter
@@ -91,13 +93,16 @@ def windows(hashes: np.ndarray, width: int) -> tuple[np.ndarray, int]:
     return out ^ (out >> np.uint64(29)), size
 
 
-def weighed_shingles(text: bytes | None, width: int, weights: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct shingles, and the sum of their words' weights: the same wherever a shingle occurs."""
+def weighed_shingles(text: bytes | None, width: int, tables: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingles and their weights, the same wherever a shingle occurs: its words' and its cell's."""
     hashes = word_hashes(text.lower()) if text else np.zeros(0, np.uint64)
     out, size = windows(hashes, width)
-    each = np.concatenate([np.zeros(1, np.int64), np.cumsum(weights[(hashes >> np.uint64(64 - cells)).astype(np.int64)])])
+    if not len(out):
+        return out, np.zeros(0, np.int64)
+    shift = np.uint64(64 - cells)
+    each = np.concatenate([np.zeros(1, np.int64), np.cumsum(tables[0][(hashes >> shift).astype(np.int64)])])
     held, first = np.unique(out, return_index=True)
-    return held, (each[size:] - each[:-size])[first] if len(out) else np.zeros(0, np.int64)
+    return held, (each[size:] - each[:-size])[first] + tables[1][(held >> shift).astype(np.int64)]
 
 
 def class_key(held: np.ndarray) -> int:
@@ -115,36 +120,43 @@ def wide_words(size: int) -> int:
     return max(SKETCH, 1 << max(0, size.bit_length() - 7))
 
 
-def word_weights(texts: DataFrame, cells: int) -> np.ndarray:
-    """How frequent the words of each cell of the hash range are: 2**cells logarithms as whole numbers, whatever the corpus."""
+def frequency_tables(texts: DataFrame, width: int, cells: int) -> np.ndarray:
+    """Two tables of 2**cells whole numbers: a logarithm of how often the words of a cell occur, and one, counting more
+    than all words together, of how many documents beyond chance hold shingles of a cell."""
     shift = np.uint64(64 - cells)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << cells, np.int64)
+        total = np.zeros((2, 1 << cells), np.int64)
         for batch in batches:
             for body in batch["body"]:
                 text = body.as_py()
                 if text:
-                    total += np.bincount((word_hashes(text.lower()) >> shift).astype(np.int64), minlength=1 << cells)
-        used = np.flatnonzero(total)
-        for begin in range(0, len(used), 50_000):
-            part = used[begin:begin + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["cell", "n"])
+                    hashes = word_hashes(text.lower())
+                    np.add.at(total[0], (hashes >> shift).astype(np.int64), 1)
+                    np.add.at(total[1], (np.unique(windows(hashes, width)[0]) >> shift).astype(np.int64), 1)
+        for kind, counted in enumerate(total):
+            used = np.flatnonzero(counted)
+            for begin in range(0, len(used), 50_000):
+                part = used[begin:begin + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part + (kind << cells)), pa.array(counted[part])], ["cell", "n"])
 
-    out = np.zeros(1 << cells, np.int64)
     summed = texts.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(2 << cells, np.int64)
     out[summed["cell"].to_numpy()] = summed["n"].to_numpy()
-    return np.rint(1024 * np.log2(out + 1)).astype(np.int64)
+    words, documents = out.reshape(2, -1)
+    chance = np.median(documents)
+    beyond = np.maximum(documents - chance - 6 * np.sqrt(chance + 1), 0)
+    return np.stack([np.rint(1024 * np.log2(words + 1)), np.rint(1024 * 64 * width * np.log2(beyond + 1))]).astype(np.int64)
 
 
 def described(documents: DataFrame, keep: tuple[str, ...], text: str, width: int, part: tuple[int, int],
-              weights: np.ndarray, cells: int) -> DataFrame:
+              tables: np.ndarray, cells: int) -> DataFrame:
     """Per document: kept columns as k0.., class, name of the text, set size, prefix in rare-first order, bit sketches."""
     chosen = documents.select(*[F.col(name).alias(f"k{at}") for at, name in enumerate(keep)],
                               F.col(text).cast("binary").alias("body"))
     schema = T.StructType(chosen.schema.fields[:-1] + T.StructType.fromDDL(
         "sid long, body_id long, n int, prefix array<long>, bits array<long>, wide array<long>").fields)
-    order = documents.sparkSession.sparkContext.broadcast(weights)
+    order = documents.sparkSession.sparkContext.broadcast(tables)
     over, under = part
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,13 +304,13 @@ def jaccard_components(documents: DataFrame, *, text: str = "text", keep: tuple[
 
     component_key is a number of the component even where keys repeat; null without shingles.
 
-    part: the similarity as a fraction. cells: 2**cells counters of words order the shingles, and bit maps of that order of
-    size mark wanted sets; they bound what is broadcast (2 MB at 18). Links do not depend on them.
+    part: the similarity as a fraction. cells: two tables of 2**cells numbers order the shingles, and bit maps of that order
+    of size mark wanted sets; they bound what is broadcast (4 MB at 18). Links do not depend on them.
     """
     ship_package(documents.sparkSession)
     texts = documents.select(F.col(text).cast("binary").alias("body"))
-    weights = word_weights(texts, cells)
-    rows = settle(described(documents, keep, text, width, part, weights, cells), "shingle-rows")
+    tables = frequency_tables(texts, width, cells)
+    rows = settle(described(documents, keep, text, width, part, tables, cells), "shingle-rows")
     classes = settle(rows.where("n > 0").groupBy("sid").agg(
         F.min("k0").alias("least"), F.min("body_id").alias("body_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"),
         F.first("wide").alias("wide")), "classes")
@@ -332,10 +344,14 @@ def jaccard_components(documents: DataFrame, *, text: str = "text", keep: tuple[
     def ordered(a: str, b: str) -> list[Column]:
         return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
 
-    def starred(held: DataFrame) -> DataFrame:
+    def starred(held: DataFrame, one: bool) -> DataFrame:
+        """Members with their shingles' leaders; with ``one`` only with the leader that a member meets in most shingles."""
         member = held.select(F.struct("sid", "n", "at", "component").alias("a"), F.col("lead").alias("b"))
-        return narrowed(member.where((F.col("a.component") != F.col("b.component")) & may_link("a", "b", part, False)).select(
-            *ordered("a.sid", "b.sid")))
+        able = member.where((F.col("a.component") != F.col("b.component")) & may_link("a", "b", part, False))
+        if not one:
+            return narrowed(able.select(*ordered("a.sid", "b.sid")))
+        met = able.groupBy(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).agg(F.count("*").alias("shingles"))
+        return narrowed(met.groupBy("a").agg(F.max_by("b", F.struct("shingles", "b")).alias("b")).select(*ordered("a", "b")))
 
     def apart(held: DataFrame, joined: DataFrame, pick: Callable[[Column], Column]) -> DataFrame:
         """The rows of the shingles that still hold several components, each with a leader out of one of them."""
@@ -346,10 +362,10 @@ def jaccard_components(documents: DataFrame, *, text: str = "text", keep: tuple[
             pick(F.struct("component", "sid", "n", "at")).alias("lead")).where("low < high")
         return settle(labelled.join(split.select("shingle", "lead"), "shingle"), "open-shingles")
 
-    edges = links(starred(shared))
+    edges = links(starred(shared, True))
     held = apart(shared, components(edges), F.max)
     discard(shared)
-    edges = edges.unionByName(links(starred(held)))
+    edges = edges.unionByName(links(starred(held, False)))
 
     still = apart(held, components(edges), F.max)
     before = F.lag("shingle").over(Window.partitionBy("sid").orderBy("at"))
