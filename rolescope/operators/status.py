@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolescope.functions.normalize import external_id
 from rolescope.functions.words import blank_to_null, contains_any, or_empty
 from rolescope.operators.merge import ACTIVE
 from rolescope.operators.ranking import previous_in_group
@@ -43,10 +44,11 @@ def code_status(code: Column) -> Column:
 
 def live_status(page: Column, job_code: Column, apply_code: Column,
                 page_checked: str = PAGE_CHECKED) -> Column:
-    """Page rule for links it covers, else the code of the link; an inconclusive answer gives way to a
-    clear one from a different apply link."""
+    """Page rule for links it covers, which is inconclusive without a posting's number in the link, else the code
+    of the link; an inconclusive answer gives way to a clear one from a different apply link."""
     job_link, apply_link = or_empty(F.col("job_link")), or_empty(F.col("apply_link"))
-    own = F.when(job_link.contains(page_checked), page).otherwise(code_status(job_code))
+    own = F.when(job_link.contains(page_checked), F.when(external_id(job_link).isNotNull(), page).otherwise(
+        "inconclusive")).otherwise(code_status(job_code))
     other = F.when((apply_link != "") & (apply_link != job_link), code_status(apply_code))
     return F.when((own == "inconclusive") & other.isin("closed", "live"), other).otherwise(own)
 

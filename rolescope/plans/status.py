@@ -45,11 +45,11 @@ def live_status(spark, sf):
 
 
 _LINKS = """u AS (SELECT user_id, CAST(user_id AS VARCHAR) AS id, event_type AS status,
-    'https://p/' || CAST(user_id % 211 AS VARCHAR) || CASE WHEN user_id % 2 = 0 THEN '/linkedin.com/' ELSE '' END AS job_link,
+    'https://p/' || CAST(user_id % 211 AS VARCHAR) || CASE user_id % 4 WHEN 0 THEN '/linkedin.com/view/7' WHEN 2 THEN '/linkedin.com/' ELSE '' END AS job_link,
     'https://p/' || CAST(user_id % 97 AS VARCHAR) AS apply_link FROM events
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)"""
 _PROBES = f"""probes AS (SELECT 'https://p/' || CAST(page_id AS VARCHAR) || x.tail AS url, {_PAGE_SQL} AS page_status, code
-  FROM (SELECT page_id, {_BODY} AS body, {_CODE} AS code FROM pages), (VALUES (''), ('/linkedin.com/')) x(tail))"""
+  FROM (SELECT page_id, {_BODY} AS body, {_CODE} AS code FROM pages), (VALUES (''), ('/linkedin.com/'), ('/linkedin.com/view/7')) x(tail))"""
 _STATES = """CASE status WHEN 'purchase' THEN 'Applied' WHEN 'click' THEN 'Not Applied' WHEN 'error' THEN ''
     WHEN 'view' THEN NULL ELSE 'New' END"""
 
@@ -57,7 +57,8 @@ _STATES = """CASE status WHEN 'purchase' THEN 'Applied' WHEN 'click' THEN 'Not A
 def _checked_sql():
     return f"""{_LINKS}, {_PROBES},
 c AS (SELECT u.id, u.user_id, {_STATES} AS status, u.job_link, u.apply_link,
-    CASE WHEN u.job_link LIKE '%/linkedin.com/%' THEN coalesce(a.page_status, 'inconclusive') ELSE {_code_sql("a.code")} END AS own,
+    CASE WHEN u.job_link LIKE '%/linkedin.com/' THEN 'inconclusive' WHEN u.job_link LIKE '%/linkedin.com/%'
+      THEN coalesce(a.page_status, 'inconclusive') ELSE {_code_sql("a.code")} END AS own,
     CASE WHEN u.apply_link <> u.job_link THEN {_code_sql("b.code")} END AS other
   FROM u LEFT JOIN probes a ON a.url = u.job_link LEFT JOIN probes b ON b.url = u.apply_link),
 checked AS (SELECT *, CASE WHEN own = 'inconclusive' AND other IN ('closed', 'live') THEN other ELSE own END AS live_status FROM c),
@@ -70,7 +71,7 @@ final AS (SELECT k.id, k.status, k.live_status, CASE
 
 def _checked(spark, sf):
     pages = fx.pages(spark, sf).selectExpr("page_id", f"{_BODY} AS body", f"{_CODE} AS code")
-    tails = F.explode(F.array(F.lit(""), F.lit("/linkedin.com/")))
+    tails = F.explode(F.array(F.lit(""), F.lit("/linkedin.com/"), F.lit("/linkedin.com/view/7")))
     probes = pages.select(
         "page_id", "code", st.page_status(F.col("body"), _MIN_PAGE).alias("page_status"), tails.alias("tail")
     ).select(F.concat(F.lit("https://p/"), F.col("page_id").cast("string"), "tail").alias("url"), "page_status", "code")
@@ -84,7 +85,7 @@ def _checked(spark, sf):
     jobs = latest.select(
         user.cast("string").alias("id"), status.alias("status"),
         F.concat(F.lit("https://p/"), (user % 211).cast("string"),
-                 F.when(user % 2 == 0, "/linkedin.com/").otherwise("")).alias("job_link"),
+                 F.when(user % 4 == 0, "/linkedin.com/view/7").when(user % 4 == 2, "/linkedin.com/").otherwise("")).alias("job_link"),
         F.concat(F.lit("https://p/"), (user % 97).cast("string")).alias("apply_link"),
         F.when(F.col("interviewed"), F.create_map(F.lit("Onsite"), F.lit("2026-01-01"))).alias("timestamps"))
     checked = st.probed(jobs, probes)
