@@ -24,9 +24,10 @@ PREVIEW, ERROR_LENGTH = 160, 240
 JSON_OBJECT = r"(\{[\s\S]*\})"
 
 
-def scoring_message() -> Column:
+def posting_message(task: str) -> Column:
+    """A task, then the posting's company, title and the relevant part of its description."""
     return F.concat(
-        F.lit("Score this job posting.\n\nCompany: "), or_empty(F.col("company")),
+        F.lit(f"{task}\n\nCompany: "), or_empty(F.col("company")),
         F.lit("\nTitle: "), or_empty(F.col("title")),
         F.lit("\n\nDESCRIPTION (relevant excerpt):\n"), excerpt(F.col("description"), PROMPT_EXCERPT),
     )
@@ -51,7 +52,12 @@ def request_rows(jobs: DataFrame, message: Column, system_prompt: str, model: st
 
 
 def scoring_requests(jobs: DataFrame, system_prompt: str, model: str) -> DataFrame:
-    return request_rows(jobs, scoring_message(), system_prompt, model)
+    return request_rows(jobs, posting_message("Score this job posting."), system_prompt, model)
+
+
+def document_requests(jobs: DataFrame, task: str, system_prompt: str, model: str) -> DataFrame:
+    """Requests for tailored bullets; the system prompt holds the pool and its limits."""
+    return request_rows(jobs, posting_message(task), system_prompt, model, DOCUMENT_MAX_TOKENS)
 
 
 def parsed_scores(responses: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rolescope.functions.normalize import job_id
 from rolescope.operators import model_scoring as ms
 from rolescope.operators.scoring import model_scale, tier, verdict
 from rolescope.plans import fixtures as fx
@@ -200,13 +201,18 @@ m AS (SELECT row_no, id, 'Score this job posting.' || chr(10) || chr(10) || 'Com
     || {_EXCERPT_2500} AS message FROM tidy)
 SELECT row_no, id AS custom_id, 'small' AS model, 512 AS max_tokens, '{_PROMPT}' AS system, '1h' AS ttl, message FROM m""")
 def llm_requests(spark, sf):
-    # The request text is read back from its JSON, so the check does not hang on JSON spelling.
+    return _request_fields(ms.scoring_requests(_keyed_jobs(spark, sf), _PROMPT, "small"))
+
+
+def _keyed_jobs(spark, sf):
+    """Postings whose id carries the row number through the request."""
     jobs = fx.postings(spark, sf)
-    from rolescope.functions.normalize import job_id
     jobs = jobs.withColumn("id", job_id(F.col("job_link"), F.col("company"), F.col("title")))
-    keyed = jobs.withColumn("id", F.concat_ws("#", F.col("row_no").cast("string"), "id"))
-    requests = ms.scoring_requests(keyed, _PROMPT, "small")
+    return jobs.withColumn("id", F.concat_ws("#", F.col("row_no").cast("string"), "id"))
+
 
+def _request_fields(requests):
+    # The request text is read back from its JSON, so the check does not hang on JSON spelling.
     def at(path):
         return F.get_json_object("request", path)
     return requests.select(
@@ -218,6 +224,20 @@ def llm_requests(spark, sf):
     )
 
 
+_TASK = "Choose bullets for this posting."
+
+
+@query("document_requests", f"""
+WITH {fx.SCORED},
+{tidy_sql("description", "row_no, id, company, title", "jobs")},
+m AS (SELECT row_no, id, '{_TASK}' || chr(10) || chr(10) || 'Company: ' || company || chr(10)
+    || 'Title: ' || title || chr(10) || chr(10) || 'DESCRIPTION (relevant excerpt):' || chr(10)
+    || {_EXCERPT_2500} AS message FROM tidy)
+SELECT row_no, id AS custom_id, 'large' AS model, 2048 AS max_tokens, '{_PROMPT}' AS system, '1h' AS ttl, message FROM m""")
+def document_requests(spark, sf):
+    return _request_fields(ms.document_requests(_keyed_jobs(spark, sf), _TASK, _PROMPT, "large"))
+
+
 _OUTCOME = "CASE l_returnflag WHEN 'A' THEN 'succeeded' WHEN 'N' THEN 'processing' " \
            "ELSE CASE l_linestatus WHEN 'O' THEN 'errored' ELSE 'expired' END END"
 

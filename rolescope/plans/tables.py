@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 
 from pyspark.sql import functions as F
 
 from rolescope.functions.normalize import company_key, json_row, logo_url, website
 from rolescope.operators import merge, views
-from rolescope.operators.filters import status_in
+from rolescope.operators.filters import id_in, status_in
 from rolescope.plans import fixtures as fx
 from rolescope.plans.fixtures import RULES
 from rolescope.plans.registry import query
@@ -507,6 +508,30 @@ def cleanup_report(spark, sf):
     return merge.cleanup_report(rows, RULES).withColumnRenamed("id", "row_no")
 
 
+# The cleanup applied: what stays of the postings, of a state per posting and of plans that hold every third one.
+@query("cleanup_applied", f"""
+WITH {fx.SCORED},
+kept AS (SELECT row_no FROM jobs WHERE NOT ({fx.BAD_COMPANY} OR {fx.BAD_TEXT}))
+SELECT 'jobs' AS name, row_no FROM kept UNION ALL SELECT 'state', row_no FROM kept
+UNION ALL SELECT 'plan_jobs', row_no FROM kept WHERE row_no % 3 = 0""")
+def cleanup_applied(spark, sf):
+    jobs = fx.postings(spark, sf).withColumn("id", F.col("row_no"))
+    members = fx.postings(spark, sf, keep_text=False).select(F.col("row_no").alias("job_id"))
+    tables = {"jobs": jobs, "state": members, "plan_jobs": members.filter("job_id % 3 = 0")}
+    _, left = merge.cleanup(tables, RULES, apply=True)
+    rows = [left[name].select(F.lit(name).alias("name"), F.col("id" if name == "jobs" else "job_id").alias("row_no"))
+            for name in ("jobs", "state", "plan_jobs")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("jobs_by_id", f"""
+WITH {fx.PART_JOBS} SELECT id, company, title, score FROM part_jobs
+WHERE id IN (substr(md5('3'), 1, 12), substr(md5('14'), 1, 12), substr(md5('159'), 1, 12), 'unknown')""")
+def jobs_by_id(spark, sf):
+    wanted = [hashlib.md5(key.encode()).hexdigest()[:12] for key in ("3", "14", "159")]
+    return fx.part_jobs(spark, sf).filter(id_in(F.col("id"), [*wanted, "unknown"])).select("id", "company", "title", "score")
+
+
 # Legacy JSON: one object per user, mapping job ids to states.
 @query("migrate_states", """
 SELECT CAST(user_id AS VARCHAR) || '-' || CAST(event_id AS VARCHAR) AS job_id, event_type AS status, props AS notes,
