@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html as entities
+from collections import Counter
+from collections.abc import Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -16,13 +18,18 @@ from rolescope.session import ship_package
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset(("script", "style", "template"))
 
-# no: element number in document order; last: number of its last descendant; path: its ancestors' numbers;
-# first_text, next_text: the half-open range of its texts.
+# Tags of the boxes a link may stand in.
+BOXES = frozenset(("div", "li", "article", "tr"))
+
+# no: element number in document order; last: number of its last descendant; inside: bits of the marks that its
+# ancestors have; in_link, in_box: nearest link and nearest box around it, -1 for none; first_text, next_text: the
+# half-open range of its texts. Every field has a fixed width, so a page grows with its elements, however deep.
 _INT = T.IntegerType()
 ELEMENT = T.StructType([
     T.StructField("no", _INT), T.StructField("parent", _INT), T.StructField("last", _INT),
     T.StructField("tag", T.StringType()), T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("classes", T.ArrayType(T.StringType())), T.StructField("path", T.ArrayType(_INT)),
+    T.StructField("classes", T.ArrayType(T.StringType())), T.StructField("inside", T.LongType()),
+    T.StructField("in_link", _INT), T.StructField("in_box", _INT),
     T.StructField("first_text", _INT), T.StructField("next_text", _INT),
 ])
 PARSED = T.StructType([
@@ -30,26 +37,42 @@ PARSED = T.StructType([
 ])
 
 
+def _marked(element, kind, name):
+    if kind == "tag":
+        return element["tag"] == name
+    if kind == "class":
+        return name in element["classes"]
+    return name in element["attrs"].get("class", "")
+
+
 class _Flattener(HTMLParser):
-    def __init__(self):
+    """What an element takes from its ancestors comes from the open element it starts in, so each costs the same."""
+
+    def __init__(self, marks):
         super().__init__(convert_charrefs=True)
-        self.elements, self.texts, self.open = [], [], []
+        self.marks = marks
+        self.elements, self.texts, self.open, self.open_tags = [], [], [], Counter()
+        # Per open element: the bits, the link and the box that it gives to what is inside it.
+        self.given = [(0, -1, -1)]
 
     def handle_starttag(self, tag, attrs):
-        path = [element["no"] for element in self.open]
         number, at = len(self.elements), len(self.texts)
+        inside, in_link, in_box = self.given[-1]
         element = {
-            "no": number, "parent": path[-1] if path else -1, "last": number, "tag": tag,
-            "attrs": {name: value or "" for name, value in attrs}, "path": path,
-            "first_text": at, "next_text": at,
+            "no": number, "parent": self.open[-1]["no"] if self.open else -1, "last": number, "tag": tag,
+            "attrs": {name: value or "" for name, value in attrs}, "inside": inside, "in_link": in_link,
+            "in_box": in_box, "first_text": at, "next_text": at,
         }
         element["classes"] = element["attrs"].get("class", "").split()
         self.elements.append(element)
         if tag not in VOID:
+            own = sum(1 << bit for bit, mark in enumerate(self.marks) if _marked(element, *mark))
+            self.given.append((inside | own, number if tag == "a" else in_link, number if tag in BOXES else in_box))
             self.open.append(element)
+            self.open_tags[tag] += 1
 
     def handle_endtag(self, tag):
-        if any(element["tag"] == tag for element in self.open):
+        if self.open_tags[tag]:
             while self._shut() != tag:
                 pass
 
@@ -59,6 +82,8 @@ class _Flattener(HTMLParser):
 
     def _shut(self):
         element = self.open.pop()
+        self.given.pop()
+        self.open_tags[element["tag"]] -= 1
         element["last"], element["next_text"] = len(self.elements) - 1, len(self.texts)
         return element["tag"]
 
@@ -73,16 +98,17 @@ class _Flattener(HTMLParser):
         return {"elements": self.elements, "texts": self.texts}
 
 
-@F.pandas_udf(PARSED)
-def _parse(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_Flattener().flat(page) for page in html], columns=["elements", "texts"])
-
+def parse_html(html: Column, marks: Sequence[tuple[str, str]] = ()) -> Column:
+    """The page as arrays. ``marks`` are up to 63 (tag | class | part of the class attribute, name) pairs, which
+    ``marked_around`` asks for.
 
-def parse_html(html: Column) -> Column:
-    """Declared nondeterministic only so that filters on its result are not pushed below it, which would
+    Declared nondeterministic only so that filters on its result are not pushed below it, which would
     parse every page once more per filter."""
+    @F.pandas_udf(PARSED)
+    def parse(pages: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_Flattener(marks).flat(page) for page in pages], columns=["elements", "texts"])
     ship_package(SparkSession.getActiveSession())
-    return _parse.asNondeterministic()(html)
+    return parse.asNondeterministic()(html)
 
 
 @F.pandas_udf(T.StringType())
@@ -127,9 +153,9 @@ def next_sibling(element: Column, elements: Column) -> Column:
     return F.when(after["parent"] == element["parent"], after)
 
 
-def has_ancestor(element: Column, elements: Column, test) -> Column:
-    """Some ancestor passes; follows the element's path, so it costs its depth, not the page."""
-    return F.exists(element["path"], lambda number: test(F.get(elements, number)))
+def marked_around(element: Column, bit: int | Column) -> Column:
+    """Some ancestor has the mark with that number."""
+    return F.getbit(element["inside"], F.lit(bit) if isinstance(bit, int) else bit) == 1
 
 
 def first_or_null(items: Column) -> Column:

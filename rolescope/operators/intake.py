@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from rolescope.functions.normalize import batch_label, cleaned, job_id
 from rolescope.functions.words import blank_to_null, strip
-from rolescope.operators.dedup import first_postings, first_wins, new_by_key
-from rolescope.operators.filters import excluded_company, header_passes
+from rolescope.operators.dedup import first_postings, first_wins
+from rolescope.operators.filters import header_passes
 from rolescope.operators.pages import careers_postings
 from rolescope.operators.scoring import read_description, scored, text_passes
 from rolescope.rules import Rules
@@ -59,10 +59,9 @@ def import_csv(raw: DataFrame, rules: Rules, day: Column, location: str | None =
 
 def import_careers(boards: DataFrame, details: DataFrame, stored: DataFrame, rules: Rules, day: Column) -> DataFrame:
     """Careers pages to new catalog rows: links, filters, descriptions, scores, and what is not stored."""
-    found = careers_postings(boards, details, rules).filter(~excluded_company(F.col("company"), rules))
+    found = careers_postings(boards, details, stored, rules)
     read = read_description(found, rules, keep_text=True)
     jobs = scored(read.filter(text_passes(read, rules)), rules).drop("text_score", "text_excluded")
-    once = first_wins(jobs, ["id"], ["page_id", "link_no"]).withColumns({
+    return first_wins(jobs, ["id"], ["page_id", "link_no"]).withColumns({
         "import_date": batch_label(day), "posted_date": F.lit(""), "work_type": F.lit(""), "applicants": F.lit(""),
     })
-    return new_by_key(once, stored)

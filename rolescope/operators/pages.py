@@ -10,14 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolescope.functions.html import (
-    attr, below, class_contains, decoded, element_texts, first_or_null, has_ancestor, has_class, inner_text,
-    next_sibling, parse_html,
+    attr, below, class_contains, decoded, element_texts, first_or_null, has_class, inner_text,
+    marked_around, next_sibling, parse_html,
 )
 from rolescope.functions.normalize import job_id
 from rolescope.functions.urls import absolute_url, host, url_base
 from rolescope.functions.words import any_of, blank_to_null, contains_any, let, or_empty, strip, unfold
-from rolescope.operators.filters import keep_all_when_none, title_passes
+from rolescope.operators.dedup import new_by_key
+from rolescope.operators.filters import excluded_company, keep_all_when_none, title_passes
 from rolescope.rules import Rules
+from rolescope.session import settle
 
 # Platforms in order, with the host parts that name them.
 PLATFORM_HOSTS = (
@@ -47,6 +49,10 @@ LISTED_ORDER = (
     ("class", "listing"), ("part", "job"), ("part", "position"), ("part", "career"), ("part", "opening"),
     ("part", "posting"), ("part", "vacancy"),
 )
+# Class of a posting's head, and of the block with its place.
+POSTING_TITLE, POSTING_CATEGORIES = "posting-title", "posting-categories"
+# What an element may be asked to stand inside of; the listing containers come first.
+MARKS = (*LISTED_ORDER, ("class", POSTING_TITLE), ("class", POSTING_CATEGORIES))
 # Patterns over links and the text near them.
 JOB_PATH = r"(?i)/jobs?/|/careers?/|/positions?/|/openings?/|/posting|/role|/apply"
 WORKPLACE = r"(?i)remote|hybrid|onsite|office"
@@ -125,7 +131,7 @@ def visible_text_native(html: Column) -> Column:
 def parsed_pages(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """Replace the HTML by its parsed form ``page``, with ``base`` for its links; the raw text goes no
     further."""
-    parsed = pages.withColumn("page", parse_html(F.col(html))).drop(html)
+    parsed = pages.withColumn("page", parse_html(F.col(html), MARKS)).drop(html)
     return parsed.withColumn("base", url_base(F.col(url))) if url in parsed.columns else parsed
 
 
@@ -177,16 +183,16 @@ def block_links(page: Column, base: Column) -> Column:
     elements, texts = page["elements"], page["texts"]
 
     def is_title(element: Column) -> Column:
-        heading = (element["tag"] == "h5") & has_ancestor(element, elements, lambda up: has_class(up, "posting-title"))
-        return heading | ((element["tag"] == "a") & has_class(element, "posting-title"))
+        heading = (element["tag"] == "h5") & marked_around(element, MARKS.index(("class", POSTING_TITLE)))
+        return heading | ((element["tag"] == "a") & has_class(element, POSTING_TITLE))
 
     def is_link(element: Column) -> Column:
         return (element["tag"] == "a") & (
-            has_class(element, "posting-title") | attr(element, "href").contains("/jobs/"))
+            has_class(element, POSTING_TITLE) | attr(element, "href").contains("/jobs/"))
 
     def is_place(element: Column) -> Column:
-        listed = has_class(element, "location") & has_ancestor(
-            element, elements, lambda up: has_class(up, "posting-categories"))
+        listed = has_class(element, "location") & marked_around(
+            element, MARKS.index(("class", POSTING_CATEGORIES)))
         return listed | has_class(element, "workplaceTypes")
 
     def one(inner: Column) -> Column:
@@ -232,19 +238,13 @@ def _usable_title(title: Column, skip: tuple[str, ...]) -> Column:
 
 def listed_links(page: Column, base: Column) -> Column:
     """Links inside repeated containers. A container kind counts from three links on."""
-    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name")) for kind, name in LISTED_ORDER])
-
-    def in_container(anchors: Column, wanted: Column) -> Column:
-        def test(element: Column) -> Column:
-            return (
-                F.when(wanted["kind"] == "tag", element["tag"] == wanted["name"])
-                .when(wanted["kind"] == "class", has_class(element, wanted["name"]))
-                .otherwise(class_contains(element, wanted["name"]))
-            )
-        hits = F.filter(anchors, lambda link: has_ancestor(link, page["elements"], test))
+    kinds = F.array(*[F.lit(bit) for bit in range(len(LISTED_ORDER))])
+
+    def in_container(anchors: Column, bit: Column) -> Column:
+        hits = F.filter(anchors, lambda link: marked_around(link, bit))
         return let(hits, lambda found: F.when(F.size(found) >= MIN_LISTED, found).otherwise(F.slice(found, 1, 0)))
     listed = let(_anchors(page["elements"]), lambda anchors: F.flatten(
-        F.transform(kinds, lambda wanted: in_container(anchors, wanted))))
+        F.transform(kinds, lambda bit: in_container(anchors, bit))))
     links = F.transform(
         listed,
         lambda link: _link(inner_text(link, page["texts"]), absolute_url(base, attr(link, "href")),
@@ -304,9 +304,8 @@ def card_links(page: Column, base: Column) -> Column:
 
     def from_card(card: Column, inner: Column) -> Column:
         # The card itself or the nearest link around it, when it has no posting link inside.
-        around = F.filter(F.transform(F.array_append(card["path"], card["no"]), lambda number: F.get(elements, number)),
-                          lambda element: element["tag"] == "a")
-        link = F.coalesce(first_or_null(F.filter(inner, is_link)), F.try_element_at(around, F.lit(-1)))
+        around = F.when(card["tag"] == "a", card).otherwise(F.get(elements, card["in_link"]))
+        link = F.coalesce(first_or_null(F.filter(inner, is_link)), around)
         return _link(
             or_empty(let(first_or_null(F.filter(inner, is_title)), lambda found: inner_text(found, texts, " "))),
             let(link, lambda found: F.when(found.isNotNull(), absolute_url(base, attr(found, "href"))).otherwise("")),
@@ -314,9 +313,7 @@ def card_links(page: Column, base: Column) -> Column:
         )
 
     def from_link(link: Column) -> Column:
-        boxes = F.filter(F.transform(link["path"], lambda number: F.get(elements, number)),
-                         lambda element: element["tag"].isin("div", "li", "article", "tr"))
-        inner = let(F.try_element_at(boxes, F.lit(-1)), lambda box: below(box, elements))
+        inner = let(F.get(elements, link["in_box"]), lambda box: below(box, elements))
         return _link(inner_text(link, texts, " "), absolute_url(base, attr(link, "href")), let(inner, place))
 
     def unique(links: Column) -> Column:
@@ -406,21 +403,31 @@ def page_description(page: Column) -> Column:
     )
 
 
-def careers_postings(boards: DataFrame, details: DataFrame, rules: Rules) -> DataFrame:
-    """Unscored postings of careers pages: links that pass, joined with the crawled pages behind them.
-
-    A link whose page was not crawled keeps an empty description.
-    """
+def careers_links(boards: DataFrame, stored: DataFrame, rules: Rules) -> DataFrame:
+    """Postings of careers pages that pass by title and company and are not stored, without descriptions."""
     links = matching_links(posting_links(boards), rules).drop("html")
-    # A page crawled twice counts once; the copies are told apart on (url, page_id) alone.
-    once = details.groupBy("url").agg(F.min("page_id").alias("page_id"))
-    crawled = details.select("url", "page_id", "html").join(once, ["url", "page_id"], "left_semi")
-    texts = parsed_pages(crawled).select(
-        F.col("url").alias("link_url"), page_description(F.col("page")).alias("description"))
-    joined = links.join(texts, "link_url", "left").withColumn("description", or_empty(F.col("description")))
-    return joined.select(
+    rows = links.filter(~excluded_company(F.col("company"), rules)).select(
         job_id(F.col("link_url"), F.col("company"), F.col("title")).alias("id"),
-        "company", "title", F.lit("N/A").alias("salary"), "description",
+        "company", "title", F.lit("N/A").alias("salary"),
         F.col("link_url").alias("apply_link"), F.col("link_url").alias("job_link"),
         "location", "page_id", "link_no",
     )
+    return new_by_key(rows, stored)
+
+
+def careers_postings(boards: DataFrame, details: DataFrame, stored: DataFrame, rules: Rules) -> DataFrame:
+    """New, unscored postings of careers pages: links that pass, joined with the crawled pages behind them.
+
+    The links come first and are settled, narrow as they are, since two joins read them. Crawled pages are parsed
+    above the join with them, so a page that no new posting links to is never parsed. A link whose page was not
+    crawled keeps an empty description; of a page crawled twice the smallest page id counts.
+    """
+    links = settle(careers_links(boards, stored, rules), "careers-links")
+    wanted = links.select(F.col("job_link").alias("url")).distinct()
+    # The copies of a page are told apart on (url, page_id) alone.
+    once = details.select("url", "page_id").join(wanted, "url", "left_semi").groupBy("url").agg(
+        F.min("page_id").alias("page_id"))
+    crawled = details.select("url", "page_id", "html").join(once, ["url", "page_id"], "left_semi")
+    texts = parsed_pages(crawled).select(
+        F.col("url").alias("job_link"), page_description(F.col("page")).alias("description"))
+    return links.join(texts, "job_link", "left").withColumn("description", or_empty(F.col("description")))

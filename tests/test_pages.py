@@ -1,7 +1,10 @@
 """Page rules on hand-written boards."""
 
+import time
+
 from pyspark.sql import functions as F
 
+from rolescope.functions.html import BOXES, _Flattener, _marked
 from rolescope.operators import pages as pg
 from rolescope.operators.intake import import_careers
 from rolescope.rules import Rules
@@ -100,3 +103,51 @@ def test_careers_import(spark):
     rows = import_careers(boards, details, stored, rules, F.lit("2026-01-02").cast("date")).collect()
     assert [(row.title, row.company, row.score, row.tier, row.job_link) for row in rows] == [
         ("Software Dev", "Acme", 8, "Match", "https://boards.example/p/1")]
+
+
+def test_parsed_pages_hold_no_ancestor_lists(spark):
+    pairs = 4000
+    start = time.perf_counter()
+    page = _Flattener(pg.MARKS).flat("<tr><td>" * pairs + '<a href="/careers/1">Dev One</a>')
+    assert time.perf_counter() - start < 1
+    assert len(page["elements"]) == 2 * pairs + 1
+    assert not any(isinstance(value, list) and len(value) > 1 for element in page["elements"] for value in element.values())
+    link = page["elements"][-1]
+    assert (link["in_link"], link["in_box"]) == (-1, 2 * pairs - 2)
+    assert link["inside"] == 1 << pg.MARKS.index(("tag", "tr"))
+    # End tags without a start, on a deep page.
+    start = time.perf_counter()
+    _Flattener(pg.MARKS).flat("<div>" * pairs + "</p>" * pairs)
+    assert time.perf_counter() - start < 1
+
+
+def test_marks_of_ancestors_equal_a_walk_up(spark):
+    html = """<ul class="job-board"><li class="x job"><div class="card"><a class="job" href="1">t</a></div></li></ul>
+      <section class="careerlist posting-title"><h5>u<img><b class="location">v</b></h5><a href="2"><li>w</li></a></section><i>z</i>"""
+    elements = _Flattener(pg.MARKS).flat(html)["elements"]
+
+    def above(element):
+        while element["parent"] >= 0:
+            element = elements[element["parent"]]
+            yield element
+    for element in elements:
+        up = list(above(element))
+        bits = sum(1 << bit for bit, mark in enumerate(pg.MARKS) if any(_marked(other, *mark) for other in up))
+        assert element["inside"] == bits
+        assert element["in_link"] == next((other["no"] for other in up if other["tag"] == "a"), -1)
+        assert element["in_box"] == next((other["no"] for other in up if other["tag"] in BOXES), -1)
+
+
+def test_only_wanted_pages_are_parsed(spark, capsys):
+    board = '<title>Jobs at Acme</title><ul>' + "".join(f'<li><a href="/p/{n}">Software Dev</a></li>' for n in range(4)) + "</ul>"
+    boards = spark.createDataFrame([(1, URL, board)], "page_id long, url string, html string")
+    details = spark.createDataFrame([(n, f"https://boards.example/p/{n}", f"<article>{'go ' * 50}{n}</article>") for n in range(9)],
+                                    "page_id long, url string, html string")
+    stored = spark.createDataFrame([("x", "https://boards.example/p/0")], "id string, job_link string")
+    rows = pg.careers_postings(boards, details, stored, Rules())
+    rows.explain()
+    plan = capsys.readouterr().out
+    # The plan is printed from the result downwards.
+    assert 0 < plan.index("ArrowEvalPython") < plan.index("LeftSemi")
+    assert "ArrowEvalPython" not in plan[plan.index("LeftSemi"):]
+    assert sorted((row.job_link[-1], row.description[-1]) for row in rows.collect()) == [(n, n) for n in "123"]
