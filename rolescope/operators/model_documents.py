@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolescope.functions.words import blank_to_null, or_empty, strip
+from rolescope.functions.words import blank_to_null, let, or_empty, strip
 from rolescope.operators.model_scoring import JSON_OBJECT
 from rolescope.rules import Rules
 
@@ -17,14 +17,18 @@ TOTAL_MIN, TOTAL_MAX = 27, 31
 def parsed_bullets(responses: DataFrame, body: str = "body") -> DataFrame:
     """Add ``bullets`` (company to bullet texts), ``analysis`` and ``failure``.
 
-    Code fences are tolerated. Companies are read in name order, so when several are malformed the
-    failure names the first of them alphabetically.
+    Code fences are tolerated. Companies keep the order of the answer, so when several are malformed the
+    failure names the one that comes first there.
     """
     plain = strip(or_empty(F.col(body)))
     fenced = plain.startswith("```")
     open_fence = F.regexp_replace(plain, r"(?U)^```(?:json)?\s*", "")
     bare = F.when(fenced, F.regexp_replace(open_fence, r"(?U)\s*```$", "")).otherwise(plain)
-    entries = F.map_entries(F.try_variant_get(F.col("_bullets"), "$", "map<string,variant>"))
+    # A variant sorts its keys; their order is read from the text.
+    named = F.try_variant_get(F.col("_bullets"), "$", "map<string,variant>")
+    keys = F.array_distinct(F.json_object_keys(F.get_json_object("_json", "$.bullets")))
+    entries = let(named, lambda values: F.transform(
+        keys, lambda key: F.struct(key.alias("key"), values[key].alias("value"))))
 
     def is_list(value: Column) -> Column:
         return F.coalesce(F.schema_of_variant(value).startswith("ARRAY"), F.lit(False))

@@ -257,7 +257,7 @@ def _model_answers(spark, sf):
     flawed = (
         F.when(item % 7 == 3, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
         .when(item % 7 == 4, F.lit("no object here"))
-        .when(item % 7 == 5, F.lit('{"bullets": {"Company A": ["x", 3], "Company B": "y"}}'))
+        .when(item % 7 == 5, F.lit('{"bullets": {"Company C": ["x", 3], "Company A": "y"}}'))
         .when(item % 7 == 6, F.lit('{"bullets": [1]}'))
         .otherwise(body)
     )
@@ -283,7 +283,7 @@ b AS (SELECT item_id, kind, a, a[1:2] AS b, CASE WHEN kind = 2 THEN [] ELSE a[2:
 t AS (SELECT *, CAST(coalesce(list_sum(list_transform(list_concat(a, list_concat(b, c)), lambda x: {_LINES})), 0) AS BIGINT) AS total FROM b),
 e AS (SELECT item_id, CASE kind
     WHEN 4 THEN ['parse failed: no JSON object in response']
-    WHEN 5 THEN ['parse failed: ''Company A'' contains a non-string bullet']
+    WHEN 5 THEN ['parse failed: ''Company C'' contains a non-string bullet']
     WHEN 6 THEN ['parse failed: missing ''bullets'' object']
     WHEN 1 THEN ['missing company key: ''Company B''', 'unexpected company keys: [''Company X'']']
     ELSE list_concat(list_concat({_company_sql("Company A", "a", 9, 14)}, {_company_sql("Company B", "b", 1, 9)}),

@@ -275,6 +275,10 @@ def test_bullet_answers(spark):
         ('{"bullets": 3}', ["parse failed: missing 'bullets' object"]),
         ('{"bullets": {"A": "x"}}', ["parse failed: 'A' value is not a list"]),
         ('{"bullets": {"A": [1]}}', ["parse failed: 'A' contains a non-string bullet"]),
+        ('{"bullets": {"Zeta": "x", "Alpha": [1]}}', ["parse failed: 'Zeta' value is not a list"]),
+        ('{"analysis": {"Q": 1}, "bullets": {"Z\\u00e9": ["x"], "B": ["y"], "C": ["y"]}}',
+         ["missing company key: 'A'", "unexpected company keys: ['Zé', 'C']"]),
+        ('{"bullets": {}}', ["missing company key: 'A'", "missing company key: 'B'"]),
         ('{"bullets": {"A": ["x"], "C": ["y"]}}', ["missing company key: 'B'", "unexpected company keys: ['C']"]),
         ('{"bullets": {"A": ["x"], "B": [" "]}}', ["A: 1 lines outside budget [9, 10]", "B: no bullets returned",
                                                      "total lines = 1, must be in [27, 31]"]),
