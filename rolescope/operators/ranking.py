@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rolescope.session import settle
+
 
 def numbered_within(df: DataFrame, group: list[str], order: str, block: Column) -> DataFrame:
     """Add ``number`` 1, 2, … within each group by ``order``, without one task per group.
@@ -27,6 +29,41 @@ def numbered_within(df: DataFrame, group: list[str], order: str, block: Column)
     )
 
 
+def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "number") -> DataFrame:
+    """Add ``name`` 1, 2, … over all rows by ``order``, whose last part should tell rows apart.
+
+    The rows are sorted into ranges and settled with their place in the range; a range's offset is the number of
+    rows in the ranges before it, so that the only window over everything sees one row per range.
+    """
+    columns = [F.col(part) if isinstance(part, str) else part for part in order]
+    ranged = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    # The low 33 bits of the running id count a partition's rows, the others are the partition.
+    running = F.monotonically_increasing_id()
+    placed = settle(ranged.withColumn("_running", running), "numbered").withColumns({
+        "_range": F.shiftright("_running", 33), "_at": F.col("_running").bitwiseAND((1 << 33) - 1)})
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    return (
+        placed.join(offsets, "_range").withColumn(name, F.col("_at") + F.col("_offset") + 1)
+        .drop("_running", "_range", "_at", "_offset")
+    )
+
+
+def numbered_by_ranges(df: DataFrame, group: str, order: Sequence[str | Column], name: str = "number") -> DataFrame:
+    """Add ``name`` 1, 2, … within each group by ``order``, whatever the group's size and the order's kind.
+
+    All rows are numbered by (group, order); a group's first number, a map-side aggregate, is taken off. Rows without
+    a group are one group.
+    """
+    rows = numbered(df, [group, *order], "_number")
+    first = rows.groupBy(F.col(group).alias("_group")).agg(F.min("_number").alias("_first"))
+    return (
+        rows.join(first, F.col(group).eqNullSafe(F.col("_group")))
+        .withColumn(name, F.col("_number") - F.col("_first") + 1).drop("_number", "_group", "_first")
+    )
+
+
 def id_block(column: str) -> Column:
     """Block of a hex id: its first two digits. Grows with the id and spreads a group over 256 tasks."""
     return F.substring(column, 1, 2)

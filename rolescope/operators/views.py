@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rolescope.functions.text import SHORT_EXCERPT, excerpt
 from rolescope.functions.words import blank_to_null, or_empty
 from rolescope.operators.filters import status_in
-from rolescope.operators.ranking import id_block, numbered_within
+from rolescope.operators.ranking import numbered, numbered_by_ranges
 from rolescope.operators.scoring import MATCH, STRONG, WEAK, tier
 from rolescope.rules import Rules
 from rolescope.schemas import LONG_TEXT
@@ -47,14 +47,21 @@ def plan_jobs_view(plans: DataFrame, plan_jobs: DataFrame, jobs: DataFrame) -> D
     return plans.join(members, "id", "left")
 
 
+def plan_order(plans: DataFrame) -> list[Column]:
+    """Newest date first, then newest row, then the id; missing values come first."""
+    return [F.col(name).desc_nulls_first() for name in ("date", "created_at") if name in plans.columns] + [F.col("id")]
+
+
 def plans_listed(plans: DataFrame, plan_jobs: DataFrame, jobs: DataFrame) -> DataFrame:
-    """One row per plan job, as ``plans_nested`` holds it, with its ``number`` in the plan by job id from 1 on.
+    """One row per plan job, as ``plans_nested`` holds it: ``place`` of its plan in the listing order and its
+    ``number`` in the plan by job id, both from 1 on.
 
     The form for plans of any size: no row grows. A plan without jobs keeps one row, whose number and job are null.
     """
     details = jobs.select(F.col("id").alias("job_id"), "company", F.col("title").alias("job_title"))
-    numbered = numbered_within(plan_jobs, ["plan_id"], "job_id", id_block("job_id")).join(details, "job_id", "left")
-    return plans.join(numbered.select(F.col("plan_id").alias("id"), "number", nested_job().alias("job")), "id", "left")
+    members = numbered_by_ranges(plan_jobs, "plan_id", ["job_id"]).join(details, "job_id", "left")
+    return numbered(plans, plan_order(plans), "place").join(
+        members.select(F.col("plan_id").alias("id"), "number", nested_job().alias("job")), "id", "left")
 
 
 def nested_job() -> Column:
@@ -64,38 +71,20 @@ def nested_job() -> Column:
     )
 
 
-def plans_nested(plans: DataFrame, plan_jobs: DataFrame, jobs: DataFrame, per_row: int | None = None) -> DataFrame:
+def plans_nested(plans: DataFrame, plan_jobs: DataFrame, jobs: DataFrame) -> DataFrame:
     """Plans with their jobs as an array, empty for a plan without jobs: one row per plan, whatever its size.
 
-    The array is as long as the plan; ``plans_listed`` has a row per job. Only a caller that names ``per_row`` gets
-    larger plans spread over several rows (``chunk`` of ``chunks``), cut by a hash of the job id.
+    ``chunk`` of ``chunks`` is always 0 of 1. The array is as long as the plan; ``plans_listed`` has a row per job.
     """
     details = jobs.select(F.col("id").alias("job_id"), "company", F.col("title").alias("job_title"))
-    if per_row is None:
-        nested = (
-            plan_jobs.join(details, "job_id", "left").groupBy(F.col("plan_id").alias("id"))
-            .agg(F.array_sort(F.collect_list(nested_job())).alias("jobs"))
-        )
-        empty = F.array().cast(nested.schema["jobs"].dataType)
-        return plans.join(nested, "id", "left").select(
-            "id", F.lit(0).alias("chunk"), *[plans[name] for name in plans.columns if name != "id"],
-            F.lit(1).alias("chunks"), F.coalesce("jobs", empty).alias("jobs"))
-    blocked = plan_jobs.withColumn("_block", id_block("job_id"))
-    sizes = blocked.groupBy("plan_id", "_block").agg(F.count("*").alias("_size"))
-    total = F.sum("_size").over(Window.partitionBy("plan_id"))
-    chunks = sizes.select("plan_id", "_block", F.ceil(total / per_row).cast("int").alias("chunks"))
     nested = (
-        blocked.join(chunks, ["plan_id", "_block"]).join(details, "job_id", "left")
-        .withColumn("chunk", F.pmod(F.xxhash64("job_id"), F.col("chunks")).cast("int"))
-        .groupBy(F.col("plan_id").alias("id"), "chunk").agg(F.array_sort(F.collect_list(nested_job())).alias("jobs"))
-    )
-    per_plan = chunks.groupBy(F.col("plan_id").alias("id")).agg(F.max("chunks").alias("chunks"))
-    rows = (
-        plans.join(per_plan, "id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        plan_jobs.join(details, "job_id", "left").groupBy(F.col("plan_id").alias("id"))
+        .agg(F.array_sort(F.collect_list(nested_job())).alias("jobs"))
     )
     empty = F.array().cast(nested.schema["jobs"].dataType)
-    return rows.join(nested, ["id", "chunk"], "left").withColumn("jobs", F.coalesce("jobs", empty))
+    return plans.join(nested, "id", "left").select(
+        "id", F.lit(0).alias("chunk"), *[plans[name] for name in plans.columns if name != "id"],
+        F.lit(1).alias("chunks"), F.coalesce("jobs", empty).alias("jobs"))
 
 
 def plan_report(plan_jobs: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -109,8 +98,8 @@ def plan_report(plan_jobs: DataFrame, jobs: DataFrame) -> DataFrame:
         return F.concat(F.lit(label), blank_to_null(F.col(name)))
     salary = F.when(F.col("salary") != "N/A", labelled("Salary: ", "salary"))
     line = F.concat_ws(" | ", salary, labelled("Location: ", "location"), labelled("Type: ", "work_type"))
-    numbered = numbered_within(plan_jobs, ["plan_id"], "job_id", id_block("job_id"))
-    return numbered.join(details, "job_id", "left").withColumns({
+    rows = numbered_by_ranges(plan_jobs, "plan_id", ["job_id"])
+    return rows.join(details, "job_id", "left").withColumns({
         "company": F.coalesce("company", F.lit(UNKNOWN)),
         "title": F.coalesce("title", F.lit(UNKNOWN)),
         "tier": F.coalesce("tier", F.lit(WEAK)),

@@ -13,6 +13,7 @@ from rolescope.operators.filters import id_in, status_in
 from rolescope.plans import fixtures as fx
 from rolescope.plans.fixtures import RULES
 from rolescope.plans.registry import query
+from rolescope.plans.scores import tidy_sql
 from rolescope.session import work_folder
 from rolescope.sources.readers import parse_state_map
 from rolescope.sources.writers import write_json_catalog
@@ -405,18 +406,48 @@ def plans_nested(spark, sf):
     return nested.withColumn("jobs", F.array_join(line, "; "))
 
 
+# Plans of one month share their date, those of one day also the time they were made.
+@query("plans_listed", f"""
+WITH {fx.PART_JOBS}, {fx.PLAN_JOBS},
+plans AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS title, strftime(o_orderdate, '%Y-%m') AS date,
+  CASE WHEN o_custkey % 9 <> 0 THEN o_orderdate END AS created_at FROM orders),
+placed AS (SELECT id, title, date, row_number() OVER (ORDER BY date DESC NULLS FIRST, created_at DESC NULLS FIRST, id) AS place
+  FROM plans),
+members AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY job_id) AS number FROM plan_jobs)
+SELECT p.id, p.title, p.date, p.place, m.number, m.job_id, m.notes,
+  CASE WHEN m.job_id IS NOT NULL THEN coalesce(j.company, '') END AS company,
+  CASE WHEN m.job_id IS NOT NULL THEN coalesce(j.title, '') END AS job_title
+FROM placed p LEFT JOIN members m ON m.plan_id = p.id
+LEFT JOIN (SELECT * FROM part_jobs WHERE {_KNOWN}) j ON j.id = m.job_id""")
+def plans_listed(spark, sf):
+    known = fx.part_jobs(spark, sf).filter(_KNOWN)
+    plans = fx.table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("title"),
+        F.date_format("o_orderdate", "yyyy-MM").alias("date"),
+        F.when(F.col("o_custkey") % 9 != 0, F.col("o_orderdate")).alias("created_at"))
+    return views.plans_listed(plans, fx.plan_jobs(spark, sf), known).select(
+        "id", "title", "date", "place", "number", F.col("job.id").alias("job_id"), F.col("job.notes").alias("notes"),
+        F.col("job.company").alias("company"), F.col("job.title").alias("job_title"))
+
+
+# A part's description is the document with its number, where there is one.
 @query("plan_report", f"""
-WITH {fx.PART_JOBS}, {fx.PLAN_JOBS}
+WITH {fx.PART_JOBS}, {fx.PLAN_JOBS}, {tidy_sql("text", "doc_id", "documents")},
+roles AS (SELECT substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) AS id, CASE WHEN length(tidy) > 800
+  THEN regexp_replace(substr(tidy, 1, 800), ' [^ ]*$', '') || '...' ELSE tidy END AS role FROM tidy)
 SELECT m.plan_id, m.job_id, m.notes, row_number() OVER (PARTITION BY m.plan_id ORDER BY m.job_id) AS number,
   coalesce(j.company, 'Unknown') AS company, coalesce(j.title, 'Unknown') AS title,
   coalesce(j.tier, 'Weak Match') AS tier, coalesce(j.score, 0) AS score,
   CASE WHEN j.id IS NULL THEN 'No details' ELSE 'Location: ' || j.import_date END AS details,
-  j.job_link FROM plan_jobs m LEFT JOIN (SELECT * FROM part_jobs WHERE {_KNOWN}) j ON j.id = m.job_id""")
+  CASE WHEN j.id IS NOT NULL THEN coalesce(r.role, '') ELSE '' END AS role, j.job_link || '/apply' AS apply_link,
+  j.job_link FROM plan_jobs m LEFT JOIN (SELECT * FROM part_jobs WHERE {_KNOWN}) j ON j.id = m.job_id
+LEFT JOIN roles r ON r.id = j.id""")
 def plan_report(spark, sf):
-    known = fx.part_jobs(spark, sf).filter(_KNOWN).withColumns({
+    bodies = fx.texts(spark, sf).select(fx.part_id(F.col("doc_id")).alias("id"), F.col("text").alias("description"))
+    known = fx.part_jobs(spark, sf).filter(_KNOWN).join(bodies, "id", "left").withColumns({
         "salary": F.lit("N/A"), "location": F.col("import_date"), "work_type": F.lit(""),
-        "description": F.lit(""), "apply_link": F.lit("")})
-    return views.plan_report(fx.plan_jobs(spark, sf), known).drop("role", "apply_link")
+        "apply_link": F.concat("job_link", F.lit("/apply"))})
+    return views.plan_report(fx.plan_jobs(spark, sf), known)
 
 
 @query("plan_tiers", f"""

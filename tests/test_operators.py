@@ -12,7 +12,7 @@ from rolescope.operators import status as st
 from rolescope.operators import tailoring as tl
 from rolescope.operators.dedup import first_postings, new_by_key, new_by_link, ordered_fetch
 from rolescope.operators.intake import import_csv
-from rolescope.operators.ranking import id_block, numbered_within, previous_in_group
+from rolescope.operators.ranking import id_block, numbered, numbered_by_ranges, numbered_within, previous_in_group
 from rolescope.rules import CompanyPool, Rules
 from rolescope.schemas import JOB_STATE, JOBS
 
@@ -214,15 +214,32 @@ def test_state_upsert(spark):
     assert sorted(r.job_id for r in merge.default_states(old, jobs, at).collect()) == ["1", "2"]
 
 
-def test_plans_nested_splits_a_large_plan(spark):
-    plans = spark.createDataFrame([("p", "t", "d"), ("q", "t", "d")], "id string, title string, date string")
-    members = spark.createDataFrame([("p", f"j{n}", None) for n in range(95)], "plan_id string, job_id string, notes string")
-    jobs = spark.createDataFrame([("j1", "C", "T")], "id string, company string, title string")
-    rows = views.plans_nested(plans, members, jobs, per_row=10).collect()
-    large = [row for row in rows if row.id == "p"]
-    assert len(large) > 1 and all(row.chunks == 10 for row in large)
-    assert sorted(job.id for row in large for job in row.jobs) == sorted(f"j{n}" for n in range(95))
-    assert [(row.chunks, row.jobs) for row in rows if row.id == "q"] == [(1, [])]
+def test_numbers_by_ranges(spark):
+    random.seed(4)
+    rows = [(random.choice([None, "hot", "hot", "b", "é"]), random.choice([None, "", "zz", "ZZ", "7", "日本"]), n) for n in range(500)]
+    frame = spark.createDataFrame(rows, "g string, name string, n long").repartition(7)
+    got = numbered_by_ranges(frame, "g", [F.col("name").desc_nulls_first(), "n"]).collect()
+    assert len(got) == len(rows)
+    for group in {row.g for row in got}:
+        held = sorted((row for row in got if row.g == group), key=lambda row: row.number)
+        assert [row.number for row in held] == list(range(1, len(held) + 1))
+        # Bytes of UTF-8 order as code points do; missing names come first, the others downwards.
+        keys = [(row.name is None, (row.name or "").encode(), -row.n) for row in held]
+        assert keys == sorted(keys, reverse=True)
+    whole = numbered(frame, ["n"]).collect()
+    assert sorted((row.n, row.number) for row in whole) == [(n, n + 1) for n in range(500)]
+    assert numbered(frame.filter("n < 0"), ["n"]).collect() == []
+
+
+def test_plans_are_listed_in_stored_order(spark):
+    plans = spark.createDataFrame([("a", "2026-01", 5), ("b", "2026-02", 1), ("c", "2026-02", None), ("d", None, 9), ("e", "2026-02", 1)],
+                                  "id string, date string, created_at int")
+    members = spark.createDataFrame([("b", "not-hex 2", "n"), ("b", "Not-hex 1", None)], "plan_id string, job_id string, notes string")
+    jobs = spark.createDataFrame([], "id string, company string, title string")
+    rows = views.plans_listed(plans, members, jobs).collect()
+    assert sorted((row.place, row.id, row.number, row.job and row.job.id) for row in rows) == [
+        (1, "d", None, None), (2, "c", None, None), (3, "b", 1, "Not-hex 1"), (3, "b", 2, "not-hex 2"),
+        (4, "e", None, None), (5, "a", None, None)]
 
 
 def test_plans_nested_keeps_one_row_at_every_size(spark):
