@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rolescope.functions.normalize import company_key, json_row, logo_url, website
@@ -15,7 +16,7 @@ from rolescope.plans.fixtures import RULES
 from rolescope.plans.registry import query
 from rolescope.plans.scores import tidy_sql
 from rolescope.session import work_folder
-from rolescope.sources.readers import parse_state_map
+from rolescope.sources.readers import parse_state_map, read_job_array, read_state_map
 from rolescope.sources.writers import write_json_catalog
 
 NOW = datetime.datetime(2026, 4, 1, 12, 0, 0)
@@ -577,6 +578,46 @@ def migrate_states(spark, sf):
     return parse_state_map(text).select("job_id", "status", "notes", F.array_join(entries, ",").alias("timestamps"))
 
 
+# Events to a file; a file holds one JSON document, which many tasks read.
+_PER_FILE = 1 << 20
+
+
+def _write_document(rows, path, start, end):
+    """``text`` of every row as a member of the one JSON document in its file; files go by ranges of event_id."""
+    ranged = rows.withColumn("part", F.floor(F.col("event_id") / _PER_FILE))
+    whole = Window.partitionBy("part").orderBy("event_id", "text")
+    text = F.concat(F.when(F.row_number().over(whole) == 1, start).otherwise(","), "text",
+                    F.when(F.lead("part").over(whole).isNull(), end).otherwise(""))
+    ranged.select("part", text.alias("text")).write.partitionBy("part").text(path)
+
+
+# Legacy files: an array of jobs and a map from job ids to states, which jobs that were only viewed do not have.
+@query("migrate_files", """
+SELECT CAST(user_id AS VARCHAR) || '-' || CAST(event_id AS VARCHAR) AS job_id, props AS title,
+  CASE WHEN event_type = 'view' THEN 'New' ELSE event_type END AS status,
+  CASE WHEN event_type <> 'view' THEN props || '}"{' END AS notes,
+  CASE WHEN event_type = 'view' THEN '' ELSE event_type || '=' || strftime(ts, '%Y-%m-%d') END AS timestamps FROM events""")
+def migrate_files(spark, sf):
+    events = fx.table(spark, sf, "events").withColumn(
+        "key", F.concat_ws("-", F.col("user_id").cast("string"), F.col("event_id").cast("string")))
+    state = F.struct(
+        F.col("event_type").alias("status"), F.concat("props", F.lit('}"{')).alias("notes"),
+        F.create_map("event_type", F.date_format("ts", "yyyy-MM-dd")).alias("timestamps"))
+    entry = F.to_json(F.create_map("key", state))
+    states, jobs = work_folder(spark, "states"), work_folder(spark, "jobs")
+    changed = events.filter("event_type <> 'view'").withColumn("entry", entry)
+    _write_document(changed.select("event_id", F.expr("substr(entry, 2, length(entry) - 2)").alias("text")), states, "{", "}")
+    _write_document(events.select("event_id", F.to_json(F.struct(
+        F.col("key").alias("id"), F.col("props").alias("title"))).alias("text")), jobs, "[", "]")
+    legacy = read_job_array(spark, jobs)
+    stored = legacy.select("id", "title").limit(0)
+    table, _ = merge.migrate_jobs(legacy, stored)
+    entries = F.transform(F.map_entries("timestamps"), lambda entry: F.concat(entry["key"], F.lit("="), entry["value"]))
+    migrated = merge.migrate_states(legacy, read_state_map(spark, states))
+    return migrated.join(table.select(F.col("id").alias("job_id"), "title"), "job_id").select(
+        "job_id", "title", "status", "notes", F.array_join(entries, ",").alias("timestamps"))
+
+
 @query("migrate_counts", f"""
 WITH {fx.PART_JOBS}, stored AS (SELECT id FROM part_jobs WHERE {_STORED}),
 legacy AS (SELECT substr(md5(CAST(l_partkey + 50 AS VARCHAR)), 1, 12) AS id FROM lineitem)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rolescope.schemas import POSTING_COLUMNS
+from rolescope.sources.json_values import ARRAY, MAP, members
 
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
@@ -62,16 +63,17 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_job_array(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of jobs; ``pos`` keeps the order within and across files."""
-    return spark.read.schema(JOB).json(path, multiLine=True).withColumn("pos", F.monotonically_increasing_id())
+    """JSON arrays of jobs; ``pos`` keeps the order within a file, and the files in the order of their names."""
+    jobs = members(spark, path, ARRAY)
+    return jobs.select(F.from_json("text", JOB).alias("_job"), F.struct("file", "number").alias("pos")).select("_job.*", "pos")
 
 
 def read_plan_array(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A JSON array of plans: the plans, and their jobs as (plan_id, job_id, notes, pos)."""
-    plans = spark.read.schema(PLAN).json(path, multiLine=True)
-    members = plans.select(F.col("id").alias("plan_id"), F.posexplode("jobs").alias("pos", "job")).select(
+    """JSON arrays of plans: the plans, and their jobs as (plan_id, job_id, notes, pos)."""
+    plans = members(spark, path, ARRAY).select(F.from_json("text", PLAN).alias("_plan")).select("_plan.*")
+    listed = plans.select(F.col("id").alias("plan_id"), F.posexplode("jobs").alias("pos", "job")).select(
         "plan_id", F.col("job.id").alias("job_id"), F.col("job.notes").alias("notes"), "pos")
-    return plans.drop("jobs"), members
+    return plans.drop("jobs"), listed
 
 
 def _json_map(text: DataFrame, value_type: str, key: str) -> DataFrame:
@@ -88,13 +90,17 @@ def parse_company_map(text: DataFrame) -> DataFrame:
     return _json_map(text, COMPANY, "company_name")
 
 
+def _map_members(spark: SparkSession, path: str) -> DataFrame:
+    return members(spark, path, MAP).select(F.concat(F.lit("{"), "text", F.lit("}")).alias("value"))
+
+
 def read_state_map(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object job id → state. ``read.json`` would make a column of every id."""
-    return parse_state_map(spark.read.text(path, wholetext=True))
+    """JSON objects job id → state, files of any size. ``read.json`` would make a column of every id."""
+    return parse_state_map(_map_members(spark, path))
 
 
 def read_company_map(spark: SparkSession, path: str) -> DataFrame:
-    return parse_company_map(spark.read.text(path, wholetext=True))
+    return parse_company_map(_map_members(spark, path))
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -1,13 +1,16 @@
 """Sources, sinks and streams."""
 
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from rolescope.operators import merge
 from rolescope.rules import Rules
 from rolescope.schemas import SCRAPED_HEADER
 from rolescope.sources import readers, writers
+from rolescope.sources.json_values import ARRAY, MAP, members
 from rolescope.streaming.changes import stream_changes
 from rolescope.streaming.imports import compact, merge_batch, read_catalog, stream_import
 
@@ -50,6 +53,67 @@ def test_legacy_json(spark, tmp_path):
     assert (company.company_name, company.summary, company.industry) == ("Acme", "s", None)
 
 
+@pytest.fixture
+def split_size(spark):
+    names = ("maxPartitionBytes", "openCostInBytes", "minPartitionNum")
+
+    def use(size):
+        for name, value in zip(names, (size, 0, 500)):
+            spark.conf.set(f"spark.sql.files.{name}", value)
+    yield use
+    for name in names:
+        spark.conf.unset(f"spark.sql.files.{name}")
+
+
+def odd_text(random):
+    return "".join(random.choice('ab{}"\\,:[] \n}é') for _ in range(random.randint(0, 30)))
+
+
+@pytest.mark.parametrize("size", [1 << 27, 300, 41])
+@pytest.mark.parametrize("style", [{}, {"indent": 2}, {"ensure_ascii": False, "separators": (",", ":")}])
+def test_json_files_are_cut_at_any_byte(spark, tmp_path, split_size, size, style):
+    source = random.Random(size)
+    split_size(size)
+    states = {f"k{n}{odd_text(source)}": {"status": odd_text(source), "timestamps": {odd_text(source): odd_text(source)}, "more": {}}
+              for n in range(60)}
+    states["none"] = None
+    (tmp_path / "a.json").write_text(json.dumps(states, **style) + "\n", encoding="utf-8")
+    rows = members(spark, str(tmp_path / "a.json"), MAP).collect()
+    assert sorted(row.number for row in rows) == list(range(61))
+    found = {}
+    for row in sorted(rows, key=lambda row: row.number):
+        found.update(json.loads("{" + row.text + "}"))
+    assert list(found.items()) == list(states.items())
+    jobs = [value for value in states.values() if value]
+    (tmp_path / "b.json").write_text(" " + json.dumps(jobs, **style) + "\n\n", encoding="utf-8")
+    rows = members(spark, str(tmp_path / "b.json"), ARRAY).collect()
+    assert [json.loads(row.text) for row in sorted(rows, key=lambda row: row.number)] == jobs
+
+
+def test_one_map_is_read_by_many_tasks(spark, tmp_path, split_size):
+    split_size(2000)
+    (tmp_path / "s.json").write_text(json.dumps({f"j{n}": {"status": "Applied", "notes": "}{" * 20} for n in range(300)}))
+    pieces = spark.read.option("lineSep", "}").text(str(tmp_path / "s.json"))
+    assert pieces.select(F.spark_partition_id()).distinct().count() > 5
+    states = readers.read_state_map(spark, str(tmp_path / "s.json"))
+    assert sorted(row.job_id for row in states.collect()) == sorted(f"j{n}" for n in range(300))
+
+
+def test_odd_json_files(spark, tmp_path):
+    for name, text in {"a": "{}", "b": "", "c": " { } \n", "d": '\ufeff{"x": {"status": "S"}}\n'}.items():
+        (tmp_path / f"{name}.json").write_text(text, encoding="utf-8")
+    (tmp_path / "cut.json").write_text('{"y": {"status": "T"}, "z": {"status": "half', encoding="utf-8")
+    assert sorted((row.job_id, row.status) for row in readers.read_state_map(spark, str(tmp_path)).collect()) == [
+        ("x", "S"), ("y", "T")]
+    folder = tmp_path / "arrays"
+    folder.mkdir()
+    (folder / "a.json").write_text("[]")
+    (folder / "b.json").write_text('[{"id": "1"}, {"id": "2", "title": "[}"}]')
+    (folder / "c.json").write_text('\ufeff[\n{"id": "3"}\n]\n', encoding="utf-8")
+    jobs = readers.read_job_array(spark, str(folder)).orderBy("pos").collect()
+    assert [(row.id, row.title) for row in jobs] == [("1", None), ("2", "[}"), ("3", None)]
+
+
 def write_drop(folder, name, rows):
     folder.mkdir(exist_ok=True)
     lines = [HEADER] + [f"{title},Acme,,,,,,{text},,{link},Oslo" for title, text, link in rows]
