@@ -156,7 +156,7 @@ def test_absolute_url_matches_urljoin(spark, base):
     assert got == [urljoin(base, link) for link in links]
 
 
-def test_rules_load_and_unique_pool():
+def test_rules_load_and_pools_may_share_a_text():
     config = {
         "experience": {"B": {"display_name": "Bee", "bullet_limit": 2, "bullets": ["x"]}, "A": {"bullet_limit": 1, "bullets": ["y"]}},
         "scoring": {"tech_keywords": {"go": 3}, "tier_thresholds": {"strong": 13, "match": 7}, "top_companies": ["z"]},
@@ -164,8 +164,8 @@ def test_rules_load_and_unique_pool():
     }
     rules = rules_from_config(config)
     assert [company.name for company in rules.pool] == ["Bee", "A"] and rules.keywords == (("go", 3),)
-    with pytest.raises(ValueError):
-        Rules(pool=(CompanyPool("a", 1, ("t",)), CompanyPool("b", 1, ("t",))))
+    shared = Rules(pool=(CompanyPool("a", 1, ("t",)), CompanyPool("b", 1, ("t",))))
+    assert [company.bullets for company in shared.pool] == [("t",), ("t",)]
 
 
 @pytest.mark.parametrize("base", ["https://h.example/a/b/c.html", "https://h.example/", "https://h.example/a/b/c/d/e"])
