@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html as entities
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -21,6 +21,10 @@ SILENT = frozenset(("script", "style", "template"))
 # Tags of the boxes a link may stand in.
 BOXES = frozenset(("div", "li", "article", "tr"))
 
+# Pages are parsed and handed on in runs of about this many characters of HTML, since the parsed form of a page takes
+# many times its size: a Python worker holds one run, however many pages a batch has.
+RUN_CHARS = 1 << 18
+
 # no: element number in document order; last: number of its last descendant; inside: bits of the marks that its
 # ancestors have; in_link, in_box: nearest link and nearest box around it, -1 for none; first_text, next_text: the
 # half-open range of its texts. Every field has a fixed width, so a page grows with its elements, however deep.
@@ -98,6 +102,25 @@ class _Flattener(HTMLParser):
         return {"elements": self.elements, "texts": self.texts}
 
 
+def runs(pages: pd.Series, chars: int = RUN_CHARS) -> Iterator[pd.Series]:
+    """The pages in order, cut into runs that end once they have that many characters; a run has one page at least."""
+    start = size = 0
+    for at, page in enumerate(pages):
+        size += len(page or "")
+        if size >= chars:
+            yield pages.iloc[start:at + 1]
+            start, size = at + 1, 0
+    if start < len(pages) or not len(pages):
+        yield pages.iloc[start:]
+
+
+def parsed_runs(batches: Iterator[pd.Series], marks: Sequence[tuple[str, str]]) -> Iterator[pd.DataFrame]:
+    """The parsed pages of the batches, run by run."""
+    for pages in batches:
+        for run in runs(pages):
+            yield pd.DataFrame([_Flattener(marks).flat(page) for page in run], columns=["elements", "texts"])
+
+
 def parse_html(html: Column, marks: Sequence[tuple[str, str]] = ()) -> Column:
     """The page as arrays. ``marks`` are up to 63 (tag | class | part of the class attribute, name) pairs, which
     ``marked_around`` asks for.
@@ -105,8 +128,8 @@ def parse_html(html: Column, marks: Sequence[tuple[str, str]] = ()) -> Column:
     Declared nondeterministic only so that filters on its result are not pushed below it, which would
     parse every page once more per filter."""
     @F.pandas_udf(PARSED)
-    def parse(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_Flattener(marks).flat(page) for page in pages], columns=["elements", "texts"])
+    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from parsed_runs(batches, marks)
     ship_package(SparkSession.getActiveSession())
     return parse.asNondeterministic()(html)
 

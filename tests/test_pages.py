@@ -1,9 +1,12 @@
 """Page rules on hand-written boards."""
 
 import time
+import tracemalloc
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from rolescope.functions import html as parsing
 from rolescope.functions.html import BOXES, _Flattener, _marked
 from rolescope.operators import pages as pg
 from rolescope.operators.intake import import_careers
@@ -151,3 +154,23 @@ def test_only_wanted_pages_are_parsed(spark, capsys):
     assert 0 < plan.index("ArrowEvalPython") < plan.index("LeftSemi")
     assert "ArrowEvalPython" not in plan[plan.index("LeftSemi"):]
     assert sorted((row.job_link[-1], row.description[-1]) for row in rows.collect()) == [(n, n) for n in "123"]
+
+
+def test_a_batch_of_pages_is_parsed_in_runs(spark):
+    page = "<ul>" + '<li><a class="x" href="/jobs/1">Developer</a></li>' * 100 + "</ul>"
+
+    def peak(count):
+        pages = pd.Series([page] * count)
+        tracemalloc.start()
+        parsed = sum(len(run) for run in parsing.parsed_runs(iter([pages]), pg.MARKS))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert parsed == count
+        return most
+    assert peak(600) < 1.5 * peak(150)
+    # The runs of a batch come back as the rows they belong to, null and empty pages and one longer than a run included.
+    long = "<p>many</p>" * (parsing.RUN_CHARS // 10)
+    texts = [None if at % 7 == 3 else "" if at % 7 == 4 else long if at == 50 else f"<p>page {at}</p>{page}" for at in range(120)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "page_id long, html string").coalesce(1)
+    got = dict(pg.parsed_pages(frame).select("page_id", F.coalesce(F.get("page.texts", F.lit(0)), F.lit(""))).collect())
+    assert got == {at: "" if not text else "many" if at == 50 else f"page {at}" for at, text in enumerate(texts)}
