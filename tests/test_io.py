@@ -256,3 +256,62 @@ def test_rows_are_spread_only_where_asked(spark):
     rows = spark.range(100)
     assert "Exchange" not in plan(readers.spread(rows, "id"))
     assert readers.spread(rows, "id", 3).rdd.getNumPartitions() == 3
+
+
+def test_late_events_over_many_shelves(spark, tmp_path, monkeypatch):
+    """State calls of a key follow its shelves, not its blocks, and shelves are cut without changing what is told."""
+    import random
+
+    import pandas as pd
+
+    from rolescope.streaming import changes
+
+    class Value:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    class Shelves(dict):
+        calls = 0
+
+        def getValue(self, key):
+            Shelves.calls += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            Shelves.calls += 1
+            self[key] = value
+
+    def run(rows, parts, most):
+        monkeypatch.setattr(changes, "SHELF_EVENTS", most)
+        feed = changes.Changes(plain=True)
+        feed.shelves, feed.events, told = Value(), Shelves(), []
+        for part in range(parts):
+            batch = [(f"{at // 3:05d}", f"{at:05d}", sign, f"{at}") for at, sign, number in rows if number == part]
+            frame = pd.DataFrame(batch, columns=["block", "place", "sign", "row"], dtype=object)
+            for out in feed.handleInputRows(("a",), iter([frame]), None) if batch else ():
+                told += [(int(row), kind, part) for row, kind in zip(out["row"], out["kind"], strict=True)]
+        return sorted(told), feed.events
+
+    draw = random.Random(5)
+    rows = [(at, draw.choice("xy"), draw.randrange(4)) for at in range(300)]
+    expected, told = [], set()
+    for part in range(4):
+        here = [row for row in rows if row[2] <= part]
+        for place, (at, sign, _) in enumerate(here):
+            if at not in told and (place == 0 or here[place - 1][1] != sign):
+                told.add(at)
+                first = place == 0 and part == min(number for _, _, number in rows)
+                expected.append((at, "snapshot" if first else "update", part))
+    for most in (4, 30, 10_000):
+        got, held = run(rows, 4, most)
+        assert got == sorted(expected)
+        assert sorted(event[1] for (events,) in held.values() for event in events) == [f"{at:05d}" for at in range(300)]
+        assert most == 10_000 or max(len(events) for (events,) in held.values()) <= max(most, 3)
+    Shelves.calls = 0
+    run([(at, "x", at % 2) for at in range(90)], 2, 128)
+    assert Shelves.calls == 3  # one shelf: written, read, written
