@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import html as entities
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +23,7 @@ SILENT = frozenset(("script", "style", "template"))
 BOXES = frozenset(("div", "li", "article", "tr"))
 
 # Pages are parsed and handed on in runs of about this many characters of HTML, since the parsed form of a page takes
-# many times its size: a Python worker holds one run, however many pages a batch has.
+# many times its size: a Python worker holds one run as strings and elements, however many pages a batch has.
 RUN_CHARS = 1 << 18
 
 # no: element number in document order; last: number of its last descendant; inside: bits of the marks that its
@@ -39,6 +40,16 @@ ELEMENT = T.StructType([
 PARSED = T.StructType([
     T.StructField("elements", T.ArrayType(ELEMENT)), T.StructField("texts", T.ArrayType(T.StringType())),
 ])
+# The same as an Arrow type.
+PARSED_ARROW = pa.struct([
+    ("elements", pa.list_(pa.struct([
+        ("no", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()),
+        ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
+        ("classes", pa.list_(pa.string())), ("inside", pa.int64()),
+        ("in_link", pa.int32()), ("in_box", pa.int32()),
+        ("first_text", pa.int32()), ("next_text", pa.int32()),
+    ]))), ("texts", pa.list_(pa.string())),
+])
 
 
 def _marked(element, kind, name):
@@ -102,23 +113,32 @@ class _Flattener(HTMLParser):
         return {"elements": self.elements, "texts": self.texts}
 
 
-def runs(pages: pd.Series, chars: int = RUN_CHARS) -> Iterator[pd.Series]:
-    """The pages in order, cut into runs that end once they have that many characters; a run has one page at least."""
-    start = size = 0
-    for at, page in enumerate(pages):
+def runs(pages: Iterable[str | None], chars: int = RUN_CHARS) -> Iterator[list[str | None]]:
+    """The pages in order, cut into runs that end once they have that many characters; a run has one page at least.
+
+    A page is asked for when its run needs it, so that only one run's pages need be strings."""
+    run, size = [], 0
+    for page in pages:
+        run.append(page)
         size += len(page or "")
         if size >= chars:
-            yield pages.iloc[start:at + 1]
-            start, size = at + 1, 0
-    if start < len(pages) or not len(pages):
-        yield pages.iloc[start:]
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
 
 
-def parsed_runs(batches: Iterator[pd.Series], marks: Sequence[tuple[str, str]]) -> Iterator[pd.DataFrame]:
+def parsed_runs(batches: Iterable[Iterable[str | None]], marks: Sequence[tuple[str, str]]) -> Iterator[list[dict]]:
     """The parsed pages of the batches, run by run."""
     for pages in batches:
         for run in runs(pages):
-            yield pd.DataFrame([_Flattener(marks).flat(page) for page in run], columns=["elements", "texts"])
+            yield [_Flattener(marks).flat(page) for page in run]
+
+
+def parsed_arrays(batches: Iterable[pa.Array], marks: Sequence[tuple[str, str]]) -> Iterator[pa.Array]:
+    """The same from and to Arrow: a batch stays in Arrow's own form, its pages become strings one by one."""
+    for parsed in parsed_runs(((page.as_py() for page in pages) for pages in batches), marks):
+        yield pa.array(parsed, PARSED_ARROW)
 
 
 def parse_html(html: Column, marks: Sequence[tuple[str, str]] = ()) -> Column:
@@ -127,9 +147,9 @@ def parse_html(html: Column, marks: Sequence[tuple[str, str]] = ()) -> Column:
 
     Declared nondeterministic only so that filters on its result are not pushed below it, which would
     parse every page once more per filter."""
-    @F.pandas_udf(PARSED)
-    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        yield from parsed_runs(batches, marks)
+    @F.arrow_udf(PARSED)
+    def parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from parsed_arrays(batches, marks)
     ship_package(SparkSession.getActiveSession())
     return parse.asNondeterministic()(html)
 

@@ -4,6 +4,7 @@ import time
 import tracemalloc
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rolescope.functions import html as parsing
@@ -174,3 +175,26 @@ def test_a_batch_of_pages_is_parsed_in_runs(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "page_id long, html string").coalesce(1)
     got = dict(pg.parsed_pages(frame).select("page_id", F.coalesce(F.get("page.texts", F.lit(0)), F.lit(""))).collect())
     assert got == {at: "" if not text else "many" if at == 50 else f"page {at}" for at, text in enumerate(texts)}
+
+
+def test_pages_of_a_batch_become_strings_run_by_run(spark):
+    # One sign beyond 16 bits makes a string take four bytes a character.
+    page = '<p id="a" class="x y">' + "word " * 800 + "\U0001F600</p>"
+
+    def peak(count):
+        pages = pa.array([page, None, ""] * count)
+        tracemalloc.start()
+        parsed = sum(len(run) for run in parsing.parsed_arrays(iter([pages]), pg.MARKS))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert parsed == 3 * count
+        return most
+    assert peak(2000) < 1.5 * peak(300) < len(page) * 2000
+    taken = []
+    first = next(parsing.runs((taken.append(at) or "x" * 10 for at in range(100)), 50))
+    assert (len(first), len(taken)) == (5, 5)
+    # What Spark gets is the parser's own form, with every field.
+    rows = pg.parsed_pages(spark.createDataFrame([(page,), (None,)], "html string").coalesce(1)).collect()
+    wanted = [_Flattener(pg.MARKS).flat(html) for html in (page, None)]
+    assert [row.page.asDict(recursive=True) for row in rows] == wanted
+    assert wanted[0]["elements"][0]["attrs"] == {"id": "a", "class": "x y"}
