@@ -19,7 +19,7 @@ from rolescope.functions.words import any_of, blank_to_null, contains_any, let,
 from rolescope.operators.dedup import new_by_key
 from rolescope.operators.filters import excluded_company, keep_all_when_none, title_passes
 from rolescope.rules import Rules
-from rolescope.session import settle
+from rolescope.session import bound_batches, settle
 
 # Platforms in order, with the host parts that name them.
 PLATFORM_HOSTS = (
@@ -130,7 +130,8 @@ def visible_text_native(html: Column) -> Column:
 
 def parsed_pages(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """Replace the HTML by its parsed form ``page``, with ``base`` for its links; the raw text goes no
-    further."""
+    further. Pages go to the workers in small batches, see ``bound_batches``."""
+    bound_batches(pages.sparkSession)
     parsed = pages.withColumn("page", parse_html(F.col(html), MARKS)).drop(html)
     return parsed.withColumn("base", url_base(F.col(url))) if url in parsed.columns else parsed
 

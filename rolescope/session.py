@@ -9,6 +9,11 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Spark's bound of an Arrow batch, and the bound for long texts: a Python worker holds a whole batch, whatever it does
+# with its rows, and Spark's own 64 MB fill up as a task's input grows.
+ARROW_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+TEXT_BATCH = "2m"
+
 
 def local_session(cpus: str | int = 8, app: str = "rolescope", **conf: str) -> SparkSession:
     """A single-JVM session, as the tests and the bench use it."""
@@ -76,3 +81,11 @@ def ship_package(spark: SparkSession) -> None:
                     archive.write(full, os.path.relpath(full, os.path.dirname(root)))
     context.addPyFile(path)
     context._rolescope_shipped = True
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches end at 2 MB in this session, unless it sets a bound itself; rows do not depend on it.
+
+    A batch is closed by the row that reaches the bound, so a longer row is a batch of its own."""
+    if ARROW_BATCH not in spark.conf.getAll:
+        spark.conf.set(ARROW_BATCH, TEXT_BATCH)

@@ -12,6 +12,7 @@ from rolescope.functions.html import BOXES, _Flattener, _marked
 from rolescope.operators import pages as pg
 from rolescope.operators.intake import import_careers
 from rolescope.rules import Rules
+from rolescope.session import ARROW_BATCH
 
 URL = "https://boards.example/co/list"
 
@@ -198,3 +199,21 @@ def test_pages_of_a_batch_become_strings_run_by_run(spark):
     wanted = [_Flattener(pg.MARKS).flat(html) for html in (page, None)]
     assert [row.page.asDict(recursive=True) for row in rows] == wanted
     assert wanted[0]["elements"][0]["attrs"] == {"id": "a", "class": "x y"}
+
+
+def test_pages_reach_a_worker_in_small_batches(spark):
+    @F.arrow_udf("long")
+    def batch_bytes(texts: pa.Array) -> pa.Array:
+        return pa.array([texts.nbytes] * len(texts), pa.int64())
+
+    def largest(session):
+        pages = session.range(0, 3000, numPartitions=1).select(F.repeat(F.lit("<p>word</p>"), 400).alias("html"))
+        assert pg.parsed_pages(pages).select(F.size("page.texts").alias("texts")).distinct().collect() == [(400,)]
+        return pages.select(F.max(batch_bytes("html"))).first()[0]
+    # 13 MB of pages in one task; Spark would send them as one batch.
+    assert largest(spark.newSession()) < 4 << 20
+    # A session that has a bound keeps it.
+    own = spark.newSession()
+    own.conf.set(ARROW_BATCH, "8m")
+    assert 7 << 20 < largest(own) < 10 << 20
+    assert own.conf.get(ARROW_BATCH) == "8m"
