@@ -99,6 +99,43 @@ def test_one_map_is_read_by_many_tasks(spark, tmp_path, split_size):
     assert sorted(row.job_id for row in states.collect()) == sorted(f"j{n}" for n in range(300))
 
 
+def spilled(plan):
+    """Bytes that the plan's windows moved to disk, each."""
+    found = [plan.metrics().apply("spillSize").value()] if plan.nodeName() == "Window" else []
+    children = plan.children()
+    return sum((spilled(children.apply(at)) for at in range(children.size())), found)
+
+
+def test_windows_hold_few_pieces_of_a_byte_range(spark, tmp_path):
+    source = random.Random(7)
+    states = {f"k{n}{odd_text(source)}": {"status": odd_text(source), "more": {odd_text(source): {}}} for n in range(3000)}
+    # Blocks that lie within one string, and within one member.
+    states["text"] = {"notes": "}{" * 5000 + '"', "status": "S"}
+    states["deep"] = {"list": [{"n": n, "text": "}"} for n in range(4000)]}
+    states["last"] = {"status": "T"}
+    (tmp_path / "a.json").write_text(json.dumps(states), encoding="utf-8")
+    jobs = list(states.values())
+    (tmp_path / "b.json").write_text(json.dumps(jobs, indent=1), encoding="utf-8")
+    # Without adaptive plans a plan has its figures in place; a group beyond this many rows goes to disk.
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.windowExec.buffer.spill.threshold": "4096"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        for file, between, ends, whole in (("a", MAP, "{}", list(states.items())), ("b", ARRAY, "[]", jobs)):
+            pieces = spark.read.option("lineSep", "}").text(str(tmp_path / f"{file}.json"))
+            assert pieces.rdd.getNumPartitions() == 1 and pieces.count() > 20000
+            cut = members(spark, str(tmp_path / f"{file}.json"), between)
+            rows = sorted(cut.collect(), key=lambda row: row.number)
+            assert [row.number for row in rows] == list(range(3003))
+            found = json.loads(ends[0] + ",".join(row.text for row in rows) + ends[1])
+            assert (list(found.items()) if between == MAP else found) == whole
+            moved = spilled(cut._jdf.queryExecution().executedPlan())
+            assert moved and not any(moved)
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+
+
 def test_odd_json_files(spark, tmp_path):
     for name, text in {"a": "{}", "b": "", "c": " { } \n", "d": '\ufeff{"x": {"status": "S"}}\n'}.items():
         (tmp_path / f"{name}.json").write_text(text, encoding="utf-8")
